@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, without
+from .common import WHITE, Scratch, without
 
 SYMBOLS = "#*$%&|<>"
 
@@ -29,29 +29,52 @@ class Rule:
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null or blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    return F.array_remove(F.split(trimmed, r"[\x20\x09-\x0D]+"), "")
 
 
-def _without_chars(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def count_of(text: Column, chars: str) -> Column:
+    """How many characters of the text are among ``chars``."""
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
-def repeated_words(hashes: Column, window: int = 5) -> Column:
-    """How many words lie in windows whose hash occurs twice or more; ``hashes``: of all windows, by start.
+#: A window's start takes so many low bits beside its hash; texts with more words keep both in full.
+START_BITS = 22
 
-    Only texts with a repeat take the second branch: windows sorted by (hash, start) lie beside their
-    equals; the starts of those, sorted again, cover ``min(window, gap to the next start)`` words each.
+
+def _repeated(df: DataFrame, hashes: str, out: str, window: int = 5) -> DataFrame:
+    """Adds how many words lie in windows whose hash occurs twice or more; ``hashes``: of all windows, by start.
+
+    Only texts with a repeat are worked on. Windows sorted by (hash, start) lie beside their equals; the
+    starts of those, sorted again, cover ``min(window, gap to the next start)`` words each. The steps are
+    columns of their own, so that each is evaluated once.
     """
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(pairs)
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.transform(F.slice(pairs, 1, n - 1), lambda p: p["h"]))
-    after = F.concat(F.transform(F.slice(pairs, 2, n - 1), lambda p: p["h"]), F.array(F.lit(None).cast("bigint")))
-    beside = F.arrays_zip(pairs.alias("p"), before.alias("b"), after.alias("a"))
-    same = F.filter(beside, lambda x: (x["p"]["h"] == x["b"]) | (x["p"]["h"] == x["a"]))
-    starts = F.sort_array(F.transform(same, lambda x: x["p"]["i"]))
-    gaps = F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: F.coalesce(F.least(b - a, F.lit(window)), F.lit(window)))
-    covered = F.aggregate(gaps, F.lit(0), lambda s, g: s + g)
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(0).cast("bigint")
+    h, mask = F.col(hashes), (1 << START_BITS) - 1
+    df = df.withColumn("_dup", F.size(F.array_distinct(h)) < F.size(h))
+    packed = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
+    df = df.withColumn("_sorted", F.when(F.col("_dup") & (F.size(h) <= mask), F.sort_array(packed)))
+    full = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("bigint").alias("i")))
+    df = df.withColumn("_pairs", F.when(F.col("_dup") & (F.size(h) > mask), F.sort_array(full)))
+
+    def start(p: Column) -> Column:
+        return p.bitwiseAND(F.lit(mask))
+
+    def beside(p: Column, i: Column) -> Column:
+        # equal high bits only make a candidate; the full hashes decide
+        own = F.get(h, start(p).cast("int"))
+        near = [F.get("_sorted", i + k) for k in (-1, 1)]
+        same = [F.coalesce((F.get(h, start(x).cast("int")) == own), F.lit(False)) for x in near]
+        return same[0] | same[1]
+
+    short = F.sort_array(F.transform(F.filter("_sorted", beside), start))
+    pair = [lambda x, i, k=k: F.coalesce(F.get("_pairs", i + k)["h"] == x["h"], F.lit(False)) for k in (-1, 1)]
+    long = F.sort_array(F.transform(F.filter("_pairs", lambda x, i: pair[0](x, i) | pair[1](x, i)), lambda x: x["i"]))
+    df = df.withColumn("_starts", F.when(F.col("_sorted").isNotNull(), short).when(F.col("_pairs").isNotNull(), long))
+    reach = F.transform("_starts", lambda s, i: F.least(F.coalesce(F.get("_starts", i + 1), s + window) - s, F.lit(window)))
+    covered = F.aggregate(reach, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    return df.withColumn(out, F.when(F.col("_dup"), covered).otherwise(F.lit(0).cast("bigint"))).drop("_dup", "_sorted", "_pairs", "_starts")
+
+
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,20 +83,27 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty texts have zeros. Windows of five words are compared by 64-bit hash. Input columns of
     the same names are replaced; all others pass through.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = without(docs, *names, "_words", "_hash", "_lines").withColumn("_words", words(F.col(text_col)))
+    df = without(docs, *STATISTICS, "_words", "_hash", "_lines", "_dup", "_sorted", "_pairs", "_starts")
+    kept = df.columns
+    df = df.withColumn("_words", words(F.col(text_col)))
     n = F.size("_words")
     five = F.arrays_zip(*[F.slice("_words", k + 1, F.greatest(n - 4, F.lit(0))).alias(f"w{k}") for k in range(5)])
-    df = df.withColumn("_hash", F.transform(five, lambda w: F.xxhash64(*[w[f"w{k}"] for k in range(5)])))
-    df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return df.select(
-        *[c for c in df.columns if c not in ("_words", "_hash", "_lines")],
+    df = df.select(
+        *kept,
         n.cast("bigint").alias("n_words"),
-        _without_chars(text, WHITE).cast("bigint").alias("word_chars"),
-        (F.length(text) - _without_chars(text, SYMBOLS)).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        F.transform(five, lambda w: F.xxhash64(*[w[f"w{k}"] for k in range(5)])).alias("_hash"),
+    )
+    df = _repeated(df, "_hash", "n_repeat_words")
+    df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != ""))
+    return df.select(
+        *kept,
+        "n_words",
+        "word_chars",
+        count_of(text, SYMBOLS).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        repeated_words(F.col("_hash")).alias("n_repeat_words"),
+        "n_repeat_words",
     )
 
 
@@ -84,15 +114,12 @@ def base_failed() -> Column:
 def default_rules(text_col: str = "text") -> list[Rule]:
     """Rules beyond the base ones; each states a fixed share, so a verdict never depends on other rows."""
     text, n = F.coalesce(F.col(text_col), F.lit("")), F.col("n_words")
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("short_words", F.col("word_chars") < 2 * n),
         Rule("long_words", F.col("word_chars") > 20 * n),
         Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.size(F.split(text, "\n"))),
-        Rule("capitals", 2 * upper > letters),
-        Rule("few_letters", 2 * letters < F.col("word_chars")),
+        Rule("exclamations", 2 * count_of(text, "!") > n),
     ]
 
 
@@ -102,8 +129,6 @@ def order_rules(stats: DataFrame, rules: list[Rule], share: float = 0.01, seed:
     Cost: seconds that a count of the rule's rejections over the written sample takes. The sample only
     sets the order of evaluation. On an empty sample the given order stays.
     """
-    from .common import Scratch
-
     scratch = Scratch(stats.sparkSession, "rule-sample")
     sample = scratch.save(stats.sample(share, seed=seed), "sample")
     n = sample.count()
@@ -133,8 +158,7 @@ def judge(docs: DataFrame, text_col: str = "text", share: float = 0.01) -> DataF
     the base rules. Repeated rows are judged one by one; an empty table gives an empty table.
     """
     df = without(docs, "base_failed", "kept")
-    plain = without(df, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    sampled = statistics(plain.select(text_col).sample(share, seed=7), text_col)
+    sampled = statistics(df.select(text_col).sample(share, seed=7), text_col)
     rules = order_rules(sampled, default_rules(text_col), share=1.0)
     stats = statistics(df, text_col)
     kept = F.when(base_failed(), F.lit(False)).otherwise(verdict(rules).isNull())
