@@ -128,6 +128,6 @@ def mix(
     out = drawn.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "tokens", "epoch", key.alias("draw_key"))
     if not keep:
         return out
-    counts = out.groupBy(id_col).agg(F.count_distinct("epoch").alias("_draws"))
-    again = docs.join(counts, id_col).withColumn("_draws", F.explode(F.sequence(F.lit(1), F.col("_draws").cast("int"))))
+    counts = out.groupBy(F.col(id_col).alias("_id")).agg(F.count_distinct("epoch").alias("_draws"))
+    again = docs.join(counts, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_draws", F.explode(F.sequence(F.lit(1), F.col("_draws").cast("int"))))
     return again.select(*docs.columns)

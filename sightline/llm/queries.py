@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language_id, mixing, packing, quality_classifier, quality_rules, simhash, token_rollup, url_filter
+from . import embeddings, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_rollup, url_filter
 from .common import Scratch, crc_mod, shared_dir, table
 
 #: Part of the largest possible entropy that the mixture is to have.
@@ -37,6 +37,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_url_filter": op3_url_filter,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
