@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +9,8 @@ from ..functions.columns import cwe_name, cwe_owasp, rule_group, score_severity,
 from ..schemas import MAX_FILE_BYTES
 from .rules import RULES, SCANNERS, Rule, java_pattern
 
-#: How a group's descriptions end.
-_WORDING = {"python": "%s detected on line %d.", "java": "%s on line %d.", "cpp": "%s on line %d."} | dict.fromkeys(("php", "js", "html", "css"), "%s on line %d.")
+#: What stands between a title and the line's number in a group's descriptions.
+_WORDING = {"python": " detected on line "} | dict.fromkeys(("java", "cpp", "php", "js", "html", "css"), " on line ")
 
 
 def code_files(files: DataFrame) -> DataFrame:
@@ -55,44 +53,45 @@ def visible_code(line: Column, group: str) -> Column:
 def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] | None = None) -> DataFrame:
     """Findings of lines (path, group, line_no, line, and any keys): all columns plus rule_ord and the finding's.
 
-    Each group is a branch of its own with literal patterns, which compile once per task; a branch's
-    rules are one array expression, so a line is read once.
+    One pass over the lines: the line's group picks which rules are tried. Patterns are literals, so each
+    compiles once per task.
     """
     keys = [c for c in rows.columns if c not in ("line", "group")]
-    parts = []
-    for group in groups or list(SCANNERS):
-        own = [r for r in (rules or RULES) if r.group == group]
-        if not own:
-            continue
-        wording = _WORDING.get(group, "%s (line %d).")
-        hits = [
+    own = {g: [r for r in (RULES if rules is None else rules) if r.group == g] for g in groups or list(SCANNERS)}
+    own = {g: r for g, r in own.items() if r}
+    kind = "struct<ord:int,rule_id:string,title:string,cwe:string,score:int,scanner:string,wording:string>"
+    code, hits = F.lit(None).cast("string"), F.array().cast(f"array<{kind}>")
+    for group, its in own.items():
+        found = [
             F.when(
                 F.col("_code").rlike(java_pattern(r)),
-                F.struct(F.lit(k).alias("ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.cwe).alias("cwe"), F.lit(r.score).alias("score")),
-            )
-            for k, r in enumerate(own)
-        ]
-        found = rows.where(F.col("group") == group).withColumn("_code", visible_code(F.col("line"), group)).where(F.col("_code").isNotNull())
-        found = found.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
-        hit = F.col("_hit")
-        parts.append(
-            found.select(
-                *keys,
-                "group",
-                F.substring(strip(F.col("line")), 1, 300).alias("code"),
-                F.lit(SCANNERS[group]).alias("scanner"),
-                hit["rule_id"].alias("rule_id"),
-                hit["title"].alias("title"),
-                hit["score"].alias("severity_score"),
-                score_severity(hit["score"]).alias("severity"),
-                hit["cwe"].alias("cwe"),
-                cwe_name(hit["cwe"]).alias("name"),
-                cwe_owasp(hit["cwe"]).alias("owasp"),
-                F.format_string(wording, hit["title"], F.col("line_no")).alias("description"),
-                hit["ord"].alias("rule_ord"),
+                F.struct(
+                    F.lit(k).alias("ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.cwe).alias("cwe"),
+                    F.lit(r.score).alias("score"), F.lit(SCANNERS[group]).alias("scanner"), F.lit(_WORDING.get(group, " (line ")).alias("wording"),
+                ),
             )
-        )
-    return reduce(DataFrame.unionByName, parts)
+            for k, r in enumerate(its)
+        ]
+        code = F.when(F.col("group") == group, visible_code(F.col("line"), group)).otherwise(code)
+        hits = F.when(F.col("group") == group, F.array_compact(F.array(*found))).otherwise(hits)
+    df = rows.where(F.col("group").isin(list(own))).withColumn("_code", code).where(F.col("_code").isNotNull())
+    hit = F.col("_hit")
+    end = F.when(hit["wording"] == " (line ", ").").otherwise(".")
+    return df.withColumn("_hit", F.explode(hits)).select(
+        *keys,
+        "group",
+        F.substring(strip(F.col("line")), 1, 300).alias("code"),
+        hit["scanner"].alias("scanner"),
+        hit["rule_id"].alias("rule_id"),
+        hit["title"].alias("title"),
+        hit["score"].alias("severity_score"),
+        score_severity(hit["score"]).alias("severity"),
+        hit["cwe"].alias("cwe"),
+        cwe_name(hit["cwe"]).alias("name"),
+        cwe_owasp(hit["cwe"]).alias("owasp"),
+        F.concat(hit["title"], hit["wording"], F.col("line_no").cast("string"), end).alias("description"),
+        hit["ord"].alias("rule_ord"),
+    )
 
 
 def heuristics(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:

@@ -24,7 +24,9 @@ def query(name: str, sql: str | None = None):
                 body = body.replace(f"@{a}", f"fx_{a}")
             views = ", ".join(f"fx_{a} AS ({duck(a)})" for a in used)
             rest = body.strip()
-            if rest.upper().startswith("WITH ") and used:
+            if rest.startswith("WITH RECURSIVE ") and used:
+                rest = f"WITH RECURSIVE {views}, {rest[15:]}"
+            elif rest.upper().startswith("WITH ") and used:
                 rest = f"WITH {views}, {rest[5:]}"
             elif used:
                 rest = f"WITH {views} {rest}"

@@ -106,4 +106,4 @@ def stream(events: DataFrame, kind: str, limit: int, window: float, idle_seconds
 
 def numbered(events: DataFrame, time_col: str = "ts") -> DataFrame:
     """Timestamps as seconds."""
-    return events.withColumn(time_col, F.unix_micros(F.col(time_col)) / 1e6)
+    return events.withColumn(time_col, F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6)
