@@ -14,7 +14,11 @@ from .registry import query
 _PEN = "CASE severity WHEN 'Critical' THEN 30 WHEN 'High' THEN 15 WHEN 'Medium' THEN 6 ELSE 2 END"
 _GRADE = "CASE WHEN score >= 90 THEN 'A+ (Secure)' WHEN score >= 80 THEN 'A (Good)' WHEN score >= 70 THEN 'B (Acceptable)' WHEN score >= 50 THEN 'C (At Risk)' WHEN score >= 30 THEN 'D (High Risk)' ELSE 'F (Critical)' END"
 _COUNTS = "count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low"
-_ORDER = [F.col("severity_score").desc(), F.col("file"), F.col("line"), F.col("id")]
+
+def _order():
+    return [F.col("severity_score").desc(), F.col("file"), F.col("line"), F.col("id")]
+
+
 _SQL_ORDER = "severity_score DESC, file, line, id"
 _SCORE = "CAST(greatest(0, 100 - round_even(pen * CASE WHEN files <= 1 THEN 1.0 ELSE greatest(0.4, 10.0 / files) END, 0)) AS INT)"
 
@@ -168,7 +172,7 @@ def a18(spark, d):
 
 @query("w1_numbering", f"SELECT id, scan_id, p AS position, concat('GDR-F-', CASE WHEN p < 1000 THEN lpad(CAST(p AS VARCHAR), 3, '0') ELSE CAST(p AS VARCHAR) END) AS uid FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY {_SQL_ORDER}) AS INT) AS p FROM @findings) x")
 def w1(spark, d):
-    return N.number(v(spark, d, "findings"), "scan_id", _ORDER).select("id", "scan_id", "position", "uid")
+    return N.number(v(spark, d, "findings"), "scan_id", _order()).select("id", "scan_id", "position", "uid")
 
 
 @query("w2_dedupe", "SELECT scan_id, file, line, rule_id, scanner, severity_score FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, file, line, rule_id ORDER BY severity_score DESC, scanner) AS r FROM @detections) x WHERE r = 1")
@@ -194,18 +198,18 @@ def w4(spark, d):
 @query("w5_remediation_tiers", f"""SELECT id, scan_id, tier, CASE tier WHEN 'Immediate' THEN 'Address before release / within days' WHEN 'Scheduled' THEN 'Address within the regular development cycle' ELSE 'Fold into routine maintenance' END AS tier_window,
 CAST(row_number() OVER (PARTITION BY scan_id, tier ORDER BY {_SQL_ORDER}) AS INT) AS tier_position FROM (SELECT *, CASE WHEN severity IN ('Critical', 'High') THEN 'Immediate' WHEN severity = 'Medium' THEN 'Scheduled' ELSE 'Hygiene' END AS tier FROM @findings) x""")
 def w5(spark, d):
-    return N.tiers(v(spark, d, "findings"), "scan_id", _ORDER).select("id", "scan_id", "tier", "tier_window", "tier_position")
+    return N.tiers(v(spark, d, "findings"), "scan_id", _order()).select("id", "scan_id", "tier", "tier_window", "tier_position")
 
 
 @query("t1_cap", f"SELECT id, p AS position FROM (SELECT id, CAST(row_number() OVER (PARTITION BY scan_id % 5 ORDER BY {_SQL_ORDER}) AS INT) AS p FROM @findings) x WHERE p <= 500")
 def t1(spark, d):
     f = v(spark, d, "findings").withColumn("scan_id", F.col("scan_id") % 5)
-    return N.cap(f, "scan_id", _ORDER).select("id", "position")
+    return N.cap(f, "scan_id", _order()).select("id", "position")
 
 
 @query("t2_read_order", f"SELECT id, scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY {_SQL_ORDER}) AS INT) AS place FROM @findings")
 def t2(spark, d):
-    return N.number(v(spark, d, "findings"), "scan_id", _ORDER).select("id", "scan_id", F.col("position").alias("place")).orderBy("scan_id", "place")
+    return N.number(v(spark, d, "findings"), "scan_id", _order()).select("id", "scan_id", F.col("position").alias("place")).orderBy("scan_id", "place")
 
 
 @query("t3_scan_order", "SELECT id, project_id, started_at FROM @scans")
@@ -215,7 +219,7 @@ def t3(spark, d):
 
 @query("t4_top_k", f"SELECT id, scan_id, p AS position FROM (SELECT id, scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY {_SQL_ORDER}) AS INT) AS p FROM @findings) x WHERE p <= 5")
 def t4(spark, d):
-    return N.cap(v(spark, d, "findings"), "scan_id", _ORDER, 5).select("id", "scan_id", "position")
+    return N.cap(v(spark, d, "findings"), "scan_id", _order(), 5).select("id", "scan_id", "position")
 
 
 @query("u1_union_detectors", "SELECT scan_id, file, line, rule_id, scanner, severity_score, 0 AS detector_rank FROM @detections UNION ALL SELECT scan_id, file, line, rule_id, scanner, severity_score, 1 FROM @findings")
@@ -264,7 +268,7 @@ def j4(spark, d):
 @query("j5_without_recommendation", "SELECT id, position FROM (SELECT id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY severity_score DESC, file, line, id) AS INT) AS position FROM @findings f WHERE NOT EXISTS (SELECT 1 FROM @recommendations r WHERE r.finding_id = f.id)) x WHERE position <= 50")
 def j5(spark, d):
     left = N.without_recommendation(v(spark, d, "findings"), v(spark, d, "recommendations"))
-    return N.cap(left, "scan_id", _ORDER, 50).select("id", "position")
+    return N.cap(left, "scan_id", _order(), 50).select("id", "position")
 
 
 @query("j6_recommendation_by_either", """WITH n AS (SELECT id, concat('U', id % 100) AS uid FROM @findings)
