@@ -15,7 +15,7 @@ POSITIVE = {
     "js": ["a.innerHTML = location.hash", "document.write(location)", "x.html(document.URL)", "eval(data)", "eval(x)", "new Function(location)", "window.open(u)", "w.postMessage(a, *)", "addEventListener('message', data", "localStorage.setItem('token')", "http://a", "Math.random() + token"],
     "html": ["<script>eval(", "<a href='javascript:x'>", "<iframe src='javascript:x'>", "onerror = x", "<form>", "<input type='password'>"],
     "css": ["expression(x)", "url(javascript:x)", "behavior: url"],
-    "go": ["exec.Command('sh'", "os/exec.xCommand(a...", 'password := "abcdef"', "crypto/md5", "x http://a # c", "tls.Config{InsecureSkipVerify: true", "fmt.Sprintf('SELECT", "template.HTML(x)"],
+    "go": ["exec.Command('sh'", "os/exec.xCommand(a...", 'password: "abcdef"', "crypto/md5", "x http://a # c", "tls.Config{InsecureSkipVerify: true", "fmt.Sprintf('SELECT", "template.HTML(x)"],
     "ruby": ["eval(x)", "system(x)", "password = 'abcdef'", "find_by_sql(x)", "render text => x", "verify_mode = OpenSSL::SSL::VERIFY_NONE", "Digest::MD5", "YAML.load(x)"],
     "rust": ["unsafe {", 'std::process::Command::new("sh")', 'password = "abcdef"', "x.unwrap()", "md5::x"],
     "csharp": ['Process.Start("cmd")', "new SqlCommand(a + b)", 'password = "abcdef"', "MD5.Create", "Response.Write(Request[", "WebRequest.Create(u)", "Random r = new Random()", "ValidateRequest = false"],
