@@ -6,9 +6,9 @@ under its own bucket and also sends it, as a query, to ``PROBES`` buckets next i
 lies next nearest to). Candidates of a bucket are verified by cosine in double precision.
 
 Vectors that are equal are collapsed first and counted with their number. Buckets with one vector are
-dropped before any vector is shuffled. A bucket's stored vectors are dealt into salts of at most about
-``SALT_ROWS``; its queries visit each salt. A pair is counted only in the first bucket where it meets, so each task
-hands on sums per vector and at most one edge per vector, never pairs.
+dropped before any vector is shuffled. A bucket of over ``SALT_ROWS`` rows is dealt into a square of parts,
+each with a share of its stored vectors and a share of its queries. A pair is counted only in the first
+bucket where it meets, so each task hands on sums per vector and at most one edge per vector, never pairs.
 """
 
 from __future__ import annotations
@@ -70,40 +70,68 @@ class CrossPolytope:
         return own, probed
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # squares of very large components stay finite
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
+    x = np.asarray(vectors, np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _meet_first(own, probed, i, j, table: int, bucket: int) -> np.ndarray:
+def _meet_first(own, probed, i, j, table, bucket) -> np.ndarray:
     """Whether (table, bucket) is the first place where rows i and j meet, one as stored and one as stored or probing."""
-    same = own[i] == own[j]
-    at_i = same | (probed[j] == own[i][:, :, None]).any(axis=2)  # in i's own bucket
-    at_j = same | (probed[i] == own[j][:, :, None]).any(axis=2)
-    first = np.argmax(at_i | at_j, axis=1)
-    k = np.arange(len(i))
-    big = np.iinfo(np.int32).max
-    where = np.minimum(np.where(at_i[k, first], own[i, first], big), np.where(at_j[k, first], own[j, first], big))
-    return (first == table) & (where == bucket)
-
-
-def _compare(x, own, probed, copies, stored, here, table, bucket, cosine):
-    """Sums of one bucket's salt: links of each row to stored rows, and labels of the sets they make."""
-    n = len(x)
-    links, label = np.zeros(n, np.int64), np.arange(n)
-    tree = np.flatnonzero(here)
-    for at in range(0, n, 1024):
-        q = np.arange(at, min(n, at + 1024))
-        i, j = np.nonzero(x[q] @ x[tree].T >= cosine)
-        i, j = q[i], tree[j]
-        i, j = i[i != j], j[i != j]
-        for lo in range(0, len(i), 200_000):
-            a, b = i[lo : lo + 200_000], j[lo : lo + 200_000]
-            ok = _meet_first(own, probed, a, b, table, bucket)
+    first = np.ones(len(i), bool)
+    for t in range(int(table.max(initial=-1)) + 1):
+        left = np.flatnonzero(first & (table >= t))
+        a, b = i[left], j[left]
+        at_a = (own[a, t] == own[b, t]) | (probed[b, t] == own[a, t][:, None]).any(axis=1)  # in a's own bucket
+        at_b = (own[a, t] == own[b, t]) | (probed[a, t] == own[b, t][:, None]).any(axis=1)
+        big = np.iinfo(np.int32).max
+        where = np.minimum(np.where(at_a, own[a, t], big), np.where(at_b, own[b, t], big))
+        first[left] = np.where(table[left] > t, ~(at_a | at_b), where == bucket[left])
+    return first
+
+
+#: Buckets up to so many rows are compared together, pair by pair; larger ones by a matrix product each.
+SMALL = 64
+
+
+def _pairs(group, tree, query, x, cosine) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query row, tree row) of the same group that are near enough, in blocks. ``group``: sorted numbers from 0."""
+    size = np.bincount(group)
+    start = np.cumsum(size) - size
+    few = tree & (size[group] <= SMALL)
+    rows = np.flatnonzero(few)
+    at = 0
+    count = size[group[rows]]
+    total = np.cumsum(count)
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 200_000)))
+        own, n = rows[at:to], count[at:to]
+        t = np.repeat(own, n)
+        q = np.repeat(start[group[own]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ok = query[q] & (q != t)
+        q, t = q[ok], t[ok]
+        near = np.einsum("ij,ij->i", x[q], x[t]) >= cosine
+        yield q[near], t[near]
+        at = to
+    for g in np.flatnonzero(size > SMALL):
+        own = np.arange(start[g], start[g] + size[g])
+        trees, queries = own[tree[own]], own[query[own]]
+        for lo in range(0, len(queries), 1024):
+            q, t = np.nonzero(x[queries[lo : lo + 1024]] @ x[trees].T >= cosine)
+            q, t = queries[lo : lo + 1024][q], trees[t]
+            yield q[q != t], t[q != t]
+
+
+def _compare(x, own, probed, copies, stored, group, tree, query, table, bucket, cosine):
+    """Links of each row, and labels of the sets they make, counting a pair only where it meets first."""
+    links, label = np.zeros(len(x), np.int64), np.arange(len(x))
+    for q, t in _pairs(group, tree, query, x, cosine):
+        for lo in range(0, len(q), 200_000):
+            a, b = q[lo : lo + 200_000], t[lo : lo + 200_000]
+            ok = _meet_first(own, probed, a, b, table[a], bucket[a])
             a, b = a[ok], b[ok]
             np.add.at(links, a, copies[b])
-            probing = ~stored[a]  # no salt has those as its own: the stored row counts them here
+            probing = ~stored[a]  # no salt has those in its tree: the stored row counts them here
             np.add.at(links, b[probing], copies[a[probing]])
             while len(a) and (label[a] != label[b]).any():
                 la, lb = label[a], label[b]
@@ -166,44 +194,52 @@ def near_duplicates(
     spots = scratch.save(spots, "spots")
     key = ["label", "dim", "t", "bucket"]
     sizes = spots.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("stored").alias("n_stored")).where("n > 1 and n_stored > 0")
-    sizes = sizes.withColumn("salts", F.ceil(F.col("n_stored") / SALT_ROWS).cast("int"))
-    used = spots.join(sizes, key).withColumn("home", F.when(F.col("stored"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).otherwise(-1))
-    used = used.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    sizes = sizes.withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).drop("n", "n_stored")
+    used = spots.join(sizes, key).withColumn("home", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    # a salted bucket is a square of parts: trees by row, queries by column; a row stands in its row and column
+    salt = F.sequence(F.lit(0), F.col("salts") - 1)
+    across = F.transform(salt, lambda k: F.struct(F.col("home").alias("a"), k.alias("b")))
+    down = F.transform(salt, lambda k: F.struct(k.alias("a"), F.col("home").alias("b")))
+    used = used.withColumn("part", F.explode(F.when(F.col("stored"), F.array_union(across, down)).otherwise(down)))
+    used = used.select("rep", *key, "stored", "home", F.col("part.a").alias("a"), F.col("part.b").alias("b"))
     data = reps.select("rep", "copies", "vec").join(codes, "rep")
-    full = used.select("rep", *key, "stored", "home", "salt").join(data, "rep").repartition(*key, "salt").sortWithinPartitions(*key, "salt")
+    full = used.join(data, "rep").repartition(*key, "a", "b").sortWithinPartitions("dim", "label", "t", "bucket", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: pa.Table) -> pa.RecordBatch:
-            own = np.array(part["own"].to_pylist(), np.int32)
-            probed = np.array(part["probed"].to_pylist(), np.int32).reshape(len(own), TABLES, PROBES)
-            stored = part["stored"].to_numpy(zero_copy_only=False).astype(bool)
-            here = stored & (part["home"].to_numpy() == part["salt"].to_numpy())
-            ids = part["rep"].to_numpy()
-            links, label = _compare(
-                _unit(part["vec"].to_pylist()), own, probed, part["copies"].to_numpy(), stored, here, part["t"][0].as_py(), part["bucket"][0].as_py(), cosine
-            )
-            some = (links > 0) | (label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["rep", "links", "to"])
+        def starts(t: pa.Table) -> np.ndarray:
+            cols = [t[c].to_numpy() for c in ("dim", "label", "t", "bucket", "a", "b")]
+            return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])
 
-        held: list[pa.RecordBatch] = []
+        def flat(t: pa.Table, c: str) -> np.ndarray:
+            return t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
 
-        def mark(b: pa.RecordBatch) -> np.ndarray:
-            cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("label", "dim", "t", "bucket", "salt")]
-            return np.array([tuple(x) for x in zip(*cols, strict=True)])
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            dims = t["dim"].to_numpy()
+            edges = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(t)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                part = t.slice(lo, hi - lo)
+                stored, home, ids = part["stored"].to_numpy().astype(bool), part["home"].to_numpy(), part["rep"].to_numpy()
+                links, label = _compare(
+                    _unit(flat(part, "vec")), flat(part, "own"), flat(part, "probed").reshape(len(part), TABLES, PROBES), part["copies"].to_numpy(), stored,
+                    np.cumsum(starts(part)) - 1, stored & (home == part["a"].to_numpy()), home == part["b"].to_numpy(), part["t"].to_numpy(), part["bucket"].to_numpy(), cosine,
+                )
+                some = (links > 0) | (label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["rep", "links", "to"])
 
-        last = None
+        held: list[pa.RecordBatch] = []
+        count = 0
         for b in batches:
-            m = mark(b)
-            cuts = np.flatnonzero((m[1:] != m[:-1]).any(axis=1)) + 1
-            edges = [0, *cuts.tolist(), len(m)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if held and last != tuple(m[lo]):
-                    yield out(pa.Table.from_batches(held))
-                    held = []
-                last = tuple(m[lo])
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield out(pa.Table.from_batches(held))
+            held.append(b)
+            count += b.num_rows
+            if count >= 16_000:
+                t = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(starts(t))[-1])  # the last part may go on
+                if cut:
+                    yield from out(t.slice(0, cut))
+                    held = t.slice(cut).combine_chunks().to_batches()
+                    count = len(t) - cut
+        if count:
+            yield from out(pa.Table.from_batches(held))
 
     small_batches(spark, 4000)
     found = scratch.save(full.mapInArrow(compare, f"rep {id_type}, links bigint, to {id_type}"), "found")

@@ -314,21 +314,21 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", count_col: str = "n_cha
 
     Every row stays, if with an empty text; a null text stays null.
     """
-    found = remove_repeats(docs, text_col)
+    names = docs.columns
+    rest = [n for n in names if n not in (text_col, count_col)]
+    own = docs.select(F.col(text_col).alias("_t"), *[F.col(n).alias(f"_c{k}") for k, n in enumerate(rest)])  # no name clashes
+    found = remove_repeats(own, "_t")
+    kept = F.when(F.col("_t").isNull(), F.lit(None)).otherwise(F.col("kept")).cast("binary")
+    src = found.select(*own.columns[1:], kept.alias("_kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([None if k is None else k.decode("utf-8", "ignore") for k in b.column(b.num_columns - 1).to_pylist()], pa.string())],
-                [*b.schema.names[:-1], "_new"],
-            )
+            texts = [None if k is None else k.decode("utf-8", "ignore") for k in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "_new"])
 
-    names = docs.columns
-    rest = [n for n in names if n not in (text_col, count_col)]
-    kept = F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(F.col("kept")).cast("binary")
-    src = found.select(*rest, kept.alias("_kept"))
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in rest)
-    out = src.mapInArrow(run, f"{schema}{', ' * bool(rest)}_new string").withColumnRenamed("_new", text_col)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "_kept")
+    out = src.mapInArrow(run, f"{schema}{', ' * bool(rest)}_new string")
+    cols = {n: F.col(f"_c{k}") for k, n in enumerate(rest)} | {text_col: F.col("_new")}
     if count_col in names:
-        out = out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
-    return out.select(*names)
+        cols[count_col] = F.length("_new").cast(docs.schema[count_col].dataType)
+    return out.select(*[cols[n].alias(n) for n in names])
