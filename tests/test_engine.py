@@ -137,8 +137,15 @@ def test_expiring_certificates(spark):
     assert sorted((r.severity_score, r.title) for r in got) == [(6, "TLS certificate expires soon (10 days)"), (9, "TLS certificate expires soon (-31 days)")]
 
 
+@pytest.fixture
+def one_partition(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.mark.parametrize("kind", ["limit", "lockout"])
-def test_stream_equals_batch(spark, tmp_path, kind):
+def test_stream_equals_batch(spark, tmp_path, kind, one_partition):
     rows = [(k, f"c{k % 3}", float(k * 7 % 50 + 10 * (k // 20)), "login_failed" if k % 4 else "login_ok") for k in range(60)]
     rows = sorted(rows, key=lambda r: r[2])
     df = spark.createDataFrame(rows, "event_id bigint, key string, ts double, kind string")
