@@ -21,6 +21,7 @@ from .common import small_batches
 
 #: Documents that the model is learned from, about.
 SAMPLE = 20_000
+LEARNERS = 12
 BUCKETS = 1 << 15
 PENALTY = 12.0
 #: Texts are scored together up to so many characters.
@@ -166,11 +167,11 @@ def detect(texts: list[str | None], model: Model, penalty: float = PENALTY) -> l
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from about ``sample`` rows whose text and language are not null, picked by a hash of the text.
 
-    Workers sum trigrams and scripts per language; one row per language and task reaches the driver.
+    ``LEARNERS`` tasks sum trigrams and scripts per language; each sends a row per language to the driver.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).repartition(LEARNERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
