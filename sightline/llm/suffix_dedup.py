@@ -36,7 +36,7 @@ from .common import Scratch, small_batches, without
 LENGTH, GRAM = 400, 48
 #: Texts are hashed together up to so many bytes; longer ones in overlapping pieces.
 PIECE_BITS = 22
-#: Segments that are sorted together, at least; an anchor's segments always are.
+#: Segments that are sorted together, about; an anchor with more distinct ones is split.
 ROWS = 20_000
 
 
@@ -145,6 +145,113 @@ def _segment(text: bytes, at: int, length: int, before: int) -> tuple[int, int,
     return left, right, text[at - left : at + right]
 
 
+def _sort(segments: DataFrame, length: int, before: int) -> DataFrame:
+    """(anchor, sig, a, b): where repeats start and end, of segments (anchor, sig, left, right, data) that have any."""
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def out(t: pa.Table) -> pa.RecordBatch:
+            anchor, sig = t["anchor"].to_numpy(), t["sig"].to_numpy()
+            keep = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (sig[1:] != sig[:-1])])  # copies of a text
+            if not keep.all():
+                t = t.filter(pa.array(keep))
+                anchor, sig = anchor[keep], sig[keep]
+            group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
+            first, last = repeated_starts(group, t["left"].to_numpy(), t["right"].to_numpy(), t["data"].to_pylist(), length, before)
+            some = first <= last
+            arrays = [anchor[some], sig[some], first[some], last[some] + length]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "sig", "a", "b"])
+
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count >= ROWS:
+                t = pa.Table.from_batches(held)
+                anchor = t["anchor"].to_numpy()
+                end = int(np.searchsorted(anchor, anchor[-1]))
+                if end:
+                    yield out(t.slice(0, end))
+                held, count = t.slice(end).combine_chunks().to_batches(), len(t) - end
+        if count:
+            yield out(pa.Table.from_batches(held))
+
+    small_batches(segments.sparkSession, 2000)
+    rows = segments.repartition("anchor").sortWithinPartitions("anchor", "sig")
+    return rows.mapInArrow(sort, "anchor bigint, sig bigint, a bigint, b bigint")
+
+
+#: Starts that a part of a split anchor covers.
+PART = 44
+
+
+def _split(texts: DataFrame, scratch: Scratch, length: int, before: int) -> DataFrame:
+    """(anchor, sig, a, b) like :func:`_sort`, for anchors with more distinct segments than a task should sort.
+
+    The starts around an anchor are cut into parts of ``PART``. All windows of a part share a core, whose hash
+    is part of the key, and equal pieces are collapsed before they meet. Of what is left, only parts that
+    an end of a common passage falls into stay large: their windows are compared whole, by hash and count, which
+    combines before the shuffle.
+    """
+    import xxhash
+
+    h64 = xxhash.xxh3_64_intdigest
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (*[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary())
+        for b in batches:
+            cols: list[list] = [[] for _ in kinds]
+            for t, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for p in places:
+                    at = p["at"]
+                    for low in range(-before, 1, PART):
+                        high = min(low + PART - 1, 0)
+                        first, last = max(low, -at), min(high, len(t) - at - length)
+                        if first <= last:
+                            data = t[at + first : at + last + length]
+                            key = h64(t[at + high : at + low + length], low + before) ^ (p["anchor"] & (2**64 - 1))
+                            row = (p["anchor"], p["sig"], key - 2**64 * (key >> 63), h64(data, first - low) - 2**63, high, first, last, data)
+                            for c, x in zip(cols, row, strict=True):
+                                c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "sig", "key", "sub", "high", "first", "last", "data"])
+
+    small_batches(texts.sparkSession, 200)
+    parts = texts.mapInArrow(cut, "anchor bigint, sig bigint, key bigint, sub bigint, high int, first int, last int, data binary")
+    parts = scratch.save(parts.dropDuplicates(["anchor", "sig", "high"]), "parts")
+    small = parts.drop("data")
+    kinds = small.groupBy("key", "sub").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "sig", "high")).alias("rep"))
+    sizes = kinds.groupBy("key").agg(F.count("*").alias("m"))
+    kinds = scratch.save(kinds.join(sizes.where("m > 1"), "key", "left").withColumn("m", F.coalesce("m", F.lit(1))), "part-kinds")
+    some = kinds.where("m > 1").select("key", "sub", "m", F.col("rep.anchor").alias("anchor"), F.col("rep.sig").alias("sig"), F.col("rep.high").alias("high"))
+    reps = scratch.save(parts.drop("key", "sub").join(some, ["anchor", "sig", "high"]), "part-reps")
+    sortable = reps.where(F.col("m") <= ROWS).select(
+        F.col("key").alias("anchor"), F.col("sub").alias("sig"), (F.col("high") - F.col("first")).alias("left"), (F.col("last") + length - F.col("high")).alias("right"), "data"
+    )
+    found = _sort(sortable, length, PART - 1).select(F.col("anchor").alias("key"), F.col("sig").alias("sub"), "a", "b")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[] for _ in range(4)]
+            for key, sub, rest, data in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+                for k in range(len(data) - length + 1):
+                    for c, x in zip(cols, (key, sub, rest + k, xxhash.xxh3_128_digest(data[k : k + length])), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "sub", "a", "window"])
+
+    large = reps.where(F.col("m") > ROWS).select("key", "sub", (F.col("first") - F.col("high")).cast("bigint").alias("rest"), "data")
+    small_batches(texts.sparkSession, 2000)
+    each = scratch.save(large.mapInArrow(windows, "key bigint, sub bigint, a bigint, window binary"), "windows")
+    again = each.groupBy("key", "a", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    whole = each.join(again, ["key", "a", "window"]).groupBy("key", "sub").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b"))
+    ranges = kinds.select("key", "sub", "n").join(found.unionByName(whole), ["key", "sub"], "left").where("n > 1 or a is not null")
+    placed = small.join(ranges, ["key", "sub"])
+    a = F.when(F.col("n") > 1, F.col("first")).otherwise(F.col("high") + F.col("a"))
+    b = F.when(F.col("n") > 1, F.col("last") + length).otherwise(F.col("high") + F.col("b"))
+    # every window holds the anchor, so ranges of one segment overlap
+    return placed.select("anchor", "sig", a.cast("bigint").alias("a"), b.cast("bigint").alias("b")).groupBy("anchor", "sig").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+
+
 def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, size, spans): of each distinct text (its hash and byte count) with a repeat, all repeated ranges [a, b)."""
     import xxhash
@@ -194,9 +301,17 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
     kinds = scratch.save(kinds, "kinds")
 
     # one text for each segment that is to be sorted, and its bytes
-    wanted = kinds.where("mixed").groupBy(F.col("rep.key").alias("key"), F.col("rep.size").alias("size"))
-    wanted = wanted.agg(F.collect_list(F.struct("anchor", "sig", F.col("rep.at").alias("at"))).alias("places"))
-    texts = keyed.join(wanted, ["key", "size"]).select("text", "places")
+    hot = kinds.where("mixed").groupBy("anchor").count().where(F.col("count") > ROWS)
+    hot = scratch.save(hot.select("anchor"), "hot")
+    split = not hot.isEmpty()
+
+    def carriers(of: DataFrame) -> DataFrame:
+        wanted = of.groupBy(F.col("rep.key").alias("key"), F.col("rep.size").alias("size"))
+        wanted = wanted.agg(F.collect_list(F.struct("anchor", "sig", F.col("rep.at").alias("at"))).alias("places"))
+        return keyed.join(wanted, ["key", "size"]).select("text", "places")
+
+    mixed = kinds.where("mixed")
+    texts = carriers(mixed.join(hot, "anchor", "left_anti") if split else mixed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,38 +325,9 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
 
     segments = texts.mapInArrow(cut, "anchor bigint, sig bigint, left int, right int, data binary")
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-
-        def out(t: pa.Table) -> pa.RecordBatch:
-            anchor, sig = t["anchor"].to_numpy(), t["sig"].to_numpy()
-            keep = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (sig[1:] != sig[:-1])])  # copies of a text
-            if not keep.all():
-                t = t.filter(pa.array(keep))
-                anchor, sig = anchor[keep], sig[keep]
-            group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
-            first, last = repeated_starts(group, t["left"].to_numpy(), t["right"].to_numpy(), t["data"].to_pylist(), length, before)
-            some = first <= last
-            arrays = [anchor[some], sig[some], first[some], last[some] + length]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "sig", "a", "b"])
-
-        for b in batches:
-            held.append(b)
-            count += b.num_rows
-            if count >= ROWS:
-                t = pa.Table.from_batches(held)
-                anchor = t["anchor"].to_numpy()
-                end = int(np.searchsorted(anchor, anchor[-1]))
-                if end:
-                    yield out(t.slice(0, end))
-                held, count = t.slice(end).combine_chunks().to_batches(), len(t) - end
-        if count:
-            yield out(pa.Table.from_batches(held))
-
-    small_batches(docs.sparkSession, 2000)
-    sorted_in = segments.repartition("anchor").sortWithinPartitions("anchor", "sig")
-    single = scratch.save(sorted_in.mapInArrow(sort, "anchor bigint, sig bigint, a bigint, b bigint"), "sorted")
+    single = scratch.save(_sort(segments, length, before), "sorted")
+    if split:
+        single = single.unionByName(scratch.save(_split(carriers(mixed.join(hot, "anchor", "left_semi")), scratch, length, before), "split"))
     small_batches(docs.sparkSession, 500)
 
     # copies of a segment are repeats from end to end

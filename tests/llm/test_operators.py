@@ -142,8 +142,10 @@ def _brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length, gram", [(40, 8), (100, 48)])
-def test_suffix_dedup(spark, length, gram):
+@pytest.mark.parametrize("length, gram, rows", [(40, 8, 20_000), (100, 48, 20_000), (40, 8, 6), (100, 48, 3)])
+def test_suffix_dedup(spark, monkeypatch, length, gram, rows):
+    monkeypatch.setattr(suffix_dedup, "ROWS", rows)  # few: most anchors are split
+    monkeypatch.setattr(suffix_dedup, "PART", 44 if rows > 100 else 9)
     rng = np.random.default_rng(length)
 
     def text(n):
