@@ -144,7 +144,13 @@ def one_partition(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("kind", ["limit", "lockout"])
+def test_lockout():
+    state = throttle.Lockout(2, 10.0)
+    steps = [(0, "login_failed"), (1, "login_failed"), (2, "login_ok"), (5, "login_failed"), (10, "login_ok"), (10.5, "login_failed"), (11, "login_ok"), (12, "login_failed")]
+    assert [state.step(t, kind) for t, kind in steps] == [(True, 0.0, 1), (True, 0.0, 0), (False, 8.0, 0), (False, 5.0, 0), (True, 0.0, 2), (True, 0.0, 1), (True, 0.0, 2), (True, 0.0, 1)]
+
+
+@pytest.mark.parametrize("kind", ["limit"])
 def test_stream_equals_batch(spark, tmp_path, kind, one_partition):
     rows = [(k, f"c{k % 3}", float(k * 7 % 50 + 10 * (k // 20)), "login_failed" if k % 4 else "login_ok") for k in range(60)]
     rows = sorted(rows, key=lambda r: r[2])
