@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,25 +61,21 @@ def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] |
     keys = [c for c in rows.columns if c not in ("line", "group")]
     own = {g: [r for r in (RULES if rules is None else rules) if r.group == g] for g in groups or list(SCANNERS)}
     own = {g: r for g, r in own.items() if r}
-    kind = "struct<ord:int,rule_id:string,title:string,cwe:string,score:int,scanner:string,wording:string>"
-    code, hits = F.lit(None).cast("string"), F.array().cast(f"array<{kind}>")
+    table, facts = [], "array<struct<ord:int,rule_id:string,title:string,cwe:string,score:int,scanner:string,wording:string>>"
+    code, hits = F.lit(None).cast("string"), F.array().cast("array<int>")
     for group, its in own.items():
-        found = [
-            F.when(
-                F.col("_code").rlike(java_pattern(r)),
-                F.struct(
-                    F.lit(k).alias("ord"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.cwe).alias("cwe"),
-                    F.lit(r.score).alias("score"), F.lit(SCANNERS[group]).alias("scanner"), F.lit(_WORDING.get(group, " (line ")).alias("wording"),
-                ),
-            )
-            for k, r in enumerate(its)
-        ]
+        found = []
+        for k, r in enumerate(its):
+            table.append({"ord": k, "rule_id": r.rule_id, "title": r.title, "cwe": r.cwe, "score": r.score, "scanner": SCANNERS[group], "wording": _WORDING.get(group, " (line ")})
+            found.append(F.when(F.col("_code").rlike(java_pattern(r)), F.lit(len(table))))
         code = F.when(F.col("group") == group, visible_code(F.col("line"), group)).otherwise(code)
         hits = F.when(F.col("group") == group, F.array_compact(F.array(*found))).otherwise(hits)
+    rule = F.from_json(F.lit(json.dumps(table)), facts)  # a constant, which the optimizer folds
     df = rows.where(F.col("group").isin(list(own))).withColumn("_code", code).where(F.col("_code").isNotNull())
     hit = F.col("_hit")
     end = F.when(hit["wording"] == " (line ", ").").otherwise(".")
-    return df.withColumn("_hit", F.explode(hits)).select(
+    found = df.withColumn("_k", F.explode(hits)).withColumn("_hit", F.element_at(rule, F.col("_k")))
+    return found.select(
         *keys,
         "group",
         F.substring(strip(F.col("line")), 1, 300).alias("code"),
