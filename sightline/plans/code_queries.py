@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -73,6 +77,38 @@ def s8(spark, d):
     return t.select("doc_id", S.is_executable(F.concat(head, F.col("text").cast("binary"))).alias("executable"))
 
 
+def _archives(spark, d):
+    """An archive of each document: dense for every seventh, with a member outside it for every fifth."""
+
+    def build(batches):
+        for b in batches:
+            out = []
+            for k, text in zip(b["doc_id"], b["text"], strict=True):
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    if k % 7 == 0:
+                        z.writestr("doc.txt", "0" * 1_000_000, zipfile.ZIP_DEFLATED)
+                    else:
+                        z.writestr("doc.txt", text)
+                    if k % 5 == 0:
+                        z.writestr("../out.txt", "x")
+                out.append((str(k), data.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").mapInPandas(build, "path string, content binary")
+
+
+@query("s9_zip_bombs", "SELECT doc_id, doc_id % 7 = 0 AS is_bomb FROM documents")
+def s9(spark, d):
+    return S.zip_bombs(_archives(spark, d)).select(F.col("path").cast("bigint").alias("doc_id"), "is_bomb")
+
+
+@query("s10_archive_members", """SELECT doc_id, 'doc.txt' AS member, 'ok' AS flag, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE strlen(text) END AS n FROM documents
+UNION ALL SELECT doc_id, '../out.txt', 'traversal', NULL FROM documents WHERE doc_id % 5 = 0""")
+def s10(spark, d):
+    return S.zip_members(_archives(spark, d)).select(F.col("path").cast("bigint").alias("doc_id"), "member", "flag", F.octet_length("data").alias("n"))
+
+
 # ---- tool outputs: made by Spark from the orders, then parsed
 
 

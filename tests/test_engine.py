@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from sightline.functions import columns as C
 from sightline.functions import redact
-from sightline.operators import taint
+from sightline.operators import detect, taint
 from sightline.operators.report import scores
 from sightline.sources import files as S
-from sightline.sources import ingest, sinks
+from sightline.sources import ingest, rule_files, sinks
 from sightline.streaming import throttle
 from sightline.streaming.scans import scan_stream
 
@@ -182,3 +182,21 @@ def test_sinks(spark, tmp_path):
     assert [(r.line, r.severity_score, len(r.code), r.raw) for r in got] == [(0, 0, 500, "{}")] * 2
     sinks.export_metrics(f, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 1
+
+
+def test_rule_files(spark, tmp_path):
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y/a.yaml").write_text("id: U-1\npattern: 'ev.l'\nextensions: ['.py']\n")
+    (tmp_path / "y/b.yaml").write_text("id: [")
+    (tmp_path / "y/c.yaml").write_text("- no mapping")
+    rules = rule_files.load_rules(spark, str(tmp_path / "y"))
+    assert [r["id"] for r in rules] == ["U-1"]
+    rule_files.add_rule(spark, str(tmp_path / "t"), "U-2", "Two", "x+", "High", score=8)
+    rule_files.add_rule(spark, str(tmp_path / "t"), "U-3", "Three", "y")
+    rules += rule_files.table_rules(spark.read.schema(rule_files.SCHEMA).parquet(str(tmp_path / "t")))
+    for bad in ("(", "", "a" * 501):
+        with pytest.raises(ValueError):
+            rule_files.add_rule(spark, str(tmp_path / "t"), "U-4", "Four", bad)
+    df = spark.createDataFrame([("a.py", "evil xx")], "path string, text string")
+    found = detect.custom(df, rules).collect()
+    assert sorted((r.rule_id, r.severity, r.severity_score) for r in found) == [("U-1", "Medium", 5), ("U-2", "High", 8)]
