@@ -162,14 +162,12 @@ def judge(docs: DataFrame, text_col: str = "text", share: float = 0.01) -> DataF
     rules = order_rules(sampled, default_rules(text_col), share=1.0)
     stats = statistics(df, text_col)
     kept = F.when(base_failed(), F.lit(False)).otherwise(verdict(rules).isNull())
+    # the row number keeps Spark from pushing a filter on kept below the statistics, where each would be
+    # computed again for every use
+    kept = kept & (F.monotonically_increasing_id() >= 0)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", kept)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with the columns of ``docs``.
-
-    The row number in the filter keeps Spark from pushing it below the statistics, where each would be
-    computed again for every use.
-    """
-    judged = judge(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    """The rows of ``docs`` that :func:`judge` keeps, with the columns of ``docs``."""
+    return judge(docs, text_col).where("kept").select(*docs.columns)
