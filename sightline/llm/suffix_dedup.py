@@ -57,8 +57,8 @@ def _gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors (text number, place, hash) of all windows of the texts, which hold ``2**PIECE_BITS`` bytes at most."""
+def anchors(texts: list[bytes], length: int, gram: int, bits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors (text number, place, hash) of all windows of the texts, which hold ``2**bits`` bytes at most (PIECE_BITS)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     b = np.frombuffer(b"".join(texts), np.uint8)
     none = np.empty(0, np.int64)
@@ -67,7 +67,7 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
     ends = np.cumsum(sizes)
     starts = ends - sizes
     h = _gram_hashes(b, gram)
-    low = np.uint64((1 << PIECE_BITS) - 1)
+    low = np.uint64((1 << (bits or PIECE_BITS)) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # of equal hashes, the first
     span, width = length - gram + 1, 1
     while width * 2 <= span:
@@ -85,8 +85,8 @@ def anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.
     return doc, at - starts[doc], h[at]
 
 
-def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
-    step = (1 << PIECE_BITS) - length
+def _pieces(text: bytes, length: int, bits: int | None = None) -> Iterator[tuple[int, bytes]]:
+    step = (1 << (bits or PIECE_BITS)) - length
     for at in range(0, max(1, len(text) - length + 1), step):
         yield at, text[at : at + step + length - 1]
 
@@ -264,12 +264,17 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
         for b in batches:
             texts, keys, sizes = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
             held: list[tuple[int, int, bytes]] = []
-            total = 0
+            total, end = 0, (-1, -1)
 
             def out() -> pa.RecordBatch:
-                piece, at, h = anchors([p[2] for p in held], length, gram)
+                nonlocal end
+                piece, at, h = anchors([p[2] for p in held], length, gram, PIECE_BITS)
                 doc = np.array([p[0] for p in held])[piece]
                 at = at + np.array([p[1] for p in held])[piece]
+                # the last window of a piece and the first of the text's next one mostly have the same anchor
+                new = (np.diff(doc, prepend=end[0]) != 0) | (np.diff(at, prepend=end[1]) != 0)
+                end = (int(doc[-1]), int(at[-1]))
+                doc, at, h = doc[new], at[new], h[new]
                 sig, left, right = [], [], []
                 for d, p in zip(doc.tolist(), at.tolist(), strict=True):
                     x, y, seg = _segment(texts[d], p, length, before)
@@ -280,7 +285,7 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
                 return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "sig", "key", "size", "at", "left", "right"])
 
             for k, t in enumerate(texts):
-                for start, piece in _pieces(t, length):
+                for start, piece in _pieces(t, length, PIECE_BITS):
                     if held and total + len(piece) > 1 << PIECE_BITS:
                         yield out()
                         held, total = [], 0
@@ -291,7 +296,7 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
 
     small_batches(docs.sparkSession, 500)
     found = keyed.mapInArrow(find, "anchor bigint, sig bigint, key bigint, size int, at bigint, left int, right int")
-    # copies of a text, and pieces that overlap, give equal rows
+    # only copies of a text give equal rows
     place = ["anchor", "sig", "key", "size", "at", "left", "right"]
     found = scratch.save(found.groupBy(*place).agg(F.count("*").alias("n")), "anchors")
     again = found.groupBy("anchor").agg(F.sum("n").alias("t"), (F.min("sig") != F.max("sig")).alias("mixed")).where("t > 1")

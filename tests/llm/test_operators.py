@@ -181,6 +181,25 @@ def test_suffix_dedup_pieces(monkeypatch, spark):
     assert {d for d, _ in shared} == {0, 1} and all(300 <= p <= 420 if d == 0 else 700 <= p <= 820 for d, p in shared)
 
 
+@pytest.mark.parametrize("bits", [9, 12])
+def test_suffix_dedup_piece_ends(monkeypatch, spark, bits):
+    """An anchor that two pieces of a text share is one place, whether they are hashed together or not."""
+    monkeypatch.setattr(suffix_dedup, "PIECE_BITS", bits)
+    rng = np.random.default_rng(bits)
+    once, other, copy = ("".join(rng.choice(list("abcd"), 12_000)) for _ in range(3))
+    docs = [once, other[:5000] + once[3000:3300] + other[5300:], copy, copy]
+    df = spark.createDataFrame([(k, t, "en", "s", "c") for k, t in enumerate(docs)], DOCS)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, length=100).collect()}
+    assert [got[k] for k in range(len(docs))] == _brute_repeats([t.encode() for t in docs], 100)
+
+
+def test_suffix_dedup_long_text(spark):
+    """A text of more than one piece that repeats nowhere loses nothing."""
+    text = np.random.default_rng(8).integers(33, 127, (2 << suffix_dedup.PIECE_BITS) + 9000, dtype=np.uint8).tobytes().decode()
+    df = spark.createDataFrame([(1, text, "en", "s", "c")], DOCS)
+    assert [(r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()] == [(0, 0)]
+
+
 def test_cut_repeats_keeps_rows(odd):
     got = suffix_dedup.cut_repeats(odd, count_col="none")
     assert got.columns == odd.columns and got.count() == odd.count()
