@@ -146,7 +146,7 @@ def _segment(text: bytes, at: int, length: int, before: int) -> tuple[int, int,
 
 
 def _sort(segments: DataFrame, length: int, before: int) -> DataFrame:
-    """(anchor, sig, a, b): where repeats start and end, of segments (anchor, sig, left, right, data) that have any."""
+    """(anchor, sig, a, b): where repeats start and end, of distinct segments (anchor, sig, left, right, data) that have any."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -154,10 +154,6 @@ def _sort(segments: DataFrame, length: int, before: int) -> DataFrame:
 
         def out(t: pa.Table) -> pa.RecordBatch:
             anchor, sig = t["anchor"].to_numpy(), t["sig"].to_numpy()
-            keep = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (sig[1:] != sig[:-1])])  # copies of a text
-            if not keep.all():
-                t = t.filter(pa.array(keep))
-                anchor, sig = anchor[keep], sig[keep]
             group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
             first, last = repeated_starts(group, t["left"].to_numpy(), t["right"].to_numpy(), t["data"].to_pylist(), length, before)
             some = first <= last
@@ -218,7 +214,7 @@ def _split(texts: DataFrame, scratch: Scratch, length: int, before: int) -> Data
 
     small_batches(texts.sparkSession, 200)
     parts = texts.mapInArrow(cut, "anchor bigint, sig bigint, key bigint, sub bigint, high int, first int, last int, data binary")
-    parts = scratch.save(parts.dropDuplicates(["anchor", "sig", "high"]), "parts")
+    parts = scratch.save(parts, "parts")
     small = parts.drop("data")
     kinds = small.groupBy("key", "sub").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "sig", "high")).alias("rep"))
     sizes = kinds.groupBy("key").agg(F.count("*").alias("m"))
@@ -313,7 +309,8 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
     def carriers(of: DataFrame) -> DataFrame:
         wanted = of.groupBy(F.col("rep.key").alias("key"), F.col("rep.size").alias("size"))
         wanted = wanted.agg(F.collect_list(F.struct("anchor", "sig", F.col("rep.at").alias("at"))).alias("places"))
-        return keyed.join(wanted, ["key", "size"]).select("text", "places")
+        # one row of each text, combined before the shuffle: its copies would all give the same segments
+        return keyed.dropDuplicates(["key", "size"]).join(wanted, ["key", "size"]).select("text", "places")
 
     mixed = kinds.where("mixed")
     texts = carriers(mixed.join(hot, "anchor", "left_anti") if split else mixed)

@@ -200,6 +200,27 @@ def test_suffix_dedup_long_text(spark):
     assert [(r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()] == [(0, 0)]
 
 
+@pytest.mark.parametrize("rows", [20_000, 1])
+def test_suffix_dedup_copies(monkeypatch, spark, rows):
+    """However many copies a text has, each segment is dealt out to be sorted once."""
+    monkeypatch.setattr(suffix_dedup, "ROWS", rows)
+    dealt, sort = [], suffix_dedup._sort
+
+    def spy(segments, *args):
+        dealt.append((segments.count(), segments.select("anchor", "sig").distinct().count()))
+        return sort(segments, *args)
+
+    monkeypatch.setattr(suffix_dedup, "_sort", spy)
+    rng = np.random.default_rng(6)
+    text, other = ("".join(rng.choice(list("abcd"), 900)) for _ in range(2))
+    docs = [text] * 40 + [text[:450] + "Z" + text[451:], other[:300] + text[200:400] + other[500:]]
+    df = spark.createDataFrame([(k, t, "en", "s", "c") for k, t in enumerate(docs)], DOCS)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, length=100).collect()}
+    assert [got[k] for k in range(len(docs))] == _brute_repeats([t.encode() for t in docs], 100)
+    assert max(dealt)[0] > 0 or rows == 1
+    assert all(n == distinct for n, distinct in dealt)
+
+
 def test_cut_repeats_keeps_rows(odd):
     got = suffix_dedup.cut_repeats(odd, count_col="none")
     assert got.columns == odd.columns and got.count() == odd.count()
