@@ -44,31 +44,30 @@ START_BITS = 22
 def _repeated(df: DataFrame, hashes: str, out: str, window: int = 5) -> DataFrame:
     """Adds how many words lie in windows whose hash occurs twice or more; ``hashes``: of all windows, by start.
 
-    Only texts with a repeat are worked on. Windows sorted by (hash, start) lie beside their equals; the
-    starts of those, sorted again, cover ``min(window, gap to the next start)`` words each. The steps are
-    columns of their own, so that each is evaluated once.
+    Only texts with a repeat are worked on. Windows sorted by (high bits, start) lie in one run with their
+    equals; the runs of two or more are sorted by (hash, start), where equals lie beside each other. The starts
+    of those, sorted again, cover ``min(window, gap to the next start)`` words each. The steps are columns of
+    their own, so that each is evaluated once.
     """
     h, mask = F.col(hashes), (1 << START_BITS) - 1
     df = df.withColumn("_dup", F.size(F.array_distinct(h)) < F.size(h))
     packed = F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
     df = df.withColumn("_sorted", F.when(F.col("_dup") & (F.size(h) <= mask), F.sort_array(packed)))
-    full = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("bigint").alias("i")))
-    df = df.withColumn("_pairs", F.when(F.col("_dup") & (F.size(h) > mask), F.sort_array(full)))
 
     def start(p: Column) -> Column:
         return p.bitwiseAND(F.lit(mask))
 
     def beside(p: Column, i: Column) -> Column:
-        # equal high bits only make a candidate; the full hashes decide
-        own = F.get(h, start(p).cast("int"))
+        # equal high bits only make a candidate; the full hashes decide below
         near = [F.get("_sorted", i + k) for k in (-1, 1)]
-        same = [F.coalesce((F.get(h, start(x).cast("int")) == own), F.lit(False)) for x in near]
+        same = [F.coalesce(x.bitwiseAND(F.lit(~mask)) == p.bitwiseAND(F.lit(~mask)), F.lit(False)) for x in near]
         return same[0] | same[1]
 
-    short = F.sort_array(F.transform(F.filter("_sorted", beside), start))
+    short = F.transform(F.filter("_sorted", beside), lambda p: F.struct(F.get(h, start(p).cast("int")).alias("h"), start(p).alias("i")))
+    full = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("bigint").alias("i")))
+    df = df.withColumn("_pairs", F.sort_array(F.when(F.col("_sorted").isNotNull(), short).when(F.col("_dup"), full)))
     pair = [lambda x, i, k=k: F.coalesce(F.get("_pairs", i + k)["h"] == x["h"], F.lit(False)) for k in (-1, 1)]
-    long = F.sort_array(F.transform(F.filter("_pairs", lambda x, i: pair[0](x, i) | pair[1](x, i)), lambda x: x["i"]))
-    df = df.withColumn("_starts", F.when(F.col("_sorted").isNotNull(), short).when(F.col("_pairs").isNotNull(), long))
+    df = df.withColumn("_starts", F.sort_array(F.transform(F.filter("_pairs", lambda x, i: pair[0](x, i) | pair[1](x, i)), lambda x: x["i"])))
     reach = F.transform("_starts", lambda s, i: F.least(F.coalesce(F.get("_starts", i + 1), s + window) - s, F.lit(window)))
     covered = F.aggregate(reach, F.lit(0).cast("bigint"), lambda total, x: total + x)
     return df.withColumn(out, F.when(F.col("_dup"), covered).otherwise(F.lit(0).cast("bigint"))).drop("_dup", "_sorted", "_pairs", "_starts")

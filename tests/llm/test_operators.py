@@ -330,6 +330,13 @@ def test_repeats_in_long_texts(spark, monkeypatch):
     assert {r.doc_id: r.n_repeat_words for r in quality_rules.statistics(df).collect()} == {1: 10, 2: 0}
 
 
+def test_repeats_among_equal_high_bits(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "START_BITS", 61)  # three high bits: other hashes come between equal ones
+    text = " ".join(["a b c d e", *[f"w{k}" for k in range(200)], "a b c d e"])
+    df = spark.createDataFrame([(1, text), (2, "a b c d e f"), (3, "x " * 12)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.statistics(df).collect()} == {1: 10, 2: 0, 3: 12}
+
+
 def test_rule_order(spark):
     df = spark.range(100).toDF("n")
     rules = [quality_rules.Rule("none", F.col("n") < 0), quality_rules.Rule("most", F.col("n") < 90), quality_rules.Rule("null", F.lit(None).cast("boolean"))]
