@@ -5,8 +5,9 @@ every link lies inside at least one of the 15 shards (block pair, value of the t
 fingerprint. Each shard gets one BK-tree (children keyed by their integer Hamming distance to the parent), and
 a query follows only the edges whose key is within the radius of its own distance. A shard's tree goes to
 the tasks that hold the shard's queries; all trees together grow with the corpus, so they are shuffled and
-not broadcast to every executor. A shard with more than ``SHARD_ROWS`` fingerprints is dealt out: its trees
-hold a salt's share of it, and its queries visit all of them.
+not broadcast to every executor. A shard with more than ``SHARD_ROWS`` fingerprints is dealt into parts of
+that size, and each pair of parts is a cell of its own: a tree of one, queries of the other. So a task
+holds two parts at most, however large the shard.
 
 Copies share a fingerprint and are collapsed before any search. A task joins what its shards link and
 emits at most one edge per fingerprint (to the least of its set), never all pairs.
@@ -121,29 +122,32 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _shard_edges(key: np.ndarray, fp: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fp, least fp of its set) of complete shards; rows are sorted by key."""
+def _shard_edges(key: np.ndarray, fp: np.ndarray, tree: np.ndarray, ask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (fp, least fp of its set) of complete cells; rows are sorted by key.
+
+    ``tree``: the row is in its cell's tree, ``ask``: it is a query there.
+    """
     new = np.concatenate([[True], key[1:] != key[:-1]])
     shard = np.cumsum(new) - 1
     keep = np.bincount(shard)[shard] > 1
-    shard, fp, tree = shard[keep], fp[keep], tree[keep]
+    shard, fp, tree, ask = shard[keep], fp[keep], tree[keep], ask[keep]
     with_tree = np.isin(shard, np.unique(shard[tree]))
-    shard, fp, tree = shard[with_tree], fp[with_tree], tree[with_tree]
+    shard, fp, tree, ask = shard[with_tree], fp[with_tree], tree[with_tree], ask[with_tree]
     if not len(fp):
         return fp, fp
     shard = np.unique(shard, return_inverse=True)[1]
     order = np.lexsort((fp, shard))
-    shard, fp, tree = shard[order], fp[order], tree[order]
-    rows = np.flatnonzero(tree)
+    shard, fp, tree, ask = shard[order], fp[order], tree[order], ask[order]
+    rows, asks = np.flatnonzero(tree), np.flatnonzero(ask)
     forest = BKForest(shard[rows], fp[rows])
-    size = np.bincount(shard[rows])[shard]
+    size = np.bincount(shard[rows])[shard[asks]]
     label = np.arange(len(fp))
     at = 0
     work = np.cumsum(size)
-    while at < len(fp):  # so many queries at once that what they may visit stays bounded
+    while at < len(asks):  # so many queries at once that what they may visit stays bounded
         to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 2_000_000)))
-        q, n = forest.search(shard[at:to], fp[at:to], radius)
-        label = _join(label, q + at, rows[n])
+        q, n = forest.search(shard[asks[at:to]], fp[asks[at:to]], radius)
+        label = _join(label, asks[at:to][q], rows[n])
         at = to
     linked = label != np.arange(len(fp))
     return fp[linked], fp[label[linked]]
@@ -169,8 +173,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     hot = hot.select("key", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("salts"))
     rows = rows.join(hot, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("salts"))
-    rows = rows.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = rows.select((F.col("key") * 4096 + F.col("salt")).alias("key"), "fp", (F.col("own") == F.col("salt")).alias("tree"))
+    rows = rows.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")  # parts of the cell: the tree's, and the queries'
+    cell = F.col("key") * (1 << 32) + low * (1 << 16) + high
+    rows = rows.select(cell.alias("key"), "fp", (F.col("own") == low).alias("tree"), (F.col("own") == high).alias("ask"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -181,15 +187,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for b in batches:
-            held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
             count += b.num_rows
             if count < 100_000:
                 continue
-            key, fp, tree = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, fp, tree, ask = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(key, key[-1]))  # the last shard may go on
             if cut:
-                yield out((key[:cut], fp[:cut], tree[:cut]))
-            held, count = [(key[cut:], fp[cut:], tree[cut:])], len(key) - cut
+                yield out((key[:cut], fp[:cut], tree[:cut], ask[:cut]))
+            held, count = [(key[cut:], fp[cut:], tree[cut:], ask[cut:])], len(key) - cut
         if count:
             yield out(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 

@@ -269,6 +269,21 @@ def test_simhash_links(spark, monkeypatch, salted):
     assert len(set(zip(label.tolist(), got.tolist(), strict=True))) == len(set(label.tolist())) == len(set(got.tolist()))
 
 
+def test_simhash_hot_shard(spark, monkeypatch):
+    """A task's share of a hot shard does not grow with the shard."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 5)
+    df = spark.range(200).select(F.col("id").alias("fp"))  # equal in all blocks but the lowest
+    dealt, run = [], type(df).mapInArrow
+
+    def spy(rows, *args, **kwargs):
+        dealt.append(rows.groupBy("key").count().agg(F.max("count")).first()[0])
+        return run(rows, *args, **kwargs)
+
+    monkeypatch.setattr(type(df), "mapInArrow", spy)
+    comp = {r.component for r in components(simhash.links(df), Scratch(spark, "t")).collect()}
+    assert comp == {0} and dealt[0] < 40
+
+
 def _brute_viterbi(scores, penalty):
     n, m = scores.shape
     best, back = scores[0].astype(float), []
