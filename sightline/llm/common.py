@@ -1,7 +1,12 @@
-"""Helpers that several corpus operators share: reading tables, shared scratch tables, batches of text."""
+"""Helpers that several corpus operators share: reading tables, shared scratch tables.
+
+Batches that go to Python are bounded by Spark in bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB); the operators
+change no setting of the session.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,33 +22,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none (tests), a local one."""
+    """The folder that all executors share. Only a ``local`` session, as in tests, may name none and gets a temporary one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation."""
+    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation.
+
+    Results are lazy and read them, so they stay until ``drop`` or else until the session ends, which deletes them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        fs, root = self._fs(self.root)
+        fs.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get so many rows at once: texts of 100 kB then still make batches of 100 MB at most."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    def drop(self, *names: str) -> None:
+        for name in names:
+            fs, p = self._fs(f"{self.root}/{name}")
+            fs.delete(p, True)
 
 
 def crc_mod(column: str, divisor: int) -> Column:

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Documents that the model is learned from, about.
 SAMPLE = 20_000
@@ -188,7 +187,6 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
             arrays = [pa.array(list(grams)), *[pa.array([x.tolist() for x in d.values()], pa.list_(pa.int64())) for d in (grams, scripts)]]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "grams", "scripts"])
 
-    small_batches(docs.sparkSession, 500)
     got = rows.mapInArrow(run, "lang string, grams array<bigint>, scripts array<bigint>").toArrow()
     langs = sorted(set(got["lang"].to_pylist()))
     grams, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(SCRIPTS) + 2, len(langs)))
@@ -219,7 +217,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 arrays.append(pa.array([[dict(zip(("start", "end", "lang"), s, strict=True)) for s in f[2]] for f in found], kind))
             yield pa.RecordBatch.from_arrays(arrays, [id_col, "lang_pred", "score", *["spans"] * spans])
 
-    small_batches(spark, 1000)
     src = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     more = ", spans array<struct<start:bigint,end:bigint,lang:string>>" * spans
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, lang_pred string, score double{more}")

@@ -21,10 +21,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -32,42 +32,98 @@ END_ID = 1
 POOL_TOKENS, POOL_DOCS = 6_000_000, 20_000
 STEP_TOKENS = 65_536
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
 class WordTokenizer:
     """Ids of a word-level BPE of the ``tokenizers`` library, from a cache of words.
 
-    The tokenizer normalizes (NFC, white space, lower case), cuts into words and encodes each on its
-    own. For texts of plain characters, whose normal form is their lower case, the words are cut here and
-    looked up; any other text goes through the library whole. Results are the library's in both cases.
+    The tokenizer normalizes (NFC, white space, lower case), cuts at white space and encodes what is between by itself,
+    special tokens included, so the ids of a text are those of its words (between ASCII white space) in turn. Each
+    distinct word of a slice of texts is looked up once; new ones are encoded together.
     """
 
-    #: The tokenizer's words, for plain characters only: letters, one digit, or a run of anything else.
-    WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    #: What the tokenizer makes of a word of plain characters: letters, one digit, an ending, or a run of anything else.
+    PIECES = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
     #: No combining marks, unusual spaces or numerals, nothing whose lower case depends on its place.
-    PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+    PLAIN = re.compile("[\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)  # ids that stand last in a piece
+        self.ends[[k for t, k in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
         self.ids: dict[str, bytes] = {}  # as little-endian 32-bit numbers
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        cut = [self.WORD.findall(t.lower()) if "<|" not in t and self.PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.ids) > CACHE_WORDS:
+    def _learn(self, words: list[str]) -> None:
+        new = list(set(words).difference(self.ids))
+        if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()
-        new = list(set(chain.from_iterable(w for w in cut if w)).difference(self.ids))
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.pieces.clear()
+            new = list(set(words))
+        low = " ".join(new).lower()
+        if "<|" not in low and self.PLAIN.fullmatch(low):
+            plain, odd = new, []
+        else:
+            odd = [w for w in new if "<|" in w or not self.PLAIN.fullmatch(w)]
+            plain = list(set(new).difference(odd))
+            low = " ".join(plain).lower()
+        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for t, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join(map(self.ids.__getitem__, words)), "<u4"))
-        return out
+        # words of plain characters are cut here, and pieces not seen before encoded in one call
+        cut = [self.PIECES.findall(w) for w in low.split(" ")] if plain else []
+        unseen = list(set(chain.from_iterable(cut)).difference(self.pieces))
+        if unseen:
+            ids = np.array(self._encode(" ".join(unseen)), "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            data = ids.tobytes()
+            self.pieces.update(zip(unseen, [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
+        get = self.pieces.__getitem__
+        self.ids.update(zip(plain, [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut], strict=True))
+
+    def _encode(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and where those of each begin (and the last end). Null texts have none."""
+        cut = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = cut.flatten().dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self._learn(words)
+        own = list(map(self.ids.__getitem__, words))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
+        n = sizes[at]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        offsets = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        return flat[place], np.concatenate([[0], ends])[offsets]
+
+    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        ids, at = self.encode_flat(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """The array cut into runs of rows with up to ``most`` bytes of text, or one row."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker, which keeps the words of the tasks it has run before."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 class _Shelf:
@@ -174,7 +230,7 @@ def pack(
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordTokenizer(tokenizer)
+        words = word_tokenizer(tokenizer)
         base = TaskContext.get().partitionId() << 32
         seq = step = 0
         pool: list[tuple[object, int, int, np.ndarray]] = []  # id, ids before, document's ids, ids
@@ -194,7 +250,7 @@ def pack(
                 for d, start, n in w:
                     doc, before, total, ids = pool[d]
                     part = ids[start : start + n]
-                    row = (doc, before + start, n, zlib.crc32(part.astype("<u4").tobytes()), total, base + seq, at, size, base + step + g, part)
+                    row = (doc, before + start, n, zlib.crc32(part), total, base + seq, at, size, base + step + g, part)
                     for c, x in zip(cols, row, strict=True):
                         c.append(x)
                     at += n
@@ -210,13 +266,16 @@ def pack(
         id_type = None
         for b in batches:
             id_type = b.schema.field(0).type
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for doc, ids in zip(b.column(0).to_pylist(), words.encode(texts), strict=True):
-                ids = np.append(ids, np.uint32(END_ID))
-                pool.append((doc, 0, len(ids), ids))
-                tokens += len(ids)
-                if tokens >= POOL_TOKENS or len(pool) >= POOL_DOCS:
-                    yield out(False)
+            docs = iter(b.column(0).to_pylist())
+            for part in slices(b.column(1)):
+                ids, at = words.encode_flat(part)
+                ids = np.insert(ids, at[1:], END_ID)
+                at = (at + np.arange(len(at))).tolist()
+                for lo, hi in zip(at[:-1], at[1:], strict=True):
+                    pool.append((next(docs), 0, hi - lo, ids[lo:hi]))
+                    tokens += hi - lo
+                    if tokens >= POOL_TOKENS or len(pool) >= POOL_DOCS:
+                        yield out(False)
         if pool:
             yield out(True)
 
@@ -224,5 +283,4 @@ def pack(
     names += ["ids"] * with_ids
     src = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     schema = f"`{id_col}` {src.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names[1:9])
-    small_batches(docs.sparkSession, 500)
     return src.mapInArrow(run, schema + (", ids array<bigint>" if with_ids else ""))

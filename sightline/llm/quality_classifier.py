@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Labelled rows that the space is fitted on, at most.
 SAMPLE = 4000
@@ -114,7 +113,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [np.minimum(terms(t), 60000).astype("<f2").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "label", "terms"])
 
-    small_batches(docs.sparkSession, 200)
     id_type = rows.schema["id"].dataType.simpleString()
     got = rows.select("id", "label", "text").mapInArrow(run, f"id {id_type}, label double, terms binary").toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
@@ -140,6 +138,5 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
                 [b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"]
             )
 
-    small_batches(spark, 250)
     src = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double, predicted int")

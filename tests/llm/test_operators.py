@@ -207,7 +207,7 @@ def test_suffix_dedup_copies(monkeypatch, spark, rows):
     dealt, sort = [], suffix_dedup._sort
 
     def spy(segments, *args):
-        dealt.append((segments.count(), segments.select("anchor", "sig").distinct().count()))
+        dealt.append((segments.count(), segments.select("anchor", "s1", "s2").distinct().count()))
         return sort(segments, *args)
 
     monkeypatch.setattr(suffix_dedup, "_sort", spy)
@@ -387,9 +387,25 @@ def test_packing(spark, odd):
 
 def test_tokens_are_the_library_s():
     words = packing.WordTokenizer(queries.tokenizer_path())
-    texts = ["", "İstanbul Σίσυφος ΟΔΟΣ", "a<|endoftext|>b", "²x½ 3¾", "µm ŉ ſ·", "don't 'RE they''ll", "e\u0301 x", "日本語", "naïve—“q” €5…", "\x00a\x1cb", "a_b __ 12", "a\u00a0b\u2003c"]
-    for t, got in zip(texts, words.encode(texts), strict=True):
-        assert got.tolist() == words.library.encode(t, add_special_tokens=False).ids
+    texts = ["", "İstanbul Σίσυφος ΟΔΟΣ", "a<|endoftext|>b", "²x½ 3¾", "µm ŉ ſ·", "don't 'RE they''ll", "e\u0301 x", "日本語", "naïve—“q” €5…", "\x00a\x1cb", "a_b __ 12", "a\u00a0b\u2003c", "a\x1c b\x1d\x1ec \x1f", "<|startoftext|>x <|endoftext|>", "\x85x \x0bq\x0cr", " \u0301x", "'s't '", None]
+    for _ in range(2):  # new words, then known ones
+        for t, got in zip(texts, words.encode(texts), strict=True):
+            assert got.tolist() == words.library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_tokens_with_a_small_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    words = packing.WordTokenizer(queries.tokenizer_path())
+    for texts in (["a b c d e", "f"], ["a x y"], [], ["", None]):
+        assert [g.tolist() for g in words.encode(texts)] == [words.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_slices():
+    import pyarrow as pa
+
+    texts = pa.array(["ab", None, "c" * 50, "", "def", "g"])
+    got = [x.to_pylist() for x in packing.slices(texts, 5)]
+    assert [t for x in got for t in x] == texts.to_pylist() and all(len(x) == 1 or sum(len(t or "") for t in x) <= 5 for x in got)
 
 
 def test_mixing(spark):
