@@ -38,8 +38,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The digest is of repeats of 400 bytes; ``text`` is each text without the repeats of ``PASSAGE`` bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs, passages=suffix_dedup.PASSAGE)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("without_passages").alias("text"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, without
+from .common import Scratch, without
 
 LENGTH, GRAM = 400, 48
+#: Length at which a passage of over fifty words counts: fifty words of three letters and a space.
+PASSAGE = 200
 #: Texts are hashed together up to so many bytes; longer ones in overlapping pieces.
 PIECE_BITS = 22
 #: Segments that are sorted together, about; an anchor with more distinct ones is split.
@@ -146,19 +148,19 @@ def _segment(text: bytes, at: int, length: int, before: int) -> tuple[int, int,
 
 
 def _sort(segments: DataFrame, length: int, before: int) -> DataFrame:
-    """(anchor, sig, a, b): where repeats start and end, of distinct segments (anchor, sig, left, right, data) that have any."""
+    """(anchor, s1, s2, a, b): where repeats start and end, of distinct segments (anchor, s1, s2, left, right, data) that have any."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
 
         def out(t: pa.Table) -> pa.RecordBatch:
-            anchor, sig = t["anchor"].to_numpy(), t["sig"].to_numpy()
+            anchor = t["anchor"].to_numpy()
             group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]]))
             first, last = repeated_starts(group, t["left"].to_numpy(), t["right"].to_numpy(), t["data"].to_pylist(), length, before)
             some = first <= last
-            arrays = [anchor[some], sig[some], first[some], last[some] + length]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "sig", "a", "b"])
+            arrays = [anchor[some], t["s1"].to_numpy()[some], t["s2"].to_numpy()[some], first[some], last[some] + length]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "s1", "s2", "a", "b"])
 
         for b in batches:
             held.append(b)
@@ -173,9 +175,35 @@ def _sort(segments: DataFrame, length: int, before: int) -> DataFrame:
         if count:
             yield out(pa.Table.from_batches(held))
 
-    small_batches(segments.sparkSession, 2000)
-    rows = segments.repartition("anchor").sortWithinPartitions("anchor", "sig")
-    return rows.mapInArrow(sort, "anchor bigint, sig bigint, a bigint, b bigint")
+    rows = segments.repartition("anchor").sortWithinPartitions("anchor", "s1", "s2")
+    return rows.mapInArrow(sort, "anchor bigint, s1 bigint, s2 bigint, a bigint, b bigint")
+
+
+def _halves(digests: list[bytes]) -> list[np.ndarray]:
+    """128-bit digests as two columns of 64-bit numbers."""
+    x = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return [x[:, 0], x[:, 1]]
+
+
+class _Rows:
+    """Output rows gathered by column, given out as a batch once there are enough."""
+
+    def __init__(self, **kinds: pa.DataType):
+        self.kinds, self.cols = kinds, [[] for _ in kinds]
+
+    def add(self, *row: object) -> None:
+        for c, x in zip(self.cols, row, strict=True):
+            c.append(x)
+
+    def out(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.cols[0]) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.cols, self.kinds.values(), strict=True)], list(self.kinds))
+            self.cols = [[] for _ in self.kinds]
+
+
+#: Rows of an output batch, about.
+OUT_ROWS = 20_000
+_I32, _I64 = pa.int32(), pa.int64()
 
 
 #: Starts that a part of a split anchor covers.
@@ -192,12 +220,11 @@ def _split(texts: DataFrame, scratch: Scratch, length: int, before: int) -> Data
     """
     import xxhash
 
-    h64 = xxhash.xxh3_64_intdigest
+    h64, h128 = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (*[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary())
+        rows = _Rows(anchor=_I64, s1=_I64, s2=_I64, key=_I64, sub=pa.binary(), high=_I32, first=_I32, last=_I32, data=pa.binary())
         for b in batches:
-            cols: list[list] = [[] for _ in kinds]
             for t, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for p in places:
                     at = p["at"]
@@ -207,37 +234,37 @@ def _split(texts: DataFrame, scratch: Scratch, length: int, before: int) -> Data
                         if first <= last:
                             data = t[at + first : at + last + length]
                             key = h64(t[at + high : at + low + length], low + before) ^ (p["anchor"] & (2**64 - 1))
-                            row = (p["anchor"], p["sig"], key - 2**64 * (key >> 63), h64(data, first - low) - 2**63, high, first, last, data)
-                            for c, x in zip(cols, row, strict=True):
-                                c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "sig", "key", "sub", "high", "first", "last", "data"])
+                            rows.add(p["anchor"], p["s1"], p["s2"], key - 2**64 * (key >> 63), h128(data, first - low), high, first, last, data)
+                    yield from rows.out(OUT_ROWS)
+        yield from rows.out()
 
-    small_batches(texts.sparkSession, 200)
-    parts = texts.mapInArrow(cut, "anchor bigint, sig bigint, key bigint, sub bigint, high int, first int, last int, data binary")
+    parts = texts.mapInArrow(cut, "anchor bigint, s1 bigint, s2 bigint, key bigint, sub binary, high int, first int, last int, data binary")
     parts = scratch.save(parts, "parts")
     small = parts.drop("data")
-    kinds = small.groupBy("key", "sub").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "sig", "high")).alias("rep"))
+    seg = ["anchor", "s1", "s2"]
+    kinds = small.groupBy("key", "sub").agg(F.count("*").alias("n"), F.min(F.struct(*seg, "high")).alias("rep"))
     sizes = kinds.groupBy("key").agg(F.count("*").alias("m"))
     kinds = scratch.save(kinds.join(sizes.where("m > 1"), "key", "left").withColumn("m", F.coalesce("m", F.lit(1))), "part-kinds")
-    some = kinds.where("m > 1").select("key", "sub", "m", F.col("rep.anchor").alias("anchor"), F.col("rep.sig").alias("sig"), F.col("rep.high").alias("high"))
-    reps = scratch.save(parts.drop("key", "sub").join(some, ["anchor", "sig", "high"]), "part-reps")
+    some = kinds.where("m > 1").select("key", "sub", "m", "rep.*")
+    reps = scratch.save(parts.drop("key", "sub").join(some, [*seg, "high"]), "part-reps")
     sortable = reps.where(F.col("m") <= ROWS).select(
-        F.col("key").alias("anchor"), F.col("sub").alias("sig"), (F.col("high") - F.col("first")).alias("left"), (F.col("last") + length - F.col("high")).alias("right"), "data"
-    )
-    found = _sort(sortable, length, PART - 1).select(F.col("anchor").alias("key"), F.col("sig").alias("sub"), "a", "b")
+        F.col("key").alias("anchor"), F.xxhash64("sub").alias("s1"), F.xxhash64(F.lit(1), "sub").alias("s2"), "sub",
+        (F.col("high") - F.col("first")).alias("left"), (F.col("last") + length - F.col("high")).alias("right"), "data",
+    )
+    found = _sort(sortable.drop("sub"), length, PART - 1).withColumnRenamed("anchor", "key")
+    found = found.join(sortable.select(F.col("anchor").alias("key"), "s1", "s2", "sub"), ["key", "s1", "s2"]).select("key", "sub", "a", "b")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(key=_I64, sub=pa.binary(), a=_I64, window=pa.binary())
         for b in batches:
-            cols: list[list] = [[] for _ in range(4)]
             for key, sub, rest, data in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
                 for k in range(len(data) - length + 1):
-                    for c, x in zip(cols, (key, sub, rest + k, xxhash.xxh3_128_digest(data[k : k + length])), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "sub", "a", "window"])
+                    rows.add(key, sub, rest + k, h128(data[k : k + length]))
+                yield from rows.out(OUT_ROWS)
+        yield from rows.out()
 
     large = reps.where(F.col("m") > ROWS).select("key", "sub", (F.col("first") - F.col("high")).cast("bigint").alias("rest"), "data")
-    small_batches(texts.sparkSession, 2000)
-    each = scratch.save(large.mapInArrow(windows, "key bigint, sub bigint, a bigint, window binary"), "windows")
+    each = scratch.save(large.mapInArrow(windows, "key bigint, sub binary, a bigint, window binary"), "windows")
     again = each.groupBy("key", "a", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     whole = each.join(again, ["key", "a", "window"]).groupBy("key", "sub").agg(F.min("a").alias("a"), (F.max("a") + length).alias("b"))
     ranges = kinds.select("key", "sub", "n").join(found.unionByName(whole), ["key", "sub"], "left").where("n > 1 or a is not null")
@@ -245,20 +272,31 @@ def _split(texts: DataFrame, scratch: Scratch, length: int, before: int) -> Data
     a = F.when(F.col("n") > 1, F.col("first")).otherwise(F.col("high") + F.col("a"))
     b = F.when(F.col("n") > 1, F.col("last") + length).otherwise(F.col("high") + F.col("b"))
     # every window holds the anchor, so ranges of one segment overlap
-    return placed.select("anchor", "sig", a.cast("bigint").alias("a"), b.cast("bigint").alias("b")).groupBy("anchor", "sig").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    out = placed.select(*seg, a.cast("bigint").alias("a"), b.cast("bigint").alias("b")).groupBy(*seg).agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    out = scratch.save(out, "split")
+    scratch.drop("parts", "part-kinds", "part-reps", "windows")
+    return out
+
+
+#: Two hashes of a text, its identity: 128 bits.
+KEY = ("k1", "k2")
+
+
+def _identity(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), F.col(text)).alias("k2")]
 
 
 def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, size, spans): of each distinct text (its hash and byte count) with a repeat, all repeated ranges [a, b)."""
+    """(k1, k2, spans): of each distinct text (named by 128 bits) with a repeat, all repeated ranges [a, b)."""
     import xxhash
 
     before = length - gram
     keyed = docs.select(text.cast("binary").alias("text")).where(F.octet_length("text") >= length)
-    keyed = keyed.select("text", F.xxhash64("text").alias("key"), F.octet_length("text").alias("size"))
+    keyed = keyed.select("text", *_identity("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys, sizes = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            texts, keys = b.column(0).to_pylist(), [b.column(k).to_numpy() for k in (1, 2)]
             held: list[tuple[int, int, bytes]] = []
             total, end = 0, (-1, -1)
 
@@ -271,14 +309,12 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
                 new = (np.diff(doc, prepend=end[0]) != 0) | (np.diff(at, prepend=end[1]) != 0)
                 end = (int(doc[-1]), int(at[-1]))
                 doc, at, h = doc[new], at[new], h[new]
-                sig, left, right = [], [], []
-                for d, p in zip(doc.tolist(), at.tolist(), strict=True):
-                    x, y, seg = _segment(texts[d], p, length, before)
-                    left.append(x)
-                    right.append(y)
-                    sig.append(xxhash.xxh3_64_intdigest(seg, x))
-                arrays = [h.view(np.int64), np.array(sig, np.uint64).view(np.int64), keys[doc], sizes[doc].astype(np.int32), at, np.array(left, np.int32), np.array(right, np.int32)]
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "sig", "key", "size", "at", "left", "right"])
+                size = np.array([len(t) for t in texts])[doc]
+                left, right = np.minimum(at, before), np.minimum(size - at, length)
+                digest = xxhash.xxh3_128_digest
+                sig = [digest(texts[d][p - x : p + y], x) for d, p, x, y in zip(doc.tolist(), at.tolist(), left.tolist(), right.tolist(), strict=True)]
+                arrays = [h.view(np.int64), *_halves(sig), *[k[doc] for k in keys], size, at]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "s1", "s2", "k1", "k2", "size", "at"])
 
             for k, t in enumerate(texts):
                 for start, piece in _pieces(t, length, PIECE_BITS):
@@ -290,15 +326,16 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
             if held:
                 yield out()
 
-    small_batches(docs.sparkSession, 500)
-    found = keyed.mapInArrow(find, "anchor bigint, sig bigint, key bigint, size int, at bigint, left int, right int")
+    found = keyed.mapInArrow(find, "anchor bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, size bigint, at bigint")
     # only copies of a text give equal rows
-    place = ["anchor", "sig", "key", "size", "at", "left", "right"]
-    found = scratch.save(found.groupBy(*place).agg(F.count("*").alias("n")), "anchors")
-    again = found.groupBy("anchor").agg(F.sum("n").alias("t"), (F.min("sig") != F.max("sig")).alias("mixed")).where("t > 1")
-    some = scratch.save(found.join(again.select("anchor", "mixed"), "anchor"), "repeated")
-    scratch.drop("anchors")
-    kinds = some.groupBy("anchor", "sig", "mixed").agg(F.sum("n").alias("n"), F.min(F.struct("key", "size", "at")).alias("rep"))
+    seg = ["anchor", "s1", "s2"]
+    found = scratch.save(found.groupBy(*seg, *KEY, "size", "at").agg(F.count("*").alias("n")), "anchors")
+    # written first: Spark can then split the join of a very common anchor
+    again = found.groupBy("anchor").agg(F.sum("n").alias("t"), ((F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))).alias("mixed"))
+    again = scratch.save(again.where("t > 1").select("anchor", "mixed"), "repeated-anchors")
+    some = scratch.save(found.join(again, "anchor"), "repeated")
+    scratch.drop("anchors", "repeated-anchors")
+    kinds = some.groupBy(*seg, "mixed").agg(F.sum("n").alias("n"), F.min(F.struct(*KEY, "at")).alias("rep"))
     kinds = scratch.save(kinds, "kinds")
 
     # one text for each segment that is to be sorted, and its bytes
@@ -307,38 +344,39 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
     split = not hot.isEmpty()
 
     def carriers(of: DataFrame) -> DataFrame:
-        wanted = of.groupBy(F.col("rep.key").alias("key"), F.col("rep.size").alias("size"))
-        wanted = wanted.agg(F.collect_list(F.struct("anchor", "sig", F.col("rep.at").alias("at"))).alias("places"))
+        wanted = of.groupBy(*[F.col(f"rep.{k}").alias(k) for k in KEY])
+        wanted = wanted.agg(F.collect_list(F.struct(*seg, F.col("rep.at").alias("at"))).alias("places"))
         # one row of each text, combined before the shuffle: its copies would all give the same segments
-        return keyed.dropDuplicates(["key", "size"]).join(wanted, ["key", "size"]).select("text", "places")
+        return keyed.dropDuplicates(list(KEY)).join(wanted, list(KEY)).select("text", "places")
 
     mixed = kinds.where("mixed")
     texts = carriers(mixed.join(hot, "anchor", "left_anti") if split else mixed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(anchor=_I64, s1=_I64, s2=_I64, left=_I32, right=_I32, data=pa.binary())
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
             for t, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for p in places:
-                    for c, x in zip(cols, (p["anchor"], p["sig"], *_segment(t, p["at"], length, before)), strict=True):
-                        c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "sig", "left", "right", "data"])
+                    rows.add(p["anchor"], p["s1"], p["s2"], *_segment(t, p["at"], length, before))
+                yield from rows.out(OUT_ROWS)
+        yield from rows.out()
 
-    segments = texts.mapInArrow(cut, "anchor bigint, sig bigint, left int, right int, data binary")
+    segments = texts.mapInArrow(cut, "anchor bigint, s1 bigint, s2 bigint, left int, right int, data binary")
 
     single = scratch.save(_sort(segments, length, before), "sorted")
     if split:
-        single = single.unionByName(scratch.save(_split(carriers(mixed.join(hot, "anchor", "left_semi")), scratch, length, before), "split"))
-    small_batches(docs.sparkSession, 500)
+        single = single.unionByName(_split(carriers(mixed.join(hot, "anchor", "left_semi")), scratch, length, before))
 
     # copies of a segment are repeats from end to end
-    ranges = kinds.join(single, ["anchor", "sig"], "left").where("n > 1 or a is not null").select("anchor", "sig", "n", "a", "b")
-    placed = some.drop("n").join(ranges, ["anchor", "sig"])
-    a = F.when(F.col("n") > 1, -F.col("left")).otherwise(F.col("a"))
-    b = F.when(F.col("n") > 1, F.col("right")).otherwise(F.col("b"))
-    placed = placed.select("key", "size", F.struct((F.col("at") + a).alias("a"), (F.col("at") + b).alias("b")).alias("s"))
-    return placed.groupBy("key", "size").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    ranges = kinds.join(single, seg, "left").where("n > 1 or a is not null").select(*seg, "n", "a", "b")
+    ranges = scratch.save(ranges, "segment-ranges")
+    placed = some.drop("n").join(ranges, seg)
+    a = F.when(F.col("n") > 1, -F.least("at", F.lit(before))).otherwise(F.col("a"))
+    b = F.when(F.col("n") > 1, F.least(F.col("size") - F.col("at"), F.lit(length))).otherwise(F.col("b"))
+    placed = placed.select(*KEY, F.struct((F.col("at") + a).alias("a"), (F.col("at") + b).alias("b")).alias("s"))
+    out = scratch.save(placed.groupBy(*KEY).agg(F.sort_array(F.collect_set("s")).alias("spans")), "ranges")
+    scratch.drop("repeated", "kinds", "sorted", "split", "segment-ranges")
+    return out
 
 
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -352,60 +390,74 @@ def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, passages: int | None = None
+) -> DataFrame:
     """``docs`` with kept (binary), n_bytes, n_removed, n_spans (long), removed (ranges), kept_sha256.
 
     Texts are judged as UTF-8 bytes, a null text as an empty one. All strings are judged on the input, copies of a text as
     rows of their own (so equal texts of ``length`` bytes or more lose all). Rows pass through whatever
     their other columns hold; columns of the names above are replaced. Empty tables give empty tables.
+    ``passages``: a second, shorter length; then there is one more column, without_passages (string): the whole text
+    without the repeats of that length (characters cut apart at an end go too; null for a null text).
     """
-    added = ("kept", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256", "_text", "key", "size", "spans")
-    df = without(docs, *added)
+    added = ("kept", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256", "without_passages")
+    df = without(docs, *added, "_text", *KEY, "_spans", "_short")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scratch = Scratch(docs.sparkSession, "suffixes")
-    ranges = scratch.save(spans(df, text, scratch, length, gram), "ranges")
     names = df.columns
-    df = df.withColumn("_text", text.cast("binary")).withColumn("key", F.xxhash64("_text")).withColumn("size", F.octet_length("_text"))
-    df = df.join(ranges, ["key", "size"], "left").drop("key", "size")
+    df = df.withColumn("_text", text.cast("binary")).select("*", *_identity("_text"))
+    for column, n in (("_spans", length), ("_short", passages)):
+        if n is None:
+            df = df.withColumn(column, F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+        else:
+            ranges = spans(docs, text, Scratch(docs.sparkSession, "suffixes"), n, gram)
+            df = df.join(ranges.withColumnRenamed("spans", column), list(KEY), "left")
+    df = df.select(*names, F.col(text_col).isNull().alias("_null"), "_text", "_spans", "_short")
     kinds = {n: df.schema[n].dataType.simpleString() for n in names}
     schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
     schema += ", kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<a:bigint,b:bigint>>, kept_sha256 string"
 
+    def outside(text: bytes, cut: list[tuple[int, int]]) -> bytes:
+        parts, at = [], 0
+        for a, b in cut:
+            parts.append(text[at:a])
+            at = b
+        return b"".join([*parts, text[at:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, sizes, gone, runs, sums = [], [], [], [], []
-            texts, found = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            for t, s in zip(texts, found, strict=True):
+            kept, sizes, gone, runs, sums, short = [], [], [], [], [], []
+            null, texts, found, more = [batch.column(len(names) + k).to_pylist() for k in range(4)]
+            for x, t, s, m in zip(null, texts, found, more, strict=True):
                 cut = merge([(x["a"], x["b"]) for x in s or []])
-                parts, at = [], 0
-                for a, b in cut:
-                    parts.append(t[at:a])
-                    at = b
-                parts.append(t[at:])
-                rest = b"".join(parts)
+                rest = outside(t, cut)
                 kept.append(rest)
                 sizes.append(len(t))
                 gone.append(len(t) - len(rest))
                 runs.append([{"a": a, "b": b} for a, b in cut])
                 sums.append(hashlib.sha256(rest).hexdigest())
+                if passages is not None:
+                    short.append(None if x else outside(t, merge([(x["a"], x["b"]) for x in m or []])).decode("utf-8", "ignore"))
             new = [
                 pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()),
                 pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(sums, pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], [*names, *added[:6]])
+            new += [pa.array(short, pa.string())] * (passages is not None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], [*names, *added[: len(new)]])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema + (", without_passages string" if passages is not None else ""))
 
 
-def cut_repeats(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+def cut_repeats(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeats gone from its texts (characters cut apart at an end go too) and ``count_col`` recounted.
 
-    Every row stays, if with an empty text; a null text stays null.
+    Every row stays, if with an empty text; a null text stays null. Repeated rows and ids stay. An empty table gives
+    an empty table.
     """
     names = docs.columns
     rest = [n for n in names if n not in (text_col, count_col)]
     own = docs.select(F.col(text_col).alias("_t"), *[F.col(n).alias(f"_c{k}") for k, n in enumerate(rest)])  # no name clashes
-    found = remove_repeats(own, "_t")
+    found = remove_repeats(own, "_t", length=length)
     kept = F.when(F.col("_t").isNull(), F.lit(None)).otherwise(F.col("kept")).cast("binary")
     src = found.select(*own.columns[1:], kept.alias("_kept"))
 
