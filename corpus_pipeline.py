@@ -20,8 +20,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that repeat anywhere."""
-    return suffix_dedup.cut_repeats(docs)
+    """All documents, without the byte strings of ``PASSAGE`` bytes that repeat anywhere."""
+    return suffix_dedup.cut_repeats(docs, length=suffix_dedup.PASSAGE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
