@@ -286,17 +286,25 @@ def _identity(text: str) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), F.col(text)).alias("k2")]
 
 
-def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, spans): of each distinct text (named by 128 bits) with a repeat, all repeated ranges [a, b)."""
+def spans(
+    docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, within: DataFrame | None = None
+) -> DataFrame:
+    """(k1, k2, spans): of each distinct text (named by 128 bits) with a repeat, all repeated ranges [a, b).
+
+    A range may end beyond the text, where the text's end is meant. ``within``: the same for a shorter length, which
+    speeds the search up: a string that repeats lies wholly in a run of shorter ones, so only long runs are read.
+    """
     import xxhash
 
     before = length - gram
     keyed = docs.select(text.cast("binary").alias("text")).where(F.octet_length("text") >= length)
     keyed = keyed.select("text", *_identity("text"))
+    searched = keyed.withColumn("spans", F.lit(None).cast("array<struct<a:bigint,b:bigint>>")) if within is None else keyed.join(within, list(KEY))
+    searched = searched.select("text", *KEY, "spans")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys = b.column(0).to_pylist(), [b.column(k).to_numpy() for k in (1, 2)]
+            texts, keys, runs = b.column(0).to_pylist(), [b.column(k).to_numpy() for k in (1, 2)], b.column(3).to_pylist()
             held: list[tuple[int, int, bytes]] = []
             total, end = 0, (-1, -1)
 
@@ -313,23 +321,26 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
                 left, right = np.minimum(at, before), np.minimum(size - at, length)
                 digest = xxhash.xxh3_128_digest
                 sig = [digest(texts[d][p - x : p + y], x) for d, p, x, y in zip(doc.tolist(), at.tolist(), left.tolist(), right.tolist(), strict=True)]
-                arrays = [h.view(np.int64), *_halves(sig), *[k[doc] for k in keys], size, at]
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "s1", "s2", "k1", "k2", "size", "at"])
+                arrays = [h.view(np.int64), *_halves(sig), *[k[doc] for k in keys], at]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["anchor", "s1", "s2", "k1", "k2", "at"])
 
             for k, t in enumerate(texts):
-                for start, piece in _pieces(t, length, PIECE_BITS):
-                    if held and total + len(piece) > 1 << PIECE_BITS:
-                        yield out()
-                        held, total = [], 0
-                    held.append((k, start, piece))
-                    total += len(piece)
+                for lo, hi in [(0, len(t))] if runs[k] is None else merge([(x["a"], min(x["b"], len(t))) for x in runs[k]]):
+                    if hi - lo < length:
+                        continue
+                    for start, piece in _pieces(t[lo:hi], length, PIECE_BITS):
+                        if held and total + len(piece) > 1 << PIECE_BITS:
+                            yield out()
+                            held, total = [], 0
+                        held.append((k, lo + start, piece))
+                        total += len(piece)
             if held:
                 yield out()
 
-    found = keyed.mapInArrow(find, "anchor bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, size bigint, at bigint")
+    found = searched.mapInArrow(find, "anchor bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, at bigint")
     # only copies of a text give equal rows
     seg = ["anchor", "s1", "s2"]
-    found = scratch.save(found.groupBy(*seg, *KEY, "size", "at").agg(F.count("*").alias("n")), "anchors")
+    found = scratch.save(found.groupBy(*seg, *KEY, "at").agg(F.count("*").alias("n")), "anchors")
     # written first: Spark can then split the join of a very common anchor
     again = found.groupBy("anchor").agg(F.sum("n").alias("t"), ((F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))).alias("mixed"))
     again = scratch.save(again.where("t > 1").select("anchor", "mixed"), "repeated-anchors")
@@ -372,7 +383,7 @@ def spans(docs: DataFrame, text: Column, scratch: Scratch, length: int = LENGTH,
     ranges = scratch.save(ranges, "segment-ranges")
     placed = some.drop("n").join(ranges, seg)
     a = F.when(F.col("n") > 1, -F.least("at", F.lit(before))).otherwise(F.col("a"))
-    b = F.when(F.col("n") > 1, F.least(F.col("size") - F.col("at"), F.lit(length))).otherwise(F.col("b"))
+    b = F.when(F.col("n") > 1, F.lit(length)).otherwise(F.col("b"))
     placed = placed.select(*KEY, F.struct((F.col("at") + a).alias("a"), (F.col("at") + b).alias("b")).alias("s"))
     out = scratch.save(placed.groupBy(*KEY).agg(F.sort_array(F.collect_set("s")).alias("spans")), "ranges")
     scratch.drop("repeated", "kinds", "sorted", "split", "segment-ranges")
@@ -398,7 +409,7 @@ def remove_repeats(
     Texts are judged as UTF-8 bytes, a null text as an empty one. All strings are judged on the input, copies of a text as
     rows of their own (so equal texts of ``length`` bytes or more lose all). Rows pass through whatever
     their other columns hold; columns of the names above are replaced. Empty tables give empty tables.
-    ``passages``: a second, shorter length; then there is one more column, without_passages (string): the whole text
+    ``passages``: a second length, no longer than the first; then there is one more column, without_passages (string): the whole text
     without the repeats of that length (characters cut apart at an end go too; null for a null text).
     """
     added = ("kept", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256", "without_passages")
@@ -406,12 +417,15 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = df.columns
     df = df.withColumn("_text", text.cast("binary")).select("*", *_identity("_text"))
-    for column, n in (("_spans", length), ("_short", passages)):
-        if n is None:
-            df = df.withColumn(column, F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
-        else:
-            ranges = spans(docs, text, Scratch(docs.sparkSession, "suffixes"), n, gram)
-            df = df.join(ranges.withColumnRenamed("spans", column), list(KEY), "left")
+    shorter = None
+    if passages is not None:
+        shorter = spans(docs, text, Scratch(docs.sparkSession, "passages"), passages, gram)
+    ranges = spans(docs, text, Scratch(docs.sparkSession, "suffixes"), length, gram, shorter)
+    df = df.join(ranges.withColumnRenamed("spans", "_spans"), list(KEY), "left")
+    if shorter is None:
+        df = df.withColumn("_short", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    else:
+        df = df.join(shorter.withColumnRenamed("spans", "_short"), list(KEY), "left")
     df = df.select(*names, F.col(text_col).isNull().alias("_null"), "_text", "_spans", "_short")
     kinds = {n: df.schema[n].dataType.simpleString() for n in names}
     schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
@@ -429,7 +443,7 @@ def remove_repeats(
             kept, sizes, gone, runs, sums, short = [], [], [], [], [], []
             null, texts, found, more = [batch.column(len(names) + k).to_pylist() for k in range(4)]
             for x, t, s, m in zip(null, texts, found, more, strict=True):
-                cut = merge([(x["a"], x["b"]) for x in s or []])
+                cut = merge([(x["a"], min(x["b"], len(t))) for x in s or []])
                 rest = outside(t, cut)
                 kept.append(rest)
                 sizes.append(len(t))
@@ -437,7 +451,7 @@ def remove_repeats(
                 runs.append([{"a": a, "b": b} for a, b in cut])
                 sums.append(hashlib.sha256(rest).hexdigest())
                 if passages is not None:
-                    short.append(None if x else outside(t, merge([(x["a"], x["b"]) for x in m or []])).decode("utf-8", "ignore"))
+                    short.append(None if x else outside(t, merge([(x["a"], min(x["b"], len(t))) for x in m or []])).decode("utf-8", "ignore"))
             new = [
                 pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()),
                 pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(sums, pa.string()),
