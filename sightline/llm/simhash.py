@@ -174,31 +174,37 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     own = F.pmod(F.xxhash64("fp"), F.col("salts"))
     rows = rows.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")  # parts of the cell: the tree's, and the queries'
-    cell = F.col("key") * (1 << 32) + low * (1 << 16) + high
-    rows = rows.select(cell.alias("key"), "fp", (F.col("own") == low).alias("tree"), (F.col("own") == high).alias("ask"))
+    rows = rows.select("key", low.alias("low"), high.alias("high"), "fp", (F.col("own") == low).alias("tree"), (F.col("own") == high).alias("ask"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
 
-        def out(part):
-            u, v = _shard_edges(*part, radius)
+        def cells(rows: tuple) -> np.ndarray:
+            """Numbers of the rows' cells, from 0."""
+            new = np.logical_or.reduce([c[1:] != c[:-1] for c in rows[:3]])
+            return np.cumsum(np.concatenate([[False], new]))
+
+        def out(rows: tuple) -> pa.RecordBatch:
+            u, v = _shard_edges(cells(rows), *rows[3:], radius)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
         for b in batches:
-            held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
+            held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(6)))
             count += b.num_rows
             if count < 100_000:
                 continue
-            key, fp, tree, ask = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = int(np.searchsorted(key, key[-1]))  # the last shard may go on
+            rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            cell = cells(rows)
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
             if cut:
-                yield out((key[:cut], fp[:cut], tree[:cut], ask[:cut]))
-            held, count = [(key[cut:], fp[cut:], tree[cut:], ask[cut:])], len(key) - cut
+                yield out(tuple(c[:cut] for c in rows))
+            held, count = [tuple(c[cut:] for c in rows)], count - cut
         if count:
             yield out(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    cell = ("key", "low", "high")
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
