@@ -23,7 +23,7 @@ SAMPLE = 20_000
 LEARNERS = 12
 BUCKETS = 1 << 15
 PENALTY = 12.0
-#: Texts are scored together up to so many characters.
+#: Texts are scored together up to so many characters; fewer with over eight languages.
 GROUP_CHARS = 3_000_000
 
 #: First and last code point of the main letters of each script (fixed values).
@@ -57,7 +57,11 @@ def _scripts() -> np.ndarray:
 
 
 def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
+    """Code points of the text in lower case, one for each of its characters."""
+    low = text.lower()
+    if len(low) != len(text):  # the lower case of a few characters is two: the first of them stands for both
+        low = "".join(c.lower()[0] for c in text)
+    return np.frombuffer(low.encode("utf-32-le", "replace"), "<u4")
 
 
 def _codes(c: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +106,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) ->
     order = np.argsort(-sizes, kind="stable")
     first = (np.cumsum(sizes) - sizes)[order]
     running = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max()), "right")
-    back = np.empty(scores.shape, np.uint8)
+    back = np.empty(scores.shape, np.min_scalar_type(max(scores.shape[1] - 1, 0)))
     value = scores[first].astype(np.float64)
     own = np.arange(scores.shape[1])
     for t in range(1, len(running)):
@@ -114,7 +118,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) ->
         rows = first[:n] + t
         back[rows] = np.where(stay, own, top[:, None])
         value[:n] = np.maximum(v, best[:, None]) + scores[rows]
-    out = np.empty(len(scores), np.uint8)
+    out = np.empty(len(scores), np.int64)
     state = value.argmax(axis=1)
     for t in range(len(running) - 1, -1, -1):
         n = running[t]
@@ -155,7 +159,7 @@ def detect(texts: list[str | None], model: Model, penalty: float = PENALTY) -> l
         if t:
             group.append(i)
             chars += len(t)
-            if chars > GROUP_CHARS:
+            if chars * max(1, len(model.langs) / 8) > GROUP_CHARS:
                 flush()
                 group, chars = [], 0
     if group:
@@ -163,14 +167,17 @@ def detect(texts: list[str | None], model: Model, penalty: float = PENALTY) -> l
     return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learns from about ``sample`` rows whose text and language are not null, picked by a hash of the text.
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """Learns from at most ``sample`` documents whose language is not null, those with the least hashes of their ids.
 
-    ``LEARNERS`` tasks sum trigrams and scripts per language; each sends a row per language to the driver.
+    Rows that repeat an id count once (the least by language and text); a null text teaches nothing. ``LEARNERS`` tasks
+    sum trigrams and scripts per language; each sends a row per language to the driver.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).repartition(LEARNERS)
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # the hash at which the sample ends; combined before it is sorted, so that a repeated id is one row
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("row"))
+    rows = rows.select("row.lang", "row.text").where("text is not null").repartition(LEARNERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
