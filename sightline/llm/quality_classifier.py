@@ -26,6 +26,8 @@ FORM_WEIGHT = 3.0
 RANK, NEIGHBOURS = 48, 15
 #: A document's trigrams are counted in pieces of so many bytes (all of them).
 PIECE = 1 << 22
+#: Documents whose cosines are computed at once.
+BLOCK = 500
 
 
 def terms(text: bytes | None) -> np.ndarray:
@@ -79,7 +81,10 @@ class Space:
             return np.full(len(counts), self.prior)
         sims = self.fold(counts) @ self.vectors.T
         k = min(NEIGHBOURS, sims.shape[1])
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+        over, level = sims > least, sims == least  # of those level with the last one, the first make up the number
+        take = over | level & (np.cumsum(level, axis=1) <= k - over.sum(axis=1, keepdims=True))
+        near = np.nonzero(take)[1].reshape(len(sims), k)
         w = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 8
         total = w.sum(axis=1)
         votes = (w * self.labels[near]).sum(axis=1)
@@ -103,20 +108,25 @@ def fit_space(counts: np.ndarray, labels: np.ndarray, rank: int = RANK, seed: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Space:
-    """Fits on at most ``sample`` rows with a label, the same ones at each run (least hash of the id)."""
+    """Fits on at most ``sample`` documents with a label, the same ones at each run (least hash of the id).
+
+    Rows that repeat an id count once: with the least of their labels and the least of their texts that are not null.
+    Of neighbours that are equally near, the ones with the least ids vote.
+    """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
     picked = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.minimum(terms(t), 60000).astype("<f2").tobytes() for t in b.column(2).to_pylist()]
+            found = [terms(t).astype("<f4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "label", "terms"])
 
     id_type = rows.schema["id"].dataType.simpleString()
     got = rows.select("id", "label", "text").mapInArrow(run, f"id {id_type}, label double, terms binary").toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
-    counts = np.array([np.frombuffer(t, "<f2") for t in got["terms"].to_pylist()], np.float32).reshape(-1, HASHED + FORM)
+    counts = np.array([np.frombuffer(t, "<f4") for t in got["terms"].to_pylist()], np.float32).reshape(-1, HASHED + FORM)
     return fit_space(counts[order], got["label"].to_numpy()[order])
 
 
@@ -131,12 +141,12 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            s = shared.value.score(np.array([terms(t) for t in b.column(1).to_pylist()]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"]
-            )
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                s = shared.value.score(np.array([terms(t) for t in part.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [id_col, "score", "predicted"]
+                )
 
     src = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double, predicted int")
