@@ -1,8 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a named reject condition over text statistics. Cost and rejection of each rule are
-estimated on a sample, rules are ordered by rejection per cost, and the verdict is one nested CASE: a
+Each rule is a named reject condition that computes its own statistic of the text. Cost and rejection of each rule are
+estimated on a sample of raw texts, rules are ordered by rejection per cost, and the verdict is one nested CASE: a
 rule is evaluated only for rows that every earlier rule passed. The verdict is the same in any order.
+
+``judge`` returns the base statistics of every row, so these are computed for all; only the other rules wait for
+the base ones and for each other. ``keep_good`` computes nothing for a row that an earlier rule rejects: the text of
+such rows is nulled before the one statistic that takes several steps, the repeated words.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject``: a boolean column over the text statistics; null counts as no rejection."""
+    """``reject``: a boolean column over the text and its number of words; null counts as no rejection."""
 
     name: str
     reject: Column
@@ -110,35 +114,72 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def default_rules(text_col: str = "text") -> list[Rule]:
-    """Rules beyond the base ones; each states a fixed share, so a verdict never depends on other rows."""
-    text, n = F.coalesce(F.col(text_col), F.lit("")), F.col("n_words")
+#: Patterns of the rules: a word, capital letters, letters, ends of sentences, lines that begin as items or end in an ellipsis.
+WORD = r"[^\x20\x09-\x0D]+"
+CAPITAL, LETTER, STOP = r"\p{Lu}", r"[\p{L}\p{M}]", "[.!?\u2026\u3002\uff01\uff1f]"
+ITEM, ELLIPSIS = r"^[ \t]*[-*\u2022]", r"(?:\.\.\.|\u2026)[ \t]*$"
+REPEATS = "repeated_words"
+
+
+def default_rules(text_col: str = "text", n: Column | None = None) -> list[Rule]:
+    """Rules beyond the base ones; each states a fixed share, so a verdict never depends on other rows.
+
+    ``n``: the number of words, where it is known (column n_words unless given).
+    """
+    text, n = F.coalesce(F.col(text_col), F.lit("")), F.col("n_words") if n is None else n
+
+    def hits(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    lines = F.size(F.split(text, "\n"))
+    letters_of_words = F.length(F.translate(text, WHITE, ""))
+    filled = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("short_words", F.col("word_chars") < 2 * n),
-        Rule("long_words", F.col("word_chars") > 20 * n),
-        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.size(F.split(text, "\n"))),
+        Rule("symbols", 10 * count_of(text, SYMBOLS) > n),
+        Rule("short_words", letters_of_words < 2 * n),
+        Rule("long_words", letters_of_words > 20 * n),
+        Rule("duplicate_lines", 2 * (F.size(filled) - F.size(F.array_distinct(filled))) > lines),
         Rule("exclamations", 2 * count_of(text, "!") > n),
+        Rule("capitals", 10 * hits(CAPITAL) > 3 * F.length(text)),
+        Rule("few_letters", 20 * hits(LETTER) < 11 * F.length(text)),
+        Rule("no_sentences", 200 * hits(STOP) < n),
+        Rule("item_lines", 10 * hits("(?md)" + ITEM) > 9 * lines),
+        Rule("ellipsis_lines", 10 * hits("(?md)" + ELLIPSIS) > 3 * lines),
     ]
 
 
-def order_rules(stats: DataFrame, rules: list[Rule], share: float = 0.01, seed: int = 7) -> list[Rule]:
-    """Rules by rejection per cost, both estimated on a sample of ``share`` of the rows.
+#: Share of the rows that the order of rules is estimated on, and how many rows that is at most, about.
+SHARE, SAMPLE_ROWS = 0.01, 200_000
 
-    Cost: seconds that a count of the rule's rejections over the written sample takes. The sample only
-    sets the order of evaluation. On an empty sample the given order stays.
+
+def sampled(docs: DataFrame, share: float, seed: int = 7) -> DataFrame:
+    return docs.sample(min(1.0, share, SAMPLE_ROWS / max(docs.count(), 1)), seed=seed)
+
+
+def order_rules(sample: DataFrame, rules: list[Rule], others: dict[str, DataFrame] | None = None) -> list[Rule]:
+    """Rules by rejection per cost, both estimated on ``sample``, a written table of raw texts.
+
+    Cost: seconds that a count of the rule's rejections takes, less those of a count that evaluates nothing. The sample
+    only sets the order of evaluation. On an empty sample the given order stays. ``others``: rejected rows of the sample
+    by rules that are no single column; they come back as rules without a condition.
     """
-    scratch = Scratch(stats.sparkSession, "rule-sample")
-    sample = scratch.save(stats.sample(share, seed=seed), "sample")
-    n = sample.count()
+
+    def clocked(df: DataFrame) -> tuple[int, float]:
+        began = time.perf_counter()
+        n = df.count()
+        return n, time.perf_counter() - began
+
+    rules = [*rules, *[Rule(k, F.lit(None).cast("boolean")) for k in others or {}]]
+    text = F.col(sample.columns[0])
+    empty = sample.where(text.isNotNull() | text.isNull())
+    clocked(empty)
+    n, idle = clocked(empty)
     if not n:
-        return list(rules)
+        return rules
     score = {}
     for rule in rules:
-        began = time.perf_counter()
-        rejected = sample.where(rule.reject).count()
-        score[rule.name] = rejected / n / max(time.perf_counter() - began, 1e-3)
-    scratch.drop("sample")
+        rejected, took = clocked((others or {}).get(rule.name, sample.where(rule.reject)))
+        score[rule.name] = rejected / n / max(took - idle, 1e-3)
     return sorted(rules, key=lambda r: -score[r.name])
 
 
@@ -150,23 +191,67 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, text_col: str = "text", share: float = 0.01) -> DataFrame:
+def _barred(keep: Column) -> Column:
+    """``keep`` as a column to filter on, which Spark cannot push below the columns it is made of: the row's number in it
+    bars that. Pushed down, each of those columns would be computed once for each of its uses.
+    """
+    return keep & (F.monotonically_increasing_id() >= 0)
+
+
+def _word_count(text_col: str) -> Column:
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
+
+
+def judge(docs: DataFrame, text_col: str = "text", share: float = SHARE) -> DataFrame:
     """``docs`` with the statistics, base_failed and kept.
 
     kept is false where base_failed, else where no rule of the cascade rejects. Null and empty texts fail
     the base rules. Repeated rows are judged one by one; an empty table gives an empty table.
     """
     df = without(docs, "base_failed", "kept")
-    sampled = statistics(df.select(text_col).sample(share, seed=7), text_col)
-    rules = order_rules(sampled, default_rules(text_col), share=1.0)
+    scratch = Scratch(docs.sparkSession, "rule-sample")
+    sample = scratch.save(sampled(df.select(F.col(text_col).alias("text")), share).withColumn("n_words", _word_count("text")), "sample")
+    order = [r.name for r in order_rules(sample, default_rules())]
+    scratch.drop("sample")
+    rules = {r.name: r for r in default_rules(text_col)}
     stats = statistics(df, text_col)
-    kept = F.when(base_failed(), F.lit(False)).otherwise(verdict(rules).isNull())
-    # the row number keeps Spark from pushing a filter on kept below the statistics, where each would be
-    # computed again for every use
-    kept = kept & (F.monotonically_increasing_id() >= 0)
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", kept)
+    kept = F.when(base_failed(), F.lit(False)).otherwise(verdict([rules[k] for k in order]).isNull())
+    return stats.withColumn("base_failed", base_failed()).withColumn("kept", _barred(kept))
+
+
+def repeated_words(docs: DataFrame, text_col: str, out: str) -> DataFrame:
+    """``docs`` with the number of words in windows of five found twice or more; null where the text is null."""
+    names = docs.columns
+    df = docs.withColumn("_words", F.when(F.col(text_col).isNotNull(), words(F.col(text_col))))
+    five = F.arrays_zip(*[F.slice("_words", k + 1, F.greatest(F.size("_words") - 4, F.lit(0))).alias(f"w{k}") for k in range(5)])
+    df = df.select(*names, F.transform(five, lambda w: F.xxhash64(*[w[f"w{k}"] for k in range(5)])).alias("_hash"))
+    return _repeated(df, "_hash", "_repeats").select(*names, F.when(F.col("_hash").isNotNull(), F.col("_repeats")).alias(out))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with the columns of ``docs``."""
-    return judge(docs, text_col).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text_col: str = "text", share: float = SHARE, order: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with the columns of ``docs``.
+
+    ``order``: names of all rules in the order of evaluation, instead of the estimated one. Null and empty texts go;
+    repeated rows are judged one by one; an empty table gives an empty table.
+    """
+
+    def cheap(n: Column, text: str) -> list[Rule]:
+        return [Rule("few_words", n < 10), *default_rules(text, n)]
+
+    if order is None:
+        scratch = Scratch(docs.sparkSession, "rule-sample")
+        sample = scratch.save(sampled(docs.select(F.col(text_col).alias("text")), share).withColumn("n_words", _word_count("text")), "sample")
+        repeats = repeated_words(sample, "text", "n_repeat_words").withColumn("_out", _barred(100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+        order = [r.name for r in order_rules(sample, cheap(F.col("n_words"), "text"), {REPEATS: repeats.where("_out")})]
+        scratch.drop("sample")
+    own = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)])  # no name clashes
+    text = f"_c{docs.columns.index(text_col)}"
+    own = own.withColumn("_n", _word_count(text))
+    rules = {r.name: r for r in cheap(F.col("_n"), text)}
+    at = order.index(REPEATS)
+    before, after = [rules[k] for k in order[:at]], [rules[k] for k in order[at + 1 :]]
+    own = own.withColumn("_left", F.when(verdict(before).isNull(), F.col(text)))
+    own = repeated_words(own, "_left", "_again")
+    kept = F.when(100 * F.col("_again") <= 20 * F.col("_n"), verdict(after).isNull())  # _again is null where a rule has rejected
+    own = own.withColumn("_kept", _barred(F.coalesce(kept, F.lit(False)))).where("_kept")
+    return own.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
