@@ -9,13 +9,74 @@ are the sum over committed batches; ``compact`` folds them into one.
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs bigint, tokens bigint"
 
+_COUNTERS: dict[tuple, object] = {}
+
+
+def _counter(path: str, pattern: str | None):
+    """Counts the tokens of an array of texts with a tokenizer file; one for each worker and file."""
+    key = (path, pattern)
+    if key not in _COUNTERS:
+        if pattern is None:
+            from .packing import word_tokenizer
+
+            words = word_tokenizer(path)
+            _COUNTERS[key] = lambda texts: np.diff(words.encode_flat(texts)[1])
+        else:
+            import base64
+
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            encode = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            _COUNTERS[key] = lambda texts: np.array([len(encode(t)) if t else 0 for t in texts.to_pylist()], np.int64)
+    return _COUNTERS[key]
+
+
+def token_counts(docs: DataFrame, texts: Mapping[str, str], versions: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """``docs`` without its text columns, with ``<version>/<name>`` for each version and text: its tokens.
+
+    ``texts``: text columns by name. ``versions``: path of a tokenizer file that is there on every executor and, for files
+    of ranks, the pattern of their words; without one the file is a word-level BPE in JSON. Special tokens are not
+    added. A null text has a null count, an empty one 0. An empty table gives an empty table.
+    """
+    rest = [c for c in docs.columns if c not in texts.values()]
+    names = [f"{v}/{t}" for v in versions for t in texts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        from .packing import slices
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        for b in batches:
+            found = []
+            for path, pattern in versions.values():
+                count = _counter(path, pattern)
+                for k in range(len(texts)):
+                    column = b.column(len(rest) + k)
+                    n = np.concatenate([np.empty(0, np.int64), *[count(part) for part in slices(column)]])
+                    found.append(pc.if_else(column.is_null(), pa.scalar(None, pa.int64()), pa.array(n)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *found], [*rest, *names])
+
+    src = docs.select(*rest, *[F.col(c).alias(f"_text{k}") for k, c in enumerate(texts.values())])
+    kinds = [f"`{c}` {src.schema[c].dataType.simpleString()}" for c in rest]
+    return src.mapInArrow(run, ", ".join([*kinds, *[f"`{n}` bigint" for n in names]]))
+
+
 #: Tokenizer versions that are patterns: each match is a token.
 PATTERNS = {
     "words-1": r"[^\x20\x09-\x0D]+",
@@ -66,7 +127,7 @@ class TokenRollup:
         return fs.exists(p)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds the batch unless it is there; says whether it did. Null keys are keys of their own.
+        """Adds the batch unless it is there; says whether it did. Null keys are keys of their own, an empty batch counts.
 
         A folded batch counts as there: ``compact`` keeps the ids it has folded as empty batches.
         """
@@ -75,7 +136,19 @@ class TokenRollup:
         if self._done(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        own = f"{self.path}/writing-{batch}-{uuid.uuid4().hex[:12]}"
+        sums.write.parquet(own)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        fs, p = self._fs(own)
+        no_options = self.spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+            context.rename(p, hadoop.Path(f"{self.path}/batch={batch}"), no_options)
+        except Py4JJavaError as e:
+            fs.delete(p, True)
+            if "FileAlreadyExistsException" in str(e.java_exception) and self._done(batch):
+                return False  # another writer was first
+            raise
         return True
 
     def totals(self) -> DataFrame:
