@@ -1,7 +1,8 @@
 """URL filter: rules by host and path, then a list of canonical URLs behind a blocked Bloom filter.
 
-The list can be of any length. A blocked Bloom filter of it (each key sets ``BITS`` bits in one block of 512)
-has a fixed number of blocks, so its broadcast is bounded by ``blocks * 80`` bytes whatever the list's length.
+The list can be of any length. A blocked Bloom filter of it (each key sets ``BITS`` bits in one block of 512) has
+a block for about ``KEYS_A_BLOCK`` keys, but ``MOST_BLOCKS`` at most, so its broadcast is bounded by 84 MB (80 bytes a block)
+whatever the list's length; a list of over 40 million URLs only lets more through to the join.
 URLs that pass are possible hits; only they are shuffled into the exact hash join with the list, which
 removes false positives. All others never leave their partition.
 """
@@ -18,8 +19,9 @@ from .common import Scratch, without
 
 #: Bits set for each key, at most, in its block of eight words.
 BITS = 8
-#: 2**15 blocks of 64 bytes: 2 MB of filter, about 1 % false positives at 1.7 million listed URLs.
-BLOCKS = 1 << 15
+#: About 1 % false positives.
+KEYS_A_BLOCK = 40
+LEAST_BLOCKS, MOST_BLOCKS = 1 << 8, 1 << 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -54,7 +56,12 @@ def _place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     ]
 
 
-def bloom(listed: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
+def filter_blocks(keys: int) -> int:
+    """Blocks of a filter for so many keys: a power of two."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (max(keys - 1, 0) // KEYS_A_BLOCK).bit_length()))
+
+
+def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     """(block, w0..w7): at most ``blocks`` rows, made by partial bit_or before the shuffle."""
     block, masks = _place(F.col(key), blocks)
     return listed.groupBy(block.alias("block")).agg(*[F.bit_or(m).alias(f"w{k}") for k, m in enumerate(masks)])
@@ -65,14 +72,16 @@ def judge(
     listed: DataFrame,
     rules: Sequence[tuple[str, str, str]],
     url_col: str = "url",
-    blocks: int = BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """``pages`` with host, path, rule, listed (boolean) and verdict.
 
     The longest fitting rule gives the verdict; without one, a URL whose canonical form is in
     ``listed`` (column ``key``, repeats allowed) is blocked and any other allowed. Null URLs and URLs
-    without ``://`` have an empty host and path, fit no rule and are never listed. Columns of those names
-    are replaced; empty tables give empty tables, an empty list lists nothing.
+    without ``://`` have an empty host and path, fit no rule and are never listed; URLs of any length are judged whole.
+    Of rules that fit equally long ones, the last by (verdict, host, path) wins. Repeated rows are judged one by one.
+    Columns of those names are replaced; empty tables give empty tables, an empty list lists nothing. ``blocks`` of
+    the filter follow from the list's length unless given.
     """
     added = ("host", "path", "rule", "listed", "verdict")
     host, path = host_path(F.col(url_col))
@@ -83,6 +92,7 @@ def judge(
     df = df.withColumn("_key", canonical(F.col("host"), F.col("path")))
     keys = listed.select(F.col("key").alias("_key")).where("_key <> ''").distinct()
     keys = Scratch(pages.sparkSession, "url-list").save(keys, "keys")
+    blocks = blocks or filter_blocks(keys.count())
     block, masks = _place(F.col("_key"), blocks)
     sifted = df.withColumn("_block", block).join(F.broadcast(bloom(keys, "_key", blocks)), F.col("_block") == F.col("block"), "left")
     hit = reduce(lambda a, b: a & b, [F.col(f"w{k}").bitwiseAND(m) != 0 for k, m in enumerate(masks)])
@@ -98,10 +108,18 @@ def judge(
 
 #: Host labels whose pages put their canonical URLs on the list.
 SPAM_WORDS = ("spam", "pills", "casino", "porn", "xxx", "warez", "viagra")
+#: Marks that stand after a space, and the number of spaces for each one from which a page's text is junk.
+MARK, MARKS_PER_SPACE = r" [|#*$%~^]", 20
 
 
-def spam_urls(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """(key): canonical URLs of pages with a host label that has one of ``SPAM_WORDS`` between hyphens."""
+def bad_urls(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(key): canonical URLs of pages whose content or host shows that they are bad.
+
+    Content: more than one space in ``MARKS_PER_SPACE`` is followed by a mark. Host: a label has one of ``SPAM_WORDS``
+    between hyphens. Other pages at the same canonical URL are then listed too, whatever they hold. A null html is no
+    evidence; a null URL has no key.
+    """
     host, path = host_path(F.col(url_col))
     words = r"(?:^|[.-])(?:" + "|".join(SPAM_WORDS) + r")(?:[.-]|$)"
-    return pages.where(host.rlike(words)).select(canonical(host, path).alias("key"))
+    junk = MARKS_PER_SPACE * F.regexp_count(html_col, F.lit(MARK)) > F.regexp_count(html_col, F.lit(" "))
+    return pages.where(host.rlike(words) | F.coalesce(junk, F.lit(False))).select(canonical(host, path).alias("key"))
