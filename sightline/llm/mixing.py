@@ -4,7 +4,7 @@ Shares of the sources' tokens are raised to an exponent and normalised. The expo
 the weights reach a target entropy or keep within a repetition limit. A source's weight then buys it a
 number of tokens: whole epochs of the source, and part of one more. Each epoch is a permutation of the
 source's blocks and of the documents within each block; only block totals are accumulated over a
-source (at most ``BLOCKS`` rows for each), and only the block where the budget ends is accumulated by document.
+source (a row for each of its blocks), and only the block where the budget ends is accumulated by document.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Blocks of a source; a document's block follows from its id.
-BLOCKS = 1024
+#: Blocks of a source, at least; a document's block follows from its id. There are as many, at a power of two, as leave
+#: a block of the largest possible source about ``BLOCK_ROWS`` documents.
+BLOCKS, BLOCK_ROWS = 1024, 100_000
 #: Bisection steps in all, and how many of them one pass over the sources serves.
 STEPS, AT_ONCE = 20, 5
 
@@ -84,7 +85,9 @@ def mix(
     scratch = Scratch(spark, "mixing")
     block = F.conv(F.substring(_order(F.lit(seed), F.lit("b"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("tokens"))
-    rows = scratch.save(rows.withColumn("block", (block.cast("bigint") % BLOCKS).cast("int")), "rows")
+    rows = scratch.save(rows.withColumn("block", block.cast("bigint")), "rows")
+    n_blocks = max(BLOCKS, 1 << (max(rows.count() - 1, 0) // BLOCK_ROWS).bit_length())
+    rows = rows.withColumn("block", (F.col("block") % n_blocks).cast("int"))
     blocks = scratch.save(rows.groupBy("source", "block").agg(F.sum("tokens").alias("in_block")), "blocks")
     sources = blocks.groupBy("source").agg(F.sum("in_block").alias("total"))
     grand = sources.agg(F.sum("total")).first()[0] or 0

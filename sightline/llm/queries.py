@@ -32,8 +32,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_filter.judge(pages, url_filter.spam_urls(pages), URL_RULES)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    judged = url_filter.judge(pages.drop("html"), url_filter.bad_urls(pages), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
@@ -68,19 +68,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), budget=1.0, entropy=MIX_ENTROPY, repetition=None)
 
 
-def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after loads by two tokenizer versions, revised counts, deletes, and a replay of each batch."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    short = token_rollup.without_repeated_lines(F.col("text"))
-    versions = list(token_rollup.PATTERNS)
-    counts = docs.withColumn("_short", F.when(F.length(short) < F.length("text"), short))
-    cols = []
-    for v in versions:
-        n = token_rollup.count_tokens(F.col("text"), v)
-        cols += [n.alias(f"{v}/old"), F.when(F.col("_short").isNotNull(), token_rollup.count_tokens(F.col("_short"), v)).otherwise(n).alias(f"{v}/new")]
-    scratch = Scratch(spark, "token-counts")
-    counts = scratch.save(counts.select("doc_id", "source", "lang", *cols), "counts")
-    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+def _rollup(scratch: Scratch, counts: DataFrame, versions: list[str], toxic: DataFrame) -> DataFrame:
+    """Totals after loads by two tokenizer versions, revised counts, deletes, and a replay of each batch.
+
+    ``counts``: doc_id, source, lang and, for each version, its counts ``<version>/old`` and ``<version>/new``.
+    """
 
     def rows(v: str, tokens: str, of: DataFrame) -> DataFrame:
         return of.select("source", "lang", F.lit(v).alias("tokenizer"), F.col(f"`{v}/{tokens}`").alias("tokens"), F.col(f"`{v}/old`").alias("old"))
@@ -93,13 +85,47 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "3-lines": token_rollup.revisions(revised, "old", "tokens"),
         "4-toxic": token_rollup.deletes(rows(versions[0], "new", gone).unionByName(rows(versions[1], "new", gone))),
     }
-    rollup = token_rollup.TokenRollup(spark, f"{scratch.root}/rollup")
+    rollup = token_rollup.TokenRollup(scratch.spark, f"{scratch.root}/rollup")
     for _ in range(2):  # the second time nothing is added
         for name, changes in batches.items():
             rollup.commit(name, changes)
     return rollup.totals()
 
 
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+
+
+def _shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``short``: the text without its repeated lines, null where there are none."""
+    short = token_rollup.without_repeated_lines(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return docs.withColumn("short", F.when(F.length(short) < F.length("text"), short))
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of two tokenizer versions; repeated lines are taken out of texts, then toxic documents go."""
+    import public_tokenizers as p
+
+    versions = {"word-bpe-49k": (p.path("word_bpe_49k.json"), None), "byte-bpe-50k": (p.path("byte_bpe_50k.tiktoken"), p.PATTERN)}
+    counts = token_rollup.token_counts(_shortened(spark, sf_dir), {"old": "text", "new": "short"}, versions)
+    cols = [F.coalesce(f"`{v}/new`", f"`{v}/old`").alias(f"{v}/new") for v in versions]
+    counts = counts.select("doc_id", "source", "lang", *[F.col(f"`{v}/old`") for v in versions], *cols)
+    scratch = Scratch(spark, "token-counts")
+    return _rollup(scratch, scratch.save(counts, "counts"), list(versions), _toxic(spark, sf_dir))
+
+
+def rollup_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes with counts by two patterns, which SQL can check."""
+    counts, cols = _shortened(spark, sf_dir), []
+    for v in token_rollup.PATTERNS:
+        n = token_rollup.count_tokens(F.col("text"), v)
+        cols += [n.alias(f"{v}/old"), F.when(F.col("short").isNotNull(), token_rollup.count_tokens(F.col("short"), v)).otherwise(n).alias(f"{v}/new")]
+    scratch = Scratch(spark, "token-counts")
+    counts = scratch.save(counts.select("doc_id", "source", "lang", *cols), "counts")
+    return _rollup(scratch, counts, list(token_rollup.PATTERNS), _toxic(spark, sf_dir))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_quality_classifier": op2_quality_classifier,
@@ -111,11 +137,19 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_token_rollup": op10_token_rollup,
+    "rollup_patterns": rollup_patterns,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _CANONICAL = r"regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '')"
 
+
+
+def _plain(pattern: str) -> str:
+    r"""The pattern with the characters that its \u escapes name, which DuckDB's patterns lack."""
+    return pattern.replace(r"\u2022", "\u2022").replace(r"\u2026", "\u2026")
+
+
 #: Quality statistics of a table ``docs`` (doc_id, text), and the verdict; shared with the pipeline's tests.
 QUALITY_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
@@ -130,20 +164,25 @@ s AS (SELECT d.doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
       FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
       10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-      OR 2 * n_dup_lines > len(string_split(text, chr(10))) OR 2 * length(regexp_replace(text, '[^!]', '', 'g')) > n_words AS rejected FROM s)
+      OR 2 * n_dup_lines > len(string_split(text, chr(10))) OR 2 * length(regexp_replace(text, '[^!]', '', 'g')) > n_words
+      OR 10 * len(regexp_extract_all(text, '{quality_rules.CAPITAL}')) > 3 * length(text) OR 20 * len(regexp_extract_all(text, '{quality_rules.LETTER}')) < 11 * length(text)
+      OR 200 * len(regexp_extract_all(text, '{quality_rules.STOP}')) < n_words
+      OR 10 * len(regexp_extract_all(text, '(?m){_plain(quality_rules.ITEM)}')) > 9 * len(string_split(text, chr(10)))
+      OR 10 * len(regexp_extract_all(text, '(?m){_plain(quality_rules.ELLIPSIS)}')) > 3 * len(string_split(text, chr(10))) AS rejected FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b
 """
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": rf"""
-WITH a AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
-h AS (SELECT page_id, lower(regexp_extract(rest, '(?s)^([^/?#]*)', 1)) AS host, regexp_extract(rest, '(?s)^[^/?#]*(/[^?#]*)', 1) AS path FROM a),
+WITH a AS (SELECT page_id, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
+h AS (SELECT page_id, html, lower(regexp_extract(rest, '(?s)^([^/?#]*)', 1)) AS host, regexp_extract(rest, '(?s)^[^/?#]*(/[^?#]*)', 1) AS path FROM a),
 c AS (SELECT *, {_CANONICAL} AS key, CASE
   WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM h),
-t AS (SELECT DISTINCT key FROM c WHERE key <> '' AND regexp_matches(host, '(?:^|[.-])(?:{"|".join(url_filter.SPAM_WORDS)})(?:[.-]|$)'))
+t AS (SELECT DISTINCT key FROM c WHERE key <> '' AND (regexp_matches(host, '(?:^|[.-])(?:{"|".join(url_filter.SPAM_WORDS)})(?:[.-]|$)')
+  OR coalesce({url_filter.MARKS_PER_SPACE} * len(regexp_extract_all(html, '{url_filter.MARK}')) > len(regexp_extract_all(html, ' ')), false)))
 SELECT page_id, host, path, rule, rule IS NULL AND key IN (SELECT key FROM t) AS listed,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN key IN (SELECT key FROM t) THEN 'block' ELSE 'allow' END AS verdict FROM c
@@ -151,7 +190,7 @@ SELECT page_id, host, path, rule, rule IS NULL AND key IN (SELECT key FROM t) AS
     "op7_quality_rules": QUALITY_SQL,
     "op9_mixing": rf"""
 WITH RECURSIVE t AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS tokens,
-  CAST('0x' || substr(md5('mix:b:' || doc_id), 1, 8) AS BIGINT) % 1024 AS block FROM documents),
+  CAST('0x' || substr(md5('mix:b:' || doc_id), 1, 8) AS BIGINT) % (SELECT CASE WHEN count(*) <= 102400000 THEN 1024 ELSE CAST(pow(2, floor(log2(greatest((count(*) - 1) // 100000, 1))) + 1) AS BIGINT) END FROM documents) AS block FROM documents),
 bl AS (SELECT source, block, sum(tokens) AS in_block FROM t GROUP BY 1, 2),
 s AS (SELECT source, sum(in_block) AS total FROM bl GROUP BY 1),
 g AS (SELECT CAST(sum(total) AS DOUBLE) AS grand FROM s),
@@ -176,7 +215,7 @@ o AS (SELECT doc_id, source, tokens, block, epoch FROM w UNION ALL SELECT doc_id
 SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch,
   substr(md5('mix:' || epoch || ':block:' || block), 1, 8) || '-' || substr(md5('mix:' || epoch || ':doc:' || doc_id), 1, 16) AS draw_key FROM o
 """,
-    "op10_token_rollup": rf"""
+    "rollup_patterns": rf"""
 WITH v AS (SELECT * FROM (VALUES ('words-1', '{token_rollup.PATTERNS["words-1"]}'), ('pieces-2', '{token_rollup.PATTERNS["pieces-2"]}')) AS v(tokenizer, pattern)),
 d AS (SELECT source, lang, array_to_string(list_distinct(string_split(coalesce(text, ''), chr(10))), chr(10)) AS text FROM documents
   WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))

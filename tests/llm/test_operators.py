@@ -30,11 +30,11 @@ def empty(spark):
 
 def test_empty_tables(spark, empty):
     vectors = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
-    pages = spark.createDataFrame([], "page_id bigint, url string")
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert embeddings.near_duplicates(vectors).count() == 0
     space = quality_classifier.fit(empty, spark.createDataFrame([], "doc_id bigint, quality int"))
     assert quality_classifier.score(empty, space).count() == 0
-    assert url_filter.judge(pages, url_filter.spam_urls(pages), queries.URL_RULES).count() == 0
+    assert url_filter.judge(pages, url_filter.bad_urls(pages), queries.URL_RULES).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
     assert language_id.identify(empty, language_id.learn(empty)).count() == 0
@@ -97,6 +97,36 @@ def test_quality_classifier(spark):
     assert all(0 <= s <= 1 for s, _ in got.values()) and len(got) == 122
 
 
+def test_classifier_counts_are_whole():
+    """Counts over 65,535 are the same when fitting and when scoring."""
+    x = quality_classifier.terms(b"abc" * 70_000)
+    assert x.max() > 65_535 and np.frombuffer(x.astype("<f4").tobytes(), "<f4").tolist() == x.tolist()
+
+
+def test_classifier_sample_counts_documents(spark, monkeypatch):
+    """An id on 500 rows is one labelled document."""
+    docs = spark.range(500).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id bigint, quality int")
+    space = quality_classifier.fit(docs, labels, sample=1)
+    assert space.labels.tolist() in ([0.0], [])
+    space = quality_classifier.fit(docs, labels)
+    assert space.labels.tolist() == [0.0]
+
+
+def test_classifier_votes_against_brute_force():
+    rng = np.random.default_rng(7)
+    counts = np.vstack([rng.poisson(0.3, (40, quality_classifier.HASHED + quality_classifier.FORM)).astype(np.float32)] * 2)  # each twice: ties
+    labels = rng.integers(0, 2, 80).astype(float)
+    space = quality_classifier.fit_space(counts, labels)
+    asked = np.vstack([counts[:5], rng.poisson(0.3, (20, counts.shape[1])), np.zeros((1, counts.shape[1]))]).astype(np.float32)
+    sims = space.fold(asked) @ space.vectors.T
+    for k, got in enumerate(space.score(asked)):
+        near = sorted(range(80), key=lambda j: (-sims[k, j], j))[: quality_classifier.NEIGHBOURS]
+        w = [max(float(sims[k, j]), 0.0) ** 8 for j in near]
+        want = sum(x * labels[j] for x, j in zip(w, near, strict=True)) / sum(w) if sum(w) > 1e-12 else space.prior
+        assert got == pytest.approx(want, abs=1e-6)
+
+
 @pytest.mark.parametrize(
     "url, host, path, rule, verdict",
     [
@@ -116,11 +146,27 @@ def test_quality_classifier(spark):
     ],
 )
 def test_url_filter(spark, url, host, path, rule, verdict):
-    pages = spark.createDataFrame([(1, url, "x"), (2, url, "y")], "page_id bigint, url string, host string")
-    got = url_filter.judge(pages, url_filter.spam_urls(pages), queries.URL_RULES).collect()
+    pages = spark.createDataFrame([(1, url, "x", None), (2, url, "y", "<p>a b c</p>")], "page_id bigint, url string, host string, html string")
+    got = url_filter.judge(pages, url_filter.bad_urls(pages), queries.URL_RULES).collect()
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [(host, path, rule, verdict)] * 2
 
 
+def test_url_list_decides(spark):
+    """Filter and join decide: a clean page at the canonical URL of a bad one is blocked, its neighbours are not."""
+    rows = [
+        (1, "http://h.example.com/a", "<p>x | y | z</p>"), (2, "https://www.h.example.com/a.html?q=1", "<p>clean and long enough</p>"), (3, "http://h.example.com/b", "<p>clean</p>"),
+        (4, "http://h.example.org/fr/a", "| | |"), (5, "http://h.example.com/" + "a/" * 50_000, " | "), (6, "http://h.example.com/" + "a/" * 50_000 + "#x", None), (7, None, " | "),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: (r.listed, r.verdict) for r in url_filter.judge(pages, url_filter.bad_urls(pages), queries.URL_RULES).collect()}
+    blocked = {k for k, (listed, _) in got.items() if listed}
+    assert blocked == {1, 2, 5, 6} == {k for k, (_, v) in got.items() if v == "block"} and len(got) == 7
+
+
+def test_filter_follows_the_list():
+    assert [url_filter.filter_blocks(n) for n in (0, 1, 10**4, 10**6, 10**11)] == [256, 256, 256, 1 << 15, 1 << 20]
+
+
 def test_url_list_beyond_the_filter(spark):
     """A filter far too small for its list passes everything; the exact join still decides."""
     pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), F.col("id")).alias("url"))
@@ -287,7 +333,7 @@ def test_simhash_hot_shard(spark, monkeypatch):
     dealt, run = [], type(df).mapInArrow
 
     def spy(rows, *args, **kwargs):
-        dealt.append(rows.groupBy("key").count().agg(F.max("count")).first()[0])
+        dealt.append(rows.groupBy("key", "low", "high").count().agg(F.max("count")).first()[0])
         return run(rows, *args, **kwargs)
 
     monkeypatch.setattr(type(df), "mapInArrow", spy)
@@ -322,9 +368,81 @@ def test_viterbi():
         at += n
 
 
+def test_many_languages():
+    """Over 256 languages keep their numbers."""
+    rng = np.random.default_rng(5)
+    scores = rng.standard_normal((40, 300)).astype(np.float32)
+    scores[:, 280] += 20
+    assert (language_id.viterbi(scores, np.array([15, 25]), 2.0) == 280).all()
+
+
+def test_language_sample_is_bounded(spark):
+    """A text or an id on a third of the rows counts once in the sample."""
+    hot = spark.range(500).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("hot text of the hot id").alias("text"), F.lit("aa").alias("lang"))
+    many = spark.range(10, 500).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("bb").alias("lang"))
+    rest = spark.range(500, 1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text"), "id").alias("text"), F.lit("cc").alias("lang"))
+    seen, real = [], type(hot).mapInArrow
+
+    def spy(df, *args, **kwargs):
+        seen.append(df.count())
+        return real(df, *args, **kwargs)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(hot), "mapInArrow", spy)
+        language_id.learn(hot.union(many).union(rest), sample=100)
+        language_id.learn(hot.union(hot), sample=100)
+    assert seen[0] == 100 and seen[1] == 1
+
+
+def test_lower_case_of_two_characters():
+    text = "İİİ the cat"
+    assert len(language_id._points(text)) == len(text)
+
+
+def test_language_scores_against_brute_force(spark):
+    """Scripts, word scores and document scores as a plain count of trigrams gives them."""
+    from math import log
+
+    texts = {"en": "the cat and the dog went to that house", "de": "der hund und die katze gingen zu dem haus", "ru": "кошка и собака пошли в дом"}
+    docs = spark.createDataFrame([(k, f"{t} {t}", lang) for lang, t in texts.items() for k in range(3)], "doc_id bigint, text string, lang string")
+    docs = docs.withColumn("doc_id", F.col("doc_id") * 3 + F.length("lang") + F.ascii("lang"))
+    model = language_id.learn(docs)
+
+    def grams(text):
+        out, words = [], re.findall(r"[^\W\d_]+", text.lower())
+        for w in words:
+            x = "\0\0" + w + "\0"
+            x = "\0" + w + "\0" if len(out) else x
+            out.append([x[max(0, i) : i + 3] for i in range(len(x) - 2)])
+        return words, out
+
+    def bucket(g):
+        x, y, z = (ord(c) for c in g)
+        return ((x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) & 0xFFFFFFFF) >> 17
+
+    counts = {lang: Counter() for lang in model.langs}
+    rows = docs.dropDuplicates(["doc_id"]).collect()
+    for r in rows:
+        c = language_id._points(r.text)
+        code, _ = language_id._codes(c, language_id._scripts()[c] > 0)
+        counts[r.lang].update(code.tolist())
+    for k, lang in enumerate(model.langs):
+        total = sum(counts[lang].values()) + 0.5 * language_id.BUCKETS
+        some = list(counts[lang])[:50]
+        assert [model.table[b, k] for b in some] == pytest.approx([log((counts[lang][b] + 0.5) / total) for b in some], abs=1e-4)
+    c = language_id._points("the дом x")
+    starts, lengths, scores = model.words(c)
+    assert starts.tolist() == [0, 4, 8] and lengths.tolist() == [3, 3, 1]
+    k = {lang: i for i, lang in enumerate(model.langs)}
+    assert scores[0, k["ru"]] <= -1e6 and scores[1, k["en"]] <= -1e6 and scores[1, k["ru"]] > -1e6
+    own = [bucket("\0" + "th"), bucket("the"), bucket("he\0")]
+    first = bucket("\0\0t")
+    assert scores[0, k["en"]] == pytest.approx(sum(float(model.table[b, k["en"]]) for b in [first, *own]), abs=1e-3)
+
+
 def test_language_id(spark, odd):
     text = {"en": "the cat and the dog went to the house with that man", "de": "der hund und die katze gingen nicht zu dem haus mit einem mann", "ru": "кошка и собака пошли в дом"}
-    docs = spark.createDataFrame([(k, f"{t} {k}", lang, "s", "c") for lang, t in text.items() for k in range(5)] + [(9, None, "en", "s", "c"), (9, "x", None, "s", "c")], DOCS)
+    docs = spark.createDataFrame([(100 * n + k, f"{t} {k}", lang, "s", "c") for n, (lang, t) in enumerate(text.items()) for k in range(5)] + [(9, None, "en", "s", "c"), (9, "x", None, "s", "c")], DOCS)
     model = language_id.learn(docs)
     assert model.langs == ["de", "en", "ru"]
     got = language_id.detect([text["en"] + ". " + text["de"] * 2, text["ru"] + " the", "123 !", "", None], model)
@@ -334,7 +452,7 @@ def test_language_id(spark, odd):
 
 
 def test_quality_rules(spark, odd):
-    rows = [*ODD, "a b c d e f g h i j " * 3, "w " * 9, "l1 a b\nl1 a b\n\n\nl2", "no line repeats in this text of mine at all here", "*# $ % & | < > x y z a b c d e f g h"]
+    rows = [*ODD, "a b c d e f g h i j " * 3, "w " * 9, "l1 a b\nl1 a b\n\n\nl2", "no line repeats in this text of mine at all here.", "*# $ % & | < > x y z a b c d e f g h"]
     df = spark.createDataFrame([(k, t, "en", "s", "c") for k, t in enumerate(rows)], DOCS).withColumn("n_words", F.lit("clash"))
     got = {r.doc_id: r for r in quality_rules.judge(df, share=1.0).collect()}
     for k, t in enumerate(rows):
@@ -366,10 +484,37 @@ def test_repeats_among_equal_high_bits(spark, monkeypatch):
 def test_rule_order(spark):
     df = spark.range(100).toDF("n")
     rules = [quality_rules.Rule("none", F.col("n") < 0), quality_rules.Rule("most", F.col("n") < 90), quality_rules.Rule("null", F.lit(None).cast("boolean"))]
-    assert quality_rules.order_rules(df, rules, share=1.0)[0].name == "most"
+    assert quality_rules.order_rules(df, rules)[0].name == "most"
+    assert [r.name for r in quality_rules.order_rules(df.where("n < 0"), rules, {"more": df})] == ["none", "most", "null", "more"]
+    assert quality_rules.order_rules(df, rules[:1], {"more": df})[0].name == "more"
     assert df.select(quality_rules.verdict(rules).alias("v")).where("v = 'most'").count() == 90
 
 
+def test_rules_wait_for_each_other(spark):
+    """A costly rule is evaluated on no row that an earlier one rejects."""
+    df = spark.range(100).toDF("n")
+    costly = quality_rules.Rule("costly", F.when(F.col("n") < 90, F.raise_error(F.lit("evaluated"))).otherwise(F.col("n") > 95))
+    got = df.select(quality_rules.verdict([quality_rules.Rule("most", F.col("n") < 90), costly]).alias("v")).groupBy("v").count().collect()
+    assert {r.v: r["count"] for r in got} == {"most": 90, "costly": 4, None: 6}
+
+
+def test_keep_good_computes_lazily(spark, monkeypatch):
+    """Repeated words are looked for in no text that a cheaper rule rejects, and the order changes nothing."""
+    good = "The cat sat on the mat. Then it went to the house of a friend, and they all had tea. " * 1
+    texts = ["BOOM", None, "", good, good + good, "BOOM ### $$$ %%% *** " * 9, "- a b c d e f g h i j.\n" * 1, "A B C D E F G H I J K L.", "- one two three four five.\n- six seven eight nine ten eleven."]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "_n bigint, text string")
+    want = {r._n for r in quality_rules.judge(df, share=1.0).where("kept").collect()}
+    assert 3 in want and not want & {0, 1, 2, 4, 5, 7, 8}
+    names = ["few_words", *[r.name for r in quality_rules.default_rules()]]
+    assert {r._n for r in quality_rules.keep_good(df, share=1.0).collect()} == want
+    assert {r._n for r in quality_rules.keep_good(df, order=[quality_rules.REPEATS, *names]).collect()} == want
+    real = quality_rules.words
+    monkeypatch.setattr(quality_rules, "words", lambda t: F.when(t.contains("BOOM"), F.raise_error(F.lit("evaluated")).cast("array<string>")).otherwise(real(t)))
+    assert {r._n for r in quality_rules.keep_good(df, order=[*names, quality_rules.REPEATS]).collect()} == want
+    with pytest.raises(Exception, match="evaluated"):
+        quality_rules.keep_good(df, order=[quality_rules.REPEATS, *names]).collect()
+
+
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
@@ -446,12 +591,59 @@ def test_mixing_odd(odd):
     assert got.count() > 0 and mixing.mix(odd, keep=True).columns == odd.columns
 
 
+def test_token_counts(spark, odd):
+    import public_tokenizers as p
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    versions = {"w": (p.path("word_bpe_49k.json"), None), "b": (p.path("byte_bpe_50k.tiktoken"), p.PATTERN)}
+    got = token_rollup.token_counts(odd.withColumn("short", F.upper("lang")), {"old": "text", "new": "short"}, versions)
+    assert got.columns == ["doc_id", "lang", "source", "kept", "w/old", "w/new", "b/old", "b/new"]
+    words = Tokenizer.from_file(p.path("word_bpe_49k.json"))
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_50k.tiktoken"), "rb"))}
+    other = tiktoken.Encoding("t", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = got.collect()
+    assert len(rows) == len(ODD) + 2
+    for r in rows:
+        t = ODD[r.doc_id] if r.doc_id is not None else "no id"
+        want = (None, None) if t is None else (len(words.encode(t, add_special_tokens=False).ids), len(other.encode_ordinary(t)))
+        assert (r["w/old"], r["b/old"]) == want and (r["w/new"] is None) == (r.lang is None)
+
+
+def test_rollup_query(spark):
+    """The registered query against a plain count by the libraries."""
+    import base64
+
+    import public_tokenizers as p
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_50k.tiktoken"), "rb"))}
+    tools = {
+        "word-bpe-49k": lambda t, x=Tokenizer.from_file(p.path("word_bpe_49k.json")): len(x.encode(t, add_special_tokens=False).ids),
+        "byte-bpe-50k": lambda t, x=tiktoken.Encoding("t", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={}): len(x.encode_ordinary(t)),
+    }
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    docs, tokens = Counter(), Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if r.doc_id not in toxic:
+            text = "\n".join(dict.fromkeys((r.text or "").split("\n")))
+            for v, count in tools.items():
+                docs[r.source, r.lang, v] += 1
+                tokens[r.source, r.lang, v] += count(text)
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in queries.op10_token_rollup(spark, sf).collect()}
+    assert got == {k: (docs[k], tokens[k]) for k in docs}
+
+
 def test_rollup(spark, tmp_path):
     rows = spark.createDataFrame([("a", "en", "v1", 3), ("a", "en", "v1", 4), (None, "en", "v1", 5)], "source string, lang string, tokenizer string, tokens bigint")
     r = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     assert r.totals().count() == 0
     assert r.commit("1", token_rollup.inserts(rows)) and not r.commit("1", token_rollup.inserts(rows))
-    (tmp_path / "r/batch=2").mkdir()  # a lost job's leavings
+    (tmp_path / "r/writing-2-x").mkdir()  # a lost job's leavings
     assert r.commit("2", token_rollup.deletes(rows.where("tokens = 4")))
     changed = rows.where("tokens = 3").withColumn("new", F.lit(10))
     assert r.commit("3", token_rollup.revisions(changed, "tokens", "new"))
@@ -462,3 +654,22 @@ def test_rollup(spark, tmp_path):
     assert r.commit("4", token_rollup.deletes(rows.where("source is null"))) and r.totals().count() == 1
     with pytest.raises(ValueError):
         r.commit("../x", rows)
+    assert r.commit("empty", token_rollup.inserts(rows.where("false").withColumn("docs", F.lit("clash")))) and not r.commit("empty", token_rollup.inserts(rows))
+
+
+def test_rollup_two_writers(spark, tmp_path, monkeypatch):
+    """A batch that another writer commits meanwhile is not added twice."""
+    rows = spark.createDataFrame([("a", "en", "v1", 3)], "source string, lang string, tokenizer string, tokens bigint")
+    one, two = (token_rollup.TokenRollup(spark, str(tmp_path / "r")) for _ in range(2))
+    done, seen = one._done, []
+
+    def late(batch):
+        if not seen:
+            seen.append(two.commit(batch, token_rollup.inserts(rows)))
+            return False  # as it was before the other was through
+        return done(batch)
+
+    monkeypatch.setattr(one, "_done", late)
+    assert not one.commit("1", token_rollup.inserts(rows)) and seen == [True]
+    assert [(r.docs, r.tokens) for r in two.totals().collect()] == [(1, 3)]
+    assert not [p for p in (tmp_path / "r").iterdir() if p.name.startswith("writing")]
