@@ -93,20 +93,24 @@ def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] |
 
 
 def heuristics(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Findings of all built-in rules over files (path, text, and any keys); files over 2 MiB have none."""
+    """Findings of all built-in rules over files (path, text, and any keys); files over 2 MiB have none.
+
+    ``rules``: only these are tried, which costs less than to filter the findings afterwards.
+    """
     known = code_files(files).where(F.octet_length("text") <= MAX_FILE_BYTES)
     return match(lines(known), rules)
 
 
-#: User rules: longer patterns are ignored, longer lines are not searched.
-MAX_PATTERN, MAX_LINE = 500, 10_000
+#: User rules: longer patterns are ignored.
+MAX_PATTERN = 500
 
 
-def custom(files: DataFrame, rules: list[dict]) -> DataFrame:
+def custom(files: DataFrame, rules: list[dict], max_line: int | None = None) -> DataFrame:
     """Findings of user rules (id, title, pattern, severity, extensions, score, cwe, owasp) over files (path, text, keys).
 
     A rule whose pattern is missing, too long or does not compile is ignored. ``extensions`` is compared as
-    written; without it a rule looks at every file. The score does not follow from the severity.
+    written; without it a rule looks at every file. The score does not follow from the severity. Lines of any length are
+    searched, unless ``max_line`` leaves out longer ones.
     """
     rows = lines(files)
     keys = [c for c in rows.columns if c != "line"]
@@ -136,7 +140,9 @@ def custom(files: DataFrame, rules: list[dict]) -> DataFrame:
         hits.append(F.when(fits, F.struct(*[F.lit(v).alias(n) for n, v in own.items()], F.lit(k).alias("rule_ord"))))
     if not hits:
         hits = [F.lit(None).cast("struct<rule_id:string,title:string,severity:string,severity_score:int,cwe:string,owasp:string,rule_ord:int>")]
-    found = rows.where(F.length("line") <= MAX_LINE).withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
+    if max_line is not None:
+        rows = rows.where(F.length("line") <= max_line)
+    found = rows.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
     return found.select(*keys, F.substring(strip(F.col("line")), 1, 300).alias("code"), F.lit("custom-rules").alias("scanner"), "_hit.*")
 
 

@@ -179,3 +179,8 @@ SCANNERS = {g: f"{'web' if g in ('php', 'js', 'html', 'css') else g}-heuristic"
 def java_pattern(rule: Rule) -> str:
     """The pattern with the meaning it has in Python: Unicode classes, and only \\n ends a line."""
     return f"(?Ud{rule.flags})" + rule.pattern
+
+
+def rules_named(group: str, *rule_ids: str) -> list[Rule]:
+    """The built-in rules of a group with these ids."""
+    return [r for r in RULES if r.group == group and r.rule_id in rule_ids]

@@ -12,7 +12,8 @@ from ..functions import columns as C
 from ..functions import redact
 from ..operators import detect, taint
 from ..operators.findings import rule_based_advice
-from ..operators.rules import RULES
+from ..operators.rules import RULES, rules_named
+from ..operators.scan import scan
 from ..schemas import LANGUAGES, MAX_FILE_BYTES, SKIP_DIRS, WEB_GROUPS
 from ..sources import files as S
 from ..sources import ingest as I
@@ -242,13 +243,13 @@ def j8(spark, d):
 _EXPO = [_table("port", I.EXPOSURE_PORTS, k) for k in range(3)]
 
 
-@query("j8_exposure", f"""WITH k AS (SELECT *, {_EXPO[0]} AS t, {_EXPO[1]} AS c, {_EXPO[2]} AS s FROM @ports WHERE id % 4 = 0),
+@query("j8_exposure", f"""WITH k AS (SELECT *, {_EXPO[0]} AS t, {_EXPO[1]} AS c, {_EXPO[2]} AS s FROM @ports),
 w AS (SELECT *, CASE WHEN banner LIKE 'OpenSSH%' THEN 'OpenSSH 7.4' WHEN banner LIKE 'Apache%' THEN 'Apache 2.4' WHEN banner LIKE 'nginx%' THEN 'nginx 1.19' WHEN banner = 'Postfix' THEN 'Postfix' END AS b FROM k WHERE t IS NOT NULL)
 SELECT scan_id, host AS file, port AS line, concat(t, ' (port ', port, ')') AS title, s AS severity_score FROM w UNION ALL SELECT scan_id, host, port, concat(b, ' version disclosed in banner'), 3 FROM w WHERE b IS NOT NULL
 UNION ALL SELECT DISTINCT scan_id, host, 0, 'No exposed services found on scanned ports', 1 FROM @ports WHERE host NOT IN (SELECT host FROM w)""")
 def j8_exposure(spark, d):
     p = v(spark, d, "ports")
-    found = I.exposure(p.where("id % 4 = 0").select("scan_id", "host", "port", "banner"), p.select("scan_id", "host").distinct())
+    found = I.exposure(p.select("scan_id", "host", "port", "banner"), p.select("scan_id", "host").distinct())
     return found.select("scan_id", "file", "line", "title", "severity_score")
 
 
@@ -339,7 +340,7 @@ SELECT doc_id, CAST(n AS INT) AS line_no, 'S-HARDCODE-4' AS rule_id FROM l WHERE
 AND NOT regexp_matches(trim(line), '^#') AND NOT regexp_matches(lower(line), 'test|example|demo|mock|fake|dummy|placeholder')""")
 def p1_documents(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.col("doc_id"), F.lit(".py")).alias("path"), "text")
-    return detect.heuristics(docs).where("rule_id = 'S-HARDCODE-4'").select("doc_id", "line_no", "rule_id")
+    return detect.heuristics(docs, rules_named("python", "S-HARDCODE-4")).select("doc_id", "line_no", "rule_id")
 
 
 @query("d8_lines", "SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '(\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}])$', ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')) AS line FROM documents WHERE text <> '') x GROUP BY 1".replace("\\\\", "\\"))
@@ -371,13 +372,13 @@ def p5(spark, d):
 
 @query("p6_projection", f"WITH {_CODE} SELECT file_id, 'python-heuristic' AS scanner, concat('Unsafe pickle deserialization detected on line ', 1, '.') AS description, line AS code FROM l WHERE regexp_matches(code, '\\bpickle\\.(?:loads|load)\\s*\\(')".replace("\\\\", "\\"))
 def p6(spark, d):
-    return detect.heuristics(_files(spark, d)).where("rule_id = 'S-DESER-1'").select("file_id", "scanner", "description", "code")
+    return detect.heuristics(_files(spark, d), rules_named("python", "S-DESER-1")).select("file_id", "scanner", "description", "code")
 
 
 @query("p1_pages_cleartext", "SELECT page_id, 'W-MIXED-1' AS rule_id FROM pages WHERE contains(url, 'http://')")
 def p1_pages(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.concat(F.col("page_id"), F.lit(".js")).alias("path"), F.col("url").alias("text"))
-    return detect.heuristics(p).where("rule_id = 'W-MIXED-1'").select("page_id", "rule_id")
+    return detect.heuristics(p, rules_named("js", "W-MIXED-1")).select("page_id", "rule_id")
 
 
 @query("j7_custom_rules", r"""SELECT file_id, 'U-1' AS rule_id, 'Digest' AS title, 'High' AS severity, 5 AS severity_score FROM @code WHERE regexp_matches(line, 'hashlib\.\w+')
@@ -393,6 +394,20 @@ def j7(spark, d):
     return detect.custom(_files(spark, d), rules).select("file_id", "rule_id", "title", "severity", "severity_score")
 
 
+_USER_RULES = [{"id": "U-1", "title": "Digest", "pattern": r"hashlib\.\w+", "severity": "High", "extensions": [".py"]}, {"id": "U-2", "pattern": "http", "score": 7}]
+_ORD = ", ".join(f"('{r.rule_id}', {k})" for k, r in enumerate(r for r in RULES if r.group == "python"))
+
+
+@query("scan_tree", rf"""WITH {_CODE}, o AS (SELECT * FROM (VALUES {_ORD}) AS o(rule_id, ord)), u AS (SELECT file_id, o.rule_id, severity_score, 0 AS rank, ord, 'python-heuristic' AS scanner FROM ({_py_rules('code')}) h JOIN o ON o.rule_id = h.rule_id
+UNION ALL SELECT file_id, 'U-1', 5, 2, 0, 'custom-rules' FROM @code WHERE regexp_matches(line, 'hashlib\.\w+') UNION ALL SELECT file_id, 'U-2', 7, 2, 1, 'custom-rules' FROM @code WHERE contains(line, 'http')),
+r AS (SELECT *, file_id % 60 AS scan_id, concat('f', file_id, '.py') AS file FROM u)
+SELECT scan_id, file, CAST(1 AS INT) AS line, rule_id, scanner, severity_score, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY severity_score DESC, rank, file, ord) AS position FROM r) x WHERE position <= 20""".replace("\\\\", "\\"))
+def scan_tree(spark, d):
+    files = _files(spark, d).withColumn("scan_id", F.col("file_id") % 60)
+    found, _ = scan(files, _USER_RULES, most=20)
+    return found.select("scan_id", "file", "line", "rule_id", "scanner", "severity_score", "position")
+
+
 @query("l3_rule_based_advice", """SELECT file_id, rule_id, concat(title, ' was reported in f', file_id, '.py (line 1) by python-heuristic. Severity: Critical. This matches ', cwe, '.') AS explanation,
 CASE cwe WHEN 'CWE-78' THEN 'avoid shell=True / use argument lists and allowlists for commands' ELSE 'never deserialize untrusted data; validate class allowlists / use safe formats (JSON)' END AS recommended_fix FROM
 (SELECT file_id, 'S-CMDI-1' AS rule_id, 'Shell=True allows command injection' AS title, 'CWE-78' AS cwe FROM @code WHERE contains(line, 'shell=True') UNION ALL SELECT file_id, 'S-DESER-1', 'Unsafe pickle deserialization', 'CWE-502' FROM @code WHERE contains(line, 'pickle.loads(')) x""")

@@ -212,9 +212,9 @@ def t2(spark, d):
     return N.number(v(spark, d, "findings"), "scan_id", _order()).select("id", "scan_id", F.col("position").alias("place")).orderBy("scan_id", "place")
 
 
-@query("t3_scan_order", "SELECT id, project_id, started_at FROM @scans")
+@query("t3_scan_order", "SELECT id, project_id, started_at, CAST(row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, id) AS INT) AS position FROM @scans")
 def t3(spark, d):
-    return v(spark, d, "scans").select("id", "project_id", "started_at").orderBy(F.col("started_at").desc(), "id")
+    return N.cap(v(spark, d, "scans").select("id", "project_id", "started_at"), "project_id", [F.col("started_at").desc(), F.col("id")], most=2**31 - 1)
 
 
 @query("t4_top_k", f"SELECT id, scan_id, p AS position FROM (SELECT id, scan_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY {_SQL_ORDER}) AS INT) AS p FROM @findings) x WHERE p <= 5")

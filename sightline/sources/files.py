@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import skipped, suffix
+from ..schemas import SKIP_DIRS
 
 # Suffixes an upload may have.
 SAFE_SUFFIXES = (
@@ -43,6 +44,39 @@ def read_tree(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(read, "path string, length long, text string")
 
 
+def walk_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of all files under ``root``, relative to it; skipped directories are not entered, links are left out.
+
+    The driver lists the first directory only; tasks walk what lies below. ``root`` is storage that all executors mount.
+    """
+    import os
+
+    top = [(e.name, e.is_dir()) for e in os.scandir(root) if not e.is_symlink()]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, is_dir in zip(b["name"], b["is_dir"], strict=True):
+                rows, todo = [], [name]
+                while todo:
+                    at = todo.pop()
+                    if at == name and not is_dir:
+                        rows.append((at, os.path.getsize(f"{root}/{at}")))
+                        continue
+                    if at.rsplit("/", 1)[-1].lower() in SKIP_DIRS:
+                        continue
+                    for e in os.scandir(f"{root}/{at}"):
+                        if e.is_symlink():
+                            continue
+                        if e.is_dir():
+                            todo.append(f"{at}/{e.name}")
+                        else:
+                            rows.append((f"{at}/{e.name}", e.stat().st_size))
+                yield pd.DataFrame(rows, columns=["path", "length"])
+
+    entries = spark.createDataFrame(top, "name string, is_dir boolean").repartition(max(1, len(top)))
+    return entries.mapInPandas(walk, "path string, length long")
+
+
 def listed(paths: DataFrame, max_depth: int = 10) -> DataFrame:
     """Paths outside skipped directories and at most ``max_depth`` directories deep."""
     return paths.where(~skipped(F.col("path")) & (F.size(F.split("path", "/")) <= max_depth + 1))

@@ -23,9 +23,19 @@ def stored_findings(findings: DataFrame) -> DataFrame:
     )
 
 
+#: Folders that findings are dealt to by the hash of their scan.
+BUCKETS = 64
+
+
 def append_findings(findings: DataFrame, path: str) -> None:
-    """Appends by scan. Rows of a scan are brought together first, so that each scan gets few files."""
-    stored_findings(findings).repartition("scan_id").write.mode("append").partitionBy("scan_id").parquet(path)
+    """Appends to ``BUCKETS`` folders by the hash of the scan: a reader of one scan reads one, and a large scan is no single task's."""
+    bucketed = stored_findings(findings).withColumn("scan_bucket", F.pmod(F.xxhash64("scan_id"), F.lit(BUCKETS)).cast("int"))
+    bucketed.write.mode("append").partitionBy("scan_bucket").parquet(path)
+
+
+def write_epoch(findings: DataFrame, path: str, epoch: int) -> None:
+    """The findings of one batch of a stream, in a folder of its own: the same batch again replaces it."""
+    stored_findings(findings).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.detect import heuristics
-from ..sources.sinks import append_findings
+from ..operators.scan import detect_all
+from ..sources.sinks import write_epoch
 
 
-def scan_stream(files: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A writer that appends the findings of each batch of files (scan_id, path, text) to the table at ``path``.
+def scan_stream(files: DataFrame, path: str, checkpoint: str, user_rules: Sequence[dict] = ()) -> DataStreamWriter:
+    """A writer that adds the findings of each batch of files (scan_id, path, text) to the table at ``path``.
 
-    ``files`` is a stream over a table, as file sources hide names that start with ``_`` or ``.``.
+    All detectors of a scan run on each batch. A batch that is replayed replaces what it wrote before. ``files`` is a
+    stream over a table, as file sources hide names that start with ``_`` or ``.``.
     """
 
     def scan(batch: DataFrame, epoch: int) -> None:
-        found = heuristics(batch).withColumnRenamed("path", "file").withColumnRenamed("line_no", "line")
-        append_findings(found, path)
+        write_epoch(detect_all(batch, user_rules), path, epoch)
 
     return files.writeStream.foreachBatch(scan).option("checkpointLocation", checkpoint)

@@ -10,6 +10,7 @@ from sightline.functions import columns as C
 from sightline.functions import redact
 from sightline.operators import detect, taint
 from sightline.operators.report import scores
+from sightline.operators.scan import detect_all, scan
 from sightline.sources import files as S
 from sightline.sources import ingest, rule_files, sinks
 from sightline.streaming import throttle
@@ -172,6 +173,34 @@ def test_scan_stream(spark, tmp_path):
     q = scan_stream(src, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.scan_id, r.file, r.line, r.rule_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("s1", "a.py", 1, "S-CMDI-3")]
+    for _ in range(2):  # a batch that is replayed
+        sinks.write_epoch(detect_all(df), str(tmp_path / "out"), 0)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_scan_of_a_tree(spark, tmp_path):
+    flow = "name = input()\nq = name\ncursor.execute(q)\n"
+    for path, text in {"a.py": "eval(x)\n" + flow, "lib/_b.py": "x = 1", "node_modules/c.py": "eval(x)", "lib/d.txt": "eval(x)", "lib/.git/e.py": "eval(x)"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "lib/link.py").symlink_to(tmp_path / "a.py")
+    paths = S.walk_tree(spark, str(tmp_path))
+    assert {r.path for r in paths.collect()} == {"a.py", "lib/_b.py", "lib/d.txt"}
+    tree = S.read_tree(spark, str(tmp_path), paths).withColumn("scan_id", F.lit("s"))
+    tool = spark.createDataFrame([("s", "a.py", 1, "S-CMDI-3", "twice", "Low", 2)], "scan_id string, file string, line int, rule_id string, title string, severity string, severity_score int")
+    found, scans = scan(tree, [{"id": "U", "pattern": "l.nger|eval"}], tool)
+    rows = [(r.position, r.file, r.line, r.rule_id, r.severity_score) for r in found.orderBy("position").collect()]
+    assert rows[0] == (1, "a.py", 1, "S-CMDI-3", 9) and sum(r[3] == "S-CMDI-3" for r in rows) == 1 and rows[-1][3] == "U"
+    assert {"S-SQLI-TAINT", "TAINT-SQL"} <= {r[3] for r in rows}
+    (s,) = scans.collect()
+    assert (s.files, s.n) == (2, len(rows)) and s.score == 0
+    assert scan(tree, most=1)[0].count() == 1
+
+
+def test_user_rules_search_long_lines(spark):
+    df = spark.createDataFrame([("a.py", "x" * 20_000 + " evil")], "path string, text string")
+    assert detect.custom(df, [{"id": "U", "pattern": "ev.l"}]).count() == 1
+    assert detect.custom(df, [{"id": "U", "pattern": "ev.l"}], max_line=10_000).count() == 0
 
 
 def test_sinks(spark, tmp_path):
