@@ -31,16 +31,16 @@ END_ID = 1
 #: A pool is packed when it holds so many tokens or documents.
 POOL_TOKENS, POOL_DOCS = 6_000_000, 20_000
 STEP_TOKENS = 65_536
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+#: Pieces of words whose ids a worker keeps, about; some 60 MB.
+CACHE_WORDS = 200_000
 
 
 class WordTokenizer:
-    """Ids of a word-level BPE of the ``tokenizers`` library, from a cache of words.
+    """Ids of a word-level BPE of the ``tokenizers`` library, from a cache of pieces of words.
 
     The tokenizer normalizes (NFC, white space, lower case), cuts at white space and encodes what is between by itself,
     special tokens included, so the ids of a text are those of its words (between ASCII white space) in turn. Each
-    distinct word of a slice of texts is looked up once; new ones are encoded together.
+    distinct word of a slice of texts is looked up once; pieces not seen before are encoded together.
     """
 
     #: What the tokenizer makes of a word of plain characters: letters, one digit, an ending, or a run of anything else.
@@ -54,26 +54,22 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.ends = np.zeros(self.library.get_vocab_size(), bool)  # ids that stand last in a piece
         self.ends[[k for t, k in self.library.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.ids: dict[str, bytes] = {}  # as little-endian 32-bit numbers
-
-    def _learn(self, words: list[str]) -> None:
-        new = list(set(words).difference(self.ids))
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids.clear()
+        self.pieces: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: cut into pieces here where all characters are plain, and pieces not seen before encoded in one call."""
+        low = " ".join(words).lower()
+        odd: list[int] = []
+        if "<|" in low or not self.PLAIN.fullmatch(low):
+            plain = self.PLAIN.fullmatch
+            odd = [k for k, w in enumerate(words) if not (w.isascii() and w.isprintable() or plain(w)) or "<|" in w]
+            rest = list(words)
+            for k in odd:
+                rest[k] = ""
+            low = " ".join(rest).lower()
+        cut = [self.PIECES.findall(w) for w in low.split(" ")] if words else []
+        if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
-            new = list(set(words))
-        low = " ".join(new).lower()
-        if "<|" not in low and self.PLAIN.fullmatch(low):
-            plain, odd = new, []
-        else:
-            odd = [w for w in new if "<|" in w or not self.PLAIN.fullmatch(w)]
-            plain = list(set(new).difference(odd))
-            low = " ".join(plain).lower()
-        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        # words of plain characters are cut here, and pieces not seen before encoded in one call
-        cut = [self.PIECES.findall(w) for w in low.split(" ")] if plain else []
         unseen = list(set(chain.from_iterable(cut)).difference(self.pieces))
         if unseen:
             ids = np.array(self._encode(" ".join(unseen)), "<u4")
@@ -81,7 +77,10 @@ class WordTokenizer:
             data = ids.tobytes()
             self.pieces.update(zip(unseen, [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
         get = self.pieces.__getitem__
-        self.ids.update(zip(plain, [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut], strict=True))
+        out = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+        for k, e in zip(odd, self.library.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def _encode(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -91,8 +90,7 @@ class WordTokenizer:
         cut = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = cut.flatten().dictionary_encode()
         at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        self._learn(words)
-        own = list(map(self.ids.__getitem__, words))
+        own = self._ids(words)
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         flat = np.frombuffer(b"".join(own), "<u4")
         n = sizes[at]
@@ -106,7 +104,7 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = 1 << 23) -> Iterator[pa.Array]:
     """The array cut into runs of rows with up to ``most`` bytes of text, or one row."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
@@ -120,7 +118,7 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of this Python worker, which keeps the words of the tasks it has run before."""
+    """The tokenizer of this Python worker, which keeps the pieces of the tasks it has run before."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
