@@ -114,9 +114,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-#: Patterns of the rules: a word, capital letters, letters, ends of sentences, lines that begin as items or end in an ellipsis.
+#: Patterns of the rules: a word, capital letters, no letter, ends of sentences, lines that begin as items or end in an ellipsis.
 WORD = r"[^\x20\x09-\x0D]+"
-CAPITAL, LETTER, STOP = r"\p{Lu}", r"[\p{L}\p{M}]", "[.!?\u2026\u3002\uff01\uff1f]"
+CAPITAL, NO_LETTER, STOP = r"\p{Lu}", r"[^\p{L}\p{M}]", "[.!?\u2026\u3002\uff01\uff1f]"
 ITEM, ELLIPSIS = r"^[ \t]*[-*\u2022]", r"(?:\.\.\.|\u2026)[ \t]*$"
 REPEATS = "repeated_words"
 
@@ -124,24 +124,27 @@ REPEATS = "repeated_words"
 def default_rules(text_col: str = "text", n: Column | None = None) -> list[Rule]:
     """Rules beyond the base ones; each states a fixed share, so a verdict never depends on other rows.
 
-    ``n``: the number of words, where it is known (column n_words unless given).
+    ``n``: the number of words; then each rule computes what else it needs. Without it the columns of
+    :func:`statistics` are there and are used.
     """
-    text, n = F.coalesce(F.col(text_col), F.lit("")), F.col("n_words") if n is None else n
+    text, known = F.coalesce(F.col(text_col), F.lit("")), n is None
+    n = F.col("n_words") if known else n
 
     def hits(pattern: str) -> Column:
         return F.regexp_count(text, F.lit(pattern))
 
     lines = F.size(F.split(text, "\n"))
-    letters_of_words = F.length(F.translate(text, WHITE, ""))
     filled = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
+    chars = F.col("word_chars") if known else F.length(text) - hits(r"[\x20\x09-\x0D]")
+    symbols = F.col("n_symbols") if known else count_of(text, SYMBOLS)
+    repeated = F.col("n_dup_lines") if known else F.size(filled) - F.size(F.array_distinct(filled))
     return [
-        Rule("symbols", 10 * count_of(text, SYMBOLS) > n),
-        Rule("short_words", letters_of_words < 2 * n),
-        Rule("long_words", letters_of_words > 20 * n),
-        Rule("duplicate_lines", 2 * (F.size(filled) - F.size(F.array_distinct(filled))) > lines),
+        Rule("symbols", 10 * symbols > n),
+        Rule("word_lengths", F.abs(chars - 11 * n) > 9 * n),  # under 2 or over 20 characters a word
+        Rule("duplicate_lines", 2 * repeated > lines),
         Rule("exclamations", 2 * count_of(text, "!") > n),
         Rule("capitals", 10 * hits(CAPITAL) > 3 * F.length(text)),
-        Rule("few_letters", 20 * hits(LETTER) < 11 * F.length(text)),
+        Rule("few_letters", 20 * hits(NO_LETTER) > 9 * F.length(text)),
         Rule("no_sentences", 200 * hits(STOP) < n),
         Rule("item_lines", 10 * hits("(?md)" + ITEM) > 9 * lines),
         Rule("ellipsis_lines", 10 * hits("(?md)" + ELLIPSIS) > 3 * lines),
@@ -210,7 +213,7 @@ def judge(docs: DataFrame, text_col: str = "text", share: float = SHARE) -> Data
     """
     df = without(docs, "base_failed", "kept")
     scratch = Scratch(docs.sparkSession, "rule-sample")
-    sample = scratch.save(sampled(df.select(F.col(text_col).alias("text")), share).withColumn("n_words", _word_count("text")), "sample")
+    sample = scratch.save(statistics(sampled(df.select(F.col(text_col).alias("text")), share)), "sample")
     order = [r.name for r in order_rules(sample, default_rules())]
     scratch.drop("sample")
     rules = {r.name: r for r in default_rules(text_col)}

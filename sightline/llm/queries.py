@@ -165,7 +165,7 @@ s AS (SELECT d.doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
       10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
       OR 2 * n_dup_lines > len(string_split(text, chr(10))) OR 2 * length(regexp_replace(text, '[^!]', '', 'g')) > n_words
-      OR 10 * len(regexp_extract_all(text, '{quality_rules.CAPITAL}')) > 3 * length(text) OR 20 * len(regexp_extract_all(text, '{quality_rules.LETTER}')) < 11 * length(text)
+      OR 10 * len(regexp_extract_all(text, '{quality_rules.CAPITAL}')) > 3 * length(text) OR 20 * len(regexp_extract_all(text, '{quality_rules.NO_LETTER}')) > 9 * length(text)
       OR 200 * len(regexp_extract_all(text, '{quality_rules.STOP}')) < n_words
       OR 10 * len(regexp_extract_all(text, '(?m){_plain(quality_rules.ITEM)}')) > 9 * len(string_split(text, chr(10)))
       OR 10 * len(regexp_extract_all(text, '(?m){_plain(quality_rules.ELLIPSIS)}')) > 3 * len(string_split(text, chr(10))) AS rejected FROM s)
