@@ -1,7 +1,7 @@
 """Helpers that several corpus operators share: reading tables, shared scratch tables.
 
-Batches that go to Python are bounded by Spark in bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB); the operators
-change no setting of the session.
+Batches that go to Python are bounded by Spark in bytes (spark.sql.execution.arrow.maxBytesPerBatch). That bound is the one
+setting of a session that operators change: they lower it where it is larger than ``BATCH_BYTES``.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        small_batches(spark)
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,6 +59,17 @@ class Scratch:
             fs.delete(p, True)
 
 
+#: Bytes of a batch that goes to Python, or one row.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python hold ``BATCH_BYTES`` at most. Results are lazy, so the setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of the value as text, modulo ``divisor``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)

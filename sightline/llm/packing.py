@@ -25,14 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: A pool is packed when it holds so many tokens or documents.
 POOL_TOKENS, POOL_DOCS = 6_000_000, 20_000
 STEP_TOKENS = 65_536
-#: Pieces of words whose ids a worker keeps, about; some 60 MB.
-CACHE_WORDS = 200_000
+#: Pieces of words whose ids a worker keeps, about; some 30 MB.
+CACHE_WORDS = 100_000
 
 
 class WordTokenizer:
@@ -57,7 +59,7 @@ class WordTokenizer:
         self.pieces: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words: cut into pieces here where all characters are plain, and pieces not seen before encoded in one call."""
+        """Ids of distinct words: cut into pieces here where all characters are plain, and pieces not seen before encoded together."""
         low = " ".join(words).lower()
         odd: list[int] = []
         if "<|" in low or not self.PLAIN.fullmatch(low):
@@ -71,11 +73,12 @@ class WordTokenizer:
         if len(self.pieces) > CACHE_WORDS:
             self.pieces.clear()
         unseen = list(set(chain.from_iterable(cut)).difference(self.pieces))
-        if unseen:
-            ids = np.array(self._encode(" ".join(unseen)), "<u4")
+        for at in range(0, len(unseen), 5_000):  # what the library returns takes far more memory than the ids
+            part = unseen[at : at + 5_000]
+            ids = np.array(self._encode(" ".join(part)), "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             data = ids.tobytes()
-            self.pieces.update(zip(unseen, [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
+            self.pieces.update(zip(part, [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
         get = self.pieces.__getitem__
         out = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
         for k, e in zip(odd, self.library.encode_batch_fast([words[k] for k in odd], add_special_tokens=False), strict=True):
@@ -104,7 +107,7 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def slices(texts: pa.Array, most: int = 1 << 23) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
     """The array cut into runs of rows with up to ``most`` bytes of text, or one row."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
@@ -276,9 +279,11 @@ def pack(
                         yield out(False)
         if pool:
             yield out(True)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task beside others
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
     names += ["ids"] * with_ids
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     schema = f"`{id_col}` {src.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names[1:9])
     return src.mapInArrow(run, schema + (", ids array<bigint>" if with_ids else ""))
