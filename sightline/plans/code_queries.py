@@ -17,6 +17,7 @@ from ..operators.scan import scan
 from ..schemas import LANGUAGES, MAX_FILE_BYTES, SKIP_DIRS, WEB_GROUPS
 from ..sources import files as S
 from ..sources import ingest as I
+from ..sources.rule_files import table_rules
 from ..streaming import throttle
 from .adapters import view as v
 from .registry import query
@@ -433,6 +434,63 @@ def z5(spark, d):
     return taint.taint(f).select("file_id", "line_no", "rule_id", "source_line", "variable")
 
 
+#: Lines of a generated file, each with a number of its own (J) and the variable that it reads (R).
+_FLOW_LINES = 10
+_FLOW_CODE = {
+    ".py": ("vJ = input()", "vJ = vR.strip()", "cursor.execute(vR)", "os.system(vR)", "def fJ():", "vR = 1"),
+    ".java": ("vJ = req.getParameter(b);", "vJ = vR.trim();", "stmt.execute(vR);", "run.exec(vR);", "public fJ(a) {", "final vR = 1;"),
+}
+
+
+def _flow_files(spark, d, end):
+    """A file for each customer: sources, copies, sinks, scopes and constants in an order that follows the key."""
+    text = []
+    for j in range(1, _FLOW_LINES + 1):
+        digit = (F.col("file_id") * 7 + j * 13 + F.floor(F.col("file_id") / (j + 1))) % 12
+        line = F.element_at(F.array(*[F.lit(t.replace("J", str(j))) for t in _FLOW_CODE[end]]), (digit % 6 + 1).cast("int"))
+        text.append(F.replace(line, F.lit("R"), F.greatest(F.lit(j - 1) - F.floor(digit / 6), F.lit(0)).cast("string")))
+    return v(spark, d, "code").select("file_id", F.concat(F.lit("f"), F.col("file_id"), F.lit(end)).alias("path"), F.concat_ws("\n", *text).alias("text"))
+
+
+def _flow_sql(rules):
+    # o: where the variable of each line so far was tainted; a scope empties it, a constant does not
+    return f"""WITH RECURSIVE s(file_id, j, o, kind, r, src) AS (SELECT c_custkey, CAST(0 AS INT), CAST([] AS INT[]), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS INT) FROM customer UNION ALL
+SELECT file_id, j + 1, list_append(CASE WHEN kind = 4 THEN list_transform(o, lambda x: CAST(NULL AS INT)) ELSE o END, CAST(CASE kind WHEN 0 THEN j + 1 WHEN 1 THEN o[r] END AS INT)), kind, r, o[r] FROM
+(SELECT file_id, j, o, digit % 6 AS kind, greatest(j - digit // 6, 0) AS r FROM (SELECT *, CAST((file_id * 7 + (j + 1) * 13 + file_id // (j + 2)) % 12 AS BIGINT) AS digit FROM s WHERE j < {_FLOW_LINES}) x) y)
+SELECT file_id, min(j) AS line_no, CASE kind WHEN 2 THEN '{rules[0]}' ELSE '{rules[1]}' END AS rule_id, src AS source_line, concat('v', r) AS variable FROM s WHERE kind IN (2, 3) AND src IS NOT NULL GROUP BY file_id, kind, src, r"""
+
+
+@query("z4_python_flows", _flow_sql(("S-SQLI-TAINT", "S-CMDI-TAINT")))
+def z4_flows(spark, d):
+    return taint.python_taint(_flow_files(spark, d, ".py")).select("file_id", "line_no", "rule_id", "source_line", "variable")
+
+
+@query("z5_flows", _flow_sql(("TAINT-SQL", "TAINT-CMD")))
+def z5_flows(spark, d):
+    return taint.taint(_flow_files(spark, d, ".java")).select("file_id", "line_no", "rule_id", "source_line", "variable")
+
+
+@query("f1_table_rules", "SELECT file_id, concat('M-', m) AS rule_id, concat('Names ', m) AS title, 'Low' AS severity, 2 AS severity_score FROM @code JOIN (SELECT DISTINCT c_mktsegment AS m FROM customer) s ON contains(line, m)")
+def f1(spark, d):
+    m = F.col("c_mktsegment")
+    rules = spark.read.parquet(f"{d}/customer.parquet").select(m).distinct()
+    rules = rules.select(F.concat(F.lit("M-"), m).alias("id"), F.concat(F.lit("Names "), m).alias("title"), m.alias("pattern"), F.lit("Low").alias("severity"), F.lit(2).alias("score"))
+    return detect.custom(_files(spark, d), table_rules(rules)).select("file_id", "rule_id", "title", "severity", "severity_score")
+
+
+@query("f4_registered_format", f"SELECT scan_id, file, rule AS title, severity_score, {_SEV} AS severity FROM (SELECT scan_id, file, rule, CAST(cvss AS INT) AS severity_score FROM @issues) x")
+def f4(spark, d):
+    def bars(outputs):
+        """A finding for each line of the form title|file|score."""
+        part = F.split("text", r"\|")
+        rows = outputs.select("scan_id", F.explode(F.split("content", "\n")).alias("text"))
+        return I.normalize(rows.select("scan_id", part[0].alias("title"), part[1].alias("file"), part[2].cast("int").alias("severity_score")), "bars")
+
+    I.register("bars", bars)
+    item = F.concat_ws("|", "rule", "file", F.col("cvss").cast("int"))
+    return I.parse(_outputs(spark, d, item, lambda xs: F.array_join(xs, "\n")), "bars").select("scan_id", "file", "title", "severity_score", "severity")
+
+
 # ---- values
 
 

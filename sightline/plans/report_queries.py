@@ -74,6 +74,16 @@ def a6_files(spark, d):
     return R.top(v(spark, d, "findings"), "file", empty="(no path recorded)")
 
 
+@query("a6_top_severities", _top_sql("severity"))
+def a6_severity(spark, d):
+    return R.top(v(spark, d, "findings"), "severity")
+
+
+@query("a6_top_owasp", _top_sql("owasp").replace("@findings", "(SELECT *, concat('A', id % 10) AS owasp FROM @findings) f"))
+def a6_owasp(spark, d):
+    return R.top(v(spark, d, "findings").withColumn("owasp", F.concat(F.lit("A"), F.col("id") % 10)), "owasp")
+
+
 @query("a7_max_score_and_duration", """SELECT id, m AS max_score, round_even(greatest(secs, 0) / 60.0, 1) AS duration_minutes FROM
 (SELECT id, (id % 977) * 7 - 20 AS secs FROM @scans) s JOIN (SELECT scan_id, max(severity_score) AS m FROM @findings GROUP BY 1) f ON f.scan_id = s.id""")
 def a7(spark, d):
