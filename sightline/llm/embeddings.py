@@ -1,9 +1,12 @@
 """Near-duplicate embeddings by cross-polytope hashing.
 
 Hash: three rounds of random signs and a fast Hadamard transform, then the signed axis that the
-rotated vector lies nearest to; two such axes make a bucket. Each of ``TABLES`` tables stores a vector
-under its own bucket and also sends it, as a query, to ``PROBES`` buckets next in line (the axes it
-lies next nearest to). Candidates of a bucket are verified by cosine in double precision.
+rotated vector lies nearest to; two such axes or more make a bucket. Their number follows the logarithm of the number
+of vectors, and the last rotation offers only as many axes as are still needed, so that there are about ``SPREAD`` buckets
+for each vector of the largest label, however many there are. Each table stores a vector under its own bucket and also
+sends it, as a query, to ``PROBES`` buckets next in line (the axes it lies next nearest to). Candidates of a bucket
+are verified by cosine in double precision. Longer hashes agree less often, so tables are added with axes: of pairs at
+cosine 0.931 at least 0.99 meet, for two to five axes of 64 components and two to four of 512 (tests, README).
 
 Vectors that are equal are collapsed first and counted with their number. Buckets with one vector are
 dropped before any vector is shuffled. A bucket of over ``SALT_ROWS`` rows is dealt into a square of parts,
@@ -24,6 +27,8 @@ from .common import Scratch
 from .components import components
 
 TABLES, PROBES, SALT_ROWS = 12, 3, 2000
+#: Buckets for each vector of a label, tables for each further whole axis, and most axes (short vectors fill buckets with links).
+SPREAD, MORE_TABLES, MOST_AXES = 8, 8, 6
 COSINE = 0.93
 
 
@@ -39,34 +44,47 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    """Two-axis hashes of all tables, for vectors of ``dim`` components."""
-
-    def __init__(self, dim: int, tables: int = TABLES, probes: int = PROBES, seed: int = 20):
-        self.dim, self.size, self.tables, self.probes = dim, 1 << max(1, (dim - 1).bit_length()), tables, probes
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 2, 3, self.size))
-
-    def _axes(self, x: np.ndarray, signs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tables for ``n`` vectors of ``dim`` components: two axes, and more where ``n`` asks for more buckets."""
+
+    def __init__(self, dim: int, n: int = 0, probes: int = PROBES, seed: int = 20):
+        self.dim, self.size, self.probes = dim, 1 << max(1, (dim - 1).bit_length()), probes
+        self.widths, buckets = [self.size] * 2, (2 * self.size) ** 2
+        while buckets < SPREAD * n and len(self.widths) < MOST_AXES:
+            self.widths.append(min(self.size, 1 << (-(-SPREAD * n // buckets) - 1).bit_length() - 1))
+            buckets *= 2 * self.widths[-1]
+        further = sum(w.bit_length() for w in self.widths[2:]) / self.size.bit_length()
+        self.tables = TABLES + int(np.ceil(MORE_TABLES * further))
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (self.tables, len(self.widths), 3, self.size))
+
+    def _axes(self, x: np.ndarray, signs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The three nearest signed axes and what each loses against the nearest; few axes offer the opposite one too."""
         for s in signs:
             x = hadamard(x * s) / np.sqrt(self.size)
-        near = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :n]
+        x = x[:, :width]
+        near = np.argsort(-np.abs(x), axis=1, kind="stable")[:, :3]
         value = np.take_along_axis(x, near, 1)
-        return near * 2 + (value < 0), np.abs(value)
+        code, away = near * 2 + (value < 0), np.abs(value)
+        loss = (away[:, :1] - away) ** 2
+        if width < 3:
+            code, loss = np.hstack([code, code[:, :1] ^ 1]), np.hstack([loss, (2 * away[:, :1]) ** 2])
+        return code, loss
 
     def buckets(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own buckets (n, tables) and probed buckets (n, tables, probes) of unit rows."""
         x = np.pad(x, ((0, 0), (0, self.size - x.shape[1])))
-        own = np.empty((len(x), self.tables), np.int32)
-        probed = np.empty((len(x), self.tables, self.probes), np.int32)
-        n = min(3, self.size)
+        own = np.empty((len(x), self.tables), np.int64)
+        probed = np.empty((len(x), self.tables, self.probes), np.int64)
         for t in range(self.tables):
-            (a, va), (b, vb) = (self._axes(x, self.signs[t, k], n) for k in (0, 1))
-            codes = (a[:, :, None] * (2 * self.size) + b[:, None, :]).reshape(len(x), -1)
-            loss = ((va[:, :1] - va)[:, :, None] ** 2 + ((vb[:, :1] - vb) ** 2)[:, None, :]).reshape(len(x), -1)
-            order = np.argsort(loss, axis=1, kind="stable")[:, : self.probes + 1]
-            picked = np.take_along_axis(codes, order, 1)
-            if picked.shape[1] <= self.probes:
-                picked = np.pad(picked, ((0, 0), (0, self.probes + 1 - picked.shape[1])), mode="edge")
-            own[:, t], probed[:, t] = picked[:, 0], picked[:, 1:]
+            codes, losses = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+            for signs, width in zip(self.signs[t], self.widths, strict=True):
+                code, loss = self._axes(x, signs, width)
+                codes = (codes[:, :, None] * (2 * width) + code[:, None, :]).reshape(len(x), -1)
+                losses = (losses[:, :, None] + loss[:, None, :]).reshape(len(x), -1)
+                best = np.argsort(losses, axis=1, kind="stable")[:, : self.probes + 1]
+                codes, losses = np.take_along_axis(codes, best, 1), np.take_along_axis(losses, best, 1)
+            if codes.shape[1] <= self.probes:
+                codes = np.pad(codes, ((0, 0), (0, self.probes + 1 - codes.shape[1])), mode="edge")
+            own[:, t], probed[:, t] = codes[:, 0], codes[:, 1:]
         return own, probed
 
 
@@ -84,7 +102,7 @@ def _meet_first(own, probed, i, j, table, bucket) -> np.ndarray:
         a, b = i[left], j[left]
         at_a = (own[a, t] == own[b, t]) | (probed[b, t] == own[a, t][:, None]).any(axis=1)  # in a's own bucket
         at_b = (own[a, t] == own[b, t]) | (probed[a, t] == own[b, t][:, None]).any(axis=1)
-        big = np.iinfo(np.int32).max
+        big = np.iinfo(np.int64).max
         where = np.minimum(np.where(at_a, own[a, t], big), np.where(at_b, own[b, t], big))
         first[left] = np.where(table[left] > t, ~(at_a | at_b), where == bucket[left])
     return first
@@ -163,10 +181,11 @@ def near_duplicates(
     good = rows.where(F.col("label").isNotNull() & F.col("id").isNotNull() & v.isNotNull() & ~bad)
     good = good.withColumn("vec", F.transform(v, lambda c: c + 0.0))  # one zero
     keyed = good.select("id", F.md5(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("vec", lambda c: c.cast("string")), ","))).alias("same"), "label", "vec")
-    groups = keyed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    # equal vectors have equal labels, so any row of a group has them; partial sums collapse a hot group before the shuffle
+    groups = keyed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     groups = scratch.save(groups, "groups")
-    reps = keyed.join(groups, "same").where("id = rep").dropDuplicates(["same"]).select("rep", "copies", "label", "vec")
-    reps = scratch.save(reps, "distinct")
+    reps = groups.drop("same")
+    largest = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[int, CrossPolytope] = {}
@@ -175,16 +194,16 @@ def near_duplicates(
             dims = np.array([len(x) for x in vecs])
             for d in np.unique(dims):
                 pick = np.flatnonzero(dims == d)
-                hashes.setdefault(int(d), CrossPolytope(int(d)))
+                hashes.setdefault(int(d), CrossPolytope(int(d), largest))
                 own, probed = hashes[int(d)].buckets(_unit([vecs[k] for k in pick]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[pick]), pa.array(list(own)), pa.array(list(probed.reshape(len(pick), -1)))], ["rep", "own", "probed"]
                 )
 
     id_type = reps.schema["rep"].dataType.simpleString()
-    codes = scratch.save(reps.select("rep", "vec").mapInArrow(place, f"rep {id_type}, own array<int>, probed array<int>"), "codes")
+    codes = scratch.save(reps.select("rep", "vec").mapInArrow(place, f"rep {id_type}, own array<bigint>, probed array<bigint>"), "codes")
     coded = reps.select("rep", "label", F.size("vec").alias("dim")).join(codes, "rep")
-    coded = coded.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))))
+    coded = coded.withColumn("t", F.explode(F.sequence(F.lit(0), F.size("own") - 1)))
     spots = coded.select(
         "rep", "label", "dim", "t",
         F.explode(F.array_union(F.array(F.get("own", F.col("t"))), F.slice("probed", F.col("t") * PROBES + 1, PROBES))).alias("bucket"),
@@ -218,8 +237,9 @@ def near_duplicates(
             for lo, hi in zip(edges, edges[1:], strict=False):
                 part = t.slice(lo, hi - lo)
                 stored, home, ids = part["stored"].to_numpy().astype(bool), part["home"].to_numpy(), part["rep"].to_numpy()
+                own = flat(part, "own")
                 links, label = _compare(
-                    _unit(flat(part, "vec")), flat(part, "own"), flat(part, "probed").reshape(len(part), TABLES, PROBES), part["copies"].to_numpy(), stored,
+                    _unit(flat(part, "vec")), own, flat(part, "probed").reshape(*own.shape, PROBES), part["copies"].to_numpy(), stored,
                     np.cumsum(starts(part)) - 1, stored & (home == part["a"].to_numpy()), home == part["b"].to_numpy(), part["t"].to_numpy(), part["bucket"].to_numpy(), cosine,
                 )
                 some = (links > 0) | (label != np.arange(len(label)))
