@@ -6,7 +6,7 @@ of vectors, and the last rotation offers only as many axes as are still needed,
 for each vector of the largest label, however many there are. Each table stores a vector under its own bucket and also
 sends it, as a query, to ``PROBES`` buckets next in line (the axes it lies next nearest to). Candidates of a bucket
 are verified by cosine in double precision. Longer hashes agree less often, so tables are added with axes: of pairs at
-cosine 0.931 at least 0.99 meet, for two to five axes of 64 components and two to four of 512 (tests, README).
+cosine 0.931 at least 0.99 meet, up to 1e9 vectors of 64 components and 1e7 of 384 (tests).
 
 Vectors that are equal are collapsed first and counted with their number. Buckets with one vector are
 dropped before any vector is shuffled. A bucket of over ``SALT_ROWS`` rows is dealt into a square of parts,
@@ -170,7 +170,7 @@ def near_duplicates(
 
     Vectors are compared only where labels are equal and not null. A vector that is null, empty, zero or
     holds null or non-finite components links with nothing, and vectors of different lengths do not link.
-    Equal vectors are links of each other. Rows that repeat an id count one by one. An empty table gives
+    Equal vectors are links of each other. Rows that repeat an id with an equal vector count one by one; different vectors need different ids. An empty table gives
     an empty table.
     """
     spark = vectors.sparkSession
