@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_rollup, url_filter
+from . import alignment, embeddings, exact_dedup, fill_in_middle, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_rollup, url_filter
 from .common import Scratch, crc_mod, shared_dir, table
 
 #: Part of the largest possible entropy that the mixture is to have.
@@ -126,6 +126,22 @@ def rollup_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rollup(scratch, counts, list(token_rollup.PATTERNS), _toxic(spark, sf_dir))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restore(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    return alignment.link_counts(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_quality_classifier": op2_quality_classifier,
@@ -137,6 +153,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_token_rollup": op10_token_rollup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_alignment": op13_alignment,
     "rollup_patterns": rollup_patterns,
 }
 
@@ -214,6 +233,21 @@ x AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY md5('mix:'
 o AS (SELECT doc_id, source, tokens, block, epoch FROM w UNION ALL SELECT doc_id, source, tokens, block, epochs FROM x WHERE before < rest)
 SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch,
   substr(md5('mix:' || epoch || ':block:' || block), 1, 8) || '-' || substr(md5('mix:' || epoch || ':doc:' || doc_id), 1, 16) AS draw_key FROM o
+""",
+    "op11_exact_dedup": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM d JOIN g USING (text)
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+k AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+       WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(u[greatest(a, b) + 1:], '') AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
 """,
     "rollup_patterns": rf"""
 WITH v AS (SELECT * FROM (VALUES ('words-1', '{token_rollup.PATTERNS["words-1"]}'), ('pieces-2', '{token_rollup.PATTERNS["pieces-2"]}')) AS v(tokenizer, pattern)),
