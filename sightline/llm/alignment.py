@@ -13,7 +13,6 @@ pairs, only these pairs meet their totals in a join, and each block gets the tot
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,32 +93,54 @@ class UnitTokens:
         if any(" " in p.strip(" ") for p in (t.decode("utf-8", "ignore") for t in self.b_bytes)):
             raise ValueError("the model has pieces across spaces, so units are not independent")
         # id and length in one number
-        self.a_codes = [k << 32 | len(t) for k, t in enumerate(self.a_bytes)]
-        self.b_codes = [k << 32 | len(t) for k, t in enumerate(self.b_bytes)]
+        self.a_codes = np.array([k << 32 | len(t) for k, t in enumerate(self.a_bytes)])
+        self.b_codes = np.array([k << 32 | len(t) for k, t in enumerate(self.b_bytes)])
         self.kept: dict[bytes, tuple[bytes, bytes] | None] = {}
         after = [f"{k}{s}".encode() for last, ids in (("|", self.a_bytes), (";", self.b_bytes)) for k in range(len(ids)) for s in (",", last)]
         self.texts = pa.array(after, pa.binary())
 
-    def _encode(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes] | None]:
+    def _each(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes] | None]:
+        """The units one by one."""
         words = [u.decode() for u in units]
         found = self.a.encode_batch_fast(words, add_special_tokens=False)
         for u, x, y in zip(units, found, self.b.encode([w[1:] for w in words], num_threads=1), strict=True):
             if b"".join(map(self.a_bytes.__getitem__, x.ids)) == u == b"".join(map(self.b_bytes.__getitem__, y)):
-                yield array("q", map(self.a_codes.__getitem__, x.ids)).tobytes(), array("q", map(self.b_codes.__getitem__, y)).tobytes()
+                yield self.a_codes[x.ids].tobytes(), self.b_codes[y].tobytes()
             else:
                 yield None
 
-    def codes(self, units: list[bytes]) -> list[tuple[bytes, bytes] | None]:
-        """For each unit its codes by both; none if the tokens' bytes are not the unit's."""
+    def _joined(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes] | None]:
+        """Units whose first and last characters are plain, as one text; one by one if that text is not rebuilt."""
+        text, sides = b"".join(units), []
+        word = text.decode()
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        for ids, own, codes in ((self.a.encode_batch_fast([word], add_special_tokens=False)[0].ids, self.a_bytes, self.a_codes), (self.b.encode(word[1:]), self.b_bytes, self.b_codes)):
+            if b"".join(map(own.__getitem__, ids)) != text:
+                return self._each(units)
+            found = codes[ids]
+            to = np.cumsum(found & 0xFFFFFFFF)
+            at = np.searchsorted(to, ends)
+            if (to[at] != ends).any():
+                return self._each(units)
+            data, at = found.tobytes(), ((at + 1) * 8).tolist()
+            sides.append([data[x:y] for x, y in zip([0, *at], at, strict=False)])
+        return zip(*sides, strict=True)
+
+    def codes(self, units: list[bytes], count: np.ndarray) -> list[tuple[bytes, bytes] | None]:
+        """For each unit its codes by both; none if the tokens' bytes are not the unit's. Those that stand more than once are kept."""
         if len(self.kept) > CACHE_UNITS:
             self.kept.clear()
         new = [u for u in units if u not in self.kept]
-        own = {}
-        for lo in range(0, len(new), 2000):
-            part = new[lo : lo + 2000]
-            for u, found in zip(part, self._encode(part), strict=True):
-                (self.kept if len(u) <= UNIT_BYTES else own)[u] = found
-        return [own[u] if u in own else self.kept[u] for u in units]
+        plain = [u for u in new if len(u) > 1 and 0x20 < u[1] < 0x7F and 0x20 < u[-1] < 0x7F]
+        odd = [u for u in new if not (len(u) > 1 and 0x20 < u[1] < 0x7F and 0x20 < u[-1] < 0x7F)]
+        own: dict[bytes, tuple[bytes, bytes] | None] = {}
+        for rows, encode in ((plain, self._joined), (odd, self._each)):
+            for lo in range(0, len(rows), 500):
+                part = rows[lo : lo + 500]
+                own.update(zip(part, encode(part), strict=True))
+        out = [own[u] if u in own else self.kept[u] for u in units]
+        self.kept.update((u, own[u]) for u, n in zip(units, count.tolist(), strict=True) if n > 1 and u in own and len(u) <= UNIT_BYTES)
+        return out
 
 
 def unit_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -133,8 +154,9 @@ def unit_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     prev, after = data[at - 1], data[at + 1]
     ascii_ = (prev > 0x20) & (prev < 0x7F)
     other = (prev >= 0x80) & (two[data[at - 2]] | (three[data[at - 3]] & (data[at - 2] >= 0x80)))
-    at = at[(ascii_ | other) & lead[after]]
-    return np.union1d(starts, at)
+    found = np.zeros(len(data), bool)
+    found[starts] = found[at[(ascii_ | other) & lead[after]]] = True
+    return np.flatnonzero(found)
 
 
 def _expand(codes: list[bytes], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,16 +195,14 @@ def align_texts(tokens: UnitTokens, texts: pa.Array) -> dict[str, np.ndarray | l
     offsets = np.frombuffer(spaced.buffers()[1], np.int64)[: len(real) + 1]
     data = np.frombuffer(spaced.buffers()[2], np.uint8)[: offsets[-1]]
     starts = unit_starts(data, offsets[:-1])
-    ends = np.append(starts[1:], offsets[-1])
     units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, offsets[-1])), pa.py_buffer(data)]).dictionary_encode()
     unit = units.indices.to_numpy().astype(np.int64)
-    codes = tokens.codes(units.dictionary.to_pylist())
+    codes = tokens.codes(units.dictionary.to_pylist(), np.bincount(unit))
     doc = np.searchsorted(offsets, starts, "right") - 1
     bad = np.zeros(len(real), bool)
     bad[doc[np.array([c is None for c in codes], bool)[unit]]] = True
     good = ~bad[doc]
     unit, doc = unit[good], real[doc[good]]
-    del units, ends
     if not len(unit):
         return out
     a_ids, a_ends, a_n = _expand([c[0] if c else b"" for c in codes], unit)
