@@ -170,8 +170,8 @@ def near_duplicates(
 
     Vectors are compared only where labels are equal and not null. A vector that is null, empty, zero or
     holds null or non-finite components links with nothing, and vectors of different lengths do not link.
-    Equal vectors are links of each other. Rows that repeat an id with an equal vector count one by one; different vectors need different ids. An empty table gives
-    an empty table.
+    Equal vectors are links of each other. Rows count one by one, whether or not they repeat an id: vectors are told apart by a
+    number of their own, and ids only name the rows and the components. An empty table gives an empty table.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -183,8 +183,8 @@ def near_duplicates(
     keyed = good.select("id", F.md5(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("vec", lambda c: c.cast("string")), ","))).alias("same"), "label", "vec")
     # equal vectors have equal labels, so any row of a group has them; partial sums collapse a hot group before the shuffle
     groups = keyed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    groups = scratch.save(groups, "groups")
-    reps = groups.drop("same")
+    groups = scratch.save(groups.withColumn("node", F.monotonically_increasing_id()), "groups")  # written, so made once
+    reps = groups.select("node", "label", "copies", "vec")
     largest = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +197,14 @@ def near_duplicates(
                 hashes.setdefault(int(d), CrossPolytope(int(d), largest))
                 own, probed = hashes[int(d)].buckets(_unit([vecs[k] for k in pick]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[pick]), pa.array(list(own)), pa.array(list(probed.reshape(len(pick), -1)))], ["rep", "own", "probed"]
+                    [pa.array(ids[pick]), pa.array(list(own)), pa.array(list(probed.reshape(len(pick), -1)))], ["node", "own", "probed"]
                 )
 
-    id_type = reps.schema["rep"].dataType.simpleString()
-    codes = scratch.save(reps.select("rep", "vec").mapInArrow(place, f"rep {id_type}, own array<bigint>, probed array<bigint>"), "codes")
-    coded = reps.select("rep", "label", F.size("vec").alias("dim")).join(codes, "rep")
+    codes = scratch.save(reps.select("node", "vec").mapInArrow(place, "node bigint, own array<bigint>, probed array<bigint>"), "codes")
+    coded = reps.select("node", "label", F.size("vec").alias("dim")).join(codes, "node")
     coded = coded.withColumn("t", F.explode(F.sequence(F.lit(0), F.size("own") - 1)))
     spots = coded.select(
-        "rep", "label", "dim", "t",
+        "node", "label", "dim", "t",
         F.explode(F.array_union(F.array(F.get("own", F.col("t"))), F.slice("probed", F.col("t") * PROBES + 1, PROBES))).alias("bucket"),
         F.get("own", F.col("t")).alias("main"),
     ).withColumn("stored", F.col("bucket") == F.col("main")).drop("main")
@@ -213,15 +212,15 @@ def near_duplicates(
     key = ["label", "dim", "t", "bucket"]
     sizes = spots.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("stored").alias("n_stored")).where("n > 1 and n_stored > 0")
     sizes = sizes.withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int")).drop("n", "n_stored")
-    used = spots.join(sizes, key).withColumn("home", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    used = spots.join(sizes, key).withColumn("home", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     # a salted bucket is a square of parts: trees by row, queries by column; a row stands in its row and column
     salt = F.sequence(F.lit(0), F.col("salts") - 1)
     across = F.transform(salt, lambda k: F.struct(F.col("home").alias("a"), k.alias("b")))
     down = F.transform(salt, lambda k: F.struct(k.alias("a"), F.col("home").alias("b")))
     used = used.withColumn("part", F.explode(F.when(F.col("stored"), F.array_union(across, down)).otherwise(down)))
-    used = used.select("rep", *key, "stored", "home", F.col("part.a").alias("a"), F.col("part.b").alias("b"))
-    data = reps.select("rep", "copies", "vec").join(codes, "rep")
-    full = used.join(data, "rep").repartition(*key, "a", "b").sortWithinPartitions("dim", "label", "t", "bucket", "a", "b")
+    used = used.select("node", *key, "stored", "home", F.col("part.a").alias("a"), F.col("part.b").alias("b"))
+    data = reps.select("node", "copies", "vec").join(codes, "node")
+    full = used.join(data, "node").repartition(*key, "a", "b").sortWithinPartitions("dim", "label", "t", "bucket", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def starts(t: pa.Table) -> np.ndarray:
@@ -236,14 +235,14 @@ def near_duplicates(
             edges = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(t)]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 part = t.slice(lo, hi - lo)
-                stored, home, ids = part["stored"].to_numpy().astype(bool), part["home"].to_numpy(), part["rep"].to_numpy()
+                stored, home, ids = part["stored"].to_numpy().astype(bool), part["home"].to_numpy(), part["node"].to_numpy()
                 own = flat(part, "own")
                 links, label = _compare(
                     _unit(flat(part, "vec")), own, flat(part, "probed").reshape(*own.shape, PROBES), part["copies"].to_numpy(), stored,
                     np.cumsum(starts(part)) - 1, stored & (home == part["a"].to_numpy()), home == part["b"].to_numpy(), part["t"].to_numpy(), part["bucket"].to_numpy(), cosine,
                 )
                 some = (links > 0) | (label != np.arange(len(label)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["rep", "links", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[label[some]])], ["node", "links", "to"])
 
         held: list[pa.RecordBatch] = []
         count = 0
@@ -260,11 +259,14 @@ def near_duplicates(
         if count:
             yield from out(pa.Table.from_batches(held))
 
-    found = scratch.save(full.mapInArrow(compare, f"rep {id_type}, links bigint, to {id_type}"), "found")
-    comps = components(found.select(F.col("rep").alias("u"), F.col("to").alias("v")), scratch)
-    n = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = groups.join(n, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    per = scratch.save(per.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "groups-out")
+    found = scratch.save(full.mapInArrow(compare, "node bigint, links bigint, to bigint"), "found")
+    comps = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")), scratch)
+    n = found.groupBy("node").agg(F.sum("links").alias("links"))
+    comps = scratch.save(comps, "components")
+    names = comps.join(groups.select("node", "rep"), "node")
+    names = names.select("node", "component").join(names.groupBy("component").agg(F.min("rep").alias("least")), "component").drop("component")
+    per = groups.select("node", "same", "rep", "copies").join(n, "node", "left").join(names, "node", "left")
+    per = scratch.save(per.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id")), "groups-out")
     linked = keyed.select("id", "same").join(per, "same").select("id", "n_links", "component_id")
     other = rows.where(~(F.col("label").isNotNull() & F.col("id").isNotNull() & v.isNotNull() & F.coalesce(~bad, F.lit(False))))
     other = other.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))

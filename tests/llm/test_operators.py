@@ -111,6 +111,26 @@ def test_embeddings_many_axes(spark, monkeypatch):
     assert np.mean(met) > 0.99 and by_id[0].n_links == 3
 
 
+def test_embeddings_ids_on_several_vectors(spark):
+    """Rows are what links, whatever their ids: one id may stand on different vectors, and on equal ones."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((7, 16))
+    x = np.vstack([base[k % 7] + rng.standard_normal(16) * (0.1 if k < 50 else 1) for k in range(60)])
+    x = np.vstack([x, x[3], x[3], x[20]])
+    ids = [k % 23 for k in range(60)] + [3, 9, 40]
+    near = (lambda y: y @ y.T >= 0.93)(x / np.linalg.norm(x, axis=1, keepdims=True))
+    comp = np.array(ids)
+    for _ in range(20):
+        comp = np.array([comp[near[k]].min() for k in range(len(ids))])
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<double>, label int")
+    got = Counter(tuple(r) for r in embeddings.near_duplicates(df).collect())
+    assert got == Counter((i, int(near[k].sum()) - 1, int(comp[k]), bool(i == comp[k])) for k, i in enumerate(ids))
+    e = np.eye(4)
+    four = [(0, e[0] + e[1]), (0, e[2] + e[3]), (2, e[0] + 1.1 * e[1]), (3, e[2] + 1.1 * e[3])]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in four], "vec_id bigint, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()) == [(0, 1, 0), (0, 1, 0), (2, 1, 0), (3, 1, 0)]
+
+
 def test_quality_classifier(spark):
     good = [f"The {w} of the day is long and calm, and {w} is what we all like to see." for w in map(str, range(60))]
     bad = [f"BUY!!! {w}$$$ NOW!!! ### {w} CHEAP*** %%% !!!" for w in map(str, range(60))]
