@@ -1,14 +1,25 @@
-"""Rule matching over code lines: one finding for each line and rule that fits it."""
+"""Rule matching over code lines: one finding for each line and rule that fits it.
+
+Patterns are run only where their literals stand. For the built-in rules one automaton of a language's literals reads each
+whole text once, and each pattern sees the lines that hold one of its own. Tables of user rules of any size are joined
+with lines through three-byte runs of their literals. A search that could take long runs in a worker that ends it in time.
+"""
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cwe_name, cwe_owasp, rule_group, score_severity, skipped, split_lines, strip, suffix
 from ..schemas import MAX_FILE_BYTES
+from .literals import ENDLESS, fold, folded, growth, held_literals, rare_gram
 from .rules import RULES, SCANNERS, Rule, java_pattern
 
 #: What stands between a title and the line's number in a group's descriptions.
@@ -52,30 +63,25 @@ def visible_code(line: Column, group: str) -> Column:
     return generic_code(line, group) if group in ("go", "ruby", "rust", "csharp", "kotlin", "swift", "shell", "sql") else line
 
 
-def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] | None = None) -> DataFrame:
-    """Findings of lines (path, group, line_no, line, and any keys): all columns plus rule_ord and the finding's.
+_FACTS = "array<struct<ord:int,rule_id:string,title:string,cwe:string,score:int,scanner:string,wording:string>>"
 
-    One pass over the lines: the line's group picks which rules are tried. Patterns are literals, so each
-    compiles once per task.
-    """
-    keys = [c for c in rows.columns if c not in ("line", "group")]
+
+def _by_group(rules: list[Rule] | None, groups: list[str] | None = None) -> dict[str, list[Rule]]:
     own = {g: [r for r in (RULES if rules is None else rules) if r.group == g] for g in groups or list(SCANNERS)}
-    own = {g: r for g, r in own.items() if r}
-    table, facts = [], "array<struct<ord:int,rule_id:string,title:string,cwe:string,score:int,scanner:string,wording:string>>"
-    code, hits = F.lit(None).cast("string"), F.array().cast("array<int>")
-    for group, its in own.items():
-        found = []
-        for k, r in enumerate(its):
-            table.append({"ord": k, "rule_id": r.rule_id, "title": r.title, "cwe": r.cwe, "score": r.score, "scanner": SCANNERS[group], "wording": _WORDING.get(group, " (line ")})
-            found.append(F.when(F.col("_code").rlike(java_pattern(r)), F.lit(len(table))))
-        code = F.when(F.col("group") == group, visible_code(F.col("line"), group)).otherwise(code)
-        hits = F.when(F.col("group") == group, F.array_compact(F.array(*found))).otherwise(hits)
-    rule = F.from_json(F.lit(json.dumps(table)), facts)  # a constant, which the optimizer folds
-    df = rows.where(F.col("group").isin(list(own))).withColumn("_code", code).where(F.col("_code").isNotNull())
+    return {g: r for g, r in own.items() if r}
+
+
+def _findings(found: DataFrame, own: dict[str, list[Rule]], keys: list[str]) -> DataFrame:
+    """Findings of rows (keys, group, line) that fit rule number ``_k`` (from 1, over all groups in turn)."""
+    table = [
+        {"ord": k, "rule_id": r.rule_id, "title": r.title, "cwe": r.cwe, "score": r.score, "scanner": SCANNERS[group], "wording": _WORDING.get(group, " (line ")}
+        for group, its in own.items()
+        for k, r in enumerate(its)
+    ]
+    rule = F.from_json(F.lit(json.dumps(table)), _FACTS)  # a constant, which the optimizer folds
     hit = F.col("_hit")
     end = F.when(hit["wording"] == " (line ", ").").otherwise(".")
-    found = df.withColumn("_k", F.explode(hits)).withColumn("_hit", F.element_at(rule, F.col("_k")))
-    return found.select(
+    return found.withColumn("_hit", F.element_at(rule, F.col("_k"))).select(
         *keys,
         "group",
         F.substring(strip(F.col("line")), 1, 300).alias("code"),
@@ -92,25 +98,175 @@ def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] |
     )
 
 
+def _code_of(groups: Iterator[str]) -> Column:
+    """What rules see of a row's line, by its group."""
+    code = F.lit(None).cast("string")
+    for group in groups:
+        code = F.when(F.col("group") == group, visible_code(F.col("line"), group)).otherwise(code)
+    return code
+
+
+def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] | None = None) -> DataFrame:
+    """Findings of lines (path, group, line_no, line, and any keys): all columns plus rule_ord and the finding's.
+
+    One pass over the lines: the line's group picks which rules are tried, all of them on each line. Patterns are
+    literals, so each compiles once per task. For whole files :func:`heuristics` tries far fewer.
+    """
+    keys = [c for c in rows.columns if c not in ("line", "group")]
+    own = _by_group(rules, groups)
+    hits, k = F.array().cast("array<int>"), 0
+    for group, its in own.items():
+        found = []
+        for r in its:
+            k += 1
+            found.append(F.when(F.col("_code").rlike(java_pattern(r)), F.lit(k)))
+        hits = F.when(F.col("group") == group, F.array_compact(F.array(*found))).otherwise(hits)
+    df = rows.where(F.col("group").isin(list(own))).withColumn("_code", _code_of(own)).where(F.col("_code").isNotNull())
+    return _findings(df.withColumn("_k", F.explode(hits)), own, keys)
+
+
+def candidates(files: DataFrame, rules: list[Rule] | None = None, groups: list[str] | None = None) -> DataFrame:
+    """Lines and rules that may fit, of files (path, text, group, and any keys): the columns without text, line_no, line, _k.
+
+    An automaton of a group's literals reads each text once. ``_k``: number of a rule (from 1, over all groups in turn) one of
+    whose literals stands on the line; a rule without literals is there for each line. Lines without a candidate never
+    leave the worker.
+    """
+    rest = [c for c in files.columns if c != "text"]
+    words: dict[str, dict[str, list[int]]] = {}
+    always: dict[str, list[int]] = {}
+    k = 0
+    for group, its in _by_group(rules, groups).items():
+        for r in its:
+            k += 1
+            for word in held_literals(r.pattern) or ():
+                words.setdefault(group, {}).setdefault(word, []).append(k)
+            if not held_literals(r.pattern):
+                always.setdefault(group, []).append(k)
+    known = sorted({*words, *always})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automata = {}
+        for group, own in words.items():
+            automata[group] = ahocorasick.Automaton()
+            for word, ks in own.items():
+                automata[group].add_word(word, ks)
+            automata[group].make_automaton()
+        for b in batches:
+            rows, numbers, lines, found = [], [], [], []
+            for at, (group, text) in enumerate(zip(b["group"].to_pylist(), b["text"].to_pylist(), strict=True)):
+                if not text:
+                    continue
+                hits: dict[int, set[int]] = {}
+                parts = None
+                low = fold(text)
+                for end, ks in automata[group].iter(low) if group in automata else ():
+                    if parts is None:
+                        parts = text.splitlines(keepends=True)
+                        starts = list(accumulate(map(len, parts), initial=0))
+                    hits.setdefault(bisect_right(starts, end) - 1, set()).update(ks)
+                if group in always:
+                    parts = parts or text.splitlines(keepends=True)
+                    for line in range(len(parts)):
+                        hits.setdefault(line, set()).update(always[group])
+                for line in sorted(hits):
+                    rows.append(at)
+                    numbers.append(line + 1)
+                    lines.append(parts[line].splitlines()[0])
+                    found.append(sorted(hits[line]))
+            kept = b.select(rest).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(numbers, pa.int32()), pa.array(lines, pa.string()), pa.array(found, pa.list_(pa.int32()))], [*rest, "line_no", "line", "_ks"]
+            )
+
+    kinds = [f"`{c}` {files.schema[c].dataType.simpleString()}" for c in rest]
+    found = files.where(F.col("group").isin(known)).select(*rest, "text").mapInArrow(run, ", ".join([*kinds, "line_no int, line string, _ks array<int>"]))
+    return found.withColumn("_k", F.explode("_ks")).drop("_ks")
+
+
 def heuristics(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Findings of all built-in rules over files (path, text, and any keys); files over 2 MiB have none.
 
-    ``rules``: only these are tried, which costs less than to filter the findings afterwards.
+    ``rules``: only these are tried. A pattern runs on the lines that hold one of its literals (:func:`candidates`), so
+    the rows are those of :func:`match` over all lines.
     """
     known = code_files(files).where(F.octet_length("text") <= MAX_FILE_BYTES)
-    return match(lines(known), rules)
+    own = _by_group(rules)
+    rows = candidates(known, rules).withColumn("_code", _code_of(own))
+    # the pattern is a column, so each row runs its own and the plan stays small; few rows get here
+    pattern = F.element_at(F.array(*[F.lit(java_pattern(r)) for its in own.values() for r in its]), F.col("_k"))
+    rows = rows.where(F.regexp_like("_code", pattern))
+    return _findings(rows, own, [c for c in rows.columns if c not in ("line", "group", "_k", "_code")])
 
 
 #: User rules: longer patterns are ignored.
 MAX_PATTERN = 500
 
 
-def custom(files: DataFrame, rules: list[dict], max_line: int | None = None) -> DataFrame:
+#: Seconds that a search may take; a longer one counts as no match.
+TIME_LIMIT = 2.0
+#: Steps up to which a search is not watched: a line's length to the power of the pattern's growth.
+STEPS = 1e9
+
+
+def _risky(line: Column, power: Column | int) -> Column:
+    return (power if isinstance(power, Column) else F.lit(power)) * F.log10(F.greatest(F.length(line), F.lit(10))) > float(np.log10(STEPS))
+
+
+def within_time(pairs: DataFrame, seconds: float = TIME_LIMIT) -> DataFrame:
+    """Rows (line, pattern, risky, and any keys) whose pattern is found in the line, or that are not risky.
+
+    Risky pairs are searched in a worker by an engine that gives up after ``seconds``, which counts as no match, as does a
+    pattern that it does not know. Only rows that may be findings get here, so few pass through Python.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        known: dict[str, object] = {}
+        for b in batches:
+            keep = []
+            for line, pattern, risky in zip(b["line"].to_pylist(), b["pattern"].to_pylist(), b["risky"].to_pylist(), strict=True):
+                if risky:
+                    if pattern not in known:
+                        known.clear() if len(known) > 10_000 else None
+                        try:
+                            known[pattern] = regex.compile(pattern)
+                        except regex.error:
+                            known[pattern] = None
+                    try:
+                        risky = known[pattern] is None or known[pattern].search(line, timeout=seconds) is None
+                    except TimeoutError:
+                        risky = True
+                keep.append(not risky)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
+_DEFAULTS = {"title": "Custom Finding", "severity": "Medium", "severity_score": 5, "cwe": "CWE-Misc", "owasp": "Other"}
+
+
+def _name_end(path: Column) -> Column:
+    """The suffix of a path's file name as it is written."""
+    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^.*[^.].*?(\.[^.]+)$", 1)
+
+
+def _user_findings(found: DataFrame, keys: list[str]) -> DataFrame:
+    own = [F.coalesce(F.nullif(F.col(f"_rule.{n}"), F.lit("")) if isinstance(v, str) else F.col(f"_rule.{n}"), F.lit(v)).alias(n) for n, v in _DEFAULTS.items()]
+    code = F.substring(strip(F.col("line")), 1, 300).alias("code")
+    return found.select(*keys, code, F.lit("custom-rules").alias("scanner"), F.col("_rule.rule_id").alias("rule_id"), *own, F.col("_rule.ord").alias("rule_ord"))
+
+
+def custom(files: DataFrame, rules: list[dict], max_line: int | None = None, seconds: float = TIME_LIMIT) -> DataFrame:
     """Findings of user rules (id, title, pattern, severity, extensions, score, cwe, owasp) over files (path, text, keys).
 
     A rule whose pattern is missing, too long or does not compile is ignored. ``extensions`` is compared as
     written; without it a rule looks at every file. The score does not follow from the severity. Lines of any length are
-    searched, unless ``max_line`` leaves out longer ones.
+    searched, unless ``max_line`` leaves out longer ones; a search that takes longer than ``seconds`` counts as no match.
+    Rules are part of the plan; for many of them see :func:`custom_table`.
     """
     rows = lines(files)
     keys = [c for c in rows.columns if c != "line"]
@@ -123,27 +279,118 @@ def custom(files: DataFrame, rules: list[dict], max_line: int | None = None) ->
         except Exception:  # the JVM's PatternSyntaxException
             return False
 
-    hits = []
-    for k, r in enumerate(x for x in rules if valid(x)):
-        fits = F.col("line").rlike("(?Ud)" + r["pattern"])
+    own = [r for r in rules if valid(r)]
+    facts = [{"ord": k, "rule_id": r["id"], "pattern": r["pattern"], "severity_score": None if r.get("score") is None else int(r["score"]), **{n: r.get(n) for n in ("title", "severity", "cwe", "owasp")}} for k, r in enumerate(own)]
+    line, hits = F.col("line"), []
+    for k, r in enumerate(own):
+        p, words = r["pattern"], held_literals(r["pattern"])
+        may = F.lit(True)
+        if words:  # a cheap test that keeps searches few
+            low = folded(line)
+            may = F.contains(low, F.lit(words[0]))
+            for w in words[1:]:
+                may = may | F.contains(low, F.lit(w))
         if r.get("extensions"):
-            name = F.element_at(F.split("path", "/"), -1)
-            fits = F.regexp_extract(name, r"^.*[^.].*?(\.[^.]+)$", 1).isin(list(r["extensions"])) & fits
-        own = {
-            "rule_id": r["id"],
-            "title": r.get("title") or "Custom Finding",
-            "severity": r.get("severity") or "Medium",
-            "severity_score": int(r.get("score", 5)),
-            "cwe": r.get("cwe") or "CWE-Misc",
-            "owasp": r.get("owasp") or "Other",
-        }
-        hits.append(F.when(fits, F.struct(*[F.lit(v).alias(n) for n, v in own.items()], F.lit(k).alias("rule_ord"))))
-    if not hits:
-        hits = [F.lit(None).cast("struct<rule_id:string,title:string,severity:string,severity_score:int,cwe:string,owasp:string,rule_ord:int>")]
+            may = _name_end(F.col("path")).isin(list(r["extensions"])) & may
+        risky = F.lit(True) if growth(p) == ENDLESS else _risky(line, growth(p))
+        hits.append(F.when(may & (risky | line.rlike("(?Ud)" + p)), F.struct(F.lit(k + 1).alias("k"), risky.alias("risky"))))
     if max_line is not None:
         rows = rows.where(F.length("line") <= max_line)
-    found = rows.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
-    return found.select(*keys, F.substring(strip(F.col("line")), 1, 300).alias("code"), F.lit("custom-rules").alias("scanner"), "_hit.*")
+    hits = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<struct<k:int,risky:boolean>>")
+    rule = F.from_json(F.lit(json.dumps(facts)), "array<struct<ord:int,rule_id:string,pattern:string,title:string,severity:string,severity_score:int,cwe:string,owasp:string>>")
+    found = rows.withColumn("_h", F.explode(hits)).withColumn("_rule", F.element_at(rule, F.col("_h.k")))
+    if any(growth(r["pattern"]) > 1 for r in own):
+        found = within_time(found.select(*keys, "line", "_rule", F.col("_rule.pattern").alias("pattern"), F.col("_h.risky").alias("risky")), seconds)
+    return _user_findings(found, keys)
+
+
+def rule_grams(rules: DataFrame) -> DataFrame:
+    """Rules of a table (id, pattern, and what else a rule has) that run, with ``grams`` and ``power``.
+
+    ``grams``: a three-byte run of each of the literals of which a match holds one, as numbers; -1 alone where a rule tells no
+    such run. ``power``: see :func:`sightline.operators.literals.growth`. Patterns that are missing, too long or do not compile are left out.
+    """
+    usable = F.length("pattern").between(1, MAX_PATTERN) & F.expr("try_reflect('java.util.regex.Pattern', 'compile', concat('(?Ud)', pattern))").isNotNull()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams, power = [], []
+            for p in b["pattern"].to_pylist():
+                own = [rare_gram(w) for w in held_literals(p) or ("",)]
+                grams.append([-1] if None in own else sorted(set(own)))
+                power.append(growth(p))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grams, pa.list_(pa.int32())), pa.array(power, pa.int32())], [*b.schema.names, "grams", "power"])
+
+    rows = rules.where(usable)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInArrow(run, ", ".join([*kinds, "grams array<int>, power int"]))
+
+
+def gram_bits(grams: DataFrame) -> bytes:
+    """A bit for each of the 2 ** 24 three-byte runs, set where the column ``gram`` has it: 2 MB however many rows there are."""
+    rows = grams.where("gram >= 0").groupBy(F.floor(F.col("gram") / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("gram") % 32768).alias("bits"))
+    out = bytearray(1 << 21)
+    for r in rows.toLocalIterator():  # 512 rows of 4 KB at most
+        out[r.b * 4096 : r.b * 4096 + len(r.bits)] = r.bits
+    return bytes(out)
+
+
+def lines_with_grams(files: DataFrame, bits: bytes, every_line: bool) -> DataFrame:
+    """Lines of files (path, text, and any keys) that hold a run whose bit is set: the keys, line_no, line, grams (distinct).
+
+    With ``every_line`` each line is there, and has -1 among its runs.
+    """
+    rest = [c for c in files.columns if c != "text"]
+    shared = files.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+        for b in batches:
+            rows, numbers, lines_, found = [], [], [], []
+            for at, text in enumerate(b["text"].to_pylist()):
+                parts = text.splitlines(keepends=True) if text else []
+                low = [fold(x).encode() for x in parts]
+                data = np.frombuffer(b"".join(low), np.uint8).astype(np.int32)
+                codes = data[:-2] << 16 | data[1:-1] << 8 | data[2:] if len(data) > 2 else data[:0]
+                place = np.flatnonzero(wanted[codes])
+                line = np.searchsorted(np.cumsum([len(x) for x in low]), place, "right")
+                pairs = np.unique(line.astype(np.int64) << 24 | codes[place])
+                own: dict[int, list[int]] = {k: [-1] for k in range(len(parts))} if every_line else {}
+                for x in pairs.tolist():
+                    own.setdefault(x >> 24, []).append(x & 0xFFFFFF)
+                rows += [at] * len(own)
+                numbers += [k + 1 for k in own]
+                lines_ += [parts[k].splitlines()[0] for k in own]
+                found += own.values()
+            kept = b.select(rest).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(numbers, pa.int32()), pa.array(lines_, pa.string()), pa.array(found, pa.list_(pa.int32()))], [*rest, "line_no", "line", "grams"]
+            )
+
+    kinds = [f"`{c}` {files.schema[c].dataType.simpleString()}" for c in rest]
+    return files.select(*rest, "text").mapInArrow(run, ", ".join([*kinds, "line_no int, line string, grams array<int>"]))
+
+
+def custom_table(files: DataFrame, rules: DataFrame, seconds: float = TIME_LIMIT) -> DataFrame:
+    """The findings of :func:`custom` for a table of rules of any size (``rule_files.SCHEMA``); rules never come to the driver.
+
+    A join through the three-byte runs of literals pairs lines with rules that may fit; pairs are verified with the pattern as a
+    column. Rules that tell no run of three characters are tried on every line. Whether the rules' side is broadcast is Spark's
+    choice by its size. A line and a rule meet once, by the first of the rule's runs that the line has. rule_ord is 0.
+    """
+    keys = [c for c in files.columns if c != "text"] + ["line_no"]
+    usable = rule_grams(rules)
+    posts = usable.withColumn("gram", F.explode("grams"))
+    rule = F.struct(F.lit(0).alias("ord"), F.col("id").alias("rule_id"), "title", "severity", F.col("score").alias("severity_score"), "cwe", "owasp").alias("_rule")
+    posts = posts.select("gram", F.col("grams").alias("_grams"), "pattern", "power", "extensions", rule)
+    rows = lines_with_grams(files, gram_bits(posts), not posts.where("gram < 0").isEmpty())
+    pairs = rows.withColumn("gram", F.explode("grams")).join(posts, "gram")
+    first = F.get(F.filter("_grams", lambda g: F.array_contains("grams", g)), F.lit(0)) == F.col("gram")
+    end = F.coalesce(F.size("extensions") <= 0, F.lit(True)) | F.array_contains("extensions", _name_end(F.col("path")))
+    risky = _risky(F.col("line"), F.col("power"))
+    pairs = pairs.where(first & end).withColumn("risky", risky)
+    pairs = pairs.where(F.when(F.col("risky"), True).otherwise(F.regexp_like("line", F.concat(F.lit("(?Ud)"), "pattern"))))
+    return _user_findings(within_time(pairs.select(*keys, "line", "_rule", "pattern", "risky"), seconds), keys)
 
 
-__all__ = ["code_files", "custom", "heuristics", "lines", "match", "suffix", "visible_code"]
+__all__ = ["candidates", "code_files", "custom", "custom_table", "heuristics", "lines", "match", "suffix", "visible_code", "within_time"]

@@ -17,7 +17,6 @@ from ..operators.scan import scan
 from ..schemas import LANGUAGES, MAX_FILE_BYTES, SKIP_DIRS, WEB_GROUPS
 from ..sources import files as S
 from ..sources import ingest as I
-from ..sources.rule_files import table_rules
 from ..streaming import throttle
 from .adapters import view as v
 from .registry import query
@@ -470,14 +469,6 @@ def z5_flows(spark, d):
     return taint.taint(_flow_files(spark, d, ".java")).select("file_id", "line_no", "rule_id", "source_line", "variable")
 
 
-@query("f1_table_rules", "SELECT file_id, concat('M-', m) AS rule_id, concat('Names ', m) AS title, 'Low' AS severity, 2 AS severity_score FROM @code JOIN (SELECT DISTINCT c_mktsegment AS m FROM customer) s ON contains(line, m)")
-def f1(spark, d):
-    m = F.col("c_mktsegment")
-    rules = spark.read.parquet(f"{d}/customer.parquet").select(m).distinct()
-    rules = rules.select(F.concat(F.lit("M-"), m).alias("id"), F.concat(F.lit("Names "), m).alias("title"), m.alias("pattern"), F.lit("Low").alias("severity"), F.lit(2).alias("score"))
-    return detect.custom(_files(spark, d), table_rules(rules)).select("file_id", "rule_id", "title", "severity", "severity_score")
-
-
 @query("f4_registered_format", f"SELECT scan_id, file, rule AS title, severity_score, {_SEV} AS severity FROM (SELECT scan_id, file, rule, CAST(cvss AS INT) AS severity_score FROM @issues) x")
 def f4(spark, d):
     def bars(outputs):

@@ -4,36 +4,53 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import MAX_PATTERN
 
 SCHEMA = "id string, title string, pattern string, severity string, score int, cwe string, owasp string, extensions array<string>"
+_ARROW = pa.schema([(c, pa.string()) for c in ("id", "title", "pattern", "severity")] + [("score", pa.int32()), ("cwe", pa.string()), ("owasp", pa.string()), ("extensions", pa.list_(pa.string()))])
 _LOG = logging.getLogger(__name__)
 
 
-def load_rules(spark: SparkSession, path: str) -> list[dict]:
-    """Rules of the ``*.yaml`` files under ``path``, by file name. Files that hold no mapping with an id are skipped.
+def parse_rules(files: DataFrame) -> DataFrame:
+    """Rules (``SCHEMA``) of files (file, content) that hold one YAML mapping each.
 
-    Rules are part of a plan, so they are read to the driver; there are as many as people write.
+    Files that hold no mapping with an id and a pattern are skipped and logged by the task; ``score`` is null where it is no number.
     """
-    import yaml
 
-    rules = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import yaml
+
+        text = lambda x: None if x is None else str(x)
+        for b in batches:
+            rows = []
+            for file, content in zip(b["file"].to_pylist(), b["content"].to_pylist(), strict=True):
+                try:
+                    rule = yaml.safe_load(content or "")
+                except yaml.YAMLError as e:
+                    _LOG.warning("%s: %s", file, e)
+                    continue
+                if not isinstance(rule, dict) or not rule.get("id") or not rule.get("pattern"):
+                    _LOG.warning("%s holds no rule", file)
+                    continue
+                ends, score = rule.get("extensions"), rule.get("score")
+                own = {c: text(rule.get(c)) for c in ("id", "title", "pattern", "severity", "cwe", "owasp")}
+                ends = [str(e) for e in ends] if isinstance(ends, list) else [str(ends)] if ends else None
+                rows.append(own | {"score": int(score) if isinstance(score, (int, float)) or str(score).isdigit() else None, "extensions": ends})
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    return files.select("file", "content").mapInArrow(run, SCHEMA)
+
+
+def load_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of the ``*.yaml`` files under ``path``, read and parsed by tasks."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.yaml", recursiveFileLookup=True)
-    for row in files.select(F.input_file_name().alias("file"), "value").orderBy("file").collect():
-        try:
-            rule = yaml.safe_load(row["value"])
-        except yaml.YAMLError as e:
-            _LOG.warning("%s: %s", row["file"], e)
-            continue
-        if isinstance(rule, dict) and rule.get("id") and rule.get("pattern"):
-            rules.append(rule)
-        else:
-            _LOG.warning("%s holds no rule", row["file"])
-    return rules
+    return parse_rules(files.select(F.input_file_name().alias("file"), F.col("value").alias("content")))
 
 
 def checked(spark: SparkSession, rule: dict) -> dict:
@@ -56,5 +73,8 @@ def add_rule(spark: SparkSession, path: str, id: str, title: str, pattern: str,
 
 
 def table_rules(rules: DataFrame) -> list[dict]:
-    """Rules of a table as :func:`sightline.operators.detect.custom` takes them."""
+    """Rules of a small table as :func:`sightline.operators.detect.custom` takes them, which puts them into the plan.
+
+    Tables of any size go to :func:`sightline.operators.detect.custom_table` as they are.
+    """
     return [{k: v for k, v in r.asDict().items() if v is not None} for r in rules.orderBy("id").collect()]

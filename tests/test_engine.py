@@ -218,8 +218,9 @@ def test_rule_files(spark, tmp_path):
     (tmp_path / "y/a.yaml").write_text("id: U-1\npattern: 'ev.l'\nextensions: ['.py']\n")
     (tmp_path / "y/b.yaml").write_text("id: [")
     (tmp_path / "y/c.yaml").write_text("- no mapping")
-    rules = rule_files.load_rules(spark, str(tmp_path / "y"))
-    assert [r["id"] for r in rules] == ["U-1"]
+    loaded = rule_files.load_rules(spark, str(tmp_path / "y"))
+    rules = rule_files.table_rules(loaded)
+    assert [r["id"] for r in rules] == ["U-1"] and rules[0]["extensions"] == [".py"]
     rule_files.add_rule(spark, str(tmp_path / "t"), "U-2", "Two", "x+", "High", score=8)
     rule_files.add_rule(spark, str(tmp_path / "t"), "U-3", "Three", "y")
     rules += rule_files.table_rules(spark.read.schema(rule_files.SCHEMA).parquet(str(tmp_path / "t")))

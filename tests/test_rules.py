@@ -1,30 +1,18 @@
 """A line that fits each built-in rule, and the same choice of lines in Spark as by Python's own engine."""
 
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from sightline.functions.columns import split_lines
+from sightline.operators import detect
 from sightline.operators.detect import heuristics, match
+from sightline.operators.literals import ENDLESS, fold, folded, growth, held_literals
 from sightline.operators.rules import RULES, SCANNERS
-
-POSITIVE = {
-    "python": ["password = 'abcd'", "secret = 'abcdefgh1'", "api_key = 'abcdefgh1'", "token = 'abcdefghijklmnop'", "execute('SELECT a' + x", "cursor.execute('a' % (x", "'{}'.format(x) + 'SELECT'", "subprocess.run(c, shell=True)", "os.system(c)", "eval(x)", "exec(x)", "pickle.loads(x)", "yaml.load(x)", "import ftplib", "requests.get('http://a')", "urlopen('http://a')", "md5(x)", "sha1(x)", "random.choice(x)", "assert user.is_admin", "shutil.rmtree(x)"],
-    "java": ["Statement s = c", 'q.executeQuery("a" + b)', 's.execute("a" + b)', '"SELECT a" + b', "Runtime.getRuntime().exec(c)", "ProcessBuilder(a).command(x + y)", "getParameter(\"a\"); out.println(x)", "w.println(request.getParameter(x))", 'password = "abc"', "@GetMapping", "new ObjectInputStream(x)", 'MessageDigest.getInstance("MD5")', 'getInstance("DES")', "cipher.doFinal(x.getBytes())", "Math.random()", "new Random()", "System.getenv(x) + y", "URLClassLoader l"],
-    "cpp": ["gets(b)", "strcpy(a, b)", "strcat(a, b)", "sprintf(a, b)", "vsprintf(a, b)", 'scanf("%s", b)', "strncpy(a, b, sizeof(a))", "memcpy(a, b, sizeof(a))", "f(malloc(4));", "new Foo;", "delete p; p->x", "free(p);", "char b[10];", "strlen(argv[1])", "atoi(x)", "system(c)", "strcmp(a, password)", "alloc(a + b)", "atoi(argv[1])"],
-    "php": ["$_GET['a'] echo", "echo $_REQUEST", "echo 'a' . $_GET['b']", 'mysql_query("a $b', "SELECT a . $b", '$pdo->query($q)', "shell_exec($c)", "include($_GET['a'])", "curl_exec($c)", "move_uploaded_file($a", "$_FILES['a']['name", "password_verify(a)", "md5($password)", "unserialize($_COOKIE", "session_start(); $_SESSION['user'] = '1", "referer == x", "$_POST['user_id", "<form method=POST>", '$password = "abc"'],
-    "js": ["a.innerHTML = location.hash", "document.write(location)", "x.html(document.URL)", "eval(data)", "eval(x)", "new Function(location)", "window.open(u)", "w.postMessage(a, *)", "addEventListener('message', data", "localStorage.setItem('token')", "http://a", "Math.random() + token"],
-    "html": ["<script>eval(", "<a href='javascript:x'>", "<iframe src='javascript:x'>", "onerror = x", "<form>", "<input type='password'>"],
-    "css": ["expression(x)", "url(javascript:x)", "behavior: url"],
-    "go": ["exec.Command('sh'", "os/exec.xCommand(a...", 'password: "abcdef"', "crypto/md5", "x http://a # c", "tls.Config{InsecureSkipVerify: true", "fmt.Sprintf('SELECT", "template.HTML(x)"],
-    "ruby": ["eval(x)", "system(x)", "password = 'abcdef'", "find_by_sql(x)", "render text => x", "verify_mode = OpenSSL::SSL::VERIFY_NONE", "Digest::MD5", "YAML.load(x)"],
-    "rust": ["unsafe {", 'std::process::Command::new("sh")', 'password = "abcdef"', "x.unwrap()", "md5::x"],
-    "csharp": ['Process.Start("cmd")', "new SqlCommand(a + b)", 'password = "abcdef"', "MD5.Create", "Response.Write(Request[", "WebRequest.Create(u)", "Random r = new Random()", "ValidateRequest = false"],
-    "kotlin": ["Runtime.getRuntime().exec(x)", 'password = "abcdef"', "rawQuery(x)", "exported = true", 'MessageDigest.getInstance("MD5")', "WebView.setJavaScriptEnabled(true"],
-    "swift": ['password = "abcdef"', "Process()", "allowsArbitraryLoads", "Insecure.MD5", "evaluateJavaScript(x"],
-    "shell": ["eval $x", "curl a | sh", "password='abcd'", "rm -rf $x", "chmod 777 a", "nc -l", "sshpass"],
-    "sql": ["GRANT ALL PRIVILEGES", "CREATE USER a WITH PASSWORD = 'abc'", "IDENTIFIED BY 'abc'", "sp_executesql @sql", "sslmode = disable"],
-}
-
+from sightline.plans.rule_lines import POSITIVE
 
 def test_one_line_for_each_rule():
     assert len(RULES) == 150
@@ -83,3 +71,106 @@ def test_files(spark):
         ("__init__.py", 1, "S-CMDI-3", "Use of eval() - code injection risk detected on line 1."),
         ("a/b.py", 2, "S-CMDI-3", "Use of eval() - code injection risk detected on line 2."),
     ]
+
+
+#: A file name of each rule group.
+NAMES = {"python": "a.py", "java": "a.java", "cpp": "a.cpp", "php": "a.php", "js": "a.js", "html": "a.html", "css": "a.css", "go": "a.go", "ruby": "a.rb", "rust": "a.rs", "csharp": "a.cs", "kotlin": "a.kt", "swift": "a.swift", "shell": "a.sh", "sql": "a.sql"}
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    """A file of each group with the lines of all groups in several spellings, and plain prose between them."""
+    odd = ["", "ÉVAL(x)", "PAſſWORD = 'abcdef'", "toKen = 'abcdefghijklmnopq'", "İD: ıdentıfıed by 'abc'", "a\tb", "# eval(x)", "// eval(x)", "x # eval(y)"]
+    lines = [x for xs in POSITIVE.values() for x in xs]
+    lines += odd + [x.upper() for x in lines] + [x[::-1] for x in lines] + ["plain words and numbers 12 here", "another = line of code", ""] * 600
+    random.Random(4).shuffle(lines)
+    ends = ["\n", "\r\n", "\x0b", "\u2028", "\x85"]
+    text = "".join(x + ends[k % 5] for k, x in enumerate(lines))
+    rows = [(g, f"d/{name}", text) for g, name in NAMES.items()] + [("none", "d/empty.py", ""), ("none", "d/null.py", None), ("none", "d/e.txt", text)]
+    return spark.createDataFrame(rows, "own string, path string, text string").repartition(4)
+
+
+def test_prefilter_changes_nothing(tree):
+    """The findings of lines with a rule's literal are those of all rules over all lines, with a fifth of the searches or less."""
+    known = detect.code_files(tree)
+    cols = ("own", "path", "line_no", "code", "rule_id", "rule_ord", "scanner", "description", "severity", "owasp")
+    want = sorted(tuple(r[c] for c in cols) for r in match(detect.lines(known)).collect())
+    got = heuristics(tree)
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == want and len(want) > 300
+    sizes = {g: sum(r.group == g for r in RULES) for g in SCANNERS}
+    all_pairs = sum(r["n"] * sizes[r["group"]] for r in known.select("group", F.size(split_lines(F.col("text"))).alias("n")).where("n > 0").collect())
+    tried = detect.candidates(known).count()
+    assert len(want) <= tried and 5 * tried <= all_pairs
+
+
+def test_rules_without_literals(spark, tree):
+    """Such a rule is tried on each line."""
+    rule = RULES[0]._replace(rule_id="X", pattern=r"[0-9]{2}", flags="")
+    assert held_literals(rule.pattern) is None
+    got = heuristics(tree.where("own = 'python'"), [rule])
+    want = match(detect.lines(detect.code_files(tree.where("own = 'python'"))), [rule])
+    assert got.count() == want.count() >= 600
+
+
+@pytest.mark.parametrize(
+    "pattern, held, power",
+    [
+        (r"\bpassword\s*=", ("password",), 2), ("abc|defg", ("abc", "defg"), 1), ("a(?:bc)?d", ("a",), 1), ("x(abcd)+y", ("abcd",), 2), ("ab[cd]|", None, 1), (r"\d{3}", None, 1),
+        ("é long", (" long",), 1), ("(a+)+$", ("a",), ENDLESS), (r"(?:a|b)*c", ("c",), 2), (r"(?:ab|c)*d", ("d",), ENDLESS), (r"(x)\1", ("x",), ENDLESS), (".*.*=", ("=",), 3), ("(", None, ENDLESS),
+        ("(?i)AbC", ("abc",), 1), ("a(?=b)bc", ("abc",), 1), ("[a-z]{1,60}y", ("y",), 2), (r"\Qx\E+", None, ENDLESS),
+    ],
+)
+def test_held_literals_and_growth(pattern, held, power):
+    assert held_literals(pattern) == held and growth(pattern) == power
+
+
+def test_fold(spark):
+    texts = ["ABC", "İıſK", "ÀÉ ß", "", "x" * 10]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.f for r in df.select(folded(F.col("t")).alias("f")).collect()] == [fold(t) for t in texts] == ["abc", "iisk", "àé ß", "", "x" * 10]
+    assert all(len(fold(t)) == len(t) for t in texts)
+
+
+RISKY = "aaaaaaaaaaaaaaaa" * 1250 + "!"
+
+
+def test_search_ends_in_time(spark):
+    """A pattern that would take for ever ends as no match; every other row stays."""
+    rows = [("a.py", RISKY), ("b.py", "aaa\nbaaa"), ("c.py", "evil x"), ("d.py", "key = 1" + " " * 30_000)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    rules = [{"id": "U-1", "pattern": "^(a|aa)+$"}, {"id": "U-2", "pattern": "ev.l"}, {"id": "U-3", "pattern": r"k.*=.*1.*$", "extensions": [".py"]}, {"id": "U-4", "pattern": r"(?:k|e)\w+ = \d\s*"}]
+    began = time.time()
+    got = {(r.path, r.line_no, r.rule_id) for r in detect.custom(df, rules, seconds=1.0).collect()}
+    assert got == {("b.py", 1, "U-1"), ("c.py", 1, "U-2"), ("d.py", 1, "U-3"), ("d.py", 1, "U-4")} and time.time() - began < 60
+    table = spark.createDataFrame([(r["id"], r["pattern"], r.get("extensions")) for r in rules], "id string, pattern string, extensions array<string>")
+    for c in ("title", "severity", "cwe", "owasp"):
+        table = table.withColumn(c, F.lit(None).cast("string"))
+    assert {(r.path, r.line_no, r.rule_id) for r in detect.custom_table(df, table.withColumn("score", F.lit(None).cast("int")), seconds=1.0).collect()} == got
+
+
+def test_table_of_many_rules(spark, monkeypatch):
+    """10,000 rules of all kinds, as a table, find what the same rules in the plan find."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz_") for _ in range(rng.randint(3, 9))) for _ in range(9_990)]
+    rules = [{"id": f"W-{k}", "pattern": rng.choice([rf"\b{w}\b", f"(?i){w.upper()}", rf"{w}\s*=", f"{w}|never_{w}", f"x?{w}[.]?"]), "extensions": [".py"] if k % 5 == 0 else None, "score": k % 11 if k % 2 else None, "title": f"t{k}" if k % 3 else None} for k, w in enumerate(words)]
+    rules += [{"id": "B-1", "pattern": "("}, {"id": "B-2", "pattern": ""}, {"id": "B-3", "pattern": "a" * 501}, {"id": "B-4", "pattern": None}]
+    rules += [{"id": "S-1", "pattern": r"\d{4}"}, {"id": "S-2", "pattern": "q!"}, {"id": "S-3", "pattern": r"^(?P<x>\w)\w+ end"}, {"id": "S-4", "pattern": "", "title": ""}, {"id": "S-5", "pattern": "İ|straße"}, {"id": "S-6", "pattern": "(q!)+x"}]
+    text = ["\n".join(" ".join(rng.choice(words) + rng.choice(["", " =", "()", ".", "1234", "q!"]) for _ in range(6)) for _ in range(20)) for _ in range(12)]
+    text += [None, "", "q!q!x\r\nSTRAßE straße İ end 99\x0bab end"]
+    df = spark.createDataFrame([(k, f"f{k}.{'py' if k % 2 else 'JS'}", t) for k, t in enumerate(text)], "key int, path string, text string")
+    schema = "id string, title string, pattern string, severity string, score int, cwe string, owasp string, extensions array<string>"
+    table = spark.createDataFrame([(r["id"], r.get("title"), r["pattern"], None, r.get("score"), None, None, r.get("extensions")) for r in rules], schema)
+    with monkeypatch.context() as m:  # nothing of the rules comes to the driver but 2 MB of bits
+        m.setattr(type(table), "collect", lambda self: pytest.fail("collected"))
+        found = detect.custom_table(df, table)
+    cols = ("key", "path", "line_no", "code", "rule_id", "title", "severity", "severity_score", "cwe", "owasp", "scanner")
+    got = sorted(tuple(r[c] for c in cols) for r in found.collect())
+    used = {r[4] for r in got}
+    some = [r for r in rules if r["id"] in used or r["id"][0] in "BS" or rng.random() < 0.02]  # the plan cannot hold all
+    want = []
+    for k in range(0, len(some), 150):
+        want += [tuple(r[c] for c in cols) for r in detect.custom(df, some[k : k + 150]).collect()]
+    assert got == sorted(want) and len(got) > 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert sorted(tuple(r[c] for c in cols) for r in detect.custom_table(df, table).collect()) == got
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
