@@ -592,3 +592,11 @@ def z1(spark, d):
 @query("z2_lockout", _GREEDY.format(win=21600, first="CASE WHEN kind = 'login_failed' THEN [t] ELSE CAST([] AS DOUBLE[]) END", step="CASE r.kind WHEN 'login_failed' THEN list_append(list_filter(w.times, lambda x: r.t - x < 21600), r.t) WHEN 'login_ok' THEN CAST([] AS DOUBLE[]) ELSE list_filter(w.times, lambda x: r.t - x < 21600) END"))
 def z2(spark, d):
     return throttle.replay(_requests(spark, d), "lockout", 3, 21600).select("event_id", "key", "allowed")
+
+
+@query("z3_idle_keys", _GREEDY.format(win=3600, first="[t]", step="list_append(list_filter(w.times, lambda x: r.t - x < 3600), r.t)").replace("SELECT event_id, client AS key, allowed FROM w", """, a AS
+(SELECT w.client, t, event_id, t - lag(t) OVER (PARTITION BY w.client ORDER BY t, event_id) AS gap FROM w JOIN r USING (client, k, event_id) WHERE allowed),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY client ORDER BY t, event_id) AS span FROM a)
+SELECT client AS key, min(t) AS since, max(t) + 3600 AS until, count(*) AS n FROM s GROUP BY client, span"""))
+def z3(spark, d):
+    return throttle.state_spans(_requests(spark, d), 3, 3600)

@@ -1,6 +1,7 @@
 """Taint flows, scores, redaction, uploads, ingestion, streams."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -151,19 +152,76 @@ def test_lockout():
     assert [state.step(t, kind) for t, kind in steps] == [(True, 0.0, 1), (True, 0.0, 0), (False, 8.0, 0), (False, 5.0, 0), (True, 0.0, 2), (True, 0.0, 1), (True, 0.0, 2), (True, 0.0, 1)]
 
 
-@pytest.mark.parametrize("kind", ["limit"])
+def _greedy(rows, kind, limit, window):
+    """Decisions key by key, in order, as they are defined."""
+    out, state = {}, {}
+    for e, k, t, what in sorted(rows, key=lambda r: (r[2], r[0])):
+        out[e] = state.setdefault(k, throttle.KINDS[kind](limit, window)).step(t, what)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["limit", "lockout"])
+def test_replay_of_islands(spark, kind):
+    """Runs that end, touch and cross stretches; ties, and gaps of exactly the window."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(6):
+        t = rng.uniform(-500, 500)
+        for _ in range(500):
+            t += rng.choice([0, 0.25, 1, 3, 9.75, 10, 10.25, 40, 700, 1300])
+            rows.append((len(rows), f"c{k}", float(t), rng.choice(["login_failed", "login_failed", "login_ok", "request"])))
+    df = spark.createDataFrame([*rows, (9999, None, 1.0, "request")], "event_id bigint, key string, ts double, kind string")
+    want = _greedy(rows, kind, 3, 10.0)
+    assert {r.event_id: (r.allowed, r.retry_after, r.remaining) for r in throttle.replay(df, kind, 3, 10.0).collect()} == want
+    by_island = throttle.islands(df.where("key is not null"), 10.0).groupBy("key", "stretch", "island").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("key", "a").collect()
+    assert all(x["key"] != y["key"] or y.a - x.b >= 10 for x, y in zip(by_island, by_island[1:], strict=False))
+    steps = sum(y[1] != x[1] or y[2] - x[2] >= 10 for x, y in zip([(0, "", 0), *sorted(rows, key=lambda r: (r[1], r[2]))], sorted(rows, key=lambda r: (r[1], r[2])), strict=False))
+    assert len(by_island) == steps
+
+
+def test_hot_client_is_spread(spark):
+    """A single client's million events go to all tasks, a bounded share each, with the decisions of one fold."""
+    n = 1_000_000
+    ts = (F.col("id") * 0.7 + F.floor(F.col("id") / 50) * 100).alias("ts")
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.lit("hot").alias("key"), ts, F.lit("request").alias("kind"))
+    dealt = throttle._folded(df, "limit", 20, 60.0)
+    got = dealt.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed")).collect()
+    assert len(got) >= 4 and max(r.n for r in got) < 0.6 * n
+    state, allowed = throttle.Limit(20, 60.0), 0
+    for k in range(50):
+        allowed += state.step(k * 0.7)[0]
+    assert sum(r.allowed for r in got) == allowed * (n // 50)
+
+
+def test_state_spans(spark):
+    rows = [(1, "a", 0.0), (2, "a", 5.0), (3, "a", 9.0), (4, "a", 12.0), (5, "a", 30.0), (6, "b", 1.0)]
+    df = spark.createDataFrame([(*r, "request") for r in rows], "event_id bigint, key string, ts double, kind string")
+    assert sorted(tuple(r) for r in throttle.state_spans(df, 1, 10.0).collect()) == [("a", 0.0, 10.0, 1), ("a", 12.0, 22.0, 1), ("a", 30.0, 40.0, 1), ("b", 1.0, 11.0, 1)]
+
+
+@pytest.mark.parametrize("kind", ["limit", "lockout"])
 def test_stream_equals_batch(spark, tmp_path, kind, one_partition):
-    rows = [(k, f"c{k % 3}", float(k * 7 % 50 + 10 * (k // 20)), "login_failed" if k % 4 else "login_ok") for k in range(60)]
-    rows = sorted(rows, key=lambda r: r[2])
-    df = spark.createDataFrame(rows, "event_id bigint, key string, ts double, kind string")
-    want = {(r.event_id, r.allowed, r.retry_after, r.remaining) for r in throttle.replay(df, kind, 3, 20.0).collect()}
-    for k in range(2):
-        spark.createDataFrame(rows[30 * k : 30 * k + 30], df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    """Batches out of order within the lateness give the batch twin's decisions; later rows come back as late; idle keys have no state."""
+    rng = random.Random(6)
+    rows = [(k, f"c{k % 3}", 1000.0 + k * 7, "login_failed" if rng.random() < 0.8 else "login_ok") for k in range(90)]
+    end = [(900, "z", 5000.0, "request"), (901, "z", 9000.0, "request")]
+    late = [(950, "c0", 1001.0, "request"), (951, "z", 4000.0, "request")]
+    shuffled = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 90))  # at most 90 seconds out of order
+    batches = [shuffled[:30], shuffled[30:60], shuffled[60:], end[:1], late, end[1:]]
+    df = spark.createDataFrame(rows + end, "event_id bigint, key string, ts double, kind string")
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = throttle.stream(src, kind, 3, 20.0, 3600).writeStream.format("memory").queryName(f"z_{kind}").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r.event_id, r.allowed, r.retry_after, r.remaining) for r in spark.table(f"z_{kind}").collect()}
-    assert got == want
+    q = throttle.stream(src, kind, 3, 60.0, "100 seconds").writeStream.format("memory").queryName(f"z_{kind}").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = spark.table(f"z_{kind}").collect()
+    assert {(r.event_id, r.allowed) for r in got if r.late} == {(950, None), (951, None)}
+    want = {r.event_id: (r.allowed, r.retry_after, r.remaining) for r in throttle.replay(df.where("event_id <> 901"), kind, 3, 60.0).collect()}
+    assert {r.event_id: (r.allowed, r.retry_after, r.remaining) for r in got if not r.late} == want  # 901 waits for the watermark
+    left = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "times").option("flattenCollectionTypes", "true").load()
+    assert left.count() == 0
+    waiting = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load()
+    assert waiting.count() == 1
 
 
 def test_scan_stream(spark, tmp_path):
