@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import cwe_name, cwe_owasp, rule_group, score_severity, skipped, split_lines, strip, suffix
@@ -23,7 +23,7 @@ from .literals import ENDLESS, fold, folded, growth, held_literals, rare_gram
 from .rules import RULES, SCANNERS, Rule, java_pattern
 
 #: What stands between a title and the line's number in a group's descriptions.
-_WORDING = {"python": " detected on line "} | dict.fromkeys(("java", "cpp", "php", "js", "html", "css"), " on line ")
+WORDING = {"python": " detected on line "} | dict.fromkeys(("java", "cpp", "php", "js", "html", "css"), " on line ")
 
 
 def code_files(files: DataFrame) -> DataFrame:
@@ -66,7 +66,21 @@ def visible_code(line: Column, group: str) -> Column:
 _FACTS = "array<struct<ord:int,rule_id:string,title:string,cwe:string,score:int,scanner:string,wording:string>>"
 
 
-def _by_group(rules: list[Rule] | None, groups: list[str] | None = None) -> dict[str, list[Rule]]:
+def valid_rules(spark: SparkSession, rules: Sequence[dict]) -> list[dict]:
+    """User rules whose pattern is there, short enough and compiles."""
+    compiles = spark._jvm.java.util.regex.Pattern
+
+    def valid(rule: dict) -> bool:
+        p = rule.get("pattern") or ""
+        try:
+            return 0 < len(p) <= MAX_PATTERN and compiles.compile("(?Ud)" + p) is not None
+        except Exception:  # the JVM's PatternSyntaxException
+            return False
+
+    return [r for r in rules if valid(r)]
+
+
+def by_group(rules: list[Rule] | None, groups: list[str] | None = None) -> dict[str, list[Rule]]:
     own = {g: [r for r in (RULES if rules is None else rules) if r.group == g] for g in groups or list(SCANNERS)}
     return {g: r for g, r in own.items() if r}
 
@@ -74,7 +88,7 @@ def _by_group(rules: list[Rule] | None, groups: list[str] | None = None) -> dict
 def _findings(found: DataFrame, own: dict[str, list[Rule]], keys: list[str]) -> DataFrame:
     """Findings of rows (keys, group, line) that fit rule number ``_k`` (from 1, over all groups in turn)."""
     table = [
-        {"ord": k, "rule_id": r.rule_id, "title": r.title, "cwe": r.cwe, "score": r.score, "scanner": SCANNERS[group], "wording": _WORDING.get(group, " (line ")}
+        {"ord": k, "rule_id": r.rule_id, "title": r.title, "cwe": r.cwe, "score": r.score, "scanner": SCANNERS[group], "wording": WORDING.get(group, " (line ")}
         for group, its in own.items()
         for k, r in enumerate(its)
     ]
@@ -98,7 +112,7 @@ def _findings(found: DataFrame, own: dict[str, list[Rule]], keys: list[str]) ->
     )
 
 
-def _code_of(groups: Iterator[str]) -> Column:
+def code_of(groups: Iterator[str]) -> Column:
     """What rules see of a row's line, by its group."""
     code = F.lit(None).cast("string")
     for group in groups:
@@ -113,7 +127,7 @@ def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] |
     literals, so each compiles once per task. For whole files :func:`heuristics` tries far fewer.
     """
     keys = [c for c in rows.columns if c not in ("line", "group")]
-    own = _by_group(rules, groups)
+    own = by_group(rules, groups)
     hits, k = F.array().cast("array<int>"), 0
     for group, its in own.items():
         found = []
@@ -121,10 +135,63 @@ def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] |
             k += 1
             found.append(F.when(F.col("_code").rlike(java_pattern(r)), F.lit(k)))
         hits = F.when(F.col("group") == group, F.array_compact(F.array(*found))).otherwise(hits)
-    df = rows.where(F.col("group").isin(list(own))).withColumn("_code", _code_of(own)).where(F.col("_code").isNotNull())
+    df = rows.where(F.col("group").isin(list(own))).withColumn("_code", code_of(own)).where(F.col("_code").isNotNull())
     return _findings(df.withColumn("_k", F.explode(hits)), own, keys)
 
 
+class LineIndex:
+    """Finds the lines of a text that hold literals of rules, by one automaton for each group of rules."""
+
+    def __init__(self, words: dict[str, dict[str, list[int]]], always: dict[str, list[int]]):
+        import ahocorasick
+
+        self.always, self.automata = always, {}
+        for group, own in words.items():
+            self.automata[group] = ahocorasick.Automaton()
+            for word, ks in own.items():
+                self.automata[group].add_word(word, ks)
+            self.automata[group].make_automaton()
+
+    def lines(self, group: str, text: str, low: str) -> Iterator[tuple[int, str, list[int]]]:
+        """Number (from 1), line and numbers of rules of each line that may fit some; ``low``: the folded text."""
+        hits: dict[int, set[int]] = {}
+        parts = None
+        for end, ks in self.automata[group].iter(low) if group in self.automata else ():
+            if parts is None:
+                parts = text.splitlines(keepends=True)
+                starts = list(accumulate(map(len, parts), initial=0))
+            hits.setdefault(bisect_right(starts, end) - 1, set()).update(ks)
+        if group in self.always:
+            parts = parts or text.splitlines(keepends=True)
+            for line in range(len(parts)):
+                hits.setdefault(line, set()).update(self.always[group])
+        for line in sorted(hits):
+            yield line + 1, parts[line].splitlines()[0], sorted(hits[line])
+
+
+def rule_words(patterns: dict[str, list[tuple[int, str]]]) -> tuple[dict[str, dict[str, list[int]]], dict[str, list[int]]]:
+    """For each group's numbered patterns: numbers by literal, and the numbers of patterns that have none."""
+    words: dict[str, dict[str, list[int]]] = {}
+    always: dict[str, list[int]] = {}
+    for group, its in patterns.items():
+        for k, pattern in its:
+            held = held_literals(pattern)
+            for word in held or ():
+                words.setdefault(group, {}).setdefault(word, []).append(k)
+            if not held:
+                always.setdefault(group, []).append(k)
+    return words, always
+
+
+def numbered(own: dict[str, list[Rule]]) -> dict[str, list[tuple[int, str]]]:
+    """The groups' patterns, with numbers from 1 over all groups in turn."""
+    k, out = 0, {}
+    for group, its in own.items():
+        out[group] = [(k + j, r.pattern) for j, r in enumerate(its, 1)]
+        k += len(its)
+    return out
+
+
 def candidates(files: DataFrame, rules: list[Rule] | None = None, groups: list[str] | None = None) -> DataFrame:
     """Lines and rules that may fit, of files (path, text, group, and any keys): the columns without text, line_no, line, _k.
 
@@ -133,56 +200,20 @@ def candidates(files: DataFrame, rules: list[Rule] | None = None, groups: list[s
     leave the worker.
     """
     rest = [c for c in files.columns if c != "text"]
-    words: dict[str, dict[str, list[int]]] = {}
-    always: dict[str, list[int]] = {}
-    k = 0
-    for group, its in _by_group(rules, groups).items():
-        for r in its:
-            k += 1
-            for word in held_literals(r.pattern) or ():
-                words.setdefault(group, {}).setdefault(word, []).append(k)
-            if not held_literals(r.pattern):
-                always.setdefault(group, []).append(k)
-    known = sorted({*words, *always})
+    words, always = rule_words(numbered(by_group(rules, groups)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automata = {}
-        for group, own in words.items():
-            automata[group] = ahocorasick.Automaton()
-            for word, ks in own.items():
-                automata[group].add_word(word, ks)
-            automata[group].make_automaton()
+        index = LineIndex(words, always)
         for b in batches:
-            rows, numbers, lines, found = [], [], [], []
-            for at, (group, text) in enumerate(zip(b["group"].to_pylist(), b["text"].to_pylist(), strict=True)):
-                if not text:
-                    continue
-                hits: dict[int, set[int]] = {}
-                parts = None
-                low = fold(text)
-                for end, ks in automata[group].iter(low) if group in automata else ():
-                    if parts is None:
-                        parts = text.splitlines(keepends=True)
-                        starts = list(accumulate(map(len, parts), initial=0))
-                    hits.setdefault(bisect_right(starts, end) - 1, set()).update(ks)
-                if group in always:
-                    parts = parts or text.splitlines(keepends=True)
-                    for line in range(len(parts)):
-                        hits.setdefault(line, set()).update(always[group])
-                for line in sorted(hits):
-                    rows.append(at)
-                    numbers.append(line + 1)
-                    lines.append(parts[line].splitlines()[0])
-                    found.append(sorted(hits[line]))
+            texts = enumerate(zip(b["group"].to_pylist(), b["text"].to_pylist(), strict=True))
+            found = [(at, *hit) for at, (group, text) in texts if text for hit in index.lines(group, text, fold(text))]
+            rows, numbers, lines, ks = zip(*found, strict=True) if found else ((), (), (), ())
             kept = b.select(rest).take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(numbers, pa.int32()), pa.array(lines, pa.string()), pa.array(found, pa.list_(pa.int32()))], [*rest, "line_no", "line", "_ks"]
-            )
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(numbers, pa.int32()), pa.array(lines, pa.string()), pa.array(ks, pa.list_(pa.int32()))], [*rest, "line_no", "line", "_ks"])
 
     kinds = [f"`{c}` {files.schema[c].dataType.simpleString()}" for c in rest]
-    found = files.where(F.col("group").isin(known)).select(*rest, "text").mapInArrow(run, ", ".join([*kinds, "line_no int, line string, _ks array<int>"]))
+    known = files.where(F.col("group").isin(sorted({*words, *always}))).select(*rest, "text")
+    found = known.mapInArrow(run, ", ".join([*kinds, "line_no int, line string, _ks array<int>"]))
     return found.withColumn("_k", F.explode("_ks")).drop("_ks")
 
 
@@ -193,8 +224,8 @@ def heuristics(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     the rows are those of :func:`match` over all lines.
     """
     known = code_files(files).where(F.octet_length("text") <= MAX_FILE_BYTES)
-    own = _by_group(rules)
-    rows = candidates(known, rules).withColumn("_code", _code_of(own))
+    own = by_group(rules)
+    rows = candidates(known, rules).withColumn("_code", code_of(own))
     # the pattern is a column, so each row runs its own and the plan stays small; few rows get here
     pattern = F.element_at(F.array(*[F.lit(java_pattern(r)) for its in own.values() for r in its]), F.col("_k"))
     rows = rows.where(F.regexp_like("_code", pattern))
@@ -211,7 +242,7 @@ TIME_LIMIT = 2.0
 STEPS = 1e9
 
 
-def _risky(line: Column, power: Column | int) -> Column:
+def risky_search(line: Column, power: Column | int) -> Column:
     return (power if isinstance(power, Column) else F.lit(power)) * F.log10(F.greatest(F.length(line), F.lit(10))) > float(np.log10(STEPS))
 
 
@@ -246,16 +277,16 @@ def within_time(pairs: DataFrame, seconds: float = TIME_LIMIT) -> DataFrame:
     return pairs.mapInArrow(run, pairs.schema)
 
 
-_DEFAULTS = {"title": "Custom Finding", "severity": "Medium", "severity_score": 5, "cwe": "CWE-Misc", "owasp": "Other"}
+DEFAULTS = {"title": "Custom Finding", "severity": "Medium", "severity_score": 5, "cwe": "CWE-Misc", "owasp": "Other"}
 
 
-def _name_end(path: Column) -> Column:
+def name_end(path: Column) -> Column:
     """The suffix of a path's file name as it is written."""
     return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^.*[^.].*?(\.[^.]+)$", 1)
 
 
 def _user_findings(found: DataFrame, keys: list[str]) -> DataFrame:
-    own = [F.coalesce(F.nullif(F.col(f"_rule.{n}"), F.lit("")) if isinstance(v, str) else F.col(f"_rule.{n}"), F.lit(v)).alias(n) for n, v in _DEFAULTS.items()]
+    own = [F.coalesce(F.nullif(F.col(f"_rule.{n}"), F.lit("")) if isinstance(v, str) else F.col(f"_rule.{n}"), F.lit(v)).alias(n) for n, v in DEFAULTS.items()]
     code = F.substring(strip(F.col("line")), 1, 300).alias("code")
     return found.select(*keys, code, F.lit("custom-rules").alias("scanner"), F.col("_rule.rule_id").alias("rule_id"), *own, F.col("_rule.ord").alias("rule_ord"))
 
@@ -270,16 +301,7 @@ def custom(files: DataFrame, rules: list[dict], max_line: int | None = None, sec
     """
     rows = lines(files)
     keys = [c for c in rows.columns if c != "line"]
-    compiles = files.sparkSession._jvm.java.util.regex.Pattern
-
-    def valid(rule: dict) -> bool:
-        p = rule.get("pattern") or ""
-        try:
-            return 0 < len(p) <= MAX_PATTERN and compiles.compile("(?Ud)" + p) is not None
-        except Exception:  # the JVM's PatternSyntaxException
-            return False
-
-    own = [r for r in rules if valid(r)]
+    own = valid_rules(files.sparkSession, rules)
     facts = [{"ord": k, "rule_id": r["id"], "pattern": r["pattern"], "severity_score": None if r.get("score") is None else int(r["score"]), **{n: r.get(n) for n in ("title", "severity", "cwe", "owasp")}} for k, r in enumerate(own)]
     line, hits = F.col("line"), []
     for k, r in enumerate(own):
@@ -291,8 +313,8 @@ def custom(files: DataFrame, rules: list[dict], max_line: int | None = None, sec
             for w in words[1:]:
                 may = may | F.contains(low, F.lit(w))
         if r.get("extensions"):
-            may = _name_end(F.col("path")).isin(list(r["extensions"])) & may
-        risky = F.lit(True) if growth(p) == ENDLESS else _risky(line, growth(p))
+            may = name_end(F.col("path")).isin(list(r["extensions"])) & may
+        risky = F.lit(True) if growth(p) == ENDLESS else risky_search(line, growth(p))
         hits.append(F.when(may & (risky | line.rlike("(?Ud)" + p)), F.struct(F.lit(k + 1).alias("k"), risky.alias("risky"))))
     if max_line is not None:
         rows = rows.where(F.length("line") <= max_line)
@@ -386,8 +408,8 @@ def custom_table(files: DataFrame, rules: DataFrame, seconds: float = TIME_LIMIT
     rows = lines_with_grams(files, gram_bits(posts), not posts.where("gram < 0").isEmpty())
     pairs = rows.withColumn("gram", F.explode("grams")).join(posts, "gram")
     first = F.get(F.filter("_grams", lambda g: F.array_contains("grams", g)), F.lit(0)) == F.col("gram")
-    end = F.coalesce(F.size("extensions") <= 0, F.lit(True)) | F.array_contains("extensions", _name_end(F.col("path")))
-    risky = _risky(F.col("line"), F.col("power"))
+    end = F.coalesce(F.size("extensions") <= 0, F.lit(True)) | F.array_contains("extensions", name_end(F.col("path")))
+    risky = risky_search(F.col("line"), F.col("power"))
     pairs = pairs.where(first & end).withColumn("risky", risky)
     pairs = pairs.where(F.when(F.col("risky"), True).otherwise(F.regexp_like("line", F.concat(F.lit("(?Ud)"), "pattern"))))
     return _user_findings(within_time(pairs.select(*keys, "line", "_rule", "pattern", "risky"), seconds), keys)
