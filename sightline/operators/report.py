@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import grade, penalty, security_score, severity_rank
+from ..sources.lineage import written
+from .findings import numbered
 
 FOUR = ("Critical", "High", "Medium", "Low")
 
@@ -89,14 +91,32 @@ def leading_findings(findings: DataFrame, k: int = 3, by: str = "scan_id") -> Da
     return counts.agg(F.array_join(pairs, ", ").alias("tally")).join(first, by)
 
 
-def digest(findings: DataFrame, columns: Sequence[str], by: str = "scan_id") -> DataFrame:
-    """(by, digest): SHA-256 over a scan's findings, independent of their order.
+#: Children of a digest's node, at most.
+FAN = 1024
 
-    Each finding is hashed on its own; the hashes are sorted and hashed together. A scan holds at most the 500
-    findings it stores, so the sorted list is bounded.
+
+def digest(findings: DataFrame, columns: Sequence[str], by: str = "scan_id", fan: int = FAN) -> DataFrame:
+    """(by, digest): root of a tree of SHA-256 over a scan's findings, independent of their order and of how they lie.
+
+    Each finding is hashed on its own. In the order of their hashes, ``fan`` findings make a node, whose digest is that of its
+    children's joined; ``fan`` nodes make one of the next level, until a scan has one. So no list is longer than ``fan``,
+    however many findings a scan has, and all but the numbering takes a single pass for each level.
     """
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    return findings.groupBy(by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("digest"))
+    leaves = findings.select(F.col(by).alias("_by"), row.alias("h"))
+    nodes = numbered(leaves.withColumn("_tie", F.monotonically_increasing_id()), ["_by"], [F.col("h"), F.col("_tie")], "_at")
+    nodes = nodes.select("_by", (F.col("_at") - 1).cast("bigint").alias("at"), "h")
+    level = 0
+    while True:
+        up = nodes.groupBy("_by", F.floor(F.col("at") / fan).alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("xs"), F.count("*").alias("n"))
+        joined = F.sha2(F.array_join(F.transform("xs", lambda x: x["h"]), ""), 256)
+        if level:  # a first group of one child is all that the scan has: its root, which stays as it is
+            joined = F.when((F.col("n") == 1) & (F.col("at") == 0), F.get("xs", F.lit(0))["h"]).otherwise(joined)
+        nodes = written(up.select("_by", "at", joined.alias("h")))
+        level += 1
+        roots = nodes.groupBy("_by").agg(F.max("at").alias("last"))
+        if roots.where("last > 0").isEmpty():
+            return nodes.select(F.col("_by").alias(by), F.col("h").alias("digest"))
 
 
 def durations(scans: DataFrame) -> DataFrame:

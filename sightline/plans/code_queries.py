@@ -394,20 +394,6 @@ def j7(spark, d):
     return detect.custom(_files(spark, d), rules).select("file_id", "rule_id", "title", "severity", "severity_score")
 
 
-_USER_RULES = [{"id": "U-1", "title": "Digest", "pattern": r"hashlib\.\w+", "severity": "High", "extensions": [".py"]}, {"id": "U-2", "pattern": "http", "score": 7}]
-_ORD = ", ".join(f"('{r.rule_id}', {k})" for k, r in enumerate(r for r in RULES if r.group == "python"))
-
-
-@query("scan_tree", rf"""WITH {_CODE}, o AS (SELECT * FROM (VALUES {_ORD}) AS o(rule_id, ord)), u AS (SELECT file_id, o.rule_id, severity_score, 0 AS rank, ord, 'python-heuristic' AS scanner FROM ({_py_rules('code')}) h JOIN o ON o.rule_id = h.rule_id
-UNION ALL SELECT file_id, 'U-1', 5, 2, 0, 'custom-rules' FROM @code WHERE regexp_matches(line, 'hashlib\.\w+') UNION ALL SELECT file_id, 'U-2', 7, 2, 1, 'custom-rules' FROM @code WHERE contains(line, 'http')),
-r AS (SELECT *, file_id % 60 AS scan_id, concat('f', file_id, '.py') AS file FROM u)
-SELECT scan_id, file, CAST(1 AS INT) AS line, rule_id, scanner, severity_score, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY severity_score DESC, rank, file, ord) AS position FROM r) x WHERE position <= 20""".replace("\\\\", "\\"))
-def scan_tree(spark, d):
-    files = _files(spark, d).withColumn("scan_id", F.col("file_id") % 60)
-    found, _ = scan(files, _USER_RULES, most=20)
-    return found.select("scan_id", "file", "line", "rule_id", "scanner", "severity_score", "position")
-
-
 @query("l3_rule_based_advice", """SELECT file_id, rule_id, concat(title, ' was reported in f', file_id, '.py (line 1) by python-heuristic. Severity: Critical. This matches ', cwe, '.') AS explanation,
 CASE cwe WHEN 'CWE-78' THEN 'avoid shell=True / use argument lists and allowlists for commands' ELSE 'never deserialize untrusted data; validate class allowlists / use safe formats (JSON)' END AS recommended_fix FROM
 (SELECT file_id, 'S-CMDI-1' AS rule_id, 'Shell=True allows command injection' AS title, 'CWE-78' AS cwe FROM @code WHERE contains(line, 'shell=True') UNION ALL SELECT file_id, 'S-DESER-1', 'Unsafe pickle deserialization', 'CWE-502' FROM @code WHERE contains(line, 'pickle.loads(')) x""")
@@ -451,11 +437,14 @@ def _flow_files(spark, d, end):
     return v(spark, d, "code").select("file_id", F.concat(F.lit("f"), F.col("file_id"), F.lit(end)).alias("path"), F.concat_ws("\n", *text).alias("text"))
 
 
-def _flow_sql(rules):
-    # o: where the variable of each line so far was tainted; a scope empties it, a constant does not
-    return f"""WITH RECURSIVE s(file_id, j, o, kind, r, src) AS (SELECT c_custkey, CAST(0 AS INT), CAST([] AS INT[]), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS INT) FROM customer UNION ALL
+# o: where the variable of each line so far was tainted; a scope empties it, a constant does not
+_FLOW_CTE = f"""WITH RECURSIVE s(file_id, j, o, kind, r, src) AS (SELECT c_custkey, CAST(0 AS INT), CAST([] AS INT[]), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS INT) FROM customer UNION ALL
 SELECT file_id, j + 1, list_append(CASE WHEN kind = 4 THEN list_transform(o, lambda x: CAST(NULL AS INT)) ELSE o END, CAST(CASE kind WHEN 0 THEN j + 1 WHEN 1 THEN o[r] END AS INT)), kind, r, o[r] FROM
-(SELECT file_id, j, o, digit % 6 AS kind, greatest(j - digit // 6, 0) AS r FROM (SELECT *, CAST((file_id * 7 + (j + 1) * 13 + file_id // (j + 2)) % 12 AS BIGINT) AS digit FROM s WHERE j < {_FLOW_LINES}) x) y)
+(SELECT file_id, j, o, digit % 6 AS kind, greatest(j - digit // 6, 0) AS r FROM (SELECT *, CAST((file_id * 7 + (j + 1) * 13 + file_id // (j + 2)) % 12 AS BIGINT) AS digit FROM s WHERE j < {_FLOW_LINES}) x) y)"""
+
+
+def _flow_sql(rules):
+    return f"""{_FLOW_CTE}
 SELECT file_id, min(j) AS line_no, CASE kind WHEN 2 THEN '{rules[0]}' ELSE '{rules[1]}' END AS rule_id, src AS source_line, concat('v', r) AS variable FROM s WHERE kind IN (2, 3) AND src IS NOT NULL GROUP BY file_id, kind, src, r"""
 
 
@@ -469,6 +458,31 @@ def z5_flows(spark, d):
     return taint.taint(_flow_files(spark, d, ".java")).select("file_id", "line_no", "rule_id", "source_line", "variable")
 
 
+_USER_RULES = [{"id": "S-CMDI-2", "title": "Again", "pattern": r"os\.system"}, {"id": "U-1", "title": "One", "pattern": r"\w+ = 1;?$", "severity": "Low", "score": 6}]
+
+
+@query("scan_tree", rf"""{_FLOW_CTE}, b AS (SELECT '.py' AS ext UNION ALL SELECT '.java'), u AS (
+SELECT file_id, '.py' AS ext, j AS line, 'S-CMDI-2' AS rule_id, 'python-heuristic' AS scanner, 7 AS severity_score, 0 AS rank, 8 AS ord FROM s WHERE kind = 3
+UNION ALL SELECT file_id, '.py', min(j), CASE kind WHEN 2 THEN 'S-SQLI-TAINT' ELSE 'S-CMDI-TAINT' END, 'python-heuristic', 9, 1, src FROM s WHERE kind IN (2, 3) AND src IS NOT NULL GROUP BY file_id, kind, src, r
+UNION ALL SELECT file_id, '.py', j, 'S-CMDI-2', 'custom-rules', 5, 2, 0 FROM s WHERE kind = 3
+UNION ALL SELECT file_id, ext, j, 'U-1', 'custom-rules', 6, 2, 1 FROM s, b WHERE kind = 5
+UNION ALL SELECT file_id, ext, min(j), CASE kind WHEN 2 THEN 'TAINT-SQL' ELSE 'TAINT-CMD' END, 'TaintAnalyzer', 9, 3, src FROM s, b WHERE kind IN (2, 3) AND src IS NOT NULL GROUP BY file_id, ext, kind, src, r
+UNION ALL SELECT c_custkey, '.py', 3, 'TAINT-SQL', 'tool', 2, 4, 0 FROM customer UNION ALL SELECT c_custkey, '.java', 1, 'T-1', 'tool', 9, 4, 0 FROM customer),
+f AS (SELECT file_id % 60 AS scan_id, concat('f', file_id, ext) AS file, * FROM u),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, file, line, rule_id ORDER BY rank, ord) AS q FROM f) x WHERE q = 1)
+SELECT scan_id, file, CAST(line AS INT) AS line, rule_id, scanner, severity_score, CAST(position AS INT) AS position FROM
+(SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY severity_score DESC, rank, file, line, ord, rule_id) AS position FROM k) y WHERE position <= 60""")
+def scan_tree(spark, d):
+    """Files of two languages with flows; a user rule and a tool find again what others found on the same line."""
+    files = _flow_files(spark, d, ".py").unionByName(_flow_files(spark, d, ".java")).withColumn("scan_id", F.col("file_id") % 60)
+    file, path = [F.concat(F.lit("f"), F.col("file_id"), F.lit(end)) for end in (".py", ".java")]
+    own = v(spark, d, "code").select((F.col("file_id") % 60).alias("scan_id"), F.inline(F.array(*[
+        F.struct(f.alias("file"), F.lit(line).alias("line"), F.lit(rule).alias("rule_id"), F.lit("tool").alias("scanner"), F.lit(score).alias("severity_score")) for f, line, rule, score in ((file, 3, "TAINT-SQL", 2), (path, 1, "T-1", 9))
+    ])))
+    found, _ = scan(files, _USER_RULES, own, most=60)
+    return found.select("scan_id", "file", "line", "rule_id", "scanner", "severity_score", "position")
+
+
 @query("f4_registered_format", f"SELECT scan_id, file, rule AS title, severity_score, {_SEV} AS severity FROM (SELECT scan_id, file, rule, CAST(cvss AS INT) AS severity_score FROM @issues) x")
 def f4(spark, d):
     def bars(outputs):

@@ -166,10 +166,16 @@ def a15(spark, d):
     return R.concentration(v(spark, d, "findings"))
 
 
-@query("a16_digest", """WITH h AS (SELECT scan_id, sha256(concat_ws(chr(31), rule_id, severity, CAST(severity_score AS VARCHAR), file, CAST(line AS VARCHAR), scanner, cwe)) AS x FROM @findings)
-SELECT scan_id, sha256(string_agg(x, '' ORDER BY x)) AS digest FROM h GROUP BY 1""")
+def _level(of: str) -> str:
+    return f"SELECT scan_id, c // 4 AS b, CASE WHEN c // 4 = 0 AND count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY c)) END AS h FROM (SELECT scan_id, b AS c, h FROM {of}) x GROUP BY 1, 2"
+
+
+@query("a16_digest", f"""WITH h AS (SELECT scan_id, sha256(concat_ws(chr(31), rule_id, severity, CAST(severity_score AS VARCHAR), file, CAST(line AS VARCHAR), scanner, cwe)) AS x FROM @findings),
+l1 AS (SELECT scan_id, (r - 1) // 4 AS b, sha256(string_agg(x, '' ORDER BY r)) AS h FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY x) AS r FROM h) x GROUP BY 1, 2),
+l2 AS ({_level("l1")}), l3 AS ({_level("l2")}), l4 AS ({_level("l3")}), l5 AS ({_level("l4")}), l6 AS ({_level("l5")}) SELECT scan_id, h AS digest FROM l6""")
 def a16(spark, d):
-    return R.digest(v(spark, d, "findings"), ["rule_id", "severity", "severity_score", "file", "line", "scanner", "cwe"])
+    """A tree of four children a node, so that the given scans have several levels."""
+    return R.digest(v(spark, d, "findings"), ["rule_id", "severity", "severity_score", "file", "line", "scanner", "cwe"], fan=4)
 
 
 @query("a18_event_totals", """SELECT scan_id, count(*) FILTER (type = 'file') AS files, CAST(coalesce(sum(findings) FILTER (type = 'file'), 0) AS BIGINT) AS findings, count(*) FILTER (type = 'error') AS errors
@@ -338,6 +344,33 @@ def s26(spark, d):
     return finished_scans(v(spark, d, "scans"), v(spark, d, "findings")).select("id", "project_id", "security_score", "findings_count")
 
 
+@query("s26_lifecycle", """SELECT id, project_id, CASE WHEN id % 7 = 0 THEN 'failed' WHEN id % 3 = 0 THEN 'running' ELSE 'finished' END AS status, CASE WHEN id % 7 = 0 THEN 100 WHEN id % 3 = 0 THEN 100 ELSE security_score END AS security_score,
+CAST(CASE WHEN id % 7 <> 0 AND id % 3 <> 0 THEN coalesce(n, 0) ELSE 0 END AS INT) AS findings_count, id % 7 = 0 OR id % 3 <> 0 AS ended FROM @scans s LEFT JOIN (SELECT scan_id, count(*) AS n FROM @findings GROUP BY 1) f ON f.scan_id = s.id""")
+def s26_lifecycle(spark, d):
+    """Scans that start, then finish or fail; each write comes twice, and a late start changes nothing."""
+    from ..sources import sinks
+
+    scans, path = v(spark, d, "scans"), sinks.scratch_path(spark, "scans")
+    started = sinks.started(scans.select("id", "project_id", "started_at"))
+    done = sinks.finished_scans(scans.select("id", "project_id", "started_at", "security_score"), v(spark, d, "findings"))
+    failed, ended = F.col("id") % 7 == 0, F.col("started_at").cast("timestamp") + F.expr("interval 5 minutes")
+    done = sinks.ended(done.where(~failed & (F.col("id") % 3 != 0)), ended).unionByName(sinks.ended(scans.where(failed).select("id", "project_id", "started_at"), ended, status="failed"))
+    for changes in (started, started, done, done, started):
+        sinks.upsert_scans(changes, path)
+    return spark.read.parquet(path).select("id", "project_id", "status", "security_score", "findings_count", F.col("finished_at").isNotNull().alias("ended"))
+
+
+@query("s27_metrics_export", """WITH t AS (SELECT DISTINCT * FROM @truth), p AS (SELECT DISTINCT * FROM @predicted)
+SELECT coalesce(t.file_id, p.file_id) AS file_id, count(*) FILTER (t.rule_id IS NOT NULL AND p.rule_id IS NOT NULL) AS tp FROM t FULL JOIN p ON t.file_id = p.file_id AND t.rule_id = p.rule_id GROUP BY 1""")
+def s27(spark, d):
+    """Metrics of each file, written as JSON and read again."""
+    from ..sources import sinks
+
+    path = sinks.scratch_path(spark, "metrics")
+    sinks.export_metrics(E.confusion(v(spark, d, "truth"), v(spark, d, "predicted")).select("file_id", "tp"), path)
+    return spark.read.schema("file_id bigint, tp bigint").json(path)
+
+
 @query("p18_severity_filter", "SELECT id, severity FROM @findings WHERE severity IN ('Critical', 'High')")
 def p18(spark, d):
     return N.severity_filter(v(spark, d, "findings"), ["Critical", "High"]).select("id", "severity")

@@ -1,5 +1,6 @@
 """Taint flows, scores, redaction, uploads, ingestion, streams."""
 
+import hashlib
 import io
 import random
 import zipfile
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from sightline.functions import columns as C
 from sightline.functions import redact
 from sightline.operators import detect, taint
-from sightline.operators.report import scores
+from sightline.operators.findings import numbered
+from sightline.operators.report import digest, scores
 from sightline.operators.scan import detect_all, scan
 from sightline.sources import files as S
 from sightline.sources import ingest, rule_files, sinks
 from sightline.streaming import throttle
-from sightline.streaming.scans import scan_stream
+from sightline.streaming.scans import current_findings, scan_stream
 
 
 def test_python_taint():
@@ -224,16 +226,63 @@ def test_stream_equals_batch(spark, tmp_path, kind, one_partition):
     assert waiting.count() == 1
 
 
-def test_scan_stream(spark, tmp_path):
-    df = spark.createDataFrame([("s1", "a.py", "eval(x)"), ("s2", "b.py", "x = 1")], "scan_id string, path string, text string")
-    df.write.parquet(str(tmp_path / "land"))
-    src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "land"))
+def test_scan_stream(spark, tmp_path, one_partition):
+    """A file that comes again is not scanned, a changed one replaces its findings, a deleted one has none, an old version changes nothing."""
+    schema = "scan_id string, path string, text string, version bigint"
+    batches = [
+        [("s1", "a.py", "eval(x)", 1), ("s1", "b.py", "exec(x)", 1), ("s2", "c.py", "md5(x)", 1), ("s2", "d.py", "x = 1", 1)],
+        [("s1", "a.py", "eval(x)", 2), ("s1", "b.py", "y = 1\neval(y)", 2), ("s2", "d.py", "sha1(x)", 3), ("s2", "d.py", "exec(y)", 2)],
+        [("s2", "c.py", None, 2), ("s1", "b.py", "exec(x)", 1), ("s2", "d.py", "sha1(x)", 4)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"land/{k}"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "land"))
     q = scan_stream(src, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert [(r.scan_id, r.file, r.line, r.rule_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("s1", "a.py", 1, "S-CMDI-3")]
-    for _ in range(2):  # a batch that is replayed
-        sinks.write_epoch(detect_all(df), str(tmp_path / "out"), 0)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    q.awaitTermination(240)
+    got = current_findings(spark, str(tmp_path / "out"))
+    assert sorted((r.scan_id, r.file, r.line, r.rule_id) for r in got.collect()) == [("s1", "a.py", 1, "S-CMDI-3"), ("s1", "b.py", 2, "S-CMDI-3"), ("s2", "d.py", 1, "S-CRYPTO-2")]
+    scanned = spark.read.parquet(str(tmp_path / "out/files")).groupBy("epoch").count().collect()
+    assert {r.epoch: r["count"] for r in scanned} == {0: 4, 1: 2, 2: 1}  # the third time only the deleted file
+    df = spark.createDataFrame(batches[0], schema)
+    for _ in range(2):  # a batch that is replayed; batch and stream lie alike
+        sinks.write_epoch(detect_all(df), str(tmp_path / "f"), 0)
+    sinks.append_findings(detect_all(df), str(tmp_path / "f"))
+    both = spark.read.parquet(str(tmp_path / "f"))
+    assert both.count() == 6 and {r.epoch for r in both.select("epoch").distinct().collect()} == {0, -1}
+    assert "PartitionFilters: [isnotnull(scan_bucket" in both.where("scan_bucket = 3")._jdf.queryExecution().toString()
+
+
+def test_numbers_of_a_hot_scan(spark):
+    """A million findings of one scan are numbered over many tasks, beside small scans and null ones."""
+    n = 1_000_000
+    df = spark.range(n + 50).select(F.when(F.col("id") < n, "hot").when(F.col("id") < n + 40, F.concat(F.lit("s"), F.col("id") % 4)).alias("scan_id"), "id", (F.col("id") * 7919 % 1000).cast("int").alias("score"))
+    got = numbered(df, ["scan_id"], [F.col("score").desc(), F.col("id")]).withColumn("p", F.spark_partition_id())
+    per = {r.scan_id: r for r in got.groupBy("scan_id").agg(F.count("*").alias("n"), F.max("position").alias("most"), F.count_distinct("position").alias("d"), F.count_distinct("p").alias("tasks")).collect()}
+    assert {k: (r.n, r.most, r.d) for k, r in per.items()} == {"hot": (n, n, n), None: (10, 10, 10), **{f"s{k}": (10, 10, 10) for k in range(4)}} and per["hot"].tasks > 1
+    hot = got.where("scan_id = 'hot'")
+    assert hot.where((F.col("score") == 999) & (F.col("position") > n // 1000)).count() == 0 and hot.where("position = 1 and score = 999").count() == 1
+    small = got.where("scan_id = 's1'").orderBy("position").collect()
+    assert [(r.score, r.id) for r in small] == sorted(((r.score, r.id) for r in small), key=lambda x: (-x[0], x[1]))
+
+
+def test_digest_tree(spark):
+    """The same for any layout and order; another for any change; lists stay short."""
+    rows = [("s1", f"r{k}") for k in range(70)] + [("s2", "r0")] + [("s3", f"r{k}") for k in range(17)]
+
+    def digests(rows, parts, fan=4):
+        df = spark.createDataFrame(rows, "scan_id string, rule_id string").repartition(parts)
+        return {r.scan_id: r.digest for r in digest(df, ["rule_id"], fan=fan).collect()}
+
+    def brute(names, fan):
+        hs = sorted(hashlib.sha256(x.encode()).hexdigest() for x in names)
+        while True:
+            hs = [hashlib.sha256("".join(hs[k : k + fan]).encode()).hexdigest() for k in range(0, len(hs), fan)]
+            if len(hs) == 1:
+                return hs[0]
+
+    want = {s: brute([r for t, r in rows if t == s], 4) for s in ("s1", "s2", "s3")}
+    assert digests(rows, 1) == digests(rows[::-1], 7) == want
+    assert digests([*rows[1:], ("s1", "r1")], 3)["s1"] != want["s1"]
 
 
 def test_scan_of_a_tree(spark, tmp_path):
