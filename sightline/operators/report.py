@@ -73,6 +73,16 @@ def summary_text(findings: DataFrame, by: str = "scan_id") -> DataFrame:
     return out.select(by, text.alias("summary"))
 
 
+def leading_lines(findings: DataFrame, k: int, by: str = "scan_id", brief: bool = False) -> DataFrame:
+    """(by, lines): the ``k`` findings of the highest score, in words; ties by id. ``brief``: title and place, in one line."""
+    w = Window.partitionBy(by).orderBy(F.col("severity_score").desc(), "id")
+    first = findings.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    # Fixed value: the words that results must agree on.
+    text = F.format_string("%s (%s:%d)", "title", "file", "line") if brief else F.format_string("- [%s] %s (%s) in %s:%d", "severity", "title", "cwe", "file", "line")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", text.alias("text")))), lambda x: x["text"])
+    return first.groupBy(by).agg(F.array_join(listed, "; " if brief else "\n").alias("lines"))
+
+
 def concentration(findings: DataFrame, by: str = "scan_id") -> DataFrame:
     """The file with the most findings, their number, and the highest severity that occurs."""
     per = findings.groupBy(by, "file").agg(F.count("*").alias("n"), F.min(severity_rank(F.col("severity"))).alias("r"), F.min_by("severity", severity_rank(F.col("severity"))).alias("s"))

@@ -17,6 +17,7 @@ from ..operators.scan import scan
 from ..schemas import LANGUAGES, MAX_FILE_BYTES, SKIP_DIRS, WEB_GROUPS
 from ..sources import files as S
 from ..sources import ingest as I
+from ..sources.sinks import scratch_path
 from ..streaming import throttle
 from .adapters import view as v
 from .registry import query
@@ -99,6 +100,16 @@ def _archives(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").mapInPandas(build, "path string, content binary")
 
 
+@query("s7_upload_reasons", """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'empty' WHEN doc_id % 4 = 1 THEN 'blocked type application/x-dvi' WHEN doc_id % 4 = 2 THEN 'blocked type application/x-msdownload'
+WHEN doc_id % 7 = 0 THEN 'zip bomb' END AS reason FROM documents""")
+def s7_upload_reasons(spark, d):
+    """Archives of documents under names of several types; the first reason counts."""
+    k = F.col("path").cast("bigint")
+    name = F.concat("path", F.when(k % 4 == 1, ".DVI.gz").when(k % 4 == 2, ".exe").otherwise(".zip"))
+    content = F.when(k % 11 == 0, F.lit("").cast("binary")).otherwise(F.col("content"))
+    return _archives(spark, d).select(k.alias("doc_id"), S.upload_reason(name, content).alias("reason"))
+
+
 @query("s9_zip_bombs", "SELECT doc_id, doc_id % 7 = 0 AS is_bomb FROM documents")
 def s9(spark, d):
     return S.zip_bombs(_archives(spark, d)).select(F.col("path").cast("bigint").alias("doc_id"), "is_bomb")
@@ -235,6 +246,25 @@ def s21(spark, d):
     return I.parse(out.select("scan_id", xml.alias("content")), "nmap").select("scan_id", "file", "line", "severity_score", "cwe", "title")
 
 
+@query("s8_expiring_certificates", """SELECT c_custkey AS id, CASE WHEN days > 0 THEN 6 ELSE 9 END AS severity_score, concat('TLS certificate expires soon (', days, ' days)') AS title FROM (SELECT c_custkey, c_custkey % 50 - 10 AS days FROM customer) x WHERE days < 30""")
+def certificates(spark, d):
+    """A certificate for each customer, which ends before or after a day."""
+    key, day = F.col("c_custkey"), F.lit("2024-06-01").cast("date")
+    ends = F.date_add(day, (key % 50 - 10).cast("int")).cast("timestamp")
+    certs = spark.read.parquet(f"{d}/customer.parquet").select(key.alias("scan_id"), F.concat(F.lit("h"), key).alias("host"), F.lit(443).alias("port"), ends.alias("not_after"))
+    return I.expiring_certificates(certs, day.cast("timestamp")).select(F.col("scan_id").alias("id"), "severity_score", "title")
+
+
+@query("s14_large_outputs", "SELECT file, line, rule AS rule_id, msg AS description, CASE sev WHEN 'high' THEN 9 WHEN 'medium' THEN 7 ELSE 4 END AS severity_score FROM (SELECT *, 'a/b/C.java' AS file FROM (SELECT scan_id, line, rule, msg, sev FROM @issues) y) x")
+def s14_large(spark, d):
+    """Outputs written as files, whose names are the scans, and read by element."""
+    p = C.choose(F.col("sev"), {"high": "1", "medium": "2"}, "3")
+    item = F.concat(F.lit('<BugInstance type="'), F.col("rule"), F.lit('" priority="'), p, F.lit('">'), _tag("LongMessage", F.col("msg")), F.lit("<Class><classname>a.b.C</classname></Class><SourceLine>"), _tag("start", F.col("line")), F.lit("</SourceLine></BugInstance>"))
+    path = scratch_path(spark, "xml")
+    v(spark, d, "issues").select(item).write.text(path)
+    return I.parse_files(spark, path, "spotbugs").select("file", "line", "rule_id", "description", "severity_score")
+
+
 @query("j8_open_ports", f"SELECT scan_id, file, line, severity_score, cwe, title FROM ({_OPEN}) y")
 def j8(spark, d):
     return I.open_ports(v(spark, d, "ports")).select("scan_id", "file", "line", "severity_score", "cwe", "title")

@@ -159,6 +159,20 @@ def a14(spark, d):
     return R.summary_text(f).join(t, "scan_id", "left").na.fill("", ["top_cwe"])
 
 
+def _leading(k: int, text: str, between: str) -> str:
+    return f"SELECT scan_id, string_agg({text}, {between} ORDER BY severity_score DESC, id) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY severity_score DESC, id) AS r FROM @findings) x WHERE r <= {k} GROUP BY 1"
+
+
+@query("a14_top_3", _leading(3, "concat(title, ' (', file, ':', line, ')')", "'; '"))
+def a14_top_3(spark, d):
+    return R.leading_lines(v(spark, d, "findings"), 3, brief=True)
+
+
+@query("a14_top_8", _leading(8, "concat('- [', severity, '] ', title, ' (', cwe, ') in ', file, ':', line)", "chr(10)"))
+def a14_top_8(spark, d):
+    return R.leading_lines(v(spark, d, "findings"), 8)
+
+
 @query("a15_concentration", """WITH p AS (SELECT scan_id, file, count(*) AS n FROM @findings GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, file) AS r FROM p),
 h AS (SELECT scan_id, min(CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END) AS k FROM @findings GROUP BY 1)
 SELECT w.scan_id, file AS worst_file, n AS worst_n, ['Critical', 'High', 'Medium', 'Low'][k + 1] AS highest FROM w JOIN h ON h.scan_id = w.scan_id WHERE r = 1""")
@@ -383,6 +397,14 @@ def l1(spark, d):
     return prompts(v(spark, d, "findings")).select("id", "prompt")
 
 
+@query("l1_prompts_with_code", "SELECT id, concat('Finding: ', title, chr(10), 'File: ', file, ' (line ', line, ')', chr(10), 'Severity: ', severity, ' CWE: ', cwe, chr(10), 'Code:', chr(10), substr(repeat(concat(rule_id, ' é'), CAST(id % 400 AS BIGINT)), 1, 1500)) AS prompt FROM @findings")
+def l1_code(spark, d):
+    from ..operators.advice import prompts
+
+    f = v(spark, d, "findings").withColumn("code", F.repeat(F.concat("rule_id", F.lit(" é")), (F.col("id") % 400).cast("int")))
+    return prompts(f).select("id", "prompt")
+
+
 @query("l2_parse_responses", """SELECT id, CASE WHEN id % 4 = 3 THEN NULL ELSE concat('why ', id) END AS explanation, CASE WHEN id % 4 = 3 THEN NULL ELSE 'fix it' END AS recommended_fix FROM @findings""")
 def l2(spark, d):
     from ..operators.advice import parse_responses

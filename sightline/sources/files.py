@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import io
+import os
+import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import skipped, suffix
+from ..functions.columns import choose, skipped, suffix
 from ..schemas import SKIP_DIRS
+from .lineage import written
 
 # Suffixes an upload may have.
 SAFE_SUFFIXES = (
@@ -22,19 +27,29 @@ SAFE_SUFFIXES = (
 MAX_UPLOAD, MAX_RATIO, MAX_MEMBERS = 10 * 1024 * 1024, 100, 1000
 
 
+def _filesystem(root: str):
+    """pyarrow's file system of a URI and the path in it; none for plain paths and ``file:``, which tasks open themselves."""
+    if re.match(r"^(?!file:)[a-z][a-z0-9+.-]*://", root):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(root)
+    return None, re.sub(r"^file:(//)?", "", root)
+
+
 def read_tree(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     """(path, length, text) of files named in ``paths`` (path, relative to ``root``), read by the tasks.
 
-    Spark's own file sources hide names that start with ``_`` or ``.``; these are read. ``root`` is storage that all
-    executors mount. A file that can't be read has a null text. Bytes that aren't UTF-8 are replaced.
+    Spark's own file sources hide names that start with ``_`` or ``.``; these are read. ``root`` is a folder that all
+    executors mount, or a URI that pyarrow opens. A file that can't be read has a null text. Bytes that aren't UTF-8 are replaced.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _filesystem(root)
         for b in batches:
             rows = []
             for p in b["path"]:
                 try:
-                    with open(f"{root}/{p}", "rb") as f:
+                    with store.open_input_stream(f"{base}/{p}") if store else open(f"{base}/{p}", "rb") as f:
                         data = f.read()
                     rows.append((p, len(data), data.decode("utf-8", "replace")))
                 except OSError:
@@ -44,37 +59,51 @@ def read_tree(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(read, "path string, length long, text string")
 
 
+def _entries(root: str, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, is_dir) of what stands in a folder, without links; a folder that is gone has nothing."""
+    store, base = _filesystem(root)
+    place = f"{folder}/" if folder else ""
+    try:
+        if store:
+            from pyarrow import fs
+
+            for i in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+                yield place + i.base_name, i.size or 0, i.type == fs.FileType.Directory
+            return
+        with os.scandir(f"{base}/{folder}") as found:
+            for e in found:
+                try:
+                    if not e.is_symlink():
+                        yield place + e.name, e.stat().st_size, e.is_dir()
+                except OSError:  # it went meanwhile
+                    continue
+    except OSError:
+        return
+
+
 def walk_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of all files under ``root``, relative to it; skipped directories are not entered, links are left out.
 
-    The driver lists the first directory only; tasks walk what lies below. ``root`` is storage that all executors mount.
+    The tree is walked level by level. Each round lists one table of directories, dealt over tasks one by one, however
+    unevenly the tree is filled; what it finds is written. ``root`` is a folder that all executors mount, or a URI that
+    pyarrow opens. Files and directories that vanish meanwhile are left out.
     """
-    import os
 
-    top = [(e.name, e.is_dir()) for e in os.scandir(root) if not e.is_symlink()]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, is_dir in zip(b["name"], b["is_dir"], strict=True):
-                rows, todo = [], [name]
-                while todo:
-                    at = todo.pop()
-                    if at == name and not is_dir:
-                        rows.append((at, os.path.getsize(f"{root}/{at}")))
-                        continue
-                    if at.rsplit("/", 1)[-1].lower() in SKIP_DIRS:
-                        continue
-                    for e in os.scandir(f"{root}/{at}"):
-                        if e.is_symlink():
-                            continue
-                        if e.is_dir():
-                            todo.append(f"{at}/{e.name}")
-                        else:
-                            rows.append((f"{at}/{e.name}", e.stat().st_size))
-                yield pd.DataFrame(rows, columns=["path", "length"])
-
-    entries = spark.createDataFrame(top, "name string, is_dir boolean").repartition(max(1, len(top)))
-    return entries.mapInPandas(walk, "path string, length long")
+            for folder in b["path"]:
+                found = _entries(root, folder)
+                while rows := list(islice(found, 10_000)):
+                    yield pd.DataFrame(rows, columns=["path", "length", "is_dir"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), []
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    while not level.isEmpty():
+        found = written(level.repartition(tasks).mapInPandas(look, "path string, length long, is_dir boolean"))
+        files.append(found.where("not is_dir").select("path", "length"))
+        name = F.lower(F.element_at(F.split("path", "/"), -1))
+        level = found.where(F.col("is_dir") & ~name.isin(list(SKIP_DIRS))).select("path")
+    return reduce(DataFrame.union, files)
 
 
 def listed(paths: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -141,22 +170,67 @@ def zip_members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(expand, "path string, member string, size long, flag string, data binary")
 
 
+def _number(content: Column, at: Column, size: int) -> Column:
+    """A little-endian number of ``size`` bytes at a place (from 1)."""
+    digits = [F.hex(F.substring(content, at + k, F.lit(1))) for k in reversed(range(size))]
+    return F.conv(F.concat(*digits), 16, 10).cast("bigint")
+
+
+def zip_directory(content: Column) -> Column:
+    """struct(members, unpacked) of an archive, from its central directory; zeros for what is none.
+
+    Stays in the JVM: the directory's end gives the number of members and its size, and a fold over the members adds their
+    sizes. Of archives with over ``MAX_MEMBERS`` members only the number is read.
+    """
+    length = F.octet_length(content)
+    back = F.reverse(F.hex(F.substring(content, F.greatest(length - 65_556, F.lit(1)), F.lit(65_557))))
+    found = F.instr(back, "6050B405")  # the end's mark, backwards
+    end = F.when((found > 0) & (found % 2 == 1), length - F.floor((found - 1) / 2).cast("int") - 3)
+    members, size = _number(content, end + 10, 2), _number(content, end + 12, 4)
+    first = (end - size).cast("int")
+
+    def step(so_far: Column, _: Column) -> Column:
+        at = so_far["at"]
+        known = F.hex(F.substring(content, at, F.lit(4))) == "504B0102"
+        more = 46 + _number(content, at + 28, 2) + _number(content, at + 30, 2) + _number(content, at + 32, 2)
+        return F.struct(F.when(known, at + more.cast("int")).alias("at"), (so_far["sum"] + F.when(known, _number(content, at + 24, 4))).alias("sum"))
+
+    many = members > MAX_MEMBERS
+    each = F.when((members > 0) & ~many, F.sequence(F.lit(1), members.cast("int"))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(each, F.struct(first.alias("at"), F.lit(0).cast("bigint").alias("sum")), step)["sum"]
+    sound = end.isNotNull() & (first >= 1) & total.isNotNull()
+    zero = F.lit(0).cast("bigint")
+    return F.struct(F.when(sound, members).otherwise(zero).alias("members"), F.when(sound, total).otherwise(zero).alias("unpacked"))
+
+
+def is_zip_bomb(content: Column) -> Column:
+    """Starts as an archive does, and is too dense or has too many members; a broken one is none."""
+    d = zip_directory(content)
+    named = (F.octet_length(content) >= 4) & (F.hex(F.substring(content, F.lit(1), F.lit(2))) == "504B")
+    bomb = (d["unpacked"] > MAX_RATIO * F.octet_length(content)) | (d["members"] > MAX_MEMBERS)
+    return F.coalesce(F.when(named, bomb), F.lit(False))
+
+
 def zip_bombs(archives: DataFrame) -> DataFrame:
-    """(path, is_bomb) of uploads that start as archives do: too dense or too many members; a broken one is none."""
+    """(path, is_bomb) of uploads that start as archives do."""
     named = archives.where((F.octet_length("content") >= 4) & (F.hex(F.substring("content", 1, 2)) == "504B"))
+    return named.select("path", is_zip_bomb(F.col("content")).alias("is_bomb"))
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        total, n = sum(i.file_size for i in z.infolist()), len(z.infolist())
-                except (zipfile.BadZipFile, NotImplementedError, ValueError, OSError):
-                    total, n = 0, 0
-                rows.append((path, total, n, len(content)))
-            yield pd.DataFrame(rows, columns=["path", "unpacked", "members", "length"])
-
-    sizes = named.select("path", "content").mapInPandas(measure, "path string, unpacked long, members long, length long")
-    bomb = (F.col("unpacked") > MAX_RATIO * F.col("length")) | (F.col("members") > MAX_MEMBERS)
-    return sizes.select("path", bomb.alias("is_bomb"))
+
+# Types that are refused, by the suffixes that usually name them.
+BLOCKED_TYPES = {
+    ".dvi": "application/x-dvi", ".exe": "application/x-msdownload", ".dll": "application/x-msdownload", ".com": "application/x-msdownload", ".bat": "application/x-msdownload",
+    ".msi": "application/x-msdownload", ".o": "application/x-object", ".elf": "application/x-elf",
+}
+
+
+def upload_reason(name: Column, content: Column, max_size: int = MAX_UPLOAD) -> Column:
+    """Why an upload is refused, else null: empty, too large, blocked type, executable, zip bomb; the first that holds."""
+    kind = choose(suffix(F.regexp_replace(name, r"(?i)\.(gz|bz2|xz|br|z)$", "")), BLOCKED_TYPES)
+    return (
+        F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty")
+        .when(F.octet_length(content) > max_size, "too large")
+        .when(kind.isNotNull(), F.concat(F.lit("blocked type "), kind))
+        .when(is_executable(content), "executable")
+        .when(is_zip_bomb(content), "zip bomb")
+    )

@@ -106,6 +106,64 @@ def test_archives(spark):
     assert got == {("ok.zip", "a.py", "ok", b"x = 1"), ("ok.zip", "../b.py", "traversal", None), ("ok.zip", "l", "symlink", None), ("bad.zip", None, "bad archive", None), ("dense.zip", "a", "ok", None)}
 
 
+def test_archives_with_more_around_them(spark):
+    """Bytes before an archive, a comment after it, no members, and a directory that is cut."""
+    dense = _zip([("a", "0" * 3_000_000), ("b" * 300, "1")])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a", "0" * 3_000_000)
+        z.comment = b"said" * 500
+    rows = [("before", b"PKxx" + dense, True), ("comment", out.getvalue(), True), ("none", _zip([]), False), ("cut", dense[:-30] + dense[-22:], False), ("short", b"PK", None), ("plain", _zip([("a", "text")]), False)]
+    df = spark.createDataFrame([r[:2] for r in rows], "path string, content binary")
+    assert {r.path: r.is_bomb for r in S.zip_bombs(df).collect()} == {k: x for k, _, x in rows if x is not None}
+    d = df.where("path = 'before'").select(S.zip_directory(F.col("content")).alias("d")).first().d
+    assert (d.members, d.unpacked) == (2, 3_000_001)
+
+
+def test_walk_of_a_deep_tree(spark, tmp_path):
+    """One deep and wide directory is spread over tasks; links, skipped and vanished directories are left out."""
+    want = set()
+    for k in range(40):
+        folder = "/".join(["src", f"m{k}", *["deep"] * (k % 6)])
+        (tmp_path / folder).mkdir(parents=True)
+        for f in ("__init__.py", ".hid.py"):
+            (tmp_path / folder / f).write_text("x" * k)
+            want.add((f"{folder}/{f}", k))
+    (tmp_path / "src/m1/Node_Modules/deep").mkdir(parents=True)
+    (tmp_path / "src/m1/Node_Modules/deep/a.py").write_text("x")
+    (tmp_path / "src/m2/loop").symlink_to(tmp_path / "src")
+    (tmp_path / "src/m3/gone").mkdir()
+    assert {(r.path, r.length) for r in S.walk_tree(spark, str(tmp_path)).collect()} == want
+    assert {(r.path, r.length) for r in S.walk_tree(spark, f"file://{tmp_path}").collect()} == want
+    assert list(S._entries(str(tmp_path), "src/nowhere")) == []
+    assert S.walk_tree(spark, str(tmp_path / "src/m3/gone")).count() == 0
+
+
+def test_elements_of_large_outputs(spark, tmp_path):
+    """Elements read by tag are those of whole outputs; broken ones are counted for each file."""
+    bug = '<BugInstance type="{t}" priority="1" cweid="89" shortMessage="m"><LongMessage>l{t}</LongMessage><Class><classname>a.B</classname></Class><SourceLine><start>{n}</start></SourceLine></BugInstance>'
+    host = '<host><address addr="h{n}"/><ports><port portid="22"><service product="OpenSSH" version="7"/></port><port portid="99"/></ports></host>'
+    result = "<result><name>{t}</name><cwe>CWE-79</cwe><description>d</description><host>h</host><port>{n}/tcp</port><cvss_base>7.5</cvss_base></result>"
+    for name, item, tag in (("spotbugs", bug, "BugCollection"), ("nmap", host, "nmaprun"), ("openvas", result, "report")):
+        (tmp_path / name).mkdir()
+        for f in range(2):
+            body = "\n".join(item.format(t=f"T{k}", n=k) for k in range(3 + f))
+            (tmp_path / name / f"s{f}.xml").write_text(f'<?xml version="1.0"?>\n<{tag}>\n{body}\n</{tag}>')
+        whole = ingest.parse(ingest.read_outputs(spark, str(tmp_path / name)), name)
+        parts = ingest.parse_files(spark, str(tmp_path / name), name)
+        assert parts.columns == whole.columns and sorted(map(str, parts.collect())) == sorted(map(str, whole.collect())) and whole.count() == 7
+    text = (tmp_path / "spotbugs/s1.xml").read_text().replace("<start>2</start>", "<start>two</start>", 1)
+    (tmp_path / "spotbugs/s1.xml").write_text(text)
+    assert {(r.scan_id, r.elements, r.broken) for r in ingest.broken_elements(spark, str(tmp_path / "spotbugs"), "spotbugs").collect()} == {("s0.xml", 3, 0), ("s1.xml", 3, 1)}
+
+
+def test_upload_reasons(spark):
+    elf = b"\x7fELF" + b"x" * 20
+    rows = [("a.py", b"", "empty"), ("a.exe", b"x" * 101, "too large"), ("a.DLL", b"x", "blocked type application/x-msdownload"), ("b.dvi.gz", b"x", "blocked type application/x-dvi"), ("a.py", elf, "executable"), ("a.py", None, "empty"), ("ok.py", b"x = 1", None), (None, b"x", None)]
+    df = spark.createDataFrame([(k, n, c) for k, (n, c, _) in enumerate(rows)], "k int, name string, content binary")
+    assert [r.r for r in df.select("k", S.upload_reason(F.col("name"), F.col("content"), 100).alias("r")).orderBy("k").collect()] == [w for *_, w in rows]
+
+
 def test_read_tree(spark, tmp_path):
     for name in ("pkg/__init__.py", "pkg/a.py", "pkg/_priv/b.py", ".cfg/c.py"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
