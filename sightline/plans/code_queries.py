@@ -261,7 +261,14 @@ def s14_large(spark, d):
     p = C.choose(F.col("sev"), {"high": "1", "medium": "2"}, "3")
     item = F.concat(F.lit('<BugInstance type="'), F.col("rule"), F.lit('" priority="'), p, F.lit('">'), _tag("LongMessage", F.col("msg")), F.lit("<Class><classname>a.b.C</classname></Class><SourceLine>"), _tag("start", F.col("line")), F.lit("</SourceLine></BugInstance>"))
     path = scratch_path(spark, "xml")
-    v(spark, d, "issues").select(item).write.text(path)
+
+    def whole(batches):
+        yield pd.DataFrame({"value": ["<BugCollection>"]})
+        for b in batches:
+            yield b
+        yield pd.DataFrame({"value": ["</BugCollection>"]})
+
+    v(spark, d, "issues").select(item.alias("value")).mapInPandas(whole, "value string").write.text(path)
     return I.parse_files(spark, path, "spotbugs").select("file", "line", "rule_id", "description", "severity_score")
 
 
