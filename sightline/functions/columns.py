@@ -175,10 +175,12 @@ def banner_version(banner: Column) -> tuple[Column, Column]:
 def outdated(product: Column, version: Column) -> Column:
     """Whether the version without its last part is under the product's first sound one."""
     major = F.regexp_replace(version, r"\.[^.]*$", "").try_cast("double")
+    # First sound versions.
     least = choose(product, {"OpenSSH": 8.0, "Apache": 2.4, "OpenSSL": 3.0, "nginx": 1.18})
     return F.coalesce(major < least, F.lit(False))
 
 
+# Networks that are never a target.
 BLOCKED_NETS = (("127.0.0.0", 8), ("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("169.254.0.0", 16))
 
 

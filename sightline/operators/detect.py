@@ -38,12 +38,19 @@ def lines(files: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(*rest, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
 
 
+def safe_assignment(line: Column) -> Column:
+    """Whether a credential is set to what only looks like one: the line names a test or a placeholder."""
+    low = F.lower(line)
+    # Words of placeholders, and names of credentials.
+    return low.rlike("test|example|demo|mock|fake|dummy|placeholder") & low.rlike(r"(?Ud)\b(password|passwd|secret|api[_-]?key|token)\s*=")
+
+
 def python_code(line: Column) -> Column:
     """A Python line up to its comment; null where no rule may look at it."""
-    bare, low = strip(line), F.lower(line)
+    bare = strip(line)
+    # Fixed value: what a line begins with that is all comment or text.
     comment = bare.rlike("""^(#|[rf]?\\"{3}|[rf]?'{3})""")
-    safe = low.rlike("test|example|demo|mock|fake|dummy|placeholder") & low.rlike(r"(?Ud)\b(password|passwd|secret|api[_-]?key|token)\s*=")
-    return F.when(~comment & ~safe, F.substring_index(line, "#", 1))
+    return F.when(~comment & ~safe_assignment(line), F.substring_index(line, "#", 1))
 
 
 def generic_code(line: Column, group: str) -> Column:

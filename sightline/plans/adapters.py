@@ -23,7 +23,7 @@ FROM {{orders}}) x""",
   CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 AS INT) AS security_score, 1 + o_orderkey % 40 AS files_scanned FROM {orders}""",
     "projects": "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS language FROM {customer}",
     "recommendations": """SELECT o_orderkey * 10 + k AS id, o_orderkey AS finding_id, concat('fix ', cast(k as varchar(8))) AS recommended_fix
-FROM {orders} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) v WHERE o_orderkey % 3 = 0""",
+FROM {orders} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) v WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""",
     "code": """SELECT c_custkey AS file_id, CASE c_custkey % 8
   WHEN 0 THEN concat('password = "', c_name, '"') WHEN 1 THEN 'subprocess.run(cmd, shell=True)'
   WHEN 2 THEN 'data = pickle.loads(blob)' WHEN 3 THEN concat('h = hashlib.md5(x)  # ', c_mktsegment)
@@ -32,7 +32,7 @@ FROM {orders} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) v WHERE o_order
     "requests": """SELECT event_id, ts, concat('10.0.0.', cast(user_id % 5 as varchar(8))) AS client,
   CASE event_type WHEN 'error' THEN 'login_failed' WHEN 'signup' THEN 'login_ok' ELSE 'request' END AS kind FROM {events}""",
     "truth": "SELECT doc_id AS file_id, concat('R-', cast(quality as varchar(4))) AS rule_id FROM {labels}",
-    "predicted": "SELECT doc_id AS file_id, concat('R-', cast(n_chars % 2 as varchar(4))) AS rule_id FROM {documents} WHERE doc_id % 4 <> 0",
+    "predicted": "SELECT doc_id AS file_id, concat('R-', cast(n_chars % 2 as varchar(4))) AS rule_id FROM {documents} WHERE n_chars >= 400",
     "paths": """SELECT c_custkey AS file_id, c_custkey * 3000 AS length, concat(CASE c_custkey % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/x/' WHEN 2 THEN '.GIT/'
   WHEN 3 THEN 'a/b/c/d/e/f/g/h/i/j/k/' WHEN 4 THEN 'lib/' ELSE '' END, 'f', cast(c_custkey as varchar(64)), CASE c_custkey % 10 WHEN 0 THEN '.py' WHEN 1 THEN '.JS'
   WHEN 2 THEN '.tar.gz' WHEN 3 THEN '.java' WHEN 4 THEN '.sh' WHEN 5 THEN '' WHEN 6 THEN '.kt' WHEN 7 THEN '.html' WHEN 8 THEN '.css' ELSE '.hpp' END) AS path FROM {customer}""",

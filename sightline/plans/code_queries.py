@@ -396,10 +396,9 @@ def p3(spark, d):
     return v(spark, d, "code").select("file_id", detect.generic_code(F.col("line"), "go").alias("code")).where("code is not null")
 
 
-@query("p4_safe_assignment", r"SELECT file_id, regexp_matches(lower(line), 'test|example|demo|mock|fake|dummy|placeholder') AND regexp_matches(lower(line), '\b(password|passwd|secret|api[_-]?key|token)\s*=') AS safe FROM @code WHERE NOT starts_with(line, '#')")
+@query("p4_safe_assignment", r"SELECT file_id, regexp_matches(lower(line), 'test|example|demo|mock|fake|dummy|placeholder') AND regexp_matches(lower(line), '\b(password|passwd|secret|api[_-]?key|token)\s*=') AS safe FROM @code")
 def p4(spark, d):
-    rows = v(spark, d, "code").where(~F.col("line").startswith("#"))
-    return rows.select("file_id", detect.python_code(F.col("line")).isNull().alias("safe"))
+    return v(spark, d, "code").select("file_id", detect.safe_assignment(F.col("line")).alias("safe"))
 
 
 @query("p5_web_dispatch", f'SELECT file_id, {_GROUP} AS "group" FROM @paths WHERE {_LANG} = \'web\'')

@@ -303,12 +303,13 @@ def j5(spark, d):
 
 @query("j6_recommendation_by_either", """WITH n AS (SELECT id, concat('U', id % 100) AS uid FROM @findings)
 SELECT n.id, coalesce(a.fix, b.fix) AS fix FROM n LEFT JOIN (SELECT finding_id AS id, min(recommended_fix) AS fix FROM @recommendations GROUP BY 1) a ON a.id = n.id
-LEFT JOIN (SELECT concat('U', finding_id % 100) AS uid, max(recommended_fix) AS fix FROM @recommendations WHERE finding_id % 100 < 50 GROUP BY 1) b ON b.uid = n.uid""")
+LEFT JOIN (SELECT concat('U', finding_id % 100) AS uid, max(CASE WHEN finding_id % 100 < 50 THEN recommended_fix END) AS fix FROM @recommendations GROUP BY 1) b ON b.uid = n.uid""")
 def j6(spark, d):
     r = v(spark, d, "recommendations")
     f = v(spark, d, "findings").select("id", F.concat(F.lit("U"), F.col("id") % 100).alias("uid"))
     a = r.groupBy(F.col("finding_id").alias("id")).agg(F.min("recommended_fix").alias("fix"))
-    b = r.where("finding_id % 100 < 50").groupBy(F.concat(F.lit("U"), F.col("finding_id") % 100).alias("uid")).agg(F.max("recommended_fix").alias("fix"))
+    own = F.when(F.col("finding_id") % 100 < 50, F.col("recommended_fix"))  # others have none
+    b = r.groupBy(F.concat(F.lit("U"), F.col("finding_id") % 100).alias("uid")).agg(F.max(own).alias("fix"))
     return N.recommendation_by_either(f, a, b).select("id", "fix")
 
 
