@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cwe_name, cwe_owasp, rule_group, score_severity, skipped, split_lines, strip, suffix
 from ..schemas import MAX_FILE_BYTES
+from ..sources.lineage import written
 from .literals import ENDLESS, fold, folded, growth, held_literals, rare_gram
 from .rules import RULES, SCANNERS, Rule, java_pattern
 
@@ -408,7 +409,7 @@ def custom_table(files: DataFrame, rules: DataFrame, seconds: float = TIME_LIMIT
     choice by its size. A line and a rule meet once, by the first of the rule's runs that the line has. rule_ord is 0.
     """
     keys = [c for c in files.columns if c != "text"] + ["line_no"]
-    usable = rule_grams(rules)
+    usable = written(rule_grams(rules))  # patterns are read once
     posts = usable.withColumn("gram", F.explode("grams"))
     rule = F.struct(F.lit(0).alias("ord"), F.col("id").alias("rule_id"), "title", "severity", F.col("score").alias("severity_score"), "cwe", "owasp").alias("_rule")
     posts = posts.select("gram", F.col("grams").alias("_grams"), "pattern", "power", "extensions", rule)
