@@ -6,7 +6,7 @@ import io
 import os
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
@@ -176,6 +176,11 @@ def _number(content: Column, at: Column, size: int) -> Column:
     return F.conv(F.concat(*digits), 16, 10).cast("bigint")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in the result."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def zip_directory(content: Column) -> Column:
     """struct(members, unpacked) of an archive, from its central directory; zeros for what is none.
 
@@ -184,10 +189,6 @@ def zip_directory(content: Column) -> Column:
     """
     length = F.octet_length(content)
     back = F.reverse(F.hex(F.substring(content, F.greatest(length - 65_556, F.lit(1)), F.lit(65_557))))
-    found = F.instr(back, "6050B405")  # the end's mark, backwards
-    end = F.when((found > 0) & (found % 2 == 1), length - F.floor((found - 1) / 2).cast("int") - 3)
-    members, size = _number(content, end + 10, 2), _number(content, end + 12, 4)
-    first = (end - size).cast("int")
 
     def step(so_far: Column, _: Column) -> Column:
         at = so_far["at"]
@@ -195,19 +196,24 @@ def zip_directory(content: Column) -> Column:
         more = 46 + _number(content, at + 28, 2) + _number(content, at + 30, 2) + _number(content, at + 32, 2)
         return F.struct(F.when(known, at + more.cast("int")).alias("at"), (so_far["sum"] + F.when(known, _number(content, at + 24, 4))).alias("sum"))
 
-    many = members > MAX_MEMBERS
-    each = F.when((members > 0) & ~many, F.sequence(F.lit(1), members.cast("int"))).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(each, F.struct(first.alias("at"), F.lit(0).cast("bigint").alias("sum")), step)["sum"]
-    sound = end.isNotNull() & (first >= 1) & total.isNotNull()
-    zero = F.lit(0).cast("bigint")
-    return F.struct(F.when(sound, members).otherwise(zero).alias("members"), F.when(sound, total).otherwise(zero).alias("unpacked"))
+    def unpacked(members: Column, first: Column) -> Column:
+        each = F.when((members > 0) & (members <= MAX_MEMBERS), F.sequence(F.lit(1), members.cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(each, F.struct(first.alias("at"), F.lit(0).cast("bigint").alias("sum")), step)["sum"]
+
+    def summed(end: Column) -> Column:
+        members, first = _number(content, end + 10, 2), (end - _number(content, end + 12, 4)).cast("int")
+        return _once(F.struct(members.alias("m"), first.alias("first")), lambda d: F.struct(d["m"].alias("members"), F.when(d["first"] >= 1, unpacked(d["m"], d["first"])).alias("unpacked")))
+
+    found = F.instr(back, "6050B405")  # the end's mark, backwards
+    end = _once(found, lambda at: F.when((at > 0) & (at % 2 == 1), length - F.floor((at - 1) / 2).cast("int") - 3))
+    none = F.struct(F.lit(0).cast("bigint").alias("members"), F.lit(0).cast("bigint").alias("unpacked"))
+    return _once(_once(end, summed), lambda d: F.when(d["unpacked"].isNotNull(), d).otherwise(none))
 
 
 def is_zip_bomb(content: Column) -> Column:
     """Starts as an archive does, and is too dense or has too many members; a broken one is none."""
-    d = zip_directory(content)
     named = (F.octet_length(content) >= 4) & (F.hex(F.substring(content, F.lit(1), F.lit(2))) == "504B")
-    bomb = (d["unpacked"] > MAX_RATIO * F.octet_length(content)) | (d["members"] > MAX_MEMBERS)
+    bomb = _once(zip_directory(content), lambda d: (d["unpacked"] > MAX_RATIO * F.octet_length(content)) | (d["members"] > MAX_MEMBERS))
     return F.coalesce(F.when(named, bomb), F.lit(False))
 
 
