@@ -528,12 +528,25 @@ def test_repeats_among_equal_high_bits(spark, monkeypatch):
 def test_rule_order(spark):
     df = spark.range(100).toDF("n")
     rules = [quality_rules.Rule("none", F.col("n") < 0), quality_rules.Rule("most", F.col("n") < 90), quality_rules.Rule("null", F.lit(None).cast("boolean"))]
+    more = quality_rules.Rule("more", F.col("n") >= 0)
     assert quality_rules.order_rules(df, rules)[0].name == "most"
-    assert [r.name for r in quality_rules.order_rules(df.where("n < 0"), rules, {"more": df})] == ["none", "most", "null", "more"]
-    assert quality_rules.order_rules(df, rules[:1], {"more": df})[0].name == "more"
+    assert [r.name for r in quality_rules.order_rules(df.where("n < 0"), [*rules, more])] == ["none", "most", "null", "more"]
+    assert quality_rules.order_rules(df, [rules[0], more])[0].name == "more"
     assert df.select(quality_rules.verdict(rules).alias("v")).where("v = 'most'").count() == 90
 
 
+def test_rule_order_by_cost(spark):
+    """Rejections count by what they cost, and the order takes one job."""
+    df = spark.range(100).toDF("n")
+    rules = [quality_rules.Rule("dear", F.col("n") < 90, F.lit(10)), quality_rules.Rule("cheap", F.col("n") < 10, F.lit(1)), quality_rules.Rule("free", F.col("n") < 20)]
+    spark.sparkContext.setJobGroup("order", "rules")
+    assert [r.name for r in quality_rules.order_rules(df, rules)] == ["free", "cheap", "dear"]
+    assert [r.name for r in quality_rules.order_rules(df, [quality_rules.Rule("dear", F.col("n") < 90, F.lit(8)), *rules[1:]])] == ["free", "dear", "cheap"]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("order"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 2 <= jobs <= 4  # one for each order, or two with adaptive execution
+
+
 def test_rules_wait_for_each_other(spark):
     """A costly rule is evaluated on no row that an earlier one rejects."""
     df = spark.range(100).toDF("n")
