@@ -162,7 +162,7 @@ SHARE = 0.01
 
 
 def sampled(docs: DataFrame, share: float, seed: int = 7) -> DataFrame:
-    return docs.sample(min(1.0, share), seed=seed)
+    return docs.sample(withReplacement=False, fraction=min(1.0, share), seed=seed)
 
 
 def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:

@@ -200,8 +200,10 @@ c AS (SELECT *, {_CANONICAL} AS key, CASE
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM h),
-t AS (SELECT DISTINCT key FROM c WHERE key <> '' AND (regexp_matches(host, '(?:^|[.-])(?:{"|".join(url_filter.SPAM_WORDS)})(?:[.-]|$)')
-  OR coalesce({url_filter.MARKS_PER_SPACE} * len(regexp_extract_all(html, '{url_filter.MARK}')) > len(regexp_extract_all(html, ' ')), false)))
+e AS (SELECT key, regexp_matches(host, '(?:^|[.-])(?:{"|".join(url_filter.SPAM_WORDS)})(?:[.-]|$)')
+  OR coalesce({url_filter.MARKS_PER_SPACE} * len(regexp_extract_all(html, '{url_filter.MARK}')) > len(regexp_extract_all(html, ' ')), false) AS bad,
+  trim(regexp_replace(regexp_replace(regexp_extract(html, '{url_filter.ARTICLE}', 1), '{url_filter.TAG}', ' ', 'g'), '{url_filter.SPACES}', ' ', 'g')) AS article FROM c),
+t AS (SELECT DISTINCT key FROM e WHERE key <> '' AND (bad OR len(string_split(article, ' ')) >= {url_filter.ARTICLE_WORDS} AND article IN (SELECT article FROM e WHERE bad AND article IS NOT NULL)))
 SELECT page_id, host, path, rule, rule IS NULL AND key IN (SELECT key FROM t) AS listed,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
        WHEN key IN (SELECT key FROM t) THEN 'block' ELSE 'allow' END AS verdict FROM c

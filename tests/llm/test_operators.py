@@ -207,6 +207,27 @@ def test_url_list_decides(spark):
     assert blocked == {1, 2, 5, 6} == {k for k, (_, v) in got.items() if v == "block"} and len(got) == 7
 
 
+def test_url_list_of_copies(spark):
+    """A clean page elsewhere that carries a bad page's article is listed; short articles and other texts are not."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [
+        (1, "http://casino.example.com/a", f"<nav>x</nav><article><p>{text}</p></article>"), (2, "http://h.example.com/b", f"<article class='c'>\n<b>{text}</b>\x0b\t</article><p>y</p>"),
+        (3, "http://h.example.com/b.html?q", None), (4, "http://h.example.com/c", f"<article>{text} more</article>"), (5, "http://casino.example.com/d", "<article>not found</article>"),
+        (6, "http://h.example.com/e", "<article>not found</article>"), (7, "http://h.example.com/f", f"<p>{text}</p>"), (8, None, f"<article>{'| # ' * 30}</article>"),
+        (9, "http://h.example.com/g", f"{'w ' * 5000}<article>{'| # ' * 30}</article>"), (9, "http://h.example.com/g", "<article></article>"), (10, "http://h.example.com/h", "<article></article>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for blocks in (None, 1):
+        keys = url_filter.bad_urls(pages, blocks=blocks)
+        got = url_filter.judge(pages, keys, queries.URL_RULES).collect()
+        assert {r.page_id for r in got if r.listed} == {1, 2, 3, 5, 9} and len(got) == len(rows)
+
+
+def test_filter_follows_memory():
+    assert [url_filter.most_blocks(g << 30) for g in (0, 1, 3, 4, 32)] == [256, 1 << 18, 1 << 20, 1 << 20, 1 << 23]
+    assert url_filter.filter_blocks(10**11, 1 << 23) == 1 << 23
+
+
 def test_filter_follows_the_list():
     assert [url_filter.filter_blocks(n) for n in (0, 1, 10**4, 10**6, 10**11)] == [256, 256, 256, 1 << 15, 1 << 20]
 
