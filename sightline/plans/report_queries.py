@@ -266,7 +266,7 @@ def u2(spark, d):
 
 @query("u3_distinct_rules", "SELECT DISTINCT scan_id, rule_id FROM @findings")
 def u3(spark, d):
-    return v(spark, d, "findings").select("scan_id", "rule_id").distinct()
+    return N.distinct_rules(v(spark, d, "findings"))
 
 
 _CAT = "CASE cwe WHEN 'CWE-89' THEN {} WHEN 'CWE-79' THEN {} WHEN 'CWE-78' THEN {} WHEN 'CWE-798' THEN {} ELSE {} END"
@@ -291,8 +291,7 @@ def j3(spark, d):
 
 @query("j4_project_scans", "SELECT p.id AS project_id, p.name, s.id AS scan_id, s.started_at FROM @projects p JOIN @scans s ON s.project_id = p.id")
 def j4(spark, d):
-    p, s = v(spark, d, "projects"), v(spark, d, "scans")
-    return p.join(s, p["id"] == s["project_id"]).select("project_id", "name", s["id"].alias("scan_id"), "started_at").orderBy("project_id", F.col("started_at").desc())
+    return N.project_scans(v(spark, d, "projects"), v(spark, d, "scans"))
 
 
 @query("j5_without_recommendation", "SELECT id, position FROM (SELECT id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY severity_score DESC, file, line, id) AS INT) AS position FROM @findings f WHERE NOT EXISTS (SELECT 1 FROM @recommendations r WHERE r.finding_id = f.id)) x WHERE position <= 50")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sightline.functions import columns as C
 from sightline.functions import redact
 from sightline.operators import detect, taint
-from sightline.operators.findings import numbered
+from sightline.operators.findings import distinct_rules, numbered, project_scans
 from sightline.operators.report import digest, scores
 from sightline.operators.scan import detect_all, scan
 from sightline.sources import files as S
@@ -395,3 +395,17 @@ def test_rule_files(spark, tmp_path):
     df = spark.createDataFrame([("a.py", "evil xx")], "path string, text string")
     found = detect.custom(df, rules).collect()
     assert sorted((r.rule_id, r.severity, r.severity_score) for r in found) == [("U-1", "Medium", 5), ("U-2", "High", 8)]
+
+
+def test_project_scans(spark):
+    projects = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id bigint, name string")
+    scans = spark.createDataFrame([(10, 1, "2024-01-01"), (11, 1, "2024-02-01"), (9, 1, "2024-02-01"), (12, 3, None), (13, None, "2024-01-01"), (14, 7, "2024-01-01")], "id bigint, project_id bigint, started_at string")
+    got = [tuple(r) for r in project_scans(projects, scans).collect()]
+    assert got == [(1, "a", 9, "2024-02-01"), (1, "a", 11, "2024-02-01"), (1, "a", 10, "2024-01-01"), (3, None, 12, None)]
+    assert project_scans(projects, scans.limit(0)).count() == 0
+
+
+def test_distinct_rules(spark):
+    rows = [(1, "A"), (1, "A"), (1, None), (2, "A"), (None, "B"), (None, "B")]
+    got = distinct_rules(spark.createDataFrame(rows, "scan_id bigint, rule_id string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame(list(dict.fromkeys(rows)), "scan_id bigint, rule_id string").collect()))
