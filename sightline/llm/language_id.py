@@ -1,6 +1,6 @@
 """Language identification of mixed-language text.
 
-Words are runs of letters. The script of a word narrows its candidate languages to those that were
+Words are runs of letters and of the combining marks after them. The script of a word narrows its candidate languages to those that were
 learned with letters of that script. Each word gets a log-likelihood per candidate from hashed character
 trigrams (with word boundaries), and Viterbi with a switching penalty labels the words, so that spans
 of a language come out. The document's language is the one whose spans hold the most letters.
@@ -42,6 +42,7 @@ SCRIPTS = {
     "hangul": [(0xAC00, 0xD7A3)],
 }
 _TABLE: list[np.ndarray] = []
+_MARKS: list[np.ndarray] = []
 
 
 def _scripts() -> np.ndarray:
@@ -58,6 +59,20 @@ def _scripts() -> np.ndarray:
     return _TABLE[0]
 
 
+def _letters(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Script of each code point (0: no letter), and whether it is of a word: a letter, or a combining mark after one."""
+    if not _MARKS:
+        _MARKS.append(np.array([unicodedata.category(chr(x))[0] == "M" for x in range(0x110000)]))
+    script, mark = _scripts()[c], _MARKS[0][c]
+    letter = script > 0
+    if mark.any():
+        at = np.arange(len(c))
+        last = np.maximum.accumulate(np.where(letter, at, -1))
+        gap = np.maximum.accumulate(np.where(letter | mark, -1, at))
+        letter |= mark & (last > gap)
+    return script, letter
+
+
 def _points(text: str) -> np.ndarray:
     """Code points of the text in lower case, one for each of its characters."""
     low = text.lower()
@@ -84,8 +99,7 @@ class Model:
 
     def words(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and lengths of the words of code points ``c``, and their scores (words, languages)."""
-        script = _scripts()[c]
-        letter = script > 0
+        script, letter = _letters(c)
         edge = np.diff(np.concatenate([[0], letter.astype(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(starts):
@@ -187,9 +201,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = _points(text)
-                script = _scripts()[c]
+                script, letter = _letters(c)
                 g = grams.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                g += np.bincount(_codes(c, script > 0)[0], minlength=BUCKETS)
+                g += np.bincount(_codes(c, letter)[0], minlength=BUCKETS)
                 s = scripts.setdefault(lang, np.zeros(len(SCRIPTS) + 2, np.int64))
                 s += np.bincount(script, minlength=len(SCRIPTS) + 2)
         if grams:
@@ -212,7 +226,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """id_col, lang_pred, score (share of letters): one row per input row; ``spans`` adds (start, end, lang) of each span.
 
-    Null texts and texts without a letter give ``und`` and 0. An empty table gives an empty table.
+    Null texts and texts without a letter give ``und`` and 0; combining marks are of the word of the letter before them,
+    and marks alone are no letters. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
