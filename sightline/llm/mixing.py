@@ -79,7 +79,8 @@ def mix(
     ``budget``: tokens to draw, as a multiple of all tokens. Rows sorted by (epoch, draw_key) within a source are its
     stream. A source may end up to one document over its part. Sources without tokens are drawn once
     whole (they cost nothing); a null source is a source. Rows that repeat an id are drawn together.
-    An empty table gives an empty table. ``keep``: pass all columns of ``docs`` through (text read again).
+    Texts of any length are counted whole, null and empty ones as 0 tokens. An empty table gives an empty table.
+    ``keep``: pass all columns of ``docs`` through (text read again).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")

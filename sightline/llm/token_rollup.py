@@ -3,7 +3,9 @@
 A batch of changes (inserts, deletes, revised counts) becomes additive totals per key, combined before
 the shuffle, and is committed as one folder named by the batch's id. A batch whose folder is complete
 is skipped, one that a lost job left half-written is written anew, so a replay changes nothing. Totals
-are the sum over committed batches; ``compact`` folds them into one.
+are the sum over committed batches; ``compact`` folds them into one and keeps the folded ids in one table.
+Folders are written under names of their own and renamed, which has to be atomic, as on HDFS and local disks; a store
+that copies on rename gives no such promise.
 """
 
 from __future__ import annotations
@@ -109,27 +111,48 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._pattern = re.sub(r"([*?{}\[\]\\])", r"\\\1", self.path)  # where paths are read as patterns
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def committed(self) -> list[str]:
-        """Ids of complete batches, in order."""
-        fs, root = self._fs(self.path)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-        return sorted(n[6:] for n in names if n.startswith("batch=") and self._done(n[6:]))
+        """Ids of complete batches that have folders, in order; the ids of folded ones are rows of ``folded``."""
+        fs, marks = self._fs(f"{self._pattern}/batch=*/_SUCCESS")
+        return sorted(s.getPath().getParent().getName()[6:] for s in fs.globStatus(marks) or [])
+
+    def folded(self) -> DataFrame | None:
+        """(batch): ids that ``compact`` folded into the totals it left here; None where it left none."""
+        fs, p = self._fs(f"{self.path}/folded/_SUCCESS")
+        return self.spark.read.schema("batch string").parquet(f"{self._pattern}/folded") if fs.exists(p) else None
 
     def _done(self, batch: str) -> bool:
         fs, p = self._fs(f"{self.path}/batch={batch}/_SUCCESS")
-        return fs.exists(p)
+        if fs.exists(p):
+            return True
+        folded = self.folded()  # sorted by id, so few of its row groups are read
+        return folded is not None and not folded.where(F.col("batch") == batch).isEmpty()
+
+    def _rename(self, own: str, final: str) -> bool:
+        """Makes the folder ``own`` the folder ``final``; False, and ``own`` is gone, where ``final`` is there."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        fs, p = self._fs(own)
+        no_options = self.spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+            context.rename(p, hadoop.Path(final), no_options)
+        except Py4JJavaError as e:
+            fs.delete(p, True)
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds the batch unless it is there; says whether it did. Null keys are keys of their own, an empty batch counts.
 
-        A folded batch counts as there: ``compact`` keeps the ids it has folded as empty batches.
+        A folded batch counts as there.
         """
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError(f"not a batch id: {batch!r}")
@@ -138,35 +161,39 @@ class TokenRollup:
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         own = f"{self.path}/writing-{batch}-{uuid.uuid4().hex[:12]}"
         sums.write.parquet(own)
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        fs, p = self._fs(own)
-        no_options = self.spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
-        try:
-            context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-            context.rename(p, hadoop.Path(f"{self.path}/batch={batch}"), no_options)
-        except Py4JJavaError as e:
-            fs.delete(p, True)
-            if "FileAlreadyExistsException" in str(e.java_exception) and self._done(batch):
-                return False  # another writer was first
-            raise
-        return True
+        if self._rename(own, f"{self.path}/batch={batch}"):
+            return True
+        if self._done(batch):
+            return False  # another writer was first
+        raise RuntimeError(f"the folder of batch {batch!r} is there without its mark of success")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) over all committed batches; keys without documents are gone."""
-        done = [f"{self.path}/batch={b}" for b in self.committed()]
-        if not done:
+        return self._totals(self.committed())
+
+    def _totals(self, batches: list[str]) -> DataFrame:
+        if not batches:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*done)
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self._pattern}/batch={b}" for b in batches])
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 or tokens <> 0")
 
     def compact(self, into: str) -> "TokenRollup":
-        """A new rollup at ``into`` with one batch of totals; the ids folded in stay known as empty batches."""
-        new, ids = TokenRollup(self.spark, into), self.committed()
-        new.commit("folded-" + str(len(ids)), self.totals())
-        for b in ids:
-            new.commit(b, self.spark.createDataFrame([], SCHEMA))
-        return new
+        """A new rollup at ``into``: one batch of totals and one table of the ids folded in, which count as there.
+
+        Two jobs, whatever the number of batches. ``into`` comes whole by one rename: a lost compaction leaves
+        nothing there, and where something is there already it raises ``FileExistsError``. Batches that are
+        committed meanwhile are neither in the totals nor among the ids.
+        """
+        into, name = into.rstrip("/"), uuid.uuid4().hex[:12]
+        own, batches = TokenRollup(self.spark, f"{into}-writing-{name}"), self.committed()
+        ids = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        before = self.folded()
+        (ids if before is None else before.unionByName(ids)).sort("batch").write.parquet(f"{own.path}/folded")
+        own.commit(f"folded-{name}", self._totals(batches))
+        if not self._rename(own.path, into):
+            raise FileExistsError(into)
+        return TokenRollup(self.spark, into)
 
 
 def without_repeated_lines(text: Column) -> Column:

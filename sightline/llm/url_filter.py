@@ -5,7 +5,7 @@ a block for about ``KEYS_A_BLOCK`` keys, 80 bytes each. Its broadcast takes at m
 executor's and the driver's memory: with 4 GB that is a filter for 40 million URLs (84 MB), with 32 GB one for 320 million.
 A longer list only lets more through to the join.
 URLs that pass are possible hits; only they are shuffled into the exact hash join with the list, which
-removes false positives. All others never leave their partition.
+removes false positives. All others never leave their partition. URLs and html of any length are read whole.
 """
 
 from __future__ import annotations

@@ -505,6 +505,21 @@ def test_language_scores_against_brute_force(spark):
     assert scores[0, k["en"]] == pytest.approx(sum(float(model.table[b, k["en"]]) for b in [first, *own]), abs=1e-3)
 
 
+def test_marks_are_of_words():
+    """A combining mark belongs to the word of the letter before it; at a word's start, or alone, it is none."""
+    for text, want in {
+        "हिन्दी भाषा": [(0, 6), (7, 4)],
+        "ที่นี่ x": [(0, 6), (7, 1)],
+        "e\u0301te\u0301\u0301 \u0301a 1\u0301b": [(0, 6), (8, 1), (12, 1)],
+        "\u0301\u0301": [],
+        "": [],
+    }.items():
+        model = language_id.Model(["x"], np.zeros((language_id.BUCKETS, 1), np.float32), np.ones((len(language_id.SCRIPTS) + 2, 1), bool))
+        starts, lengths, scores = model.words(language_id._points(text))
+        assert list(zip(starts.tolist(), lengths.tolist(), strict=True)) == want and scores.shape == (len(want), 1)
+        assert language_id.detect([text], model)[0][0] == ("x" if want else "und")
+
+
 def test_language_id(spark, odd):
     text = {"en": "the cat and the dog went to the house with that man", "de": "der hund und die katze gingen nicht zu dem haus mit einem mann", "ru": "кошка и собака пошли в дом"}
     docs = spark.createDataFrame([(100 * n + k, f"{t} {k}", lang, "s", "c") for n, (lang, t) in enumerate(text.items()) for k in range(5)] + [(9, None, "en", "s", "c"), (9, "x", None, "s", "c")], DOCS)
@@ -728,6 +743,7 @@ def test_rollup(spark, tmp_path):
     want = {("a", "en", "v1", 1, 10), (None, "en", "v1", 1, 5)}
     assert {tuple(x) for x in r.totals().collect()} == want
     folded = r.compact(str(tmp_path / "s"))
+    assert [f.batch for f in folded.folded().collect()] == ["1", "2", "3"] and len(folded.committed()) == 1 and r.folded() is None
     assert not folded.commit("2", token_rollup.inserts(rows)) and {tuple(x) for x in folded.totals().collect()} == want
     assert r.commit("4", token_rollup.deletes(rows.where("source is null"))) and r.totals().count() == 1
     with pytest.raises(ValueError):
@@ -735,6 +751,33 @@ def test_rollup(spark, tmp_path):
     assert r.commit("empty", token_rollup.inserts(rows.where("false").withColumn("docs", F.lit("clash")))) and not r.commit("empty", token_rollup.inserts(rows))
 
 
+def test_rollup_folds_again(spark, tmp_path, monkeypatch):
+    """Ids stay known over several compactions; folders do not grow with them, and a lost compaction leaves nothing."""
+    rows = spark.createDataFrame([("a", "en", "v1", 3), ("b", None, "v1", 0)], "source string, lang string, tokenizer string, tokens bigint")
+    r = token_rollup.TokenRollup(spark, str(tmp_path / "r{1}"))  # signs of patterns are plain in paths
+    for k in range(5):
+        assert r.commit(f"x{k}", token_rollup.inserts(rows))
+    one = r.compact(str(tmp_path / "one"))
+    assert one.commit("late", token_rollup.deletes(rows.where("source = 'b'")))
+    two = one.compact(str(tmp_path / "two"))
+    assert {(t.source, t.docs, t.tokens) for t in two.totals().collect()} == {("a", 5, 15), ("b", 4, 0)}
+    assert {f.batch for f in two.folded().collect()} > {"x0", "x4", "late"} and len(list((tmp_path / "two").iterdir())) == 2
+    assert not any(two.commit(b, token_rollup.inserts(rows)) for b in ("x0", "x4", "late")) and two.commit("x5", token_rollup.inserts(rows))
+    with pytest.raises(FileExistsError):
+        r.compact(str(tmp_path / "two"))
+    monkeypatch.setattr(token_rollup.TokenRollup, "_totals", lambda *_: spark.range(1))  # no such columns: the job fails
+    with pytest.raises(Exception, match="source|lang|tokenizer"):
+        r.compact(str(tmp_path / "three"))
+    assert not (tmp_path / "three").exists()
+    monkeypatch.undo()
+    assert r.compact(str(tmp_path / "three")).totals().count() == 2 and len(two.committed()) == 2
+
+
+def test_rollup_without_batches(spark, tmp_path):
+    none = token_rollup.TokenRollup(spark, str(tmp_path / "none")).compact(str(tmp_path / "some"))
+    assert none.totals().count() == 0 and none.folded().count() == 0 and none.committed()
+
+
 def test_rollup_two_writers(spark, tmp_path, monkeypatch):
     """A batch that another writer commits meanwhile is not added twice."""
     rows = spark.createDataFrame([("a", "en", "v1", 3)], "source string, lang string, tokenizer string, tokens bigint")
