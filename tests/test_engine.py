@@ -32,6 +32,15 @@ def test_flows():
     assert taint.flows("x = gets", "cobol") == []
 
 
+def test_flows_of_derived_texts_keep_the_plan_small(spark):
+    """The expression that makes a text stands a few times in the plan, not once for each word that is looked for."""
+    code = F.concat_ws("\n", F.lit("marker = req.getParameter(b);"), F.concat(F.lit("run.exec(marker); // "), F.col("id")))
+    files = spark.range(3).select("id", F.concat(F.lit("a"), F.col("id"), F.lit(".java")).alias("path"), F.when(F.col("id") < 2, code).alias("text"))
+    found = taint.taint(files)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("marker = req") <= 4
+    assert sorted((r.id, r.rule_id, r.source_line) for r in found.collect()) == [(0, "TAINT-CMD", 1), (1, "TAINT-CMD", 1)]
+
+
 def test_strict_reference(spark):
     df = spark.createDataFrame([("a.js", "const u = req.body.x;\ndb.query(u);")], "path string, text string")
     assert taint.taint(df).count() == 1
