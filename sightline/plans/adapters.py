@@ -46,10 +46,21 @@ FROM {orders} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) v WHERE o_order
 }
 
 
+#: Views whose rows become files that rules are matched over, at far more cost than reading them.
+SPREAD = ("code",)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over as many tasks as a shuffle has. A row group of narrow rows is one task, even where each row becomes a file."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *rows.columns[:1])
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = ADAPTERS[name]
     tables = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    rows = spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spread(rows) if name in SPREAD else rows
 
 
 def duck(name: str) -> str:

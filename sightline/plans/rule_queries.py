@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import detect
 from ..operators.rules import RULES
 from ..sources.rule_files import parse_rules
+from .adapters import spread
 from .adapters import view as v
 from .registry import query
 from .rule_lines import POSITIVE
@@ -79,7 +80,8 @@ def p1_all_rules(spark, d):
         spelled = [F.when((key + k) % 4 == 1, F.reverse(x)).when((key + k) % 4 == 2, F.upper(x)).otherwise(x) for k, x in own]
         text = F.when(key % len(ENDS) == at, F.concat_ws("\n", *spelled)).otherwise(text)
         end = F.when(key % len(ENDS) == at, ENDS[group]).otherwise(end)
-    files = spark.read.parquet(f"{d}/customer.parquet").select(key.alias("file_id"), F.concat(F.lit("f"), end).alias("path"), text.alias("text"))
+    customers = spread(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"))
+    files = customers.select(key.alias("file_id"), F.concat(F.lit("f"), end).alias("path"), text.alias("text"))
     return detect.heuristics(files).select("file_id", "line_no", F.col("group").alias("grp"), "rule_id", "severity_score")
 
 
@@ -92,7 +94,8 @@ def s11(spark, d):
         F.lit("id: U-"), key, F.lit("\ntitle: Names "), segment, F.lit("\npattern: '"), segment, F.lit("\\d+'\nseverity: High\nscore: "), (F.col("c_custkey") % 10).cast("string"), F.lit("\nextensions: [.py, .js]\n")
     )
     kinds = (whole, F.concat(F.lit("id: V-"), key, F.lit("\ntitle: no pattern")), F.lit("id: ["), F.concat(F.lit("- "), F.col("c_name")), F.concat(F.lit("id: W-"), key, F.lit("\npattern: x.y")))
-    files = spark.read.parquet(f"{d}/customer.parquet").select(key.alias("file"), F.element_at(F.array(*kinds), (F.col("c_custkey") % 5 + 1).cast("int")).alias("content"))
+    customers = spread(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment", "c_name"))
+    files = customers.select(key.alias("file"), F.element_at(F.array(*kinds), (F.col("c_custkey") % 5 + 1).cast("int")).alias("content"))
     return parse_rules(files).select("id", "title", "pattern", "severity", "score", F.when(F.col("extensions").isNotNull(), F.size("extensions")).alias("n_extensions"))
 
 

@@ -418,3 +418,32 @@ def test_distinct_rules(spark):
     rows = [(1, "A"), (1, "A"), (1, None), (2, "A"), (None, "B"), (None, "B")]
     got = distinct_rules(spark.createDataFrame(rows, "scan_id bigint, rule_id string")).collect()
     assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame(list(dict.fromkeys(rows)), "scan_id bigint, rule_id string").collect()))
+
+
+def test_rule_files_read_as_by_yaml_itself(spark):
+    """libyaml reads these texts in another way than PyYAML's own loader, whose reading holds."""
+    import yaml
+
+    heads = ["id: a\tb", "id: !", "id: a?b", "{id: {a?: b}, pattern: y}", "id: |#x", "id: >-#", "id: |+2#", 'id: "\\u0041"', "id: é 'x", "id: [a, 'b']", "id: x # y"]
+    texts = [h + "\npattern: 'p\\d+'" for h in heads] + ["", "- x", "id: 5\npattern: p\nscore: '7'\nextensions: .py"]
+
+    def own(text):
+        try:
+            rule = yaml.safe_load(text)
+        except yaml.YAMLError:
+            return []
+        return [(str(rule["id"]), str(rule["pattern"]))] if isinstance(rule, dict) and rule.get("id") and rule.get("pattern") else []
+
+    files = spark.createDataFrame(list(enumerate(texts)), "file string, content string")
+    got = sorted((r.id, r.pattern) for r in rule_files.parse_rules(files).collect())
+    assert got == sorted(x for t in texts for x in own(t)) and len(got) >= 5
+
+
+@pytest.mark.parametrize("name", ["s11_rule_files", "scan_tree", "z5_flows", "z4_python_flows", "p1_rule_match", "p1_all_rules", "j7_custom_rules"])
+def test_files_of_narrow_rows_are_dealt_over_tasks(spark, name):
+    """A table of one row group is one task; the files that its rows become are not."""
+    from sightline import plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    python, scan_ = plan.index("MapInArrow") if "MapInArrow" in plan else 0, plan.index("RepartitionByExpression")
+    assert python < scan_  # what comes first in the text runs last
