@@ -2,7 +2,7 @@
 
 Patterns are run only where their literals stand. For the built-in rules one automaton of a language's literals reads each
 whole text once, and each pattern sees the lines that hold one of its own. Tables of user rules of any size are joined
-with lines through three-byte runs of their literals. A search that could take long runs in a worker that ends it in time.
+with lines through windows of their literals. A search that could take long runs in a worker that ends it in time.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cwe_name, cwe_owasp, rule_group, score_severity, skipped, split_lines, strip, suffix
 from ..schemas import MAX_FILE_BYTES
 from ..sources.lineage import written
-from .literals import ENDLESS, fold, folded, growth, held_literals, rare_gram
+from .literals import BASE, ENDLESS, fold, folded, growth, held_literals, windows
 from .rules import RULES, SCANNERS, Rule, java_pattern
 
 #: What stands between a title and the line's number in a group's descriptions.
@@ -334,41 +334,57 @@ def custom(files: DataFrame, rules: list[dict], max_line: int | None = None, sec
     return _user_findings(found, keys)
 
 
-def rule_grams(rules: DataFrame) -> DataFrame:
-    """Rules of a table (id, pattern, and what else a rule has) that run, with ``grams`` and ``power``.
+def pattern_windows(rules: DataFrame) -> DataFrame:
+    """(pattern, windows, power) for each distinct pattern of rules that runs: missing, too long and broken ones are left out.
 
-    ``grams``: a three-byte run of each of the literals of which a match holds one, as numbers; -1 alone where a rule tells no
-    such run. ``power``: see :func:`sightline.operators.literals.growth`. Patterns that are missing, too long or do not compile are left out.
+    ``windows``: for each of the literals of which a match holds one, the windows that may stand for it; null where the pattern tells no
+    such literals of three characters. ``power``: see :func:`sightline.operators.literals.growth`.
     """
     usable = F.length("pattern").between(1, MAX_PATTERN) & F.expr("try_reflect('java.util.regex.Pattern', 'compile', concat('(?Ud)', pattern))").isNotNull()
+    kind = pa.list_(pa.list_(pa.struct([("key", pa.int64()), ("run", pa.int32()), ("size", pa.int32())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams, power = [], []
+            found, power = [], []
             for p in b["pattern"].to_pylist():
-                own = [rare_gram(w) for w in held_literals(p) or ("",)]
-                grams.append([-1] if None in own else sorted(set(own)))
+                own = [windows(w) for w in held_literals(p) or ("",)]
+                found.append(own if all(own) else None)
                 power.append(growth(p))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(grams, pa.list_(pa.int32())), pa.array(power, pa.int32())], [*b.schema.names, "grams", "power"])
+            yield pa.RecordBatch.from_arrays([b["pattern"], pa.array(found, kind), pa.array(power, pa.int32())], ["pattern", "windows", "power"])
 
-    rows = rules.where(usable)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(run, ", ".join([*kinds, "grams array<int>, power int"]))
+    return rules.select("pattern").distinct().where(usable).mapInArrow(run, "pattern string, windows array<array<struct<key:bigint,run:int,size:int>>>, power int")
 
 
-def gram_bits(grams: DataFrame) -> bytes:
-    """A bit for each of the 2 ** 24 three-byte runs, set where the column ``gram`` has it: 2 MB however many rows there are."""
-    rows = grams.where("gram >= 0").groupBy(F.floor(F.col("gram") / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("gram") % 32768).alias("bits"))
+def pattern_keys(patterns: DataFrame) -> DataFrame:
+    """(pattern, power, keys, key, run, size) of :func:`pattern_windows`: a row for each of a pattern's keys.
+
+    Of a literal's windows the one that the fewest literals of the table hold stands for it, so literals that share long parts are told
+    apart by the rest. A pattern without windows has -1 alone.
+    """
+    each = patterns.select("pattern", F.posexplode("windows").alias("_literal", "_own")).select("pattern", "_literal", F.posexplode("_own").alias("_at", "_w"))
+    each = each.select("pattern", "_literal", "_at", "_w.*")
+    shared = each.groupBy("key").agg(F.count("*").alias("_n"))
+    chosen = each.join(shared, "key").groupBy("pattern", "_literal").agg(F.min(F.struct("_n", "_at", "key", "run", "size")).alias("_w"))
+    chosen = chosen.groupBy("pattern").agg(F.collect_set(F.struct("_w.key", "_w.run", "_w.size")).alias("_posts"))
+    none = F.array(F.struct(F.lit(-1).cast("bigint").alias("key"), F.lit(-1).alias("run"), F.lit(0).alias("size")))
+    posts = patterns.select("pattern", "power").join(chosen, "pattern", "left").withColumn("_posts", F.coalesce("_posts", none))
+    return posts.select("pattern", "power", F.col("_posts.key").alias("keys"), F.inline("_posts"))
+
+
+def run_bits(posts: DataFrame) -> bytes:
+    """A bit for each of the 2 ** 24 three-byte runs, set where the column ``run`` has it: 2 MB however many rows there are."""
+    rows = posts.where("run >= 0").groupBy(F.floor(F.col("run") / 32768).cast("int").alias("b")).agg(F.bitmap_construct_agg(F.col("run") % 32768).alias("bits"))
     out = bytearray(1 << 21)
     for r in rows.toLocalIterator():  # 512 rows of 4 KB at most
         out[r.b * 4096 : r.b * 4096 + len(r.bits)] = r.bits
     return bytes(out)
 
 
-def lines_with_grams(files: DataFrame, bits: bytes, every_line: bool) -> DataFrame:
-    """Lines of files (path, text, and any keys) that hold a run whose bit is set: the keys, line_no, line, grams (distinct).
+def lines_with_keys(files: DataFrame, bits: bytes, sizes: Sequence[int], every_line: bool) -> DataFrame:
+    """Lines of files (path, text, and any keys) that hold a run whose bit is set: the keys, line_no, line, _found (distinct).
 
-    With ``every_line`` each line is there, and has -1 among its runs.
+    ``_found``: keys of the windows of each of ``sizes`` that begin with such a run. With ``every_line`` each line is there, and
+    has -1 among them.
     """
     rest = [c for c in files.columns if c != "text"]
     shared = files.sparkSession.sparkContext.broadcast(bits)
@@ -380,47 +396,54 @@ def lines_with_grams(files: DataFrame, bits: bytes, every_line: bool) -> DataFra
             for at, text in enumerate(b["text"].to_pylist()):
                 parts = text.splitlines(keepends=True) if text else []
                 low = [fold(x).encode() for x in parts]
-                data = np.frombuffer(b"".join(low), np.uint8).astype(np.int32)
-                codes = data[:-2] << 16 | data[1:-1] << 8 | data[2:] if len(data) > 2 else data[:0]
-                place = np.flatnonzero(wanted[codes])
+                data = np.frombuffer(b"".join(low), np.uint8)
+                runs = data.astype(np.int32)
+                place = np.flatnonzero(wanted[runs[:-2] << 16 | runs[1:-1] << 8 | runs[2:]]) if len(data) > 2 else np.empty(0, np.int64)
                 line = np.searchsorted(np.cumsum([len(x) for x in low]), place, "right")
-                pairs = np.unique(line.astype(np.int64) << 24 | codes[place])
-                own: dict[int, list[int]] = {k: [-1] for k in range(len(parts))} if every_line else {}
-                for x in pairs.tolist():
-                    own.setdefault(x >> 24, []).append(x & 0xFFFFFF)
+                own: dict[int, set[int]] = {k: {-1} for k in range(len(parts))} if every_line else {}
+                key = np.zeros(len(place), np.uint64)
+                for n in range(max(sizes, default=0) if len(place) else 0):
+                    inside = int(np.searchsorted(place, len(data) - n))  # places are in order, so those that end in time come first
+                    place, line, key = place[:inside], line[:inside], key[:inside]
+                    key = key * np.uint64(BASE) + (data[place + n].astype(np.uint64) + np.uint64(1))
+                    if n + 1 in sizes:
+                        for k, x in zip(line.tolist(), (key >> np.uint64(1)).tolist(), strict=True):
+                            own.setdefault(k, set()).add(x)
                 rows += [at] * len(own)
                 numbers += [k + 1 for k in own]
                 lines_ += [parts[k].splitlines()[0] for k in own]
-                found += own.values()
+                found += map(list, own.values())
             kept = b.select(rest).take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(numbers, pa.int32()), pa.array(lines_, pa.string()), pa.array(found, pa.list_(pa.int32()))], [*rest, "line_no", "line", "grams"]
+                [*kept.columns, pa.array(numbers, pa.int32()), pa.array(lines_, pa.string()), pa.array(found, pa.list_(pa.int64()))], [*rest, "line_no", "line", "_found"]
             )
 
     kinds = [f"`{c}` {files.schema[c].dataType.simpleString()}" for c in rest]
-    return files.select(*rest, "text").mapInArrow(run, ", ".join([*kinds, "line_no int, line string, grams array<int>"]))
+    return files.select(*rest, "text").mapInArrow(run, ", ".join([*kinds, "line_no int, line string, _found array<bigint>"]))
 
 
 def custom_table(files: DataFrame, rules: DataFrame, seconds: float = TIME_LIMIT) -> DataFrame:
     """The findings of :func:`custom` for a table of rules of any size (``rule_files.SCHEMA``); rules never come to the driver.
 
-    A join through the three-byte runs of literals pairs lines with rules that may fit; pairs are verified with the pattern as a
-    column. Rules that tell no run of three characters are tried on every line. Whether the rules' side is broadcast is Spark's
-    choice by its size. A line and a rule meet once, by the first of the rule's runs that the line has. rule_ord is 0.
+    A join through windows of literals (:func:`pattern_keys`) pairs lines with distinct patterns that may fit; pairs are verified with the
+    pattern as a column, and those that fit meet the rules that have the pattern. Patterns that tell no run of three characters are
+    tried on every line. Whether a side is broadcast is Spark's choice by its size. A line and a pattern meet once, by the first of
+    the pattern's keys that the line has. rule_ord is 0.
     """
     keys = [c for c in files.columns if c != "text"] + ["line_no"]
-    usable = written(rule_grams(rules))  # patterns are read once
-    posts = usable.withColumn("gram", F.explode("grams"))
-    rule = F.struct(F.lit(0).alias("ord"), F.col("id").alias("rule_id"), "title", "severity", F.col("score").alias("severity_score"), "cwe", "owasp").alias("_rule")
-    posts = posts.select("gram", F.col("grams").alias("_grams"), "pattern", "power", "extensions", rule)
-    rows = lines_with_grams(files, gram_bits(posts), not posts.where("gram < 0").isEmpty())
-    pairs = rows.withColumn("gram", F.explode("grams")).join(posts, "gram")
-    first = F.get(F.filter("_grams", lambda g: F.array_contains("grams", g)), F.lit(0)) == F.col("gram")
-    end = F.coalesce(F.size("extensions") <= 0, F.lit(True)) | F.array_contains("extensions", name_end(F.col("path")))
-    risky = risky_search(F.col("line"), F.col("power"))
-    pairs = pairs.where(first & end).withColumn("risky", risky)
+    posts = written(pattern_keys(written(pattern_windows(rules))))  # patterns are read once
+    sizes = [r["size"] for r in posts.where("size > 0").select("size").distinct().toLocalIterator()]  # a few at most
+    rows = lines_with_keys(files, run_bits(posts), sizes, not posts.where("run < 0").isEmpty())
+    posts = posts.select(F.col("key").alias("_key"), F.col("keys").alias("_keys"), "pattern", F.col("power").alias("_power"))
+    pairs = rows.withColumn("_key", F.explode("_found")).join(posts, "_key")
+    first = F.get(F.filter("_keys", lambda k: F.array_contains("_found", k)), F.lit(0)) == F.col("_key")
+    pairs = pairs.where(first).withColumn("risky", risky_search(F.col("line"), F.col("_power")))
     pairs = pairs.where(F.when(F.col("risky"), True).otherwise(F.regexp_like("line", F.concat(F.lit("(?Ud)"), "pattern"))))
-    return _user_findings(within_time(pairs.select(*keys, "line", "_rule", "pattern", "risky"), seconds), keys)
+    pairs = within_time(pairs.select(*keys, "line", "pattern", "risky"), seconds)
+    rule = F.struct(F.lit(0).alias("ord"), F.col("id").alias("rule_id"), "title", "severity", F.col("score").alias("severity_score"), "cwe", "owasp").alias("_rule")
+    found = pairs.join(rules.select("pattern", F.col("extensions").alias("_ends"), rule), "pattern")
+    end = F.coalesce(F.size("_ends") <= 0, F.lit(True)) | F.array_contains("_ends", name_end(F.col("path")))
+    return _user_findings(found.where(end), keys)
 
 
 __all__ = ["candidates", "code_files", "custom", "custom_table", "heuristics", "lines", "match", "suffix", "visible_code", "within_time"]

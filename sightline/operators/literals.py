@@ -110,12 +110,24 @@ def growth(pattern: str) -> int:
     return ENDLESS if n >= ENDLESS else n + 1
 
 
-#: Letters from the most to the least usual; characters of other kinds count as half usual.
-_USUAL = "etaoinsrhldcumfpgwybvkxjqz"
+#: Bytes of a literal that stand for it: the largest of these that it has.
+WINDOWS = (3, 4, 6, 8, 12, 16, 24, 32)
+#: Keys of windows: a byte's place counts by powers of this, modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
 
 
-def rare_gram(literal: str) -> int | None:
-    """Of the literal's three-byte runs, as numbers, the one of the least usual letters; none for shorter literals."""
-    runs = [literal[k : k + 3] for k in range(len(literal) - 2)]
-    best = max(runs, key=lambda g: (sum(_USUAL.index(x) if x in _USUAL else 13 for x in g), g), default=None)
-    return int.from_bytes(best.encode(), "big") if best else None
+def windows(literal: str) -> list[dict]:
+    """Windows of which each stands for the literal (key, first three bytes as ``run``, size); none for literals of under three characters.
+
+    They overlap by half or more, so a short part in which literals differ is inside one of them, unless it is cut by both ends.
+    """
+    data = literal.encode()
+    size = max((w for w in WINDOWS if w <= len(data)), default=0)
+    last, out = len(data) - size, []
+    if size:
+        for at in sorted({*range(0, last, 1 if last <= size else size // 2), last}):
+            key = 0
+            for x in data[at : at + size]:
+                key = (key * BASE + x + 1) & 0xFFFFFFFFFFFFFFFF
+            out.append({"key": key >> 1, "run": int.from_bytes(data[at : at + 3], "big"), "size": size})
+    return out

@@ -174,3 +174,24 @@ def test_table_of_many_rules(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert sorted(tuple(r[c] for c in cols) for r in detect.custom_table(df, table).collect()) == got
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rules_with_shared_parts_meet_few_lines(spark, monkeypatch):
+    """Names that differ in a few digits only: each line is searched for its own name's pattern, however many rules there are."""
+    from sightline.operators.literals import windows
+
+    assert windows("ab") == [] and {w["size"] for w in windows("x" * 100)} == {32}
+    names = [f"Customer#{k:09d}" for k in range(2_000)]
+    df = spark.createDataFrame([(k, f"f{k}.py", f'password = "{x}"') for k, x in enumerate(names)], "n int, path string, text string")
+    rules = [(f"C-{k}-{j}", f'"(?:test)?{x}"') for k, x in enumerate(names) for j in range(2)]  # each pattern twice
+    table = spark.createDataFrame(rules, "id string, pattern string")
+    for c in ("title", "severity", "cwe", "owasp"):
+        table = table.withColumn(c, F.lit(None).cast("string"))
+    table = table.withColumn("score", F.lit(None).cast("int")).withColumn("extensions", F.lit(None).cast("array<string>"))
+    searched = []
+    inner = detect.risky_search
+    monkeypatch.setattr(detect, "risky_search", lambda line, power: inner(line, power) | F.lit(True))  # all pairs go to the worker
+    monkeypatch.setattr(detect, "within_time", lambda pairs, seconds: searched.append(pairs.count()) or pairs)
+    got = sorted((r.n, r.rule_id) for r in detect.custom_table(df, table).collect())
+    assert searched == [2_000]  # before, all pairs that share a run of three digits
+    assert got == sorted((k, f"C-{k}-{j}") for k in range(2_000) for j in range(2))
