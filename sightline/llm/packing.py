@@ -33,8 +33,8 @@ END_ID = 1
 #: A pool is packed when it holds so many tokens or documents.
 POOL_TOKENS, POOL_DOCS = 6_000_000, 20_000
 STEP_TOKENS = 65_536
-#: Pieces of words whose ids a worker keeps, about; some 30 MB.
-CACHE_WORDS = 100_000
+#: Pieces of words that a worker keeps before it drops those that its last texts lack; some 60 MB.
+CACHE_WORDS = 200_000
 
 
 class WordTokenizer:
@@ -70,9 +70,10 @@ class WordTokenizer:
                 rest[k] = ""
             low = " ".join(rest).lower()
         cut = [self.PIECES.findall(w) for w in low.split(" ")] if words else []
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        unseen = list(set(chain.from_iterable(cut)).difference(self.pieces))
+        used = set(chain.from_iterable(cut))
+        unseen = list(used.difference(self.pieces))
+        if len(self.pieces) > CACHE_WORDS * (1 if len(used) > CACHE_WORDS // 4 else 1.5):  # known pieces of many texts are the frequent ones
+            self.pieces = {p: ids for p, ids in self.pieces.items() if p in used}
         for at in range(0, len(unseen), 5_000):  # what the library returns takes far more memory than the ids
             part = unseen[at : at + 5_000]
             ids = np.array(self._encode(" ".join(part)), "<u4")

@@ -197,3 +197,21 @@ def test_units_span_batches(monkeypatch):
     monkeypatch.setattr(alignment, "UNIT_BYTES", 3)
     second = alignment.align_texts(tokens, texts)
     assert first["sha"] == second["sha"] and (first["n_links"] == second["n_links"]).all()
+
+
+def test_frequent_pieces_outlive_a_full_cache(monkeypatch):
+    """When the tokenizer's cache is full, pieces of the texts at hand stay and the others go."""
+    from sightline.llm import packing
+    from sightline.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    words, seen = packing.WordTokenizer(tokenizer_path()), []
+    encode = words._encode
+    monkeypatch.setattr(words, "_encode", lambda text: seen.append(text.split(" ")) or encode(text))
+    often = [chr(97 + k) * 4 for k in range(20)]
+    for k in range(4):
+        rare = [chr(97 + j) * (5 + k) for j in range(26)]
+        text = " ".join(often + rare)
+        assert words.encode([text])[0].tolist() == words.library.encode(text, add_special_tokens=False).ids
+        assert len(words.pieces) <= 60 + 46
+    assert sum(part.count(often[0]) for part in seen) == 1
