@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import accumulate
+from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -54,21 +55,23 @@ def python_code(line: Column) -> Column:
     return F.when(~comment & ~safe_assignment(line), F.substring_index(line, "#", 1))
 
 
-def generic_code(line: Column, group: str) -> Column:
+#: Languages without rules of their own for what is code, and those of them where // or # begins a comment.
+GENERIC = ("go", "ruby", "rust", "csharp", "kotlin", "swift", "shell", "sql")
+SLASHES, HASHES = ("go", "rust", "csharp", "kotlin", "swift"), ("go", "ruby", "shell")
+
+
+def generic_code(line: Column, group: Column | str) -> Column:
     """A line up to its comment for the other languages; null where no rule may look at it."""
-    bare = strip(line)
-    code = bare
-    if group in ("go", "rust", "csharp", "kotlin", "swift"):
-        code = F.when(line.contains("//"), F.substring_index(line, "//", 1)).otherwise(code)
-    if group in ("go", "ruby", "shell"):
-        code = F.when(line.contains("#"), F.substring_index(line, "#", 1)).otherwise(code)
+    bare, group = strip(line), F.lit(group) if isinstance(group, str) else group
+    code = F.when(group.isin(*HASHES) & line.contains("#"), F.substring_index(line, "#", 1))
+    code = code.when(group.isin(*SLASHES) & line.contains("//"), F.substring_index(line, "//", 1)).otherwise(bare)
     return F.when((bare != "") & ~bare.startswith("#") & ~bare.startswith("//"), code)
 
 
-def visible_code(line: Column, group: str) -> Column:
-    if group == "python":
-        return python_code(line)
-    return generic_code(line, group) if group in ("go", "ruby", "rust", "csharp", "kotlin", "swift", "shell", "sql") else line
+def visible_code(line: Column, group: Column | str) -> Column:
+    """What rules see of a line of a group. All groups share few expressions, since the JVM doesn't compile large generated methods."""
+    group = F.lit(group) if isinstance(group, str) else group
+    return F.when(group == "python", python_code(line)).when(group.isin(*GENERIC), generic_code(line, group)).otherwise(line)
 
 
 _FACTS = "array<struct<ord:int,rule_id:string,title:string,cwe:string,score:int,scanner:string,wording:string>>"
@@ -120,12 +123,9 @@ def _findings(found: DataFrame, own: dict[str, list[Rule]], keys: list[str]) ->
     )
 
 
-def code_of(groups: Iterator[str]) -> Column:
+def code_of(groups: Iterable[str]) -> Column:
     """What rules see of a row's line, by its group."""
-    code = F.lit(None).cast("string")
-    for group in groups:
-        code = F.when(F.col("group") == group, visible_code(F.col("line"), group)).otherwise(code)
-    return code
+    return F.when(F.col("group").isin(*groups), visible_code(F.col("line"), F.col("group")))
 
 
 def match(rows: DataFrame, rules: list[Rule] | None = None, groups: list[str] | None = None) -> DataFrame:
@@ -254,33 +254,43 @@ def risky_search(line: Column, power: Column | int) -> Column:
     return (power if isinstance(power, Column) else F.lit(power)) * F.log10(F.greatest(F.length(line), F.lit(10))) > float(np.log10(STEPS))
 
 
+def is_risky(line: str, power: int) -> bool:
+    """The same in a worker."""
+    return power * log10(max(len(line), 10)) > log10(STEPS)
+
+
+def timed_search(seconds: float) -> Callable[[str, str], bool]:
+    """Searches patterns in lines; one that takes longer than ``seconds`` or that the engine does not know counts as no match."""
+    import regex
+
+    known: dict[str, object] = {}
+
+    def found(pattern: str, line: str) -> bool:
+        if pattern not in known:
+            known.clear() if len(known) > 10_000 else None
+            try:
+                known[pattern] = regex.compile(pattern)
+            except regex.error:
+                known[pattern] = None
+        try:
+            return known[pattern] is not None and known[pattern].search(line, timeout=seconds) is not None
+        except TimeoutError:
+            return False
+
+    return found
+
+
 def within_time(pairs: DataFrame, seconds: float = TIME_LIMIT) -> DataFrame:
     """Rows (line, pattern, risky, and any keys) whose pattern is found in the line, or that are not risky.
 
-    Risky pairs are searched in a worker by an engine that gives up after ``seconds``, which counts as no match, as does a
-    pattern that it does not know. Only rows that may be findings get here, so few pass through Python.
+    Risky pairs are searched in a worker (:func:`timed_search`). Only rows that may be findings get here, so few pass through Python.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        known: dict[str, object] = {}
+        found = timed_search(seconds)
         for b in batches:
-            keep = []
-            for line, pattern, risky in zip(b["line"].to_pylist(), b["pattern"].to_pylist(), b["risky"].to_pylist(), strict=True):
-                if risky:
-                    if pattern not in known:
-                        known.clear() if len(known) > 10_000 else None
-                        try:
-                            known[pattern] = regex.compile(pattern)
-                        except regex.error:
-                            known[pattern] = None
-                    try:
-                        risky = known[pattern] is None or known[pattern].search(line, timeout=seconds) is None
-                    except TimeoutError:
-                        risky = True
-                keep.append(not risky)
-            yield b.filter(pa.array(keep, pa.bool_()))
+            pairs = zip(b["line"].to_pylist(), b["pattern"].to_pylist(), b["risky"].to_pylist(), strict=True)
+            yield b.filter(pa.array([not risky or found(pattern, line) for line, pattern, risky in pairs], pa.bool_()))
 
     return pairs.mapInArrow(run, pairs.schema)
 

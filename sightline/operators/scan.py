@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cwe_owasp, score_severity, strip
 from ..schemas import MAX_FILE_BYTES
-from .detect import DEFAULTS, WORDING, LineIndex, by_group, code_files, code_of, name_end, numbered, risky_search, rule_words, valid_rules, within_time
+from .detect import DEFAULTS, TIME_LIMIT, WORDING, LineIndex, by_group, code_files, code_of, is_risky, name_end, numbered, rule_words, timed_search, valid_rules
 from .findings import cap, keep_first
 from .literals import fold, growth
 from .report import scores
@@ -23,9 +23,9 @@ COLUMNS = ("scan_id", "file", "line", "code", "scanner", "rule_id", "title", "se
 MOST = 500
 
 
-_ROW = "_rank int, _ks array<int>, line string, " + FOUND
-_ROW_ARROW = [pa.field("_rank", pa.int32()), pa.field("_ks", pa.list_(pa.int32())), pa.field("line", pa.string()), *FOUND_ARROW]
-_RULE = "array<struct<ord:int,rule_id:string,title:string,severity:string,severity_score:int,cwe:string,owasp:string,scanner:string,wording:string,pattern:string,power:int,extensions:array<string>>>"
+_ROW = "_rank int, _ks array<int>, _sure boolean, line string, " + FOUND
+_ROW_ARROW = [pa.field("_rank", pa.int32()), pa.field("_ks", pa.list_(pa.int32())), pa.field("_sure", pa.bool_()), pa.field("line", pa.string()), *FOUND_ARROW]
+_RULE = "array<struct<ord:int,rule_id:string,title:string,severity:string,severity_score:int,cwe:string,owasp:string,scanner:string,wording:string,pattern:string,extensions:array<string>>>"
 #: Order of detectors.
 BUILT_IN, PYTHON_FLOWS, USER_RULES, FLOWS, TOOLS = range(5)
 
@@ -33,35 +33,44 @@ BUILT_IN, PYTHON_FLOWS, USER_RULES, FLOWS, TOOLS = range(5)
 def _hits(src: DataFrame, own: dict[str, list[Rule]], user: list[dict]) -> DataFrame:
     """Rows of files (scan_id, path, group, text): lines that may fit rules (numbers ``_ks``), and finished findings of flows.
 
-    Each text is read once, for everything.
+    Each text is read once, for everything. Searches that could take long are done here, so that rows pass through Python once; ``_sure``:
+    such a search found the rules' patterns.
     """
     n = sum(map(len, own.values()))
     patterns = numbered(own)
     words, always = rule_words({g: [*patterns.get(g, []), *[(n + j, r["pattern"]) for j, r in enumerate(user, 1)]] for g in SCANNERS})
     keys = ["scan_id", "path", "group"]
+    slow = {n + j: (r["pattern"], growth(r["pattern"]), r.get("extensions") or ()) for j, r in enumerate(user, 1) if growth(r["pattern"]) > 1}
+    end = name_end(F.col("path")) if any(ends for *_, ends in slow.values()) else F.lit("")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, empty = LineIndex(words, always), (None,) * len(FOUND_ARROW)
+        index, search, empty = LineIndex(words, always), timed_search(TIME_LIMIT), (None,) * len(FOUND_ARROW)
         for b in batches:
             found = []
-            for at, (group, lang, small, text) in enumerate(zip(*[b[c].to_pylist() for c in ("group", "_lang", "_small", "text")], strict=True)):
+            for at, (group, lang, small, suffix, text) in enumerate(zip(*[b[c].to_pylist() for c in ("group", "_lang", "_small", "_end", "text")], strict=True)):
                 if not text:
                     continue
                 low = fold(text)
                 for no, line, ks in index.lines(group, text, low):
-                    for rank, mine in ((BUILT_IN, [k for k in ks if k <= n] if small else []), (USER_RULES, [k for k in ks if k > n])):
-                        if mine:
-                            found.append((at, rank, mine, line, no, *empty[1:]))
+                    mine = [k for k in ks if k <= n] if small else []
+                    if mine:
+                        found.append((at, BUILT_IN, mine, False, line, no, *empty[1:]))
+                    mine = [k for k in ks if k > n]
+                    long = [k for k in mine if k in slow and is_risky(line, slow[k][1])]
+                    sure = [k for k in long if (not slow[k][2] or suffix in slow[k][2]) and search(slow[k][0], line)]
+                    for its, known in (([k for k in mine if k not in long], False), (sure, True)):
+                        if its:
+                            found.append((at, USER_RULES, its, known, line, no, *empty[1:]))
                 for rank, kind in ((PYTHON_FLOWS, "python-rules" if lang == "python" else None), (FLOWS, lang)):
                     if kind and may_flow(low, kind):
-                        found += [(at, rank, None, None, *row) for row in flow_findings(text, kind)]
+                        found += [(at, rank, None, None, None, *row) for row in flow_findings(text, kind)]
             kept = b.select(keys).take(pa.array([f[0] for f in found], pa.int32()))
             cols = [pa.array([f[k] for f in found], field.type) for k, field in enumerate(_ROW_ARROW, 1)]
             yield pa.RecordBatch.from_arrays([*kept.columns, *cols], [*keys, *[f.name for f in _ROW_ARROW]])
 
     kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keys)
     small = F.octet_length("text") <= MAX_FILE_BYTES
-    return src.select(*keys, flow_language(F.col("path")).alias("_lang"), small.alias("_small"), "text").mapInArrow(run, f"{kinds}, {_ROW}")
+    return src.select(*keys, flow_language(F.col("path")).alias("_lang"), small.alias("_small"), end.alias("_end"), "text").mapInArrow(run, f"{kinds}, {_ROW}")
 
 
 def detect_all(
@@ -76,25 +85,22 @@ def detect_all(
     """
     own, user = by_group(rules), valid_rules(files.sparkSession, user_rules)
     table = [
-        {"ord": k, "rule_id": r.rule_id, "title": r.title, "severity_score": r.score, "cwe": r.cwe, "scanner": SCANNERS[g], "wording": WORDING.get(g, " (line "), "pattern": java_pattern(r), "power": 0}
+        {"ord": k, "rule_id": r.rule_id, "title": r.title, "severity_score": r.score, "cwe": r.cwe, "scanner": SCANNERS[g], "wording": WORDING.get(g, " (line "), "pattern": java_pattern(r)}
         for g, its in own.items()
         for k, r in enumerate(its)
     ]
     for k, r in enumerate(user):
         facts = {n: r.get("score" if n == "severity_score" else n) or d for n, d in DEFAULTS.items()}
         facts["severity_score"] = 5 if r.get("score") is None else int(r["score"])
-        table.append({"ord": k, "rule_id": r["id"], **facts, "scanner": "custom-rules", "pattern": r["pattern"], "power": growth(r["pattern"]), "extensions": r.get("extensions") or None})
+        table.append({"ord": k, "rule_id": r["id"], **facts, "scanner": "custom-rules", "pattern": r["pattern"], "extensions": r.get("extensions") or None})
     src = code_files(files.select("scan_id", "path", "text")).select("scan_id", "path", "group", "text")
     rows = _hits(src, own, user).withColumn("_k", F.explode_outer("_ks")).withColumn("_rule", F.element_at(F.from_json(F.lit(json.dumps(table)), _RULE), F.col("_k")))
     # flows are finished; a built-in rule sees the visible part of a line, a user rule the line
     built_in, by_user, rule = F.col("_rank") == BUILT_IN, F.col("_rank") == USER_RULES, F.col("_rule")
     rows = rows.withColumn("_code", F.when(built_in, code_of(own)).when(by_user, F.col("line")))
-    risky = by_user & risky_search(F.col("line"), rule["power"])
     right_name = F.coalesce(F.array_contains(rule["extensions"], name_end(F.col("path"))), F.lit(True))
     pattern = F.when(by_user, F.concat(F.lit("(?Ud)"), rule["pattern"])).otherwise(rule["pattern"])
-    rows = rows.where(F.when(F.col("_k").isNull() | risky, right_name).otherwise(right_name & F.regexp_like("_code", pattern)))
-    if any(growth(r["pattern"]) > 1 for r in user):
-        rows = within_time(rows.withColumn("pattern", rule["pattern"]).withColumn("risky", F.coalesce(risky, F.lit(False))))
+    rows = rows.where(F.col("_k").isNull() | F.col("_sure") | (right_name & F.regexp_like("_code", pattern)))
 
     def shown(name: str) -> Column:
         return F.coalesce(rule[name], F.col(name))

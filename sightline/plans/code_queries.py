@@ -463,14 +463,22 @@ _FLOW_CODE = {
 }
 
 
-def _flow_files(spark, d, end):
-    """A file for each customer: sources, copies, sinks, scopes and constants in an order that follows the key."""
-    text = []
-    for j in range(1, _FLOW_LINES + 1):
-        digit = (F.col("file_id") * 7 + j * 13 + F.floor(F.col("file_id") / (j + 1))) % 12
-        line = F.element_at(F.array(*[F.lit(t.replace("J", str(j))) for t in _FLOW_CODE[end]]), (digit % 6 + 1).cast("int"))
-        text.append(F.replace(line, F.lit("R"), F.greatest(F.lit(j - 1) - F.floor(digit / 6), F.lit(0)).cast("string")))
-    return v(spark, d, "code").select("file_id", F.concat(F.lit("f"), F.col("file_id"), F.lit(end)).alias("path"), F.concat_ws("\n", *text).alias("text"))
+def _flow_files(spark, d, *ends):
+    """A file for each customer and language: sources, copies, sinks, scopes and constants in an order that follows the key."""
+
+    def text(end):
+        def line(j):
+            digit = (F.col("file_id") * 7 + j * 13 + F.floor(F.col("file_id") / (j + 1))) % 12
+            code = F.element_at(F.array(*[F.lit(t) for t in _FLOW_CODE[end]]), (digit % 6 + 1).cast("int"))
+            read = F.greatest(j - 1 - F.floor(digit / 6), F.lit(0)).cast("string")
+            return F.replace(F.replace(code, F.lit("J"), j.cast("string")), F.lit("R"), read)
+
+        # a function of the line's number: ten lines written out make a method that the JVM doesn't compile
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(_FLOW_LINES)), line), "\n")
+
+    # rows of a generator: filters on their paths stay behind the rows' deal over tasks, which all languages share
+    files = [F.struct(F.concat(F.lit("f"), F.col("file_id"), F.lit(end)).alias("path"), text(end).alias("text")) for end in ends]
+    return v(spark, d, "code").select("file_id", F.inline(F.array(*files)))
 
 
 # o: where the variable of each line so far was tainted; a scope empties it, a constant does not
@@ -510,7 +518,7 @@ SELECT scan_id, file, CAST(line AS INT) AS line, rule_id, scanner, severity_scor
 (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY severity_score DESC, rank, file, line, ord, rule_id) AS position FROM k) y WHERE position <= 60""")
 def scan_tree(spark, d):
     """Files of two languages with flows; a user rule and a tool find again what others found on the same line."""
-    files = _flow_files(spark, d, ".py").unionByName(_flow_files(spark, d, ".java")).withColumn("scan_id", F.col("file_id") % 60)
+    files = _flow_files(spark, d, ".py", ".java").withColumn("scan_id", F.col("file_id") % 60)
     file, path = [F.concat(F.lit("f"), F.col("file_id"), F.lit(end)) for end in (".py", ".java")]
     own = v(spark, d, "code").select((F.col("file_id") % 60).alias("scan_id"), F.inline(F.array(*[
         F.struct(f.alias("file"), F.lit(line).alias("line"), F.lit(rule).alias("rule_id"), F.lit("tool").alias("scanner"), F.lit(score).alias("severity_score")) for f, line, rule, score in ((file, 3, "TAINT-SQL", 2), (path, 1, "T-1", 9))

@@ -447,3 +447,44 @@ def test_files_of_narrow_rows_are_dealt_over_tasks(spark, name):
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     python, scan_ = plan.index("MapInArrow") if "MapInArrow" in plan else 0, plan.index("RepartitionByExpression")
     assert python < scan_  # what comes first in the text runs last
+
+
+def test_files_pass_through_python_once_and_are_read_once(spark):
+    """All languages and the tools share one deal of the table; rows of rules whose search could take long don't go out a second time."""
+    from sightline import plans
+
+    q = plans.QUERIES["scan_tree"](spark, "/root/testdata/sf0.001")
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow run(") == 1 and plan.count("Relation [") == 2
+    assert all("Filter" not in part.split("Relation [")[0] for part in plan.split("RepartitionByExpression")[1:])  # so the exchanges are the same
+
+
+def test_generated_methods_are_compiled(spark):
+    """The JVM interprets methods of over 8000 bytes for good, however often they run."""
+    from sightline import plans
+
+    changed = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, value in changed.items():
+            spark.conf.set(k, value)
+        plan = plans.QUERIES["scan_tree"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = debug.codegenStringSeq(plan)
+        sizes = [stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())]
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert sizes and max(sizes) < 8000
+
+
+def test_long_searches_of_a_scan(spark):
+    """Rules whose search could take long find what they find without a scan; the others' lines are searched once more by the JVM."""
+    rules = [
+        {"id": "E", "pattern": r"(?:ab+)+c"}, {"id": "X", "pattern": r"(?:ab+)+c", "extensions": [".java"]}, {"id": "P", "pattern": "a.*b.*c"}, {"id": "B", "pattern": "(?:zz+)+[a--b]"},
+    ]
+    texts = {"a.py": "x = 'abbabc'\ny = 'ab'\nabc abc\n" + "ab" * 50_000 + " c", "b.java": "abc\n\nzz", "c.txt": "abc", "d.py": None, "e.py": ""}
+    files = spark.createDataFrame([(1, p, t) for p, t in texts.items()], "scan_id int, path string, text string")
+    got = sorted((r.file, r.line, r.rule_id) for r in detect_all(files, rules).where("scanner = 'custom-rules'").collect())
+    assert got == sorted((r.path, r.line_no, r.rule_id) for r in detect.custom(files.where("path <> 'c.txt'"), rules).collect())
+    assert ("a.py", 4, "P") in got and ("b.java", 1, "X") in got and ("a.py", 1, "X") not in got
